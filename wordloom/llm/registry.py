@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, sharding, urlfilter
+from . import chat, decontaminate, linededup, packing, sharding, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_packing": packing.op4_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_url_filters": urlfilter.op7_url_filters,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": chat.OP6_SQL,
     "op7_url_filters": urlfilter.OP7_SQL,
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
