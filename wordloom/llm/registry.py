@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, linededup, packing, sharding, simhash, urlfilter
+from . import chat, decontaminate, linededup, packing, sharding, simhash, syncmers, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_url_filters": urlfilter.op7_url_filters,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_document_fingerprints": syncmers.op9_document_fingerprints,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
