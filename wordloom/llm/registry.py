@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, linededup, packing, sharding, simhash, syncmers, urlfilter
+from . import chat, decontaminate, linededup, packing, sharding, simhash, syncmers, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_url_filters": urlfilter.op7_url_filters,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
