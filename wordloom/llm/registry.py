@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, linededup, packing, sharding, simhash, syncmers, toxicity, urlfilter
+from . import chat, decontaminate, linededup, maxent, packing, sharding, simhash, syncmers, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_lm_scoring": maxent.op2_lm_scoring,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
