@@ -256,6 +256,8 @@ def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, last: bool) -> It
             i = [sorted({*o, *x}) for o, x in zip(old_items, items[at : at + n], strict=True)]
             cols = [b.column(0), b.column(1), pa.array(shard.n_words[at : at + n], pa.int64()), pa.array([[{"start": p, "end": q} for p, q in x] for x in s], _SPANS), pa.array(i, pa.list_(pa.string()))]
             names = ["doc_id", "text", "n_words", "spans", "items"]
+            if b.num_columns > 5:
+                cols, names = [*cols, b.column(5)], [*names, "row"]
             yield pa.record_batch([c for c, k in zip(cols, names, strict=True) if k != "text" or not last], names=[k for k in names if k != "text" or not last])
             at += n
 
@@ -285,18 +287,26 @@ def blocks_of(benchmark: DataFrame, window: int, block_words: int, item: str, te
         yield Benchmark(items, window)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (word positions to remove, ends excluded, merged), items (ids, sorted)."""
-    df = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_words, spans (word positions to remove, ends excluded, merged), items (ids, sorted) and, if
+    carry, row (a struct of docs' columns)."""
+    df = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"), *[F.struct(*docs.columns).alias("row")] * carry)
+    row = f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
     kind = df.schema["doc_id"].dataType.simpleString()
     blocks = list(blocks_of(benchmark, window, block_words, item, item_text))
     for i, bench in enumerate(blocks):
         last = i == len(blocks) - 1
         shared = df.sparkSession.sparkContext.broadcast(bench)
-        df = df.mapInArrow(lambda it, shared=shared, last=last: _scan(it, shared.value, last), f"doc_id {kind}, " + "text binary, " * (not last) + "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
+        df = df.mapInArrow(lambda it, shared=shared, last=last: _scan(it, shared.value, last), f"doc_id {kind}, " + "text binary, " * (not last) + "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>" + row)
     return df
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without those in which a window of an item occurs."""
+    found = find_overlaps(docs, benchmark, window, text=text, key=key, carry=True)
+    return found.where(F.size("spans") == 0).select("row.*")
+
+
 def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words of the spans and what stands between them."""
     if text is None or not spans:

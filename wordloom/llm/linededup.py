@@ -26,9 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import ascii_lower, table, written
 
@@ -192,11 +194,15 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", key: s
     return docs.join(b, docs[key].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__body")), "left").drop("__doc", "__body")
 
 
+@F.pandas_udf(StringType())
+def _apply(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or b is None else _kept(t.encode(), b)[2].decode() for t, b in zip(texts, bitmaps, strict=True)], dtype=object)
+
+
 def drop_lines(docs: DataFrame, min_docs: int = 10, mode: str = "all", text: str = "text", key: str = "doc_id", min_chars: int = 1) -> DataFrame:
     """docs with the text that is left, all other columns as they were (n_chars, if there, follows)."""
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, mode, text, key, min_chars), text, key)
-    apply = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: x if y is None or x is None else _kept(x.encode(), y)[2].decode()), "string")
-    left = F.when(F.col("__bitmap").isNull(), F.col(text)).otherwise(apply(F.col(text), F.col("__bitmap")))
+    left = F.when(F.col("__bitmap").isNull(), F.col(text)).otherwise(_apply(F.col(text), F.col("__bitmap")))
     cols = [F.length("__left").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__left").alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.withColumn("__left", left).select(*cols)
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -50,15 +50,15 @@ _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitord
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp (the 64 bits as a signed long)."""
+    """key, body (a hash of the text), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).astype(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp)], names=["key", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).astype(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp)], names=["key", "body", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, fp bigint")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, body bigint, fp bigint")
 
 
 def hex_of(fp: Column) -> Column:
@@ -219,28 +219,35 @@ def link(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_siz
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp, component_id (the smallest key that links lead to), copies (rows with this fingerprint)."""
+    """key, body, fp, component_id (the smallest key that links lead to), label (one fingerprint of the group, its
+    name where keys fail), copies (rows with this fingerprint)."""
     fps = written(fingerprints(docs, shingle, text, key), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("key").alias("id"), F.count("*").alias("copies")), "nodes")
     found = components(link(nodes.select("fp"), radius, blocks))
     labelled = nodes.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    groups = labelled.join(names, "label").select("fp", "component_id", "copies")
-    return fps.join(groups, "fp").select(F.col("key").alias(key), "fp", "component_id", "copies")
+    groups = labelled.join(names, "label").select("fp", "component_id", "label", "copies")
+    return fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest key (among rows that share it,
-    or have none, the one whose text's hash is smallest)."""
+    """docs with one row of each group of near duplicates: that of the smallest key (rows that share it: of the
+    smallest hash of their texts; equal rows: any; rows without key come last)."""
     groups = near_duplicates(docs, shingle, radius, blocks, text, key)
-    gone = groups.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    left = docs.join(gone, docs[key] == gone["__gone"], "left_anti")
-    # Only rows that repeat a key are left to choose among.
-    twice = left.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = left.join(twice, left[key].eqNullSafe(twice["__key"]), "left_anti")
-    many = left.join(twice, left[key].eqNullSafe(twice["__key"]), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text), *(F.col(c) for c in docs.columns if c not in (key, text)))
-    return single.unionByName(many.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))
+    rows = written(groups.groupBy(F.col(key).alias("__key"), F.col("body").alias("__body"), "label").agg(F.count("*").alias("n")), "groups")
+    rank = F.struct(F.col("__key").isNull().alias("none"), "__key", "__body")
+    best = rows.groupBy("label").agg(F.min(rank).alias("best"))
+    gone = rows.join(best, "label").where(~(F.col("__key").eqNullSafe(F.col("best.__key")) & (F.col("__body") == F.col("best.__body")))).select("__key", "__body")
+
+    def same(other: DataFrame) -> Column:
+        return docs[key].eqNullSafe(other["__key"]) & (F.xxhash64(docs[text]) == other["__body"])
+
+    left = docs.join(gone, same(gone), "left_anti")
+    if rows.where("n > 1").isEmpty():
+        return left
+    # Rows that repeat id and text: one of each; partial sums see to it that many are few before the shuffle.
+    first = left.groupBy(F.col(key).alias("__key"), F.xxhash64(text).alias("__body")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return first.select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,9 +293,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
 
     @F.pandas_udf("double")
-    def scored(texts: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
-        import pandas as pd
-
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(model.insults)
         for t in texts:
             z = np.array([patterns(x, lexicon) for x in t]).reshape(-1, len(FEATURES)) @ model.weights[1:] + model.weights[0]
