@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 
-def unit(key: Column, name: str) -> Column:
-    """A hash in (0, 1) of a key and a shard's name, from 52 bits of MD5 (also at hand in other engines)."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("/"), F.lit(name)))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-
-
 def winner(key: Column, weights: dict[int, float]) -> Column:
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    bids = [F.struct((F.lit(-float(w)) / F.log(unit(key, str(s)))).alias("bid"), F.lit(-s).alias("s")) for s, w in sorted(weights.items())]
-    return (-(F.greatest(*bids) if len(bids) > 1 else bids[0])["s"]).cast("int")
+    shards = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(float(w)).alias("w")) for s, w in sorted(weights.items())))
+
+    def bid(x: Column) -> Column:
+        # 52 bits of the hash, as a number between 0 and 1
+        u = (F.shiftrightunsigned(F.xxhash64(key, x["s"]), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+        return F.struct((-x["w"] / F.log(u)).alias("bid"), (-x["s"]).alias("s"))
+
+    return (-F.array_max(F.transform(shards, bid))["s"]).cast("int")
 
 
 def shard(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] | None = None, key: str = "doc_id", text: str = "text", buckets: int = 4096) -> DataFrame:
