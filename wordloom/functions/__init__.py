@@ -1 +1 @@
-
+"""Column functions: measures and text transformations."""

@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators over token tables."""

@@ -1 +1 @@
-
+"""Reading documents and writing results."""

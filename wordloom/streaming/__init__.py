@@ -1 +1 @@
-
+"""Incremental counterparts."""
