@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a few megabytes at a time: a batch is copied on both sides, for every task."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def few_files(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """Partitions of some ten thousand rows instead of one for each shuffle partition, where that is fewer: a
+    result of few rows is a few files.  Never fewer than the cores at hand; a large result stays as it is."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, so that a lost executor costs a
     reread and not a recomputation, and a later action does not repeat the work."""
