@@ -50,7 +50,7 @@ def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_wor
     names = by_pos.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), F.min("first")["label"].alias("label"))
     out = spread.join(names, "word").crossJoin(F.broadcast(total))
     out = out.select("word", F.coalesce("label", "word").alias("label"), "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
-    return ranked(out).select("rank", "word", "label", "pos", "freq", "pmw", "dp", "n_parts")
+    return ranked(out).select("rank", "word", "label", "pos", "freq", "pmw", "dp", "n_parts").orderBy("rank")
 
 
 def ranked(words: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: fixed values: tried in this order
 ENCODINGS = ["utf-8", "cp932", "euc_jp"]
@@ -113,7 +114,19 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, sepa
     text, found = decode_bytes(bytes(head["h"]) if head else b"")
     encoding = encoding or ("utf-8" if found.startswith("utf-8") else found)
     separator = separator or ("\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(text.splitlines()[:20])))
-    return spark.read.csv(path, header=True, inferSchema=False, sep=separator, multiLine=True, encoding=encoding, escape='"')
+    if encoding.lower() in ("utf-8", "utf-16", "us-ascii", "iso-8859-1"):
+        return spark.read.csv(path, header=True, inferSchema=False, sep=separator, multiLine=True, encoding=encoding, escape='"')
+    # Spark's reader takes no other encodings: each file is parsed by the task that reads it.
+    options = {"sep": separator, "dtype": str, "keep_default_na": False, "na_values": [""], "encoding": encoding}
+    columns = next(csv.reader(io.StringIO(text), delimiter=separator), [])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["content"]:
+                yield pd.read_csv(io.BytesIO(data), **options).astype(object).where(lambda d: d.notna(), None)
+
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
 
 def read_frequency_list(spark: SparkSession, path: str) -> DataFrame:
