@@ -24,77 +24,101 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import few_files, map_arrow, table, written
+from .wordhash import Batch, Table
 
 SIZE, END_ID = 4096, 2
 
 
 class Encoder:
-    """Ids as little-endian bytes.  The tokenizer's own splitting never joins across white space, nor letters
-    with marks: a text is encoded as its blank-free chunks, a chunk as a word and the marks after it, and
-    what was seen before is not encoded again."""
+    """Ids of texts, in numpy arrays.  The tokenizer's own splitting never joins across white space, nor letters
+    with marks: a text is a list of blank-free chunks, a chunk a word and the marks after it.  Chunks are
+    told apart by 64-bit hashes; each has a number, and its ids a place in one array.  Only new words are
+    encoded.  When ``most`` chunks are known the memory starts anew."""
 
     MARKS = b".,;:!?"
 
-    def __init__(self, path: str, end_id: int = END_ID, most: int = 500_000):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end_id.to_bytes(4, "little"), most
+        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end_id, most
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        # number 0 is the end of a text
+        self.table, self.flat, self.lengths, self.starts = Table(), np.array([self.end], dtype="<u4"), np.array([1]), np.array([0])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _words(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters alone are one unit for the tokenizer, whose last id says so: they go in one string."""
-        known, cut, words, others = self.known, [], [], []
-        for c in chunks:
-            word = c.rstrip(self.MARKS)
-            cut.append((c, word, c[len(word) :]))
-        for c in {x for _, word, marks in cut for x in (word, marks) if x and x not in known}:
-            s = c.decode()
-            (words if s.isalpha() else others).append((c, s))
-        if words:
-            ids = np.frombuffer(self._ids([" ".join(s for _, s in words)])[0], dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(words):
-                raw, at = ids.tobytes(), 0
-                for (c, _), z in zip(words, (4 * ends).tolist(), strict=True):
-                    known[c] = raw[at:z]
-                    at = z
-            else:  # a tokenizer without word ends
-                others += words
-        # A mark before it can belong to what follows, as in "'s": such chunks are encoded whole.
-        known.update(zip([c for c, _ in others], self._ids([s for _, s in others]), strict=True))
-        whole = []
-        for c, word, marks in cut:
-            if word and marks:
-                if word.decode().isalpha():
-                    known[c] = known[word] + known[marks]
-                else:
-                    whole.append(c)
-        known.update(zip(whole, self._ids([c.decode() for c in whole]), strict=True))
+        ids = np.frombuffer(self._ids([" ".join(words)])[0], dtype="<u4") if words else np.empty(0, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words):  # a tokenizer without word ends
+            return dict(zip(words, self._ids(words), strict=True))
+        raw, begins = ids.tobytes(), [0, *ends.tolist()]
+        return {w: raw[i:j] for w, i, j in zip(words, begins, begins[1:], strict=False)}
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        bare = [c.rstrip(self.MARKS) for c in chunks]
+        text = b"\n".join(bare).decode().split("\n")
+        plain = list(map(str.isalpha, text))
+        known = self._words(list(dict.fromkeys(w for w, ok in zip(text, plain, strict=True) if ok)))
+        ends = [c[len(w) :] for c, w in zip(chunks, bare, strict=True)]
+        if len(self.marks) > 10_000:
+            self.marks = {b"": b""}
+        marks = self.marks
+        for m in {e for e, ok in zip(ends, plain, strict=True) if ok and e not in marks}:
+            marks[m] = self._ids([m.decode()])[0]
+        # All else is encoded whole: a mark before it can belong to what follows, as in "'s".
+        whole = iter(self._ids([c.decode() for c, ok in zip(chunks, plain, strict=True) if not ok]))
+        ids = [known[w] + marks[e] if ok else next(whole) for w, e, ok in zip(text, ends, plain, strict=True)]
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), dtype="<u4")))
+        self.lengths = np.concatenate((self.lengths, np.array([len(x) // 4 for x in ids], dtype=np.int64)))
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """Little-endian ids of each text, the end's last."""
+        if self.table.size > self.most:
+            self._forget()
         # Strings of special tokens are matched before letters are lower-cased, so such texts go as they are.
-        chunks = [None if t is not None and b"<|" in t else (t or b"").lower().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = set().union(*(cs for cs in chunks if cs)).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [(self._ids([t.decode()])[0] if cs is None else b"".join(map(get, cs))) + self.end for t, cs in zip(texts, chunks, strict=True)]
+        special = {i: self._ids([t.decode()])[0] + self.flat[:1].tobytes() for i, t in enumerate(texts) if t is not None and b"<|" in t}
+        batch = Batch([None if i in special else t for i, t in enumerate(texts)])
+        number = self.table.get(batch.hash)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, first, back = np.unique(batch.hash[missing], return_index=True, return_inverse=True)
+            numbers = len(self.lengths) + np.arange(len(new))
+            self._learn(batch.words(missing[first]))
+            self.table.put(new, numbers)
+            number[missing] = numbers[back]
+        chunk = np.zeros(len(number) + len(texts), dtype=np.int64)
+        chunk[np.arange(len(number)) + np.repeat(np.arange(len(texts)), batch.count)] = number
+        n = self.lengths[chunk]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[chunk] - (upto - n), n) + np.arange(int(n.sum()))].tobytes()
+        ends = (4 * upto[np.cumsum(batch.count + 1) - 1]).tolist()
+        return [special.get(i, ids[a:z]) for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False))]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks that a Python worker runs."""
+    return Encoder(path, end_id)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str | None, size: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -102,11 +126,10 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, size: int, end_id:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    encode = None
+    encode = _encoder(path, end_id)
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
-            encode = encode or Encoder(path, end_id)
             texts = b.column(1).to_pylist()
             rows: list[tuple] = []
             for i, ids in enumerate(encode(texts)):
@@ -124,7 +147,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, size: int, end_id:
 def pieces_of(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, on demand, the ids."""
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(lambda it: _cut(it, tokenizer_path, size, end_id, with_ids), schema)
+    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("binary")), lambda it: _cut(it, tokenizer_path, size, end_id, with_ids), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -197,7 +220,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, rank_group: int = 20_000) -
     ranked = own.join(starts, ["length", "part"]).withColumn("first", F.col("before") + F.sum("n").over(within) - F.col("n"))
     ranked = ranked.select(*cols, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(lambda it: _place(it, plan), schema)
+    return few_files(map_arrow(ranked, lambda it: _place(it, plan), schema), sum(histogram.values()))
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
