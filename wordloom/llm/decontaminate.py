@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 #: Letters stay (A-Z lower-cased), digits and bytes from 0x80 on too; all else parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -297,7 +297,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for i, bench in enumerate(blocks):
         last = i == len(blocks) - 1
         shared = df.sparkSession.sparkContext.broadcast(bench)
-        df = df.mapInArrow(lambda it, shared=shared, last=last: _scan(it, shared.value, last), f"doc_id {kind}, " + "text binary, " * (not last) + "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>" + row)
+        df = map_arrow(df, lambda it, shared=shared, last=last: _scan(it, shared.value, last), f"doc_id {kind}, " + "text binary, " * (not last) + "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>" + row)
     return df
 
 

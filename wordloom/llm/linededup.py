@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, few_files, map_arrow, small_batches, table, written
 
 BLANK = "\t\n\x0b\x0c\r "
 
@@ -151,7 +151,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, mode: str = "all", text:
     rows = line_hashes(docs, text, key, min_chars).select("a", "b", F.col("doc").cast("long").alias("doc"), "body", "pos")
     ranged = rows.repartitionByRange(parts, "a", "b", "doc").sortWithinPartitions("a", "b", "doc", "body", "pos")
     schema = "a bigint, b bigint, doc bigint, body bigint, pos int, docs bigint, state tinyint"
-    seen = written(ranged.mapInArrow(lambda it: stream_runs(it, min_docs, later), schema), "lines")
+    seen = written(map_arrow(ranged, lambda it: stream_runs(it, min_docs, later), schema), "lines")
     # Two rows a partition at most: the hashes whose runs touch an edge.
     edges = seen.where(F.col("state") == COUNT).groupBy("a", "b").agg(F.sum("docs").alias("total")).where(F.col("total") >= min_docs)
     loose = seen.where(F.col("state") == OPEN).join(F.broadcast(edges), ["a", "b"])
@@ -174,7 +174,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, mode: str = "all", text: s
     """doc, body (a hash of the text), bitmap: zlib over one bit a line up to the last dropped one, most
     significant bit first, 1 = keep; lines after it and documents without a row keep everything."""
     gone = dropped_lines(docs, min_docs, mode, text, key, min_chars).groupBy("doc", "body").agg(F.collect_set("pos").alias("pos"))
-    return gone.mapInArrow(_bitmaps, "doc bigint, body bigint, bitmap binary")
+    return map_arrow(gone, _bitmaps, "doc bigint, body bigint, bitmap binary")
 
 
 def _kept(text: bytes | None, bitmap: bytes | None) -> tuple[int, int, bytes]:
@@ -201,8 +201,10 @@ def _apply(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, mode: str = "all", text: str = "text", key: str = "doc_id", min_chars: int = 1) -> DataFrame:
     """docs with the text that is left, all other columns as they were (n_chars, if there, follows)."""
+    small_batches(docs.sparkSession)
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, mode, text, key, min_chars), text, key)
     left = F.when(F.col("__bitmap").isNull(), F.col(text)).otherwise(_apply(F.col(text), F.col("__bitmap")))
+    joined = few_files(joined, docs.count())
     cols = [F.length("__left").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__left").alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.withColumn("__left", left).select(*cols)
 
@@ -215,8 +217,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, mode="all"))
-    return joined.select("doc_id", F.col("text").cast("binary"), "__bitmap").mapInArrow(_digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    joined = few_files(with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, mode="all")), docs.count())
+    return map_arrow(joined.select("doc_id", F.col("text").cast("binary"), "__bitmap"), _digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 OP10_SQL = r"""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import few_files, map_arrow, table, written
 from .graph import components
 
 SHINGLE, RADIUS, BLOCKS, SHARD_SIZE = 3, 3, 5, 4096
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", ke
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp)], names=["key", "body", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, body bigint, fp bigint")
+    return map_arrow(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).cast("binary")), run, f"key {kind}, body bigint, fp bigint")
 
 
 def hex_of(fp: Column) -> Column:
@@ -215,7 +215,7 @@ def link(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_siz
     # split shards lie on their own choice and bits: what a task sorts is many cells, of which each is small
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartition(n, "choice", "bits", "a", "b").sortWithinPartitions("choice", "bits", "a", "b", "fp")
-    return laid.mapInArrow(lambda it: _link(it, radius, 100_000), "a bigint, b bigint")
+    return map_arrow(laid, lambda it: _link(it, radius, 100_000), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labelled = nodes.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     groups = labelled.join(names, "label").select("fp", "component_id", "label", "copies")
-    return fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies")
+    return few_files(fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies"), fps.count())
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -243,6 +243,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bloc
         return docs[key].eqNullSafe(other["__key"]) & (F.xxhash64(docs[text]) == other["__body"])
 
     left = docs.join(gone, same(gone), "left_anti")
+    left = few_files(left, docs.count())
     if rows.where("n > 1").isEmpty():
         return left
     # Rows that repeat id and text: one of each; partial sums see to it that many are few before the shuffle.

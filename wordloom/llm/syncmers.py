@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_files, table
 
 #: The window arithmetic of ``kmers`` is written for these two.
 K, S, SKETCH = 4, 2, 64
@@ -141,7 +141,7 @@ def next_text(docs: DataFrame, cols: list[str], key: str = "doc_id", text: str =
     rows = rows.withColumn("__at", F.explode(places)).drop("__up", "__b")
     w = Window.partitionBy("__at.b").orderBy("__at.guard", F.desc("__o"), F.xxhash64(text))
     led = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in cols))
-    return led.where("__at.guard = 0").drop("__at", "__o")
+    return few_files(led.where("__at.guard = 0").drop("__at", "__o"), n)
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_arrow, small_batches, table, written
+from .wordhash import Batch, Table
 
 MAX_TRAINING, MAX_LEXICON, THRESHOLD = 20_000, 5_000, 0.7
 #: A word or beginning is an insult if so many toxic texts have it (and this share of them), and of the
@@ -120,15 +121,14 @@ FEATURES = ["insults", "threats", "density", *PATTERNS]
 
 
 class Lexicon:
-    """Classes and weights of words; what was looked up is remembered, up to a bound."""
+    """Classes and weights of words.  Which words are insults or threats is remembered by their hashes, for up to
+    ``most`` words."""
 
     def __init__(self, insults: dict[str, float], most: int = 400_000):
         self.words = {k[1:]: w for k, w in insults.items() if k[0] == "="}
         self.starts = {k[1:]: w for k, w in insults.items() if k[0] == "^"}
         self.closed = {w: c for c, ws in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS), ('"', ['"'])) for w in ws}
-        self.seen: dict[str, tuple[str, float]] = {}
-        self.hot: dict[bytes, bool] = {}
-        self.most = most
+        self.hot, self.most = Table(), most
 
     def __call__(self, word: str) -> tuple[str, float]:
         """Class and weight; the longest known beginning counts."""
@@ -139,31 +139,30 @@ class Lexicon:
                 return "I", w
         return self.closed.get(word, "o"), 1.0
 
-    def any(self, words: set[bytes]) -> bool:
-        """Whether one of them is an insult or a threat."""
-        hot = self.hot
-        if len(hot) > self.most:
-            hot.clear()
-        found = False
-        for w in words:
-            h = hot.get(w)
-            if h is None:
-                h = hot[w] = self(w.decode())[0] in "IT"
-            found = found or h
-        return found
-
-
-def words_for_screening(text: str) -> list[bytes]:
-    return (text.translate(_QUOTES) if any(q in text for q in "“”„«»‹›") else text).encode().translate(_OCTETS).split()
-
-
-def patterns(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """FEATURES of a text."""
+    def screen(self, lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text: whether it has an insult or a threat, and how many words."""
+        batch = Batch([words_for_screening(t) for t in lowered])
+        if self.hot.size > self.most:
+            self.hot = Table()
+        is_hot = self.hot.get(batch.hash)
+        missing = np.flatnonzero(is_hot < 0)
+        if len(missing):
+            new, first, back = np.unique(batch.hash[missing], return_index=True, return_inverse=True)
+            found = np.array([self(w.decode())[0] in "IT" for w in batch.words(missing[first])], dtype=np.int64)
+            self.hot.put(new, found)
+            is_hot[missing] = found[back]
+        text = np.repeat(np.arange(len(lowered)), batch.count)
+        return np.bincount(text, is_hot, len(lowered)) > 0, batch.count
+
+
+def words_for_screening(text: str) -> bytes:
+    """Words between blanks."""
+    return (text.translate(_QUOTES) if any(q in text for q in "“”„«»‹›") else text).encode().translate(_OCTETS)
+
+
+def patterns(lowered: str, n_words: int, lexicon: Lexicon) -> np.ndarray:
+    """FEATURES of a text in lower case."""
     out = np.zeros(len(FEATURES))
-    lowered = (text or "").lower()
-    words = words_for_screening(lowered)
-    if not lexicon.any(set(words)):
-        return out
     sums: Counter = Counter()
     for clause in _CLAUSE.split(lowered):
         state, classes = 0, [lexicon(w) for w in clause.translate(_QUOTES).translate(_APART).split()]
@@ -174,13 +173,24 @@ def patterns(text: str | None, lexicon: Lexicon) -> np.ndarray:
             if written_symbol[0] in "IT" or written_symbol == "P+":
                 sums[written_symbol] += weight if c == "I" else 1.0
     insults, threats = (sum(v for k, v in sums.items() if k[0] == c) for c in "IT")
-    out[:3] = math.log1p(insults), math.log1p(threats), 100 * insults / (100 + len(words))
+    out[:3] = math.log1p(insults), math.log1p(threats), 100 * insults / (100 + n_words)
     out[3:] = [math.log1p(sums[p]) for p in PATTERNS]
     return out
 
 
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """(texts, FEATURES).  Clauses are read only where a word of the text is an insult or a threat."""
+    out = np.zeros((len(texts), len(FEATURES)))
+    for at in range(0, len(texts), 200):
+        lowered = [(t or "").lower() for t in texts[at : at + 200]]
+        hot, n_words = lexicon.screen(lowered)
+        for i in np.flatnonzero(hot).tolist():
+            out[at + i] = patterns(lowered[i], int(n_words[i]), lexicon)
+    return out
+
+
 def word_features(text: str | None) -> set[str]:
-    words = {w.decode() for w in words_for_screening((text or "").lower())}
+    words = {w.decode() for w in words_for_screening((text or "").lower()).split()}
     return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in PREFIXES if len(w) >= k}
 
 
@@ -218,7 +228,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
                     b.clear()
         yield out()
 
-    seen = rows.mapInArrow(count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = map_arrow(rows, count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     support = max(MIN_SUPPORT, MIN_SHARE * toxic)
     good = seen.where((F.col("a") >= support) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b"))))
     best = good.orderBy(F.desc("a"), F.length("f"), "f").limit(MAX_LEXICON).collect()
@@ -260,6 +270,10 @@ class Model:
     insults: dict[str, float]
     weights: np.ndarray
 
+    def scores(self, texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+        z = features(texts, lexicon) @ self.weights[1:] + self.weights[0]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
     rows = written(training_rows(docs, labels, most), "toxic")
@@ -268,9 +282,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(insults)
         for b in batches:
-            yield pa.record_batch([pa.array([patterns(t.as_py(), lexicon).tolist() for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+            yield pa.record_batch([pa.array(features(b.column(0).to_pylist(), lexicon).tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
-    got = rows.mapInArrow(run, "x array<double>, toxic int").collect()  # most rows at most
+    got = map_arrow(rows, run, "x array<double>, toxic int").collect()  # most rows at most
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     return Model(insults, fit(x, np.array([r["toxic"] for r in got], dtype=float)))
 
@@ -281,23 +295,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.insults)
         for b in batches:
-            z = np.array([patterns(t.as_py(), lexicon) for t in b.column(1)]).reshape(-1, len(FEATURES)) @ model.weights[1:] + model.weights[0]
-            yield pa.record_batch([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["key", "score"])
+            yield pa.record_batch([b.column(0), pa.array(model.scores(b.column(1).to_pylist(), lexicon))], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return map_arrow(docs.select(F.col(key).alias("key"), F.col(text)), run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the texts that score at least threshold."""
     model = train(docs, labels)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(model.insults)
         for t in texts:
-            z = np.array([patterns(x, lexicon) for x in t]).reshape(-1, len(FEATURES)) @ model.weights[1:] + model.weights[0]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series(model.scores(t.tolist(), lexicon))
 
     return docs.withColumn("__toxic", scored("text")).where(F.col("__toxic") < threshold).drop("__toxic")
 
