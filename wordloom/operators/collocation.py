@@ -53,7 +53,7 @@ def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method:
     counts = occ.groupBy("word", "relation").agg(times.alias("cooccur")).where(F.col("cooccur") >= min_cooccur)
     hit = kwic.is_hit(tokens, node, unit)
     vocab = vocabulary(tokens, unit, [F.max(F.col("is_function").cast("int")).alias("fn"), F.count_if(hit).alias("n_hit")])
-    totals = tokens.agg(F.count("*").alias("n"), F.count_if(hit).alias("freq_node"))
+    totals = vocab.agg(F.sum("freq").alias("n"), F.sum("n_hit").alias("freq_node"))  # no further pass over tokens
     scalars = totals.crossJoin(F.broadcast(w))
     known = vocab.where("n_hit = 0").select("word", "label", "pos", (F.col("fn") > 0).alias("is_function"), F.col("freq").alias("freq_collocate"))
     joined = counts.join(known, "word").crossJoin(F.broadcast(scalars))

@@ -25,7 +25,14 @@ def query(f: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt out before its texts are cut up: tokens are many times the
+    work of reading.  Larger tables are read by as many tasks as they have splits, and stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
