@@ -48,15 +48,24 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def few_files(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
-    """Partitions of some ten thousand rows instead of one for each shuffle partition, where that is fewer: a
+    """Partitions of about ``each`` rows instead of one for each shuffle partition, where that is fewer: a
     result of few rows is a few files.  Never fewer than the cores at hand; a large result stays as it is."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a result of a few numbers, for few_files.
+NARROW = 40_000
+
+
+def written(df: DataFrame, label: str, regroup: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, so that a lost executor costs a
-    reread and not a recomputation, and a later action does not repeat the work."""
+    reread and not a recomputation, and a later action does not repeat the work.
+
+    regroup: df is narrow beside its input; its rows are first dealt out to a quarter as many files as the input
+    has (or as there are cores), so that the tasks that read texts can be many and the files few."""
     spark = df.sparkSession
+    if regroup:
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, len(df.inputFiles()) // 4))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, written
+from .common import NARROW, few_files, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
         for _ in range(2):
             to = to.alias("x").join(to.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"))
-        to = written(few_files(to, n), "pointers")
+        to = written(few_files(to, n, NARROW), "pointers", regroup=False)
         if found is None:
             found = to.select("v", F.col("p").alias("label"))
         else:
-            found = written(few_files(found.join(to.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), n), "labels")
+            found = written(few_files(found.join(to.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), n, NARROW), "labels", regroup=False)
         ends = edges.join(to.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        edges = written(few_files(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), n), "links")
+        edges = written(few_files(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), n, NARROW), "links", regroup=False)
     return found if found is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))

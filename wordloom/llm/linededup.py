@@ -148,7 +148,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, mode: str = "all", text:
         raise ValueError(mode)
     spark, later = docs.sparkSession, mode == "later"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = line_hashes(docs, text, key, min_chars).select("a", "b", F.col("doc").cast("long").alias("doc"), "body", "pos")
+    # Range partitioning reads its input twice (once to find the ranges): narrow rows, not texts.
+    rows = written(line_hashes(docs, text, key, min_chars).select("a", "b", F.col("doc").cast("long").alias("doc"), "body", "pos"), "hashes")
     ranged = rows.repartitionByRange(parts, "a", "b", "doc").sortWithinPartitions("a", "b", "doc", "body", "pos")
     schema = "a bigint, b bigint, doc bigint, body bigint, pos int, docs bigint, state tinyint"
     seen = written(map_arrow(ranged, lambda it: stream_runs(it, min_docs, later), schema), "lines")

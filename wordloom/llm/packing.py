@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_files, map_arrow, table, written
+from .common import NARROW, few_files, map_arrow, table, written
 from .wordhash import Batch, Table
 
 SIZE, END_ID = 4096, 2
@@ -220,7 +220,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, rank_group: int = 20_000) -
     ranked = own.join(starts, ["length", "part"]).withColumn("first", F.col("before") + F.sum("n").over(within) - F.col("n"))
     ranked = ranked.select(*cols, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return few_files(map_arrow(ranked, lambda it: _place(it, plan), schema), sum(histogram.values()))
+    return few_files(map_arrow(ranked, lambda it: _place(it, plan), schema), sum(histogram.values()), NARROW)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_files, table, written
+from .common import NARROW, few_files, table, written
 
 
 def winner(key: Column, weights: dict[int, float]) -> Column:
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] |
     within = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
     slots = placed.join(starts, ["shard", "bucket"]).withColumn("first", F.col("start") + F.sum("n").over(within) - F.col("n"))
     out = slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard")
-    return few_files(out, placed.count())
+    return few_files(out, placed.count(), NARROW)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, map_arrow, table, written
+from .common import NARROW, few_files, map_arrow, table, written
 from .graph import components
 
 SHINGLE, RADIUS, BLOCKS, SHARD_SIZE = 3, 3, 5, 4096
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labelled = nodes.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     groups = labelled.join(names, "label").select("fp", "component_id", "label", "copies")
-    return few_files(fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies"), fps.count())
+    return few_files(fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies"), fps.count(), NARROW)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
