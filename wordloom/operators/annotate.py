@@ -95,7 +95,7 @@ class NativeAnnotator(Annotator):
             "position",
             "surface",
             "lemma",
-            F.col("lemma").alias("lemma_label"),
+            F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"}),
             "pos",
             F.lit("").alias("pos_detail"),
             F.col("pos").isin(*self.function_pos).alias("is_function"),

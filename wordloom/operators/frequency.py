@@ -18,38 +18,51 @@ def dispersion(abs_sum: Column, share_sum: Column) -> Column:
     return 0.5 * (abs_sum + 1 - share_sum)
 
 
+def first_label(tokens: DataFrame, unit: str) -> list[Column]:
+    """An aggregate ``first`` for the label of a word's first token; none where a label is the word itself.
+
+    A minimum of structs makes Spark sort all rows of a group; most tables (those of the native annotator say
+    so in the column's metadata) can do without."""
+    if unit != "lemma" or tokens.schema["lemma_label"].metadata.get("same_as") == unit:
+        return []
+    return [F.min(F.struct("doc_id", "position", F.col("lemma_label").alias("label"))).alias("first")]
+
+
+def _label(rows: DataFrame) -> list[Column]:
+    return [F.min("first")["label"].alias("label")] if "first" in rows.columns else []
+
+
+def _with_label(words: DataFrame) -> DataFrame:
+    return words.withColumn("label", F.coalesce("label", "word") if "label" in words.columns else F.col("word"))
+
+
 def vocabulary(selected: DataFrame, unit: str, extra: list[Column] | None = None) -> DataFrame:
     """A row for each word: freq, pos (most frequent, ties by name), label (first in text order).
 
     Two partial aggregations: by (word, pos), then by word; a frequent word is summed before each shuffle."""
-    label = F.col("lemma_label") if unit == "lemma" else F.col(unit)
-    first = F.min(F.struct("doc_id", "position", label.alias("label")))
-    by_pos = selected.groupBy(F.col(unit).alias("word"), "pos").agg(F.count("*").alias("n"), first.alias("first"), *(extra or []))
+    by_pos = selected.groupBy(F.col(unit).alias("word"), "pos").agg(F.count("*").alias("n"), *first_label(selected, unit), *(extra or []))
     names = [c for c in by_pos.columns if c not in ("word", "pos", "n", "first")]
-    return by_pos.groupBy("word").agg(
-        F.sum("n").alias("freq"),
-        F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"),
-        F.min("first")["label"].alias("label"),
-        *(F.sum(c).alias(c) for c in names),
-    )
+    words = by_pos.groupBy("word").agg(F.sum("n").alias("freq"), F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), *_label(by_pos), *(F.sum(c).alias(c) for c in names))
+    return _with_label(words)
 
 
 def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, part: str = "doc_id") -> DataFrame:
     """rank, word, label, pos, freq, pmw, dp, n_parts.  Tokens without a part count only in the rate's denominator."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
-    label = F.col("lemma_label") if unit == "lemma" else F.col(unit)
     # one shuffle of partial counts serves part sizes, corpus size and the words
-    pairs = tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "position", label.alias("label"))).alias("first"))
+    pairs = tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(F.count("*").alias("n"), *first_label(tokens, unit))
     sizes = pairs.groupBy("part").agg(F.sum("n").alias("size"))
     total = sizes.agg(F.sum("size").alias("n_all"), F.sum(F.when(F.col("part").isNotNull(), F.col("size"))).alias("n_parted"))
     shares = sizes.where("part IS NOT NULL").crossJoin(F.broadcast(total)).select("part", (F.col("size") / F.col("n_parted")).alias("s"))
     kept = pairs.where("keep AND part IS NOT NULL AND word IS NOT NULL")
-    by_part = kept.groupBy("word", "part").agg(F.sum("n").alias("f")).withColumn("freq", F.sum("f").over(Window.partitionBy("word")))
-    spread = by_part.join(shares, "part").groupBy("word").agg(F.max("freq").alias("freq"), F.sum(F.abs(F.col("f") / F.col("freq") - F.col("s"))).alias("d"), F.sum("s").alias("c"), F.count("*").alias("n_parts"))
-    by_pos = kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    names = by_pos.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), F.min("first")["label"].alias("label"))
+    by_part = kept.groupBy("word", "part").agg(F.sum("n").alias("f"))
+    # totals come by a join, which can split a word that all parts have; a window could not
+    spread = by_part.join(kept.groupBy("word").agg(F.sum("n").alias("freq")), "word").join(shares, "part")
+    spread = spread.groupBy("word").agg(F.max("freq").alias("freq"), F.sum(F.abs(F.col("f") / F.col("freq") - F.col("s"))).alias("d"), F.sum("s").alias("c"), F.count("*").alias("n_parts"))
+    by_pos = kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), *([F.min("first").alias("first")] if "first" in kept.columns else []))
+    names = _with_label(by_pos.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), *_label(by_pos)))
     out = spread.join(names, "word").crossJoin(F.broadcast(total))
-    out = out.select("word", F.coalesce("label", "word").alias("label"), "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
+    out = out.select("word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
     return ranked(out).select("rank", "word", "label", "pos", "freq", "pmw", "dp", "n_parts").orderBy("rank")
 
 
