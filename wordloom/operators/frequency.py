@@ -57,13 +57,14 @@ def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_wor
     kept = pairs.where("keep AND part IS NOT NULL AND word IS NOT NULL")
     by_part = kept.groupBy("word", "part").agg(F.sum("n").alias("f"))
     # totals come by a join, which can split a word that all parts have; a window could not
-    spread = by_part.join(kept.groupBy("word").agg(F.sum("n").alias("freq")), "word").join(shares, "part")
+    freqs = kept.groupBy("word").agg(F.sum("n").alias("freq"))
+    spread = by_part.join(freqs, "word").join(shares, "part")
     spread = spread.groupBy("word").agg(F.max("freq").alias("freq"), F.sum(F.abs(F.col("f") / F.col("freq") - F.col("s"))).alias("d"), F.sum("s").alias("c"), F.count("*").alias("n_parts"))
     by_pos = kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), *([F.min("first").alias("first")] if "first" in kept.columns else []))
     names = _with_label(by_pos.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), *_label(by_pos)))
-    out = spread.join(names, "word").crossJoin(F.broadcast(total))
-    out = out.select("word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
-    return ranked(out).select("rank", "word", "label", "pos", "freq", "pmw", "dp", "n_parts").orderBy("rank")
+    out = spread.join(names, "word").join(ranked(freqs).select("word", "rank"), "word").crossJoin(F.broadcast(total))
+    out = out.select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
+    return out.orderBy("rank")
 
 
 def ranked(words: DataFrame) -> DataFrame:
