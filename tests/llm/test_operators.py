@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -194,6 +195,23 @@ def test_lm_is_a_distribution():
     assert ((counts + 0.1) / (counts.sum() + 0.1 * 31)).sum() + 0.1 / (counts.sum() + 0.1 * 31) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("rounds", [1, maxent.ROUNDS, 3])
+def test_lm_trains_on_every_position(rounds):
+    texts = [t.encode() for t in TEXTS if t is not None] + [b"lone", b"two words"]
+    bucket_class = np.arange(maxent.BUCKETS + 1) % maxent.CLASSES
+    start = np.zeros((maxent.ROWS + 1, maxent.CLASSES), dtype=np.float32)
+    hashes, buckets, begins = maxent.read(texts)
+    want = set(maxent.features(hashes, bucket_class[buckets], begins).ravel().tolist()) | {maxent.ROWS}
+    for size in (1, 7, len(texts)):  # however the texts fall into batches
+        batches = [pa.record_batch([pa.array(texts[i : i + size], pa.binary())], names=["text"]) for i in range(0, len(texts), size)]
+        got = set()
+        for turn in range(rounds):
+            for b in maxent._train(iter(batches), start, bucket_class, turn, rounds):
+                for block, tasks in zip(b.column("block").to_pylist(), b.column("tasks").to_pylist(), strict=True):
+                    got |= set((block * maxent.BLOCK + np.flatnonzero(np.frombuffer(tasks, dtype=np.float32))).tolist())
+        assert got == want
+
+
 def test_lm_beats_unigrams_on_held_out_rows(spark):
     r = maxent.op2_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
     assert r["s"] > r["b"] + 0.2

@@ -9,7 +9,7 @@ counts, with one place kept for a word never seen; all of it sums to one.
    each other.  Endings fall into ``BUCKETS`` buckets, and buckets with like neighbours become one of ``CLASSES`` classes
    (the end of text is a class of its own).
 2. Weights.  In every round each task starts from the current weights, makes AdaGrad updates over its share of the
-   training tokens (every ``STRIDE``-th position of every text, another offset each round), and sends what became of the rows
+   training tokens (every position of every text is a target in one of the rounds), and sends what became of the rows
    it touched; the mean over tasks that touched a row is its new weight.  Sums are made in two steps, blocks
    of rows at a time: weights are ``ROWS`` x ``CLASSES`` numbers whatever the input.
 3. Scores.  A pass over all documents sums, in batches of numpy arrays, the class softmax and the logarithms
@@ -34,7 +34,7 @@ from . import wordhash
 from .common import NARROW, few_files, map_arrow, table, written
 
 BUCKETS, CLASSES, ROWS, FREQUENT, ALPHA = 1024, 24, 1 << 15, 1_000_000, 0.1
-ROUNDS, STRIDE, STEP, BATCH, BLOCK = 2, 6, 0.3, 4096, 64
+ROUNDS, STEP, BATCH, BLOCK = 2, 0.3, 4096, 64
 END_CLASS = CLASSES - 1
 #: The end of a text is no word: its own hash and, for want of an ending, bucket.
 END_HASH, END_BUCKET = -1, BUCKETS
@@ -131,9 +131,14 @@ def _back(x: np.ndarray, begin: np.ndarray, place: np.ndarray, by: int, none: in
     return out
 
 
-def features(word: np.ndarray, classes: np.ndarray, begins: np.ndarray, picked: slice = slice(None)) -> np.ndarray:
+def places(begins: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n tokens: how many come before it in its text."""
+    return np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+
+
+def features(word: np.ndarray, classes: np.ndarray, begins: np.ndarray, picked: slice | np.ndarray = slice(None)) -> np.ndarray:
     """(tokens, 5): the weight rows of the histories of the picked tokens."""
-    place = np.arange(len(word)) - np.repeat(begins, np.diff(np.append(begins, len(word))))
+    place = places(begins, len(word))
     word, cls = word.view(np.uint64), classes.astype(np.uint64)
     w1, w2 = (_back(word, begins, place, k, 7)[picked] for k in (1, 2))
     c1, c2, c3, c4 = (_back(cls, begins, place, k, CLASSES)[picked] for k in (1, 2, 3, 4))
@@ -153,25 +158,28 @@ def softmax(weights: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return z, e, e @ np.ones(e.shape[1], dtype=e.dtype)
 
 
-def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
     """One task's updates: (block of weight rows, the sums of touched rows, how many tasks touched them)."""
     w = weights.copy()
     power = np.full(len(w), 1e-2, dtype=np.float32)  # AdaGrad's, one for a row
     touched = np.zeros(len(w), dtype=np.float32)
 
     def update(rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix: 0 to ROWS fit 16 bits
         r = rows[order]
         first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        g, r = np.add.reduceat(grad[order], first, axis=0), r[first]
+        step(r[first], np.add.reduceat(grad[order], first, axis=0))
+
+    def step(r: np.ndarray, g: np.ndarray) -> None:
         power[r] += (g * g).mean(1)
         w[r] -= STEP / np.sqrt(power[r])[:, None] * g / np.sqrt(CLASSES)
         touched[r] = 1
 
-    picked = slice(turn % STRIDE, None, STRIDE)
     for b in _texts(batches):
         hashes, buckets, begins = read(b.column(0).to_pylist())
         classes = bucket_class[buckets]
+        # by the place in the text, not in the batch: whatever the batches, all rounds together take each position once
+        picked = np.flatnonzero(places(begins, len(hashes)) % rounds == turn)
         f, y = features(hashes, classes, begins, picked), classes[picked]
         for at in range(0, len(y), BATCH):
             fb, yb = f[at : at + BATCH], y[at : at + BATCH]
@@ -180,7 +188,7 @@ def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
             grad[np.arange(len(yb)), yb] -= 1
             for j in range(fb.shape[1]):
                 update(fb[:, j], grad)
-            update(np.full(len(yb), len(w) - 1, dtype=np.int32), grad)
+            step(np.array([len(w) - 1]), grad.sum(0, keepdims=True))
     sums = w * touched[:, None]
     n = -(-len(w) // BLOCK)
     starts = [i * BLOCK for i in range(n) if touched[i * BLOCK : (i + 1) * BLOCK].any()]
@@ -198,10 +206,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x, _ in held.values()], pa.binary()), pa.array([y.tobytes() for _, y in held.values()], pa.binary())], names=["block", "sums", "tasks"])
 
 
-def _round(rows: DataFrame, weights: np.ndarray, bucket_class: np.ndarray, turn: int) -> np.ndarray:
+def _round(rows: DataFrame, weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     shape = "block int, sums binary, tasks binary"
     shared = rows.sparkSession.sparkContext.broadcast((weights, bucket_class))
-    sent = map_arrow(rows, lambda it: _train(it, *shared.value, turn), shape)
+    sent = map_arrow(rows, lambda it: _train(it, *shared.value, turn, rounds), shape)
     # first among neighbouring tasks, then for each block
     some = map_arrow(sent.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("part", F.pmod("block", F.lit(8))).select("block", "sums", "tasks"), _add_up, shape)
     whole = map_arrow(some.repartition("block"), _add_up, shape)
@@ -239,7 +247,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     weights = np.zeros((ROWS + 1, CLASSES), dtype=np.float32)
     weights[-1] = np.log((class_n + 1) / (class_n.sum() + CLASSES))
     for turn in range(rounds):
-        weights = _round(rows, weights, bucket_class, turn)
+        weights = _round(rows, weights, bucket_class, turn, rounds)
     return Model(counts, int(bucket_n.sum()), int(bucket_v.sum()), bucket_class, class_n, np.bincount(bucket_class, bucket_v, CLASSES), weights)
 
 
