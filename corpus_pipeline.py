@@ -2,15 +2,15 @@
 group of near duplicates stays, documents with benchmark passages go, and what is left is packed.
 
 A stage takes (spark, docs, sf_dir), with all that the stage before it kept, and returns the columns of
-documents; the last returns packed pieces.  ``n_chars`` follows the text.  The near-duplicate stage links documents as
-op1 does (three-word shingles, fingerprints at most three bits apart).
+documents; the last returns packed pieces.  ``n_chars`` follows the text.  The near-duplicate stage links documents
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked exactly; op1's settings are for op1 alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, linededup, packing, simhash, toxicity
+from wordloom.llm import decontaminate, linededup, minhash, packing, toxicity
 from wordloom.llm.common import table, written
 
 
@@ -23,7 +23,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return minhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

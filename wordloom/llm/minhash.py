@@ -1,0 +1,149 @@
+"""Near copies by exact Jaccard similarity of shingle sets, among candidates from MinHash bands.
+
+1. A text is the set of its shingles' 64-bit hashes.  Texts with equal sets become one node.
+2. Nodes that agree in all ``ROWS`` minima of one of ``BANDS`` bands share a bucket.  Two sets of similarity s share
+   none with a chance of (1 - s^ROWS)^BANDS: 7e-6 at 0.8, less above.
+3. Links.  In each of ``STARS`` rounds a node of a bucket asks one leader that is not yet in its component, and the
+   components grow by what the exact check confirms: a large group of near copies costs a few checks a
+   node, not one a pair.  Then every pair of a bucket whose components still differ is checked: no candidate is left out.
+4. Components of the links by contraction (``graph.components``).
+
+Defined results: null and empty texts have the empty set and are copies of each other only; a text of fewer words
+than a shingle is one shingle; words are compared with ASCII letters lower-cased.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import simhash
+from .common import NARROW, few_files, map_arrow, written
+from .graph import components
+
+SHINGLE, SIMILARITY, BANDS, ROWS, STARS = 5, 0.8, 30, 5, 3
+_rng = np.random.default_rng(52)
+_XOR, _TIMES = (_rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, in order."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.int64)
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64).view(np.int64))
+
+
+def buckets(found: np.ndarray) -> np.ndarray:
+    """One number a band."""
+    h, least = found.view(np.uint64), np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 2048):
+        x = (h[at : at + 2048] ^ _XOR) * _TIMES
+        np.minimum(least, x.min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * _MIX
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def _sketched(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """key, body (a hash of the text), node (of its set), n (the set's size), buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            flat = np.concatenate([buckets(s) for s in sets]) if sets else np.empty(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], names=["key", "body", "node", "n", "buckets"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return map_arrow(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).cast("binary")), run, f"key {kind}, body bigint, node bigint, n bigint, buckets array<bigint>")
+
+
+def _sets(docs: DataFrame, bodies: DataFrame, shingle: int, text: str) -> DataFrame:
+    """node, items: the sets of the nodes in bodies (body, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([shingles(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "items"])
+
+    texts = docs.select(F.xxhash64(text).alias("body"), F.col(text).cast("binary").alias("text")).join(bodies, "body").groupBy("node").agg(F.first("text").alias("text"))
+    return map_arrow(texts.select("node", "text"), run, "node bigint, items array<bigint>")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return common.where(F.col("common") >= F.lit(similarity) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select("a", "b")
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, body, label (the same for all rows that links of at least this similarity connect)."""
+    rows = written(_sketched(docs, shingle, text, key), "sketched")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.min("body").alias("body"))
+    filed = written(nodes.select("node", "n", "body", F.explode("buckets").alias("bucket")), "filed", regroup=False)
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = written(filed.join(shared, "bucket"), "members")
+    sets = written(_sets(docs, members.select("body", "node").distinct(), shingle, text), "sets", regroup=False)
+    members = members.drop("body")
+    links: DataFrame | None = None
+    found: DataFrame | None = None
+
+    def labelled() -> DataFrame:
+        if found is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Add the links among the pairs; whether there were any."""
+        nonlocal links, found
+        new = written(_checked(pairs, sets, similarity), "confirmed")
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+        return True
+
+    for turn in range(STARS):
+        at = labelled()
+        lead = at.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label")).alias("lead"))
+        asked = at.join(lead, "bucket").where((F.col("label") != F.col("lead.label")) & _alike(F.col("n"), F.col("lead.n"), similarity))
+        one = asked.groupBy("node").agg(F.min(F.struct("lead.order", "lead.node")).alias("other"))
+        if not confirm(one.select(*_pairs(F.col("node"), F.col("other.node"))).distinct()):
+            break
+    # All that is left: in each bucket, those outside its largest component against all of another.
+    at = labelled()
+    by = at.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    top = by.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("top"))
+    mixed = at.join(top, "bucket")
+    x, y = mixed.where("label <> top").alias("x"), mixed.alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _alike(F.col("x.n"), F.col("y.n"), similarity))
+    confirm(rest.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct())
+    if found is None:
+        return rows.select(F.col("key").alias(key), "body", F.col("node").alias("label"))
+    named = rows.select("key", "body", "node").join(found.withColumnRenamed("v", "node"), "node", "left")
+    return few_files(named.select(F.col("key").alias(key), "body", F.coalesce("label", "node").alias("label")), rows.count(), NARROW)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near copies, chosen as in ``simhash.keep_one``."""
+    return simhash.first_of(docs, near_copies(docs, shingle, similarity, text, key), text, key)

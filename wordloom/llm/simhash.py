@@ -233,7 +233,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest key (rows that share it: of the
     smallest hash of their texts; equal rows: any; rows without key come last)."""
-    groups = near_duplicates(docs, shingle, radius, blocks, text, key)
+    return first_of(docs, near_duplicates(docs, shingle, radius, blocks, text, key), text, key)
+
+
+def first_of(docs: DataFrame, groups: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each label of groups (key, body, label), as in ``keep_one``."""
     rows = written(groups.groupBy(F.col(key).alias("__key"), F.col("body").alias("__body"), "label").agg(F.count("*").alias("n")), "groups")
     rank = F.struct(F.col("__key").isNull().alias("none"), "__key", "__body")
     best = rows.groupBy("label").agg(F.min(rank).alias("best"))
