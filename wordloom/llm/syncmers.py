@@ -4,8 +4,8 @@ A text is cut at white space into pieces of up to four characters.  A k-mer is `
 inner substring ``S`` of them.  A k-mer is an *anchor* (a closed syncmer) if the smallest hash among its inner
 substrings is its first or last one.  That depends on the k-mer alone, so a passage has the same anchors
 wherever it stands: between two texts, equal anchors at one displacement are a positional match
-(``positional_matches``), and the ``SKETCH`` anchors of smallest hash are a document's fingerprint.  The likeness of two
-fingerprints is the share of anchors in common (Dice) that they estimate.
+(``positional_matches``).  A document's fingerprint is all its anchors with their positions, and the likeness of two
+fingerprints is the share of distinct anchors in common (Dice), wherever they stand.
 
 Defined results: null and empty texts have the fingerprint "" (likeness 1 to each other, 0 to all else); a
 text without an anchor has its first k-mer (or what there is of it) for one; an empty table gives no rows; repeated rows stay;
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import few_files, table
 
 #: The window arithmetic of ``kmers`` is written for these two.
-K, S, SKETCH = 4, 2, 64
+K, S = 4, 2
 PIECE = r"\S{1,4}"
 MAX_BUCKETS, BUCKET_ROWS = 4096, 2000
 
@@ -58,28 +58,31 @@ def _anchor(x: Column) -> Column:
     return F.hash(x["a"], x["c"])
 
 
-def sketch(text: Column) -> Column:
-    """array<int>: the smallest anchors, in order."""
+def positioned(text: Column) -> Column:
+    """array<long>: all anchors in order of position; the position is in the high 32 bits, the anchor in the low ones."""
+    def packed(anchor: Column, pos: Column) -> Column:
+        return F.shiftleft(pos.cast("long"), 32).bitwiseOR(anchor.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
     def own(k: Column) -> Column:
         # too short a text, or one whose every k-mer is smallest in its middle: the first k-mer stands for it
-        found = F.filter(k, _closed)
-        return F.when(F.exists(k, _closed), F.transform(found, _anchor)).otherwise(F.transform(F.slice(k, F.lit(1), F.lit(1)), lambda x: F.hash(x["a"], x["b"], x["c"])))
+        found = F.filter(F.transform(k, lambda x, i: F.when(_closed(x), packed(_anchor(x), i))), lambda v: v.isNotNull())
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.transform(F.slice(k, F.lit(1), F.lit(1)), lambda x: packed(F.hash(x["a"], x["b"], x["c"]), F.lit(0)))))
 
-    return F.slice(F.sort_array(F.array_distinct(let(kmers(F.coalesce(text, F.lit(""))), own))), F.lit(1), F.lit(SKETCH))
+    return let(kmers(F.coalesce(text, F.lit(""))), own)
 
 
-def as_text(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+def as_text(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda v: F.hex(v)), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice from the Jaccard similarity that two bottom sketches estimate."""
+def distinct_anchors(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))))
 
-    def of(u: Column) -> Column:
-        both = F.size(F.array_intersect(F.array_intersect(a, b), u)).cast("double")
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(2 * both / (F.size(u) + both))
 
-    return let(F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.lit(SKETCH)), of)
+def likeness(a: Column, b: Column) -> Column:
+    """Dice of two arrays of distinct anchors."""
+    sizes = F.size(a) + F.size(b)
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)).cast("double") / sizes)
 
 
 def anchors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -146,18 +149,18 @@ def next_text(docs: DataFrame, cols: list[str], key: str = "doc_id", text: str =
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("sketch", sketch(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
-    led = next_text(own, ["text", "sketch"])
+    led = next_text(docs.withColumn("n_chars", F.length("text").cast("long")), ["text"])
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("next_text", F.lit(1), cut))
-    both = led.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
-    done = both.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
+    texts = led.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
+    found = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(positioned(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
+    done = found.select("doc_id", "n_chars", "edited_sha256", "text", "edited", *(distinct_anchors(F.col(c)).alias(f"{c}_anchors") for c in ("text", "edited", "next_text")))
     return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("text")).alias("fingerprint"),
+        as_text(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("text_anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("text_anchors"), F.col("next_text_anchors")).alias("near_next"),
     )
