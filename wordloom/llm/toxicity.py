@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -47,6 +48,7 @@ THREATS = "kill killed hurt destroy beat smash burn shoot stab strangle murder a
 _CLAUSE = re.compile(r"[.!?;:\n…]+")
 _QUOTES = str.maketrans(dict.fromkeys("“”„«»‹›\"", ' " '))
 _APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c != '"'})
+_OTHER_MARKS = re.compile(r"[^\w\x00-\x7f]")
 _OCTETS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
 
@@ -155,9 +157,21 @@ class Lexicon:
         return np.bincount(text, is_hot, len(lowered)) > 0, batch.count
 
 
+def _blank(mark: re.Match) -> str:
+    """Marks and white space part words; what combines with a letter, or is not seen, does not."""
+    c = mark.group()
+    return c if unicodedata.category(c)[0] in "MC" and not c.isspace() else " "
+
+
+def parted(text: str) -> str:
+    """Quotation marks as words, and blanks for all else outside ASCII that parts words: for the screen and the grammar."""
+    text = text.translate(_QUOTES) if any(q in text for q in "“”„«»‹›\"") else text
+    return text if text.isascii() else _OTHER_MARKS.sub(_blank, text)
+
+
 def words_for_screening(text: str) -> bytes:
     """Words between blanks."""
-    return (text.translate(_QUOTES) if any(q in text for q in "“”„«»‹›") else text).encode().translate(_OCTETS)
+    return parted(text).encode().translate(_OCTETS)
 
 
 def patterns(lowered: str, n_words: int, lexicon: Lexicon) -> np.ndarray:
@@ -165,7 +179,7 @@ def patterns(lowered: str, n_words: int, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros(len(FEATURES))
     sums: Counter = Counter()
     for clause in _CLAUSE.split(lowered):
-        state, classes = 0, [lexicon(w) for w in clause.translate(_QUOTES).translate(_APART).split()]
+        state, classes = 0, [lexicon(w) for w in parted(clause).translate(_APART).split()]
         if not any(c in "IT" for c, _ in classes):
             continue
         for c, weight in classes:
