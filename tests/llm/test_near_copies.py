@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from wordloom.llm import minhash
+from wordloom.llm import resemblance
 
 RNG = random.Random(11)
 
@@ -53,4 +53,4 @@ def test_near_dedup_stage_is_jaccard(spark):
     want = sorted(set(brute(texts)))
     kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == want and len(want) < len(texts) and kept.columns == docs.columns
-    assert minhash.keep_one(docs.limit(0)).count() == 0
+    assert resemblance.keep_one(docs.limit(0)).count() == 0

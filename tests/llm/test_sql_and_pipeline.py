@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 from helpers import connect, same
-from test_operators import brute_components, brute_fingerprint, brute_lines, brute_overlaps
+from test_near_copies import brute
+from test_operators import brute_lines, brute_overlaps
 
 import corpus_pipeline
 from wordloom.llm import packing, registry, toxicity
@@ -35,7 +36,7 @@ def test_pipeline(spark, sf, tmp_path):
     # one document of each group
     ids = sorted(texts[2])
     groups = defaultdict(list)
-    for i, r in zip(ids, brute_components([brute_fingerprint(texts[2][i]) for i in ids]), strict=True):
+    for i, r in zip(ids, brute([texts[2][i] for i in ids]), strict=True):
         groups[r].append(i)
     assert sorted(texts[3]) == sorted(min(g) for g in groups.values()) and len(texts[3]) < len(texts[2])
     # no benchmark window is left, and all clean documents are
@@ -51,3 +52,30 @@ def test_pipeline(spark, sf, tmp_path):
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert Counter(map(tuple, run.select(*cols).collect())) == Counter(map(tuple, kept[4].select(*cols).collect()))
     assert packing.SIZE == 4096
+
+
+def awkward(spark):
+    """Nulls in any column, ties, repeats, an empty and a very long text, a column with a name that stages use."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None, "a"), (2, "", "en", "s", 0, None), (3, long, "en", "s", len(long), "b"), (3, long, "en", "s", len(long), "b"), (4, "same id one", "en", "s", 11, "c"), (4, "same id two", "en", "s", 11, "c"), (None, "no id here", "de", None, 10, "d"), (None, "no id here", "de", None, 10, "d")]
+    rows += [(5 + i, "a repeated row\nof two lines", "en", "s", 27, "e") for i in range(4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string")
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    docs, seen = awkward(spark), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append(docs)
+        assert k == 4 or docs.columns == awkward(spark).columns
+    assert seen[0].count() == seen[1].count() == 12
+    near = Counter((r["doc_id"], r["text"] and r["text"][:12]) for r in seen[names.index("near dedup")].collect())
+    assert near == Counter([(1, None), (3, "w0x0 w1x1 w2"), (4, "same id one"), (4, "same id two"), (None, "no id here"), (5, "a repeated r")])
+    packed = seen[4].collect()
+    assert sum(r["doc_tokens"] for r in packed if r["start"] == 0) == sum(r["length"] for r in packed)
+    empty = awkward(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0

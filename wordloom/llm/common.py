@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII letters only: the contracts lower-case A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What written tables are called.
+MARK = "wordloom-table-"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,23 +25,27 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+@functools.lru_cache(maxsize=1)
+def _one_machine_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="wordloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="wordloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the warehouse; only where all of
+    Spark is one process, as in tests, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
+        found = _one_machine_dir(spark.sparkContext.applicationId)
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python a few megabytes at a time: a batch is copied on both sides, for every task."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    """Texts go to Python a few megabytes at a time: a batch is copied on both sides, for every task.  These two
+    settings of the session are lowered, never raised, and stay so, since plans read them when they run."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, read in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000, int), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, size)):
         now = spark.conf.get(key, None)
-        if now is None or not 0 < int(now.rstrip("b")) <= most:
+        if now is None or not 0 < read(now) <= most:
             spark.conf.set(key, str(most))
 
 
@@ -49,7 +56,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def few_files(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
     """Partitions of about ``each`` rows instead of one for each shuffle partition, where that is fewer: a
-    result of few rows is a few files.  Never fewer than the cores at hand; a large result stays as it is."""
+    result of few rows is a few files.  Never fewer than the cores at hand; the rows are the same."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
@@ -57,15 +64,41 @@ def few_files(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
 NARROW = 40_000
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def written(df: DataFrame, label: str, regroup: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, so that a lost executor costs a
-    reread and not a recomputation, and a later action does not repeat the work.
+    reread and not a recomputation, and a later action does not repeat the work.  The table goes with the driver's
+    process, or before that with ``discard``.
 
     regroup: df is narrow beside its input; its rows are first dealt out to a quarter as many files as the input
     has (or as there are cores), so that the tasks that read texts can be many and the files few."""
     spark = df.sparkSession
     if regroup:
         df = df.repartition(max(spark.sparkContext.defaultParallelism, len(df.inputFiles()) // 4))
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{MARK}{label}-{uuid.uuid4().hex}"
+    fs, p = _files(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for df in tables:
+        for folder in {f[: f.index("/", f.index(MARK))] for f in df.inputFiles() if MARK in f}:
+            fs, p = _files(df.sparkSession, folder)
+            fs.delete(p, True)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with side (one row a key) on key, where a few keys may have a third of all rows.
+
+    weight: a column of side, the key's rows.  Keys with over a thousandth of total are at most a thousand, so
+    their part of side is broadcast; the rest meets by a shuffle in which no key is large."""
+    hot = F.col(weight) * 1000 > total
+    heavy = F.broadcast(side.where(hot))
+    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(side.where(hot).select(key)), key, "left_anti").join(side.where(~hot), key))

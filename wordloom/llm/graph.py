@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, few_files, written
+from .common import NARROW, discard, few_files, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     A round points each node at its smallest neighbour (or itself), follows the pointers, and rewrites the
     links between what they lead to.  Each round at least halves a component's nodes, so rounds grow with the
-    logarithm of its size, whatever its diameter.  Every round ends in a written table.
+    logarithm of its size, whatever its diameter.  Every round ends in a written table, and the one before goes.
+
+    Defined results: repeated links and links of a node to itself change nothing; null ends are left out; no links give no rows.
     """
     edges = written(links.where("a <> b").select("a", "b").distinct(), "links")
     found: DataFrame | None = None
@@ -24,9 +26,11 @@ def components(links: DataFrame) -> DataFrame:
             to = to.alias("x").join(to.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"))
         to = written(few_files(to, n, NARROW), "pointers", regroup=False)
         if found is None:
-            found = to.select("v", F.col("p").alias("label"))
+            found = written(to.select("v", F.col("p").alias("label")), "labels", regroup=False)
         else:
-            found = written(few_files(found.join(to.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), n, NARROW), "labels", regroup=False)
+            before, found = found, written(few_files(found.join(to.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), n, NARROW), "labels", regroup=False)
+            discard(before)
         ends = edges.join(to.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        edges = written(few_files(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), n, NARROW), "links", regroup=False)
+        old, edges = edges, written(few_files(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), n, NARROW), "links", regroup=False)
+        discard(old, to)
     return found if found is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NARROW, few_files, map_arrow, table, written
+from .common import NARROW, few_files, join_hot, map_arrow, table, written
 from .graph import components
 
 SHINGLE, RADIUS, BLOCKS, SHARD_SIZE = 3, 3, 5, 4096
@@ -78,17 +78,19 @@ def shard_keys(fp: Column, radius: int, blocks: int) -> Column:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(1, dtype=np.int64)
 
 
 class BKForest:
-    """A BK-tree for each shard: ``fp`` by item, ``shard`` numbers from 0, equal fingerprints of a shard apart."""
+    """A BK-tree for each shard: ``fp`` by item (one 64-bit number, or a row of them), ``shard`` numbers from 0,
+    equal fingerprints of a shard apart."""
 
-    def __init__(self, fp: np.ndarray, shard: np.ndarray, n_shards: int):
-        self.fp, self.root = fp, np.full(n_shards, -1, dtype=np.int64)
+    def __init__(self, fp: np.ndarray, shard: np.ndarray, n_shards: int, width: int = 64):
+        self.fp, self.root, self.width = fp, np.full(n_shards, -1, dtype=np.int64), width
         item, group = np.arange(len(fp)), shard.astype(np.int64)  # a group waits at one place of a tree
-        parents, keys, children = [], [], []
-        level = 0
+        keys, children = [], []
+        level, span = 0, width + 1
         while len(item):
             order = np.argsort(group, kind="stable")
             item, group = item[order], group[order]
@@ -97,11 +99,10 @@ class BKForest:
             if level == 0:
                 self.root[group[new]] = item[new]
             else:
-                parents.append(group[new] // 65)
                 keys.append(group[new])
                 children.append(item[new])
             item, node = item[~new], node[~new]
-            group = node * 65 + _distance(fp[item], fp[node])
+            group = node * span + _distance(fp[item], fp[node])
             level += 1
         key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
         order = np.argsort(key)
@@ -109,7 +110,7 @@ class BKForest:
 
     def search(self, fp: np.ndarray, shard: np.ndarray, radius: int, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (question, item) within the radius."""
-        node = self.root[shard]
+        node, span = self.root[shard], self.width + 1
         stack = [(np.flatnonzero(node >= 0), node[node >= 0])]
         while stack:
             q, node = stack.pop()
@@ -120,8 +121,8 @@ class BKForest:
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(self.edges, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            low = np.searchsorted(self.edges, node * span + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.edges, node * span + np.minimum(d + radius, self.width), side="right") - low
             if total := int(n.sum()):
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
                 stack.append((np.repeat(q, n), self.children[at]))
@@ -225,9 +226,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     nodes = written(fps.groupBy("fp").agg(F.min("key").alias("id"), F.count("*").alias("copies")), "nodes")
     found = components(link(nodes.select("fp"), radius, blocks))
     labelled = nodes.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    names = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    groups = labelled.join(names, "label").select("fp", "component_id", "label", "copies")
-    return few_files(fps.join(groups, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies"), fps.count(), NARROW)
+    names = labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("nodes"))
+    groups = written(join_hot(labelled, names, "label", "nodes", nodes.count()).select("fp", "component_id", "label", "copies"), "groups")
+    n = fps.count()
+    return few_files(join_hot(fps, groups, "fp", "copies", n).select(F.col("key").alias(key), "body", "fp", "component_id", "label", "copies"), n, NARROW)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -237,20 +239,18 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bloc
 
 
 def first_of(docs: DataFrame, groups: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each label of groups (key, body, label), as in ``keep_one``."""
-    rows = written(groups.groupBy(F.col(key).alias("__key"), F.col("body").alias("__body"), "label").agg(F.count("*").alias("n")), "groups")
-    rank = F.struct(F.col("__key").isNull().alias("none"), "__key", "__body")
-    best = rows.groupBy("label").agg(F.min(rank).alias("best"))
-    gone = rows.join(best, "label").where(~(F.col("__key").eqNullSafe(F.col("best.__key")) & (F.col("__body") == F.col("best.__body")))).select("__key", "__body")
-
-    def same(other: DataFrame) -> Column:
-        return docs[key].eqNullSafe(other["__key"]) & (F.xxhash64(docs[text]) == other["__body"])
-
-    left = docs.join(gone, same(gone), "left_anti")
-    left = few_files(left, docs.count())
-    if rows.where("n > 1").isEmpty():
-        return left
-    # Rows that repeat id and text: one of each; partial sums see to it that many are few before the shuffle.
+    """docs with one row of each label of groups (key, body, label), as in ``keep_one``.
+
+    A label may have a third of all rows: its first row is found by partial minima, and docs are then joined by
+    the rows that stay, one a label, so no join is by label."""
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("body").alias("body"))
+    best = groups.groupBy("label").agg(F.min(rank).alias("best"))
+    stay = written(best.select(F.col("best.key").alias("__key"), F.col("best.body").alias("__body")), "stay")
+    left = docs.join(stay, docs[key].eqNullSafe(stay["__key"]) & (F.xxhash64(docs[text]) == stay["__body"]), "left_semi")
+    # Rows that repeat id and text are of one group: one of each stays, by partial firsts.
+    again = groups.groupBy(F.col(key).alias("__key"), F.col("body").alias("__body")).agg(F.count("*").alias("m")).where("m > 1")
+    if again.isEmpty():
+        return few_files(left, stay.count())
     first = left.groupBy(F.col(key).alias("__key"), F.xxhash64(text).alias("__body")).agg(F.first(F.struct(*docs.columns)).alias("row"))
     return first.select("row.*")
 
