@@ -3,14 +3,20 @@ group of near duplicates stays, documents with benchmark passages go, and what i
 
 A stage takes (spark, docs, sf_dir), with all that the stage before it kept, and returns the columns of
 documents; the last returns packed pieces.  ``n_chars`` follows the text.  The near-duplicate stage links documents
-whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked exactly; op1's settings are for op1 alone.
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: candidates by SimHash and BK-trees, checked
+exactly.  op1's settings (three words, three bits) are for op1 alone.
+
+Defined results: null and empty texts are not toxic, are one document for the near-duplicate stage (the smallest id stays), have no
+benchmark passage, and are packed as one closing id; documents that repeat an id and a text are one, those that repeat only
+an id are told apart by their texts; null ids are kept like others and come last where the smallest id stays; an
+empty table gives an empty table with the same columns; further columns of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, linededup, minhash, packing, toxicity
+from wordloom.llm import decontaminate, linededup, packing, resemblance, toxicity
 from wordloom.llm.common import table, written
 
 
@@ -23,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return resemblance.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
