@@ -9,9 +9,10 @@ A *control string* is ``<turn>`` or ``</turn>``, with any number of backslashes
 puts one more backslash there and unescaping takes one away, so that texts which only look like escapes
 survive too, and no escaped text holds a delimiter.  A role's newlines and backslashes are escaped likewise.
 
-Each turn is first rendered as it is and reparsed; where the recovered turn differs from the source, its
-conflicting content is escaped and the turn compared once more (a difference then is an error: the row is
-marked ``round_trip = false``).  Only conflicting turns grow.
+Each turn is first rendered as it is and reparsed.  The grammar derives no delimiter inside a role or content; where
+one stands there, or the recovered turn differs from the source, the conflicting content is escaped.  Then the whole
+conversation is reparsed and compared with its source turns: ``round_trip`` says whether they are
+identical, and the query fails where they are not.  Only conflicting turns grow.
 
 Defined results: null text or role is empty; rows of one conversation with equal turn numbers are ordered
 by role and text, repeated rows are repeated turns; null conversation ids form one conversation; an empty
@@ -67,29 +68,35 @@ def parse(formatted: Column) -> Column:
 
 def _same(parsed: Column, role: Column, text: Column) -> Column:
     one = F.element_at(parsed, 1)
-    return F.coalesce((F.size(parsed) == 1) & (unescape_role(one["role"]) == role) & (unescape(one["content"]) == text), F.lit(False))
+    inside = F.contains(one["role"], F.lit(OPEN)) | F.contains(one["content"], F.lit(OPEN))
+    return F.coalesce((F.size(parsed) == 1) & ~inside & (unescape_role(one["role"]) == role) & (unescape(one["content"]) == text), F.lit(False))
+
+
+def recovered(formatted: Column) -> Column:
+    """array<struct<role, text>>: the turns of an output, unescaped."""
+    return F.transform(parse(formatted), lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["content"]).alias("text")))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text → + rendered, escaped, round_trip."""
+    """conv_id, turn, role, text → + rendered, escaped."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("plain", render(F.col("role"), F.col("text"))).withColumn("plain_ok", _same(parse(F.col("plain")), F.col("role"), F.col("text")))
     t = t.withColumn("rendered", F.when(F.col("plain_ok"), F.col("plain")).otherwise(render(escape_role(F.col("role")), escape(F.col("text")))))
-    return t.select("conv_id", "turn", "role", "text", "rendered", (~F.col("plain_ok")).alias("escaped"), (F.col("plain_ok") | _same(parse(F.col("rendered")), F.col("role"), F.col("text"))).alias("round_trip"))
+    return t.select("conv_id", "turn", "role", "text", "rendered", (~F.col("plain_ok")).alias("escaped"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, spans (start and length in code points, and role, of each turn's content),
     escaped_turns, round_trip."""
     t = format_turns(turns)
-    at = F.struct("turn", "role", "text", "rendered", "escaped", "round_trip")
+    at = F.struct("turn", "role", "text", "rendered", "escaped")
     g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(at)).alias("t"))
     g = g.select(
         "conv_id",
         F.array_join(F.col("t.rendered"), "").alias("formatted"),
         F.size(F.filter("t", lambda x: x["escaped"])).cast("long").alias("escaped_turns"),
-        F.forall("t", lambda x: x["round_trip"]).alias("round_trip"),
-    )
+        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
+    ).withColumn("round_trip", F.coalesce(recovered(F.col("formatted")) == F.col("source"), F.lit(False)))
     begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,role:string>>").alias("spans"))
     return g.withColumn("turns", parse(F.col("formatted"))).select(
         "conv_id",
@@ -114,7 +121,7 @@ def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFram
     return formatted.select(
         "conv_id",
         "formatted",
-        F.transform(parse(F.col("formatted")), lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["content"]).alias("text"))).alias("turns"),
+        recovered(F.col("formatted")).alias("turns"),
         masked.alias("loss_texts"),
     )
 
@@ -123,7 +130,9 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
-    back = read_back(format_conversations(turns))
+    done = format_conversations(turns)
+    failed = F.raise_error(F.concat(F.lit("no round trip for conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    back = read_back(done.withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(failed)))
     loss = F.array_join("loss_texts", "")
     return back.select(
         "conv_id",
@@ -140,7 +149,7 @@ WITH c AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
 e AS (
-  SELECT *, CASE WHEN regexp_matches(text, '</turn>|<\\+/?turn>') OR regexp_matches(role, '</turn>|\n|\\')
+  SELECT *, CASE WHEN regexp_matches(text, '<\\*/?turn>') OR regexp_matches(role, '<\\*/?turn>|\n|\\')
     THEN regexp_replace(text, '<(\\*)(/?turn>)', '<\\\1\2', 'g') ELSE text END AS shown FROM c)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

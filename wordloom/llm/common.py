@@ -102,3 +102,15 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int
     hot = F.col(weight) * 1000 > total
     heavy = F.broadcast(side.where(hot))
     return rows.join(heavy, key).unionByName(rows.join(F.broadcast(side.where(hot).select(key)), key, "left_anti").join(side.where(~hot), key))
+
+
+def each_of(df: DataFrame, first: str, n: str, name: str, by: list[str], block: int = 10_000) -> DataFrame:
+    """A row of df for each number from first to first + n - 1, as column name.
+
+    One row may stand for a third of all: numbers are made in blocks, which are dealt out by a hash before each
+    becomes rows, so no task makes more than its blocks and no array is longer than one."""
+    step = F.lit(block)
+    blocks = df.withColumn("__from", F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1, step)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.withColumn("__upto", F.least(F.col("__from") + step, F.col(first) + F.col(n)) - 1).repartition(parts, "__from", *by)
+    return dealt.withColumn(name, F.explode(F.sequence("__from", "__upto"))).drop("__from", "__upto")

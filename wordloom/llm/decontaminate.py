@@ -9,8 +9,8 @@ a word), their occurrences located by walking to the nearest sample, and the cov
 document merged into removal spans.  Documents never leave their task: there is no shuffle.
 
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, each searched in one pass over
-the documents that carries the spans along: a benchmark of any size is searched, and what is broadcast is
-bounded.
+the documents that carries the spans along: a benchmark of any size is searched, the driver holds one block at a
+time, and what is broadcast is bounded and given back after its pass.
 
 Defined results: null texts have no words; an item without words has no window; items with one id count
 once; null item ids are the id "null"; an empty table or benchmark gives no hits; repeated rows give
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, table, written
 
 #: Letters stay (A-Z lower-cased), digits and bytes from 0x80 on too; all else parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW, SAMPLE, BLOCK_WORDS = 10, 16, 2_000_000
-SHARD_SYMBOLS, SHARD_WORDS = 1_000_000, 4_000_000
+SHARD_SYMBOLS, SHARD_WORDS, HASH_BUCKETS = 1_000_000, 4_000_000, 4096
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -272,19 +272,25 @@ def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, last: bool) -> It
     yield from flush()
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_words: int, item: str, text: str) -> Iterator[Benchmark]:
-    """One block at least, each of at most block_words words (or one item)."""
-    items: list[tuple[str, list[bytes]]] = []
-    size, any_block = 0, False
-    for r in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")), F.col(text).cast("binary")).toLocalIterator():
-        ws = words_of(bytes(r[1]) if r[1] is not None else None)
-        if items and size + len(ws) > block_words:
-            yield Benchmark(items, window)
-            items, size, any_block = [], 0, True
-        items.append((r[0], ws))
-        size += len(ws)
-    if items or not any_block:
-        yield Benchmark(items, window)
+def blocks_of(benchmark: DataFrame, window: int, block_words: int, item: str, text: str) -> Iterator[tuple[Benchmark, bool]]:
+    """One block at least, each of at most block_words words (or the items of one hash bucket), and whether it is
+    the last.  Items are dealt into buckets by a hash, and neighbouring buckets make a block: the driver has the
+    buckets' sizes (``HASH_BUCKETS`` rows at most) and one block at a time."""
+    own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("binary").alias("text"))
+    own = own.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(HASH_BUCKETS)).cast("int"))
+    most = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2)  # words part at a byte at least
+    sizes = sorted((r["b"], r["n"]) for r in own.groupBy("b").agg(F.sum(most).alias("n")).collect())
+    cuts: list[list[int]] = []
+    size = 0
+    for b, n in sizes:
+        if not cuts or size + n > block_words:
+            cuts.append([b, b])
+            size = 0
+        cuts[-1][1] = b
+        size += n
+    for k, (a, z) in enumerate(cuts or [[0, 0]]):
+        rows = own.where(F.col("b").between(a, z)).select("item", "text").collect()
+        yield Benchmark([(r[0], words_of(bytes(r[1]) if r[1] is not None else None)) for r in rows], window), k >= len(cuts) - 1
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
@@ -293,11 +299,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     df = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"), *[F.struct(*docs.columns).alias("row")] * carry)
     row = f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
     kind = df.schema["doc_id"].dataType.simpleString()
-    blocks = list(blocks_of(benchmark, window, block_words, item, item_text))
-    for i, bench in enumerate(blocks):
-        last = i == len(blocks) - 1
+    for bench, last in blocks_of(benchmark, window, block_words, item, item_text):
         shared = df.sparkSession.sparkContext.broadcast(bench)
         df = map_arrow(df, lambda it, shared=shared, last=last: _scan(it, shared.value, last), f"doc_id {kind}, " + "text binary, " * (not last) + "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>" + row)
+        if not last:
+            df = written(df, "spans", regroup=False)
+            shared.destroy()
     return df
 
 

@@ -21,6 +21,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NARROW, few_files, map_arrow, table, written
+from .common import NARROW, each_of, few_files, map_arrow, table, written
 from .wordhash import Batch, Table
 
 SIZE, END_ID = 4096, 2
 
 
+def _normal(word: str) -> str:
+    """As the tokenizer sees it: some letters become a letter and a mark when lower-cased, and marks join marks."""
+    return word if word.isascii() else unicodedata.normalize("NFC", word).lower()
+
+
 class Encoder:
     """Ids of texts, in numpy arrays.  The tokenizer's own splitting never joins across white space, nor letters
     with marks: a text is a list of blank-free chunks, a chunk a word and the marks after it.  Chunks are
@@ -76,7 +82,7 @@ class Encoder:
     def _learn(self, chunks: list[bytes]) -> None:
         bare = [c.rstrip(self.MARKS) for c in chunks]
         text = b"\n".join(bare).decode().split("\n")
-        plain = list(map(str.isalpha, text))
+        plain = [w.isalpha() and _normal(w).isalpha() for w in text]
         known = self._words(list(dict.fromkeys(w for w, ok in zip(text, plain, strict=True) if ok)))
         ends = [c[len(w) :] for c, w in zip(chunks, bare, strict=True)]
         if len(self.marks) > 10_000:
@@ -218,7 +224,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, rank_group: int = 20_000) -
     starts = sums.select("length", "part", (F.sum("m").over(Window.partitionBy("length").orderBy("part")) - F.col("m")).alias("before"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = own.join(starts, ["length", "part"]).withColumn("first", F.col("before") + F.sum("n").over(within) - F.col("n"))
-    ranked = ranked.select(*cols, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
+    ranked = each_of(ranked, "first", "n", "rank", ["length", "part", *cols[:2]]).select(*cols, "rank")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return few_files(map_arrow(ranked, lambda it: _place(it, plan), schema), sum(histogram.values()), NARROW)
 

@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType
 
-from .common import NARROW, few_files, table, written
+from .common import NARROW, each_of, few_files, table, written
 
 
 def winner(key: Column, weights: dict[int, float]) -> Column:
@@ -35,11 +36,16 @@ def winner(key: Column, weights: dict[int, float]) -> Column:
     return (-F.array_max(F.transform(shards, bid))["s"]).cast("int")
 
 
+def stable(docs: DataFrame, key: str) -> Column:
+    """Whole numbers of any size are one kind of key: equal ids go to equal shards whatever their column's type."""
+    return F.col(key).cast("long") if isinstance(docs.schema[key].dataType, ByteType | ShortType | IntegerType) else F.col(key)
+
+
 def shard(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] | None = None, key: str = "doc_id", text: str = "text", buckets: int = 4096) -> DataFrame:
     """key, size (UTF-8 bytes and one separator), text_crc32, shard, slot, grown_shard (under the weights
     ``grown``, else null)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    rows = docs.select(stable(docs, key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(buckets)).cast("int"))
     counted = rows.groupBy("bucket", "key", "size", "text_crc32").agg(F.count("*").alias("n"))
     placed = counted.withColumn("shard", winner(F.col("key"), weights)).withColumn("grown_shard", winner(F.col("key"), grown) if grown else F.lit(None).cast("int"))
@@ -48,7 +54,7 @@ def shard(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] |
     starts = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
     within = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
     slots = placed.join(starts, ["shard", "bucket"]).withColumn("first", F.col("start") + F.sum("n").over(within) - F.col("n"))
-    out = slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard")
+    out = each_of(slots, "first", "n", "slot", ["key", "size", "text_crc32"]).select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot", "grown_shard")
     return few_files(out, placed.count(), NARROW)
 
 

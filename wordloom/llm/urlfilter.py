@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 _TOKEN = r"[^a-z0-9]+"
-#: The index is a literal in the plan; longer lists belong in several calls whose verdicts are combined.
-MAX_RULES = 2000
+#: Rules in one literal of the plan; a longer list is looked up block by block, and the best of all blocks counts.
+BLOCK_RULES = 2000
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,14 @@ def word(verdict: str, *tokens: str) -> Rule:
     return Rule(verdict, "^(?:[^/]*[^a-z0-9/])?" + "[^a-z0-9/]".join(tokens) + "(?:[^a-z0-9]|$)", tokens)
 
 
+def glob(verdict: str, pattern: str, name: str | None = None) -> Rule:
+    """A pattern over host and path in which ``*`` stands for any characters and all else for itself; between two
+    marks that part tokens, or at an end of the pattern, a token is whole and can be the key."""
+    rx = "^" + ".*".join("".join(f"[{c}]" if c in ".+?()|{}$" else f"\\{c}" if c in "[]^\\" else c for c in part) for part in pattern.split("*")) + "$"
+    whole = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern.lower())
+    return Rule(verdict, rx, tuple(whole), name, len(pattern))
+
+
 #: The contract's rules, and the patterns that decide where none of them fits.
 RULES = [
     site("allow", "org", "/"),
@@ -99,27 +107,29 @@ def build_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rul
     return index
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", block: int = BLOCK_RULES) -> DataFrame:
     """keep + host, path, rule, verdict, candidates (rules that ran).  Named rules come before the method's
-    patterns, longer ones before shorter."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules in a call")
+    patterns, longer ones before shorter.  No rules: the default verdict."""
     u = F.col(url)
     places = pages.select(*keep, host_of(u).alias("host"), path_of(u).alias("path")).withColumn("place", F.concat("host", "path"))
-    index = build_index(rules, token_counts(places, rules))
+    blocks = [rules[i : i + block] for i in range(0, len(rules), block)]
+    indexes = [build_index(b, token_counts(places, b)) for b in blocks]
 
     def row(r: Rule) -> Column:
         return F.struct(F.lit(r.name is not None).alias("named"), F.lit(r.rank).alias("rank"), F.lit(r.name).cast("string").alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"))
 
-    lookup = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(row, rs)))))
-    fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col("place")), F.array(*(F.lit(t) for t in sorted(index)))), lambda t: F.element_at(lookup, t)))
-    run = F.filter(F.col("fetched"), lambda r: F.rlike(F.col("place"), r["regex"]))
-    best = F.array_max(F.col("fits"))
-    return (
-        places.withColumn("fetched", fetched)
-        .withColumn("fits", run)
-        .select(*keep, "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"), F.size("fetched").alias("candidates"))
-    )
+    def fitting(index: dict[str, list[Rule]]) -> Column:
+        lookup = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(row, rs)))))
+        fetched = F.transform(F.array_intersect(tokens_of(F.col("place")), F.array(*(F.lit(t) for t in sorted(index)))), lambda t: F.element_at(lookup, t))
+        return F.flatten(fetched)
+
+    kind = "struct<named:boolean,rank:int,rule:string,verdict:string,regex:string>"
+    found = places.withColumn("best", F.lit(None).cast(kind)).withColumn("candidates", F.lit(0))
+    for index in indexes:
+        run = F.filter(F.col("fetched"), lambda r: F.rlike(F.col("place"), r["regex"]))
+        found = found.withColumn("fetched", fitting(index)).withColumn("best", F.array_max(F.concat(F.array_compact(F.array("best")), run)))
+        found = found.withColumn("candidates", F.col("candidates") + F.size("fetched")).drop("fetched")
+    return found.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"), "candidates")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
