@@ -305,7 +305,9 @@ def test_grammar():
         return " ".join(out)
 
     assert run("PI") == "P I+" and run("IP") == "I P+" and run("NoI") == "N o I-" and run("NoooI") == "N o o o I"
-    assert run("RI") == "R Ir" and run('"I"I') == '" Iq " I' and run("PNT") == "P N T-+"
+    assert run("RI") == "R Ir" and run('"I"I') == '" Iq " I' and run("PNMV") == "P N o T-+"
+    assert run("V") == "V" and run("MV") == "o T" and run("AI") == "o J" and run("II") == "I J" and run("N.I") == "N . I"
+    assert run('"o.I"I') == '" o . Iq " I' and run('"' + "o" * 100 + 'I"') == '" ' + "o " * 100 + 'Iq "'
 
 
 def test_clauses_not_words():
@@ -327,7 +329,7 @@ def test_toxicity_edges(spark, docs, empty, tmp_path):
     got = query_on(spark, tmp_path, "op5_toxicity", documents=docs, labels=labels).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ROWS)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
     model = toxicity.train(empty, labels.limit(0))
     assert model.insults == {} and toxicity.score(empty, model).count() == 0
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
@@ -671,3 +673,49 @@ def test_size_settings_are_read_as_spark_writes_them(spark):
         spark.conf.set(key, size)
         common.small_batches(spark)
         assert spark.conf.get(key) == want
+
+
+def test_quotes_reach_to_their_end_and_negation_counts():
+    lex = toxicity.Lexicon({"=idiot": 2.0})
+
+    def x(text):
+        return dict(zip(toxicity.FEATURES, toxicity.features([text], lex)[0], strict=True))
+
+    assert x('He said: "First. You idiot."')["Iq+"] > 0 and x('He said: "First. You idiot."')["insults"] == 0
+    assert x('an inch is 1". You idiot')["I+"] > 0  # a mark without a partner
+    assert x('"a" "b. c\nd idiot" idiot')["Iq"] == x('"a" "b. c\nd idiot" idiot')["I"]
+    assert x("he is an idiot")["insults"] > 0 == x("he is not an idiot")["insults"]
+    assert x("i will kill you")["threats"] > 0 == x("they kill time")["threats"]
+
+
+def brute_patterns(text, lexicon):
+    """All words of all clauses, none skipped, through the composed machine itself instead of its table."""
+    text = toxicity.parted(text.lower())
+    quotes, seen, state, sums = text.count('"'), 0, toxicity.GRAMMAR.start, Counter()
+    for clause in toxicity._CLAUSE.split(text):
+        for w in [*clause.translate(toxicity._APART).split(), None]:
+            c, weight = (".", 1.0) if w is None else lexicon(w)
+            if c == '"':
+                seen += 1
+                c = '"' if seen <= quotes - quotes % 2 else "o"
+            state, out = toxicity.GRAMMAR.step(state, c)
+            if out[0] in toxicity.MEANT or out == "P+":
+                sums[out] += weight if c == "I" else 1.0
+    return [math.log1p(sums[p]) for p in toxicity.PATTERNS]
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng, lex = random.Random(9), {"=idiot": 2.0, "^moro": 1.5}
+    words = 'you not said idiot moron kill will such a the . ! " “ … \n — , he never'.split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    model = toxicity.Model(lex, np.linspace(-1, 1, len(toxicity.FEATURES) + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    lexicon = toxicity.Lexicon(lex)
+    for i, t in enumerate(texts):
+        p = dict(zip(toxicity.PATTERNS, brute_patterns(t, lexicon), strict=True))
+        plain = {k: math.expm1(v) for k, v in p.items() if k in toxicity.PLAIN}
+        insults, threats = sum(v for k, v in plain.items() if k[0] in "IJ"), sum(v for k, v in plain.items() if k[0] == "T")
+        n = len(toxicity.words_for_screening(t.lower()).split())
+        x = [1, math.log1p(insults), math.log1p(threats), 100 * insults / (100 + n), *p.values()]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, model.weights)))), abs=1e-9)

@@ -1,10 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The grammar is the composition of small transducers over token classes (insult I, threat T, target P,
-negation N, reported speech R, other o): the negation transducer rewrites an insult or threat in its scope,
-the reported-speech transducer those after a verb of saying or inside quotation marks, the target transducer
-those near a person addressed.  What the composition writes for a clause is a count of patterns ("a targeted
-insult", "a negated threat", ...), not of words.  A document's score is a logistic function of its pattern weights.
+The grammar is the composition of small transducers over token classes: insult I, violent verb V, intent M, intensifier A,
+target P, negation N, reported speech R, quotation mark, end of clause ".", other o.  In order:
+
+* the threat transducer writes a violent verb as a threat T where an intent stands before it (*will kill*, not *kill*);
+* the insult transducer writes an insult that an intensifier leads, or that follows another insult, as a stronger one, J;
+* the negation transducer marks insults and threats in its scope, the reported-speech transducer those after a verb of
+  saying, the quotation transducer those between two quotation marks, over clauses and lines up to the closing mark;
+* the target transducer marks those near a person addressed.
+
+What the composition writes is a count of accepted patterns ("a targeted insult", "a negated threat", ...), not of words: a
+clause without an accepted pattern adds nothing, and the sums over all insults and threats leave out negated and reported
+ones.  A document's score is a logistic function of its pattern weights.
 
 Closed classes are word lists; insults are learned: among whole words and word beginnings of the labelled
 training rows, those that occur in enough toxic texts and hardly in others, each weighted by its log odds.
@@ -12,7 +19,8 @@ The weights of the patterns are then fitted on the same rows.  Both fits use at
 whose ids hash lowest, and equal texts count once; all documents are scored, whole.
 
 Defined results: null and empty texts have no clause and get the score of that; without usable labels no
-insult is known and all scores are those of the prior; null labels and ids are no training rows; repeated rows
+insult is known and all scores are those of the prior; null labels and ids are no training rows; rows with a null id are not held
+out; a quotation mark without a partner opens nothing; repeated rows
 are scored each; an empty table gives no rows; other columns are ignored or, in ``drop_toxic``, kept.
 """
 
@@ -34,16 +42,20 @@ from pyspark.sql import functions as F
 from .common import map_arrow, small_batches, table, written
 from .wordhash import Batch, Table
 
-MAX_TRAINING, MAX_LEXICON, THRESHOLD = 20_000, 5_000, 0.7
+MAX_TRAINING, THRESHOLD = 20_000, 0.7
 #: A word or beginning is an insult if so many toxic texts have it (and this share of them), and of the
-#: texts that have it this share is toxic.
+#: texts that have it this share is toxic.  As each has its share of the toxic texts, there are at most 1 / MIN_SHARE
+#: times as many as a toxic training text has words and beginnings.
 MIN_SUPPORT, MIN_SHARE, MIN_PRECISION = 3, 0.01, 0.9
 PREFIXES = range(3, 9)
 
 TARGETS = "you your yours yourself u they them their he him his she her we us people man woman everyone anyone du dich dir dein deine euch ihr ihnen sie er ihn man leute tu te toi ton ta tes vous votre vos il elle ils elles lui leur gens ti tus tuyo usted ustedes vosotros ellos ellas gente".split()
 NEGATIONS = "not no never none nobody neither nor cannot isn aren don doesn didn won wouldn nicht kein keine keinen nie niemals ne n pas jamais aucun aucune non nunca jamas tampoco ningun ninguna sin".split()
 REPORTS = "said says say called calls wrote writes told tells claimed quoted according sagte sagt nannte schrieb behauptet laut dit disait appelle affirme selon dijo dice llamaba escribe afirma segun".split()
-THREATS = "kill killed hurt destroy beat smash burn shoot stab strangle murder attack punish die toeten umbringen vernichten schlagen verbrennen tuer frapper detruire bruler matar golpear destruir quemar".split()
+VIOLENCE = "kill killed hurt destroy beat smash burn shoot stab strangle murder attack punish die toeten umbringen vernichten schlagen verbrennen tuer frapper detruire bruler matar golpear destruir quemar".split()
+
+INTENTS = "will ll gonna going shall must should want wanna deserve werde wirst wird werden soll sollte muss vais vas va allons vont dois doit voy vas vamos quiero debe debes".split()
+INTENSIFIERS = "such so very total totally complete completely absolute utter fucking damn bloody big real echt total voll so ganz verdammter verdammte tellement tres vrai sale gros tan muy maldito maldita puro".split()
 
 _CLAUSE = re.compile(r"[.!?;:\n…]+")
 _QUOTES = str.maketrans(dict.fromkeys("“”„«»‹›\"", ' " '))
@@ -87,39 +99,78 @@ def table_of(machine: Transducer, symbols: str) -> tuple[dict[tuple[int, str], t
     return rows, len(number)
 
 
-def scope(opener: str, mark: str, reach: int, closer: str = "") -> Transducer:
-    """Marks insults and threats up to reach tokens after an opener (or until the closer)."""
+def threat(reach: int) -> Transducer:
+    """Writes a violent verb up to reach tokens after an intent as a threat."""
+
+    def step(left: int, symbol: str) -> tuple[int, str]:
+        if symbol == "M":
+            return reach, "o"
+        return 0 if symbol == "." else max(0, left - 1), "T" if symbol == "V" and left else symbol
+
+    return Transducer(0, step)
+
+
+def insult(reach: int) -> Transducer:
+    """Writes an insult up to reach tokens after an intensifier or another insult as a stronger one."""
+
+    def step(left: int, symbol: str) -> tuple[int, str]:
+        if symbol == "I":
+            return reach, "J" if left else "I"
+        if symbol == "A":
+            return reach, "o"
+        return 0 if symbol in '."' else max(0, left - 1), symbol
+
+    return Transducer(0, step)
+
+
+def scope(opener: str, mark: str, reach: int) -> Transducer:
+    """Marks what can be meant up to reach tokens after an opener, within the clause."""
 
     def step(left: int, symbol: str) -> tuple[int, str]:
         if symbol == opener:
-            return (0 if closer == symbol and left else reach), symbol
-        if left and symbol[0] in "IT":
-            return left - 1, symbol + mark
-        return max(0, left - 1), symbol
+            return reach, symbol
+        return 0 if symbol == "." else max(0, left - 1), symbol + mark if left and symbol[0] in MEANT else symbol
 
     return Transducer(0, step)
 
 
+def quoted(mark: str) -> Transducer:
+    """Marks what stands between two quotation marks, however far apart."""
+
+    def step(inside: bool, symbol: str) -> tuple[bool, str]:
+        if symbol == '"':
+            return not inside, symbol
+        return inside, symbol + mark if inside and symbol[0] in MEANT else symbol
+
+    return Transducer(False, step)
+
+
 def near_target(reach: int) -> Transducer:
     """Marks insults and threats after a target with "+", and writes a target after one of them as "P+"."""
 
     def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str]:
         target, insult = state
+        if symbol == ".":
+            return (0, 0), symbol
         down = max(0, target - 1), max(0, insult - 1)
         if symbol[0] == "P":
             return (reach, 0), "P+" if insult else "P"
-        if symbol[0] in "IT":
+        if symbol[0] in MEANT:
             return (down[0], reach), symbol + "+" * bool(target)
         return down, symbol
 
     return Transducer((0, 0), step)
 
 
-#: Negation reaches three tokens, reported speech eight and quotation marks to their end, targets four.
-GRAMMAR = compose(scope("N", "-", 3), scope("R", "r", 8), scope('"', "q", 60, '"'), near_target(4))
-ROWS, _ = table_of(GRAMMAR, 'ITPNR"o')
-PATTERNS = sorted({out for _, out in ROWS.values() if out[0] in "IT" or out == "P+"})
+#: What is insulting (I, J), threatening (T) or at least violent (V).
+MEANT = "IJTV"
+#: Intents reach four tokens, intensifiers two, negation three, reported speech eight, quotation marks to their end, targets four.
+GRAMMAR = compose(threat(4), insult(2), scope("N", "-", 3), scope("R", "r", 8), quoted("q"), near_target(4))
+ROWS, _ = table_of(GRAMMAR, 'IVMAPNR".o')
+PATTERNS = sorted({out for _, out in ROWS.values() if out[0] in MEANT or out == "P+"})
 FEATURES = ["insults", "threats", "density", *PATTERNS]
+#: Patterns that are meant: neither negated nor reported nor quoted.
+PLAIN = {p for p in PATTERNS if not set(p) & set("-rq")}
 
 
 class Lexicon:
@@ -129,7 +180,7 @@ class Lexicon:
     def __init__(self, insults: dict[str, float], most: int = 400_000):
         self.words = {k[1:]: w for k, w in insults.items() if k[0] == "="}
         self.starts = {k[1:]: w for k, w in insults.items() if k[0] == "^"}
-        self.closed = {w: c for c, ws in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS), ('"', ['"'])) for w in ws}
+        self.closed = {w: c for c, ws in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", INTENTS), ("A", INTENSIFIERS), ("V", VIOLENCE), ('"', ['"'])) for w in ws}
         self.hot, self.most = Table(), most
 
     def __call__(self, word: str) -> tuple[str, float]:
@@ -150,7 +201,7 @@ class Lexicon:
         missing = np.flatnonzero(is_hot < 0)
         if len(missing):
             new, first, back = np.unique(batch.hash[missing], return_index=True, return_inverse=True)
-            found = np.array([self(w.decode())[0] in "IT" for w in batch.words(missing[first])], dtype=np.int64)
+            found = np.array([self(w.decode())[0] in "IV" for w in batch.words(missing[first])], dtype=np.int64)
             self.hot.put(new, found)
             is_hot[missing] = found[back]
         text = np.repeat(np.arange(len(lowered)), batch.count)
@@ -178,15 +229,22 @@ def patterns(lowered: str, n_words: int, lexicon: Lexicon) -> np.ndarray:
     """FEATURES of a text in lower case."""
     out = np.zeros(len(FEATURES))
     sums: Counter = Counter()
-    for clause in _CLAUSE.split(lowered):
-        state, classes = 0, [lexicon(w) for w in parted(clause).translate(_APART).split()]
-        if not any(c in "IT" for c, _ in classes):
-            continue
-        for c, weight in classes:
-            state, written_symbol = ROWS[state, c]
-            if written_symbol[0] in "IT" or written_symbol == "P+":
-                sums[written_symbol] += weight if c == "I" else 1.0
-    insults, threats = (sum(v for k, v in sums.items() if k[0] == c) for c in "IT")
+    state, text = 0, parted(lowered)
+    quotes = text.count('"')
+    pairs = quotes - quotes % 2
+    for clause in _CLAUSE.split(text):
+        classes = [lexicon(w) for w in clause.translate(_APART).split()]
+        # of a clause that says nothing only quotation marks reach beyond its end
+        if not any(c in "IV" for c, _ in classes):
+            classes = [x for x in classes if x[0] == '"']
+        for c, weight in [*classes, (".", 1.0)]:
+            if c == '"':
+                pairs -= 1
+                c = c if pairs >= 0 else "o"
+            state, said = ROWS[state, c]
+            if said[0] in MEANT or said == "P+":
+                sums[said] += weight if c == "I" else 1.0
+    insults, threats = (sum(v for k, v in sums.items() if k in PLAIN and k[0] in cs) for cs in ("IJ", "T"))
     out[:3] = math.log1p(insults), math.log1p(threats), 100 * insults / (100 + n_words)
     out[3:] = [math.log1p(sums[p]) for p in PATTERNS]
     return out
@@ -245,8 +303,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     seen = map_arrow(rows, count, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     support = max(MIN_SUPPORT, MIN_SHARE * toxic)
     good = seen.where((F.col("a") >= support) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b"))))
-    best = good.orderBy(F.desc("a"), F.length("f"), "f").limit(MAX_LEXICON).collect()
-    return choose({r["f"]: (r["a"], r["b"]) for r in best}, toxic, clean)
+    return choose({r["f"]: (r["a"], r["b"]) for r in good.collect()}, toxic, clean)
 
 
 def choose(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -262,8 +319,8 @@ def choose(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[st
     return {f: w for f, w in odds.items() if w > 0}
 
 
-#: Before any row is seen: insults and threats speak for toxicity, unless negated or reported.
-PRIOR = np.array([-2.0, 1.0, 0.3, 0.0, *(0.2 * (p[0] in "IT") * (0.5 if set("-rq") & set(p) else 1) for p in PATTERNS)])
+#: Before any row is seen: insults and threats speak for toxicity, much less if negated or reported.
+PRIOR = np.array([-2.0, 1.0, 0.3, 0.0, *(0.2 * (p[0] in "IJT") * (1 if p in PLAIN else 0.5) for p in PATTERNS)])
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -332,4 +389,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
