@@ -1,7 +1,10 @@
 """Fingerprints of long documents: every anchor with its position, and likeness by brute force over all of them."""
 
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+
+import pytest
 
 from wordloom.llm import syncmers
 
@@ -24,8 +27,67 @@ def test_fingerprint_has_all_anchors(spark, tmp_path):
     for i in (1, 2, 3, 4):
         assert len(all_of[i]) > 64
         assert {divmod(int(x, 16), 1 << 32) for x in got[i]["fingerprint"].split()} == all_of[i]
-    distinct = {i: {a for _, a in all_of[i]} for i in texts}
+    found = {i: sorted((p, a) for p, a in all_of[i]) for i in texts}
+    found[5] = found[6] = []
     for i, after in ((2, 1), (3, 2), (4, 3), (5, 4), (6, 5)):
-        a, b = distinct[i], distinct[after]
-        assert got[i]["near_next"] == (2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+        assert got[i]["near_next"] == pytest.approx(brute_likeness(found[i], found[after]))
     assert 0 < got[2]["near_next"] < 0.1  # the shared passage
+
+
+def brute_likeness(a, b):
+    """Dice of the anchors at displacements that at least three share; of an anchor's places neighbours meet."""
+    if not a and not b:
+        return 1.0
+    places = defaultdict(list)
+    for side, found in enumerate((a, b)):
+        for pos, anchor in found:
+            places[anchor].append((pos, side))
+    moves = Counter()
+    for at in places.values():
+        at.sort()
+        for (p, x), (q, y) in zip(at, at[1:], strict=False):
+            if x != y:
+                moves[q - p if x == 0 else p - q] += 1
+    least = min(3, len(a), len(b))
+    return min(1.0, 2 * sum(n for n in moves.values() if n >= least) / (len(a) + len(b)))
+
+
+def brute_anchors(spark, text):
+    """Closed syncmers by the definition: the smallest inner substring is the first or the last one."""
+    pieces = re.findall(r"\S{1,4}", text)
+    hashes = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "i int, p string").selectExpr("i", "xxhash64(p) h").orderBy("i").collect()
+    pairs = [(x["h"], y["h"]) for x, y in zip(hashes, hashes[1:], strict=False)]
+    inner = [r["g"] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a long, b long").selectExpr("i", "xxhash64(a, b) g").orderBy("i").collect()]
+    closed = [(i, inner[i], inner[i + 2]) for i in range(len(inner) - 2) if min(inner[i : i + 3]) in (inner[i], inner[i + 2])]
+    return {(r["i"], r["v"] & 0xFFFFFFFF) for r in spark.createDataFrame(closed, "i int, a long, c long").selectExpr("i", "hash(a, c) v").collect()}
+
+
+def test_anchors_are_closed_syncmers(spark):
+    text = words(120)
+    got = {(r["pos"], r["anchor"] & 0xFFFFFFFF) for r in syncmers.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got == brute_anchors(spark, text) and len(got) > 50
+
+
+def test_likeness_follows_what_texts_share(spark):
+    """Recall against the true overlap: near copies are near, a moved passage still matches, unrelated texts do not."""
+    rows, share = [], []
+    for kept in (1.0, 0.9, 0.7, 0.5, 0.2, 0.0):
+        for _ in range(10):
+            a = words(200).split()
+            n = int(200 * kept)
+            b = words(RNG.randrange(0, 30)).split() + a[:n] + words(200 - n).split()
+            rows.append((len(rows), " ".join(a), " ".join(b)))
+            share.append(2 * n / (len(a) + len(b)))
+    df = spark.createDataFrame(rows, "i long, a string, b string").selectExpr("*")
+    got = df.select("i", syncmers.likeness(syncmers.positioned(df.a), syncmers.positioned(df.b)).alias("x")).collect()
+    assert all(abs(r["x"] - share[r["i"]]) < 0.08 for r in got)
+    near = [r["x"] for r in got if share[r["i"]] >= 0.8]
+    assert sum(x >= 0.75 for x in near) >= 0.9 * len(near) and all(r["x"] < 0.05 for r in got if share[r["i"]] == 0)
+
+
+def test_buckets_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "STEP", 4)
+    bounds = sorted(RNG.sample(range(1000), 14))
+    df = spark.range(1000)
+    got = df.select("id", syncmers._bucket(df.id, bounds).alias("b")).collect()
+    assert all(r["b"] == sum(x < r["id"] for x in bounds) for r in got)

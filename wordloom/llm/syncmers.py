@@ -4,8 +4,9 @@ A text is cut at white space into pieces of up to four characters.  A k-mer is `
 inner substring ``S`` of them.  A k-mer is an *anchor* (a closed syncmer) if the smallest hash among its inner
 substrings is its first or last one.  That depends on the k-mer alone, so a passage has the same anchors
 wherever it stands: between two texts, equal anchors at one displacement are a positional match
-(``positional_matches``).  A document's fingerprint is all its anchors with their positions, and the likeness of two
-fingerprints is the share of distinct anchors in common (Dice), wherever they stand.
+(``positional_matches``).  A document's fingerprint is all its anchors with their positions.  The likeness of two
+fingerprints is the share of their anchors that match in position: that stand at a displacement which several share (Dice).
+A passage that moved as a whole still matches, and anchors that are equal by chance do not.
 
 Defined results: null and empty texts have the fingerprint "" (likeness 1 to each other, 0 to all else); a
 text without an anchor has its first k-mer (or what there is of it) for one; an empty table gives no rows; repeated rows stay;
@@ -25,7 +26,11 @@ from .common import few_files, table
 #: The window arithmetic of ``kmers`` is written for these two.
 K, S = 4, 2
 PIECE = r"\S{1,4}"
-MAX_BUCKETS, BUCKET_ROWS = 4096, 2000
+#: Anchors at one displacement that make a positional match.
+TOGETHER = 3
+#: Buckets of the order by id: about BUCKET_ROWS rows each.  Bounds are a literal of the plan, looked up in two steps of STEP,
+#: so beyond STEP * STEP * BUCKET_ROWS rows (half a thousand million) buckets grow.
+STEP, BUCKET_ROWS = 512, 2000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,14 +80,41 @@ def as_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda v: F.hex(v)), " ")
 
 
-def distinct_anchors(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))))
+def _by_anchor(found: Column, side: int) -> Column:
+    """The anchor in the high 32 bits, then its position and a side."""
+    return F.transform(found, lambda v: F.shiftleft(v, 32).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 32), 1)).bitwiseOR(F.lit(side).cast("long")))
+
+
+def _with_next(a: Column, use: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), _tail(a, 2), use)
+
+
+def matched(a: Column, b: Column) -> Column:
+    """How many anchors of two fingerprints stand at a displacement that at least ``TOGETHER`` of them share (or all, where
+    there are fewer): of an anchor that occurs several times, neighbours in position meet.
+
+    Both sides are sorted by anchor and position at once, and displacements of neighbours once more: n log n."""
+    low = F.lit(0xFFFFFFFF).cast("long")
+
+    def met(x: Column, y: Column) -> Column:
+        place = F.shiftrightunsigned(y.bitwiseAND(low), 1) - F.shiftrightunsigned(x.bitwiseAND(low), 1)
+        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseXOR(y).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return F.when(same, F.when(x.bitwiseAND(F.lit(1).cast("long")) == 0, place).otherwise(-place))
+
+    moves = let(F.sort_array(F.concat(_by_anchor(a, 0), _by_anchor(b, 1))), lambda s: F.sort_array(F.array_compact(_with_next(s, met))))
+    least = F.least(F.lit(TOGETHER), F.size(a), F.size(b))
+
+    def runs(d: Column) -> Column:
+        edges = F.concat(F.array(F.lit(0)), F.array_compact(_with_next(F.transform(d, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x, y: F.when(x["v"] != y["v"], y["i"]))), F.array(F.size(d)))
+        return let(edges, lambda e: F.aggregate(_with_next(e, lambda x, y: y - x), F.lit(0), lambda n, r: n + F.when(r >= least, r).otherwise(0)))
+
+    return let(moves, runs)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice of two arrays of distinct anchors."""
+    """Dice of the anchors of two fingerprints that match in position."""
     sizes = F.size(a) + F.size(b)
-    return F.when(sizes == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)).cast("double") / sizes)
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * matched(a, b).cast("double") / sizes))
 
 
 def anchors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -98,20 +130,20 @@ def positional_matches(a: DataFrame, b: DataFrame, key: str = "doc_id", at_least
 
 
 def _bucket(order: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below, in two steps of up to 64."""
-    step = 64
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
+    """How many bounds lie below, in two steps."""
+    if not bounds:
         return F.lit(0)
 
     def below(values: Column) -> Column:
         return F.size(F.filter(values, lambda b: b < order))
 
-    def long(values: list[int]) -> Column:
-        return F.array(*(F.lit(v).cast("long") for v in values))
+    coarse = below(_longs(bounds[STEP - 1 :: STEP]))
+    return coarse * STEP + below(F.slice(_longs(bounds), coarse * STEP + 1, F.lit(STEP)))
+
 
-    coarse = below(long([g[-1] for g in groups]))
-    return coarse * step + F.coalesce(below(F.get(F.array(*map(long, groups)), coarse)), F.lit(0)) - F.when(coarse >= len(groups), F.lit(len(groups) * step - len(bounds))).otherwise(F.lit(0))
+def _longs(values: list[int]) -> Column:
+    """A literal array: one constant, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def next_text(docs: DataFrame, cols: list[str], key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -123,19 +155,20 @@ def next_text(docs: DataFrame, cols: list[str], key: str = "doc_id", text: str =
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(order.alias("o"))
     n = ids.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // bucket_rows)))
+    buckets = max(1, min(STEP * STEP, -(-n // bucket_rows)))
     bounds: list[int] = []
     if buckets > 1:
-        bounds = sorted(set(ids.agg(F.percentile_approx("o", [i / buckets for i in range(1, buckets)], 100_000)).first()[0]))
-    # the largest id of each bucket: MAX_BUCKETS rows at most
+        bounds = sorted(set(ids.agg(F.percentile_approx("o", [i / buckets for i in range(1, buckets)], max(100_000, 10 * buckets))).first()[0]))
+    # the largest id of each bucket: STEP * STEP rows at most
     top = dict(ids.groupBy(_bucket(F.col("o"), bounds).alias("b")).agg(F.max("o").alias("m")).collect())
     if not top:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in cols))
     filled = sorted(top)
     above = dict(zip(filled, filled[1:], strict=False))
-    guard = [(top.get(b), above.get(b, -1)) for b in range(filled[-1] + 1)]
-    up = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(a).alias("a")) for m, a in guard))
-    rows = docs.withColumn("__o", order).withColumn("__b", _bucket(F.col("__o"), bounds)).withColumn("__up", F.get(up, F.col("__b")))
+    # of every bucket up to the last filled one: its largest id (an empty one has no rows to ask) and the next that is filled
+    most, up = (_longs([values.get(b, -1) for b in range(filled[-1] + 1)]) for values in (top, above))
+    rows = docs.withColumn("__o", order).withColumn("__b", _bucket(F.col("__o"), bounds))
+    rows = rows.withColumn("__up", F.struct(F.get(most, F.col("__b")).alias("m"), F.get(up, F.col("__b")).cast("int").alias("a")))
     places = F.concat(
         F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guard"))),
         F.when((F.col("__o") == F.col("__up.m")) & (F.col("__up.a") >= 0), F.array(F.struct(F.col("__up.a").alias("b"), F.lit(1).alias("guard")))).otherwise(F.array().cast("array<struct<b:int,guard:int>>")),
@@ -154,13 +187,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("next_text", F.lit(1), cut))
     texts = led.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
     found = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(positioned(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
-    done = found.select("doc_id", "n_chars", "edited_sha256", "text", "edited", *(distinct_anchors(F.col(c)).alias(f"{c}_anchors") for c in ("text", "edited", "next_text")))
-    return done.select(
+    return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("text")).alias("fingerprint"),
         as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("text_anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("text_anchors"), F.col("next_text_anchors")).alias("near_next"),
+        likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("text"), F.col("next_text")).alias("near_next"),
     )
