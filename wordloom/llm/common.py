@@ -114,3 +114,8 @@ def each_of(df: DataFrame, first: str, n: str, name: str, by: list[str], block:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.withColumn("__upto", F.least(F.col("__from") + step, F.col(first) + F.col(n)) - 1).repartition(parts, "__from", *by)
     return dealt.withColumn(name, F.explode(F.sequence("__from", "__upto"))).drop("__from", "__upto")
+
+
+def if_small(side: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most so many rows (some megabytes)."""
+    return F.broadcast(side) if side.count() <= rows else side

@@ -6,8 +6,8 @@
    at exactly that similarity exceeds; closer pairs are missed far more rarely.
 3. Shards.  A node is filed under several keys, each of some of the fingerprint's bits: as many bits as leave about
    ``CELL`` unrelated nodes in a shard, and as many keys as let only one pair in a hundred at exactly the similarity share none.
-4. Roots.  Every node first asks the first few nodes of its shards and is checked against the nearest; a large group of
-   copies grows together here at a check a node.  Components by contraction.
+4. Roots.  Every node first asks the first ``ROOTS`` nodes of its shards and is checked against the ``NEAREST`` of all those; a
+   large group of copies grows together here at a few checks a node.  Components by contraction.
 5. Trees.  The nodes of a shard that are outside its largest component form BK-trees (``simhash.BKForest``: children keyed by
    integer Hamming distance to the parent), and all nodes of the shard follow the edges within the radius.  A shard
    of more than ``SHARD`` nodes has its trees sent to each of the tasks among which its nodes are dealt, in parts of that size:
@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import NARROW, discard, few_files, map_arrow, written
+from .common import NARROW, discard, few_files, if_small, map_arrow, written
 from .graph import components
 from .wordhash import Batch
 
-SHINGLE, SIMILARITY, WIDTH, CELL, SHARD, ROOTS = 5, 0.8, 256, 64, 2048, 4
+SHINGLE, SIMILARITY, WIDTH, CELL, SHARD, ROOTS, NEAREST = 5, 0.8, 256, 64, 2048, 16, 4
 _WORDS = WIDTH // 64
+#: A cell is the number of a key above its bits, of which there are fewer.
+KEY_SHIFT = 48
 _ADD = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)) for i in range(_WORDS + 1)]
 
 
@@ -131,7 +133,7 @@ def _sketched(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
 
 
 def _filed(nodes: DataFrame, chosen: Settings) -> DataFrame:
-    """nodes (node, n, label, fp) once for each key: k, bits and those."""
+    """nodes (node, n, label, fp) once for each key: cell (the key's number and its bits) and those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,21 +141,21 @@ def _filed(nodes: DataFrame, chosen: Settings) -> DataFrame:
                 b = whole.slice(at, 2000)
                 octets = _octets(b.column(3))
                 for k, places in enumerate(chosen.keys):
-                    yield pa.record_batch([pa.array(np.full(b.num_rows, k, dtype=np.int16)), pa.array(key_bits(octets, places)), *b.columns], names=["k", "bits", "node", "n", "label", "fp"])
+                    yield pa.record_batch([pa.array(key_bits(octets, places) | np.int64(k << KEY_SHIFT)), *b.columns], names=["cell", "node", "n", "label", "fp"])
 
-    return map_arrow(nodes.select("node", "n", "label", "fp"), run, "k smallint, bits bigint, node bigint, n bigint, label bigint, fp binary")
+    return map_arrow(nodes.select("node", "n", "label", "fp"), run, "cell bigint, node bigint, n int, label bigint, fp binary")
 
 
 class Cells:
-    """Rows (k, bits, q, t, side, node, n, label, fp) sorted by their first four columns, some whole cells at a time."""
+    """Rows (cell, part, side, node, n, label, fp) sorted by their first two columns, some whole cells at a time."""
 
     def __init__(self, t: pa.Table):
-        cols = [_numbers(t.column(i)) for i in range(8)]
+        cols = [_numbers(t.column(i)) for i in range(6)]
         new = np.ones(t.num_rows, dtype=bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:2]])
         self.cell, self.start = np.cumsum(new) - 1, np.flatnonzero(new)
-        self.k, self.side, self.node, self.n, self.label = cols[0], cols[4], cols[5], cols[6], cols[7]
-        self.octets = _octets(t.column(8).combine_chunks())
+        self.k, self.side, self.node, self.n, self.label = cols[0] >> KEY_SHIFT, *cols[2:]
+        self.octets = _octets(t.column(6).combine_chunks())
         self.words = np.ascontiguousarray(self.octets).view("<u8").reshape(-1, _WORDS)
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,7 +172,7 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Itera
         rows += b.num_rows
         if rows >= most:  # all cells but the last, which may go on
             t = pa.Table.from_batches(held)
-            same = np.logical_and.reduce([(c := _numbers(t.column(i))) == c[-1] for i in range(4)])
+            same = np.logical_and.reduce([(c := _numbers(t.column(i))) == c[-1] for i in range(2)])
             if not same.all():
                 cut = int(np.flatnonzero(~same)[-1]) + 1
                 yield Cells(t.slice(0, cut))
@@ -235,12 +237,12 @@ def _search_trees(batches: Iterator[pa.RecordBatch], chosen: Settings, similarit
             yield _pairs(np.minimum(c.node[a], c.node[b]), np.maximum(c.node[a], c.node[b]), c.distance(a, b))
 
 
-_ROW = ["k", "bits", "q", "t", "side", "node", "n", "label", "fp"]
+_ROW = ["cell", "part", "side", "node", "n", "label", "fp"]
 
 
 def _laid(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*_ROW).repartition(n, "k", "bits", "q", "t").sortWithinPartitions("k", "bits", "q", "t", F.xxhash64("node", "k"))
+    return rows.select(*_ROW).repartition(n, "cell", "part").sortWithinPartitions("cell", "part", F.xxhash64("node", "cell"))
 
 
 def _part(n: Column, salt: str) -> Column:
@@ -248,28 +250,29 @@ def _part(n: Column, salt: str) -> Column:
 
 
 def _large(filed: DataFrame, shard: int) -> DataFrame:
-    """k, bits, qp (parts of the nodes) of shards with more than shard nodes."""
-    return filed.groupBy("k", "bits").agg(F.count("*").alias("m")).where(F.col("m") > shard).select("k", "bits", F.ceil(F.col("m") / shard).cast("int").alias("qp"))
+    """cell, qp (parts of the nodes) of shards with more than shard nodes."""
+    return filed.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > shard).select("cell", F.ceil(F.col("m") / shard).cast("int").alias("qp"))
 
 
 def _root_pairs(filed: DataFrame, large: DataFrame, chosen: Settings, similarity: float) -> DataFrame:
-    rows = filed.join(large, ["k", "bits"], "left").withColumn("q", F.when(F.col("qp").isNull(), 0).otherwise(_part(F.col("qp"), "q"))).withColumn("t", F.lit(0)).withColumn("side", F.lit(2).cast("byte"))
+    rows = filed.join(if_small(large), "cell", "left").withColumn("part", F.when(F.col("qp").isNull(), 0).otherwise(_part(F.col("qp"), "q")).cast("long")).withColumn("side", F.lit(2).cast("byte"))
     asked = map_arrow(_laid(rows), lambda it: _ask_roots(it, chosen.radius, similarity), "a bigint, b bigint, d bigint")
-    nearest = asked.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    # a node has a row for each of its keys at most
+    nearest = asked.groupBy("a").agg(F.collect_set(F.struct("d", "b")).alias("m")).select("a", F.explode(F.slice(F.sort_array("m"), 1, NEAREST)["b"]).alias("b"))
     return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _tree_pairs(filed: DataFrame, large: DataFrame, chosen: Settings, similarity: float, shard: int) -> DataFrame:
-    inside = filed.join(large, ["k", "bits"]).groupBy("k", "bits", "label", "qp").agg(F.count("*").alias("m"))
-    top = inside.groupBy("k", "bits", "qp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"))
-    split = top.select("k", "bits", "qp", F.col("top.label").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.m")) / shard)).cast("int").alias("tp"))
-    rows = filed.join(split, ["k", "bits"], "left")
-    small = rows.where("qp IS NULL").withColumn("q", F.lit(0)).withColumn("t", F.lit(0)).withColumn("side", F.lit(2).cast("byte"))
-    big = rows.where("qp IS NOT NULL")
+    inside = filed.join(if_small(large), "cell").groupBy("cell", "label", "qp").agg(F.count("*").alias("m"))
+    top = inside.groupBy("cell", "qp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"))
+    split = written(top.select("cell", "qp", F.col("top.label").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.m")) / shard)).cast("int").alias("tp")), "split")
+    small = filed.join(if_small(split.select("cell")), "cell", "left_anti").withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(2).cast("byte"))
+    big = filed.join(if_small(split), "cell")
+    part = (F.shiftleft(F.col("q").cast("long"), 32) + F.col("t")).alias("part")
     # of a large shard: each node asks every part of the trees, and each part of the trees goes to every part of the nodes
     asks = big.withColumn("q", _part(F.col("qp"), "q")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tp") - 1))).withColumn("side", F.lit(1).cast("byte"))
     trees = big.where("label <> top").withColumn("t", _part(F.col("tp"), "t")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qp") - 1))).withColumn("side", F.lit(0).cast("byte"))
-    laid = _laid(small.select(*_ROW).unionByName(asks.select(*_ROW)).unionByName(trees.select(*_ROW)))
+    laid = _laid(small.select(*_ROW).unionByName(asks.withColumn("part", part).select(*_ROW)).unionByName(trees.withColumn("part", part).select(*_ROW)))
     return map_arrow(laid, lambda it: _search_trees(it, chosen, similarity), "a bigint, b bigint, d bigint").select("a", "b").distinct()
 
 
@@ -285,20 +288,20 @@ def _checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, similarity: f
                 yield pa.record_batch([b.column(0), lists], names=["node", "items"])
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = bodies.join(needed, "node", "left_semi")
-    texts = docs.select(F.xxhash64(text).alias("body"), F.col(text).cast("binary").alias("text")).join(wanted, "body").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = written(bodies.join(needed, "node", "left_semi"), "wanted")
+    texts = docs.select(F.xxhash64(text).alias("body"), F.col(text).cast("binary").alias("text")).join(if_small(wanted), "body").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(map_arrow(texts.select("node", "text"), run, "node bigint, items array<bigint>"), "sets", regroup=False)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
     out = written(common.where(F.col("common") >= F.lit(similarity) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select("a", "b"), "confirmed")
-    discard(sets)
+    discard(sets, wanted)
     return out
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """key, body, label (the same for all rows that links of at least this similarity connect)."""
     rows = written(_sketched(docs, shingle, text, key), "sketched")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("body").alias("body")), "nodes")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("fp").alias("fp"), F.min("body").alias("body")), "nodes")
     chosen = settings(nodes.count(), similarity)
     bodies = nodes.select("body", "node")
     filed = written(_filed(nodes.withColumn("label", F.col("node")), chosen), "filed", regroup=False)
