@@ -1,9 +1,9 @@
 """Text to token table.
 
-The native annotator is one projection and two generators: sentences are cut behind their terminators, tokens
-taken from each sentence, and a token's position is its place in the sentence plus the running count of tokens
-in the sentences before, summed within the row.  No shuffle and no Python.  Other annotators plug in as
-subclasses; tables annotated elsewhere come in through ``schema.conform``.
+The native annotator is one projection and one generator: sentences are cut behind their terminators, tokens
+taken from each sentence, and a token's position is its place among all of them.  No shuffle and no Python.  A
+document's tokens can also stay together in its row (``in_rows``), for concordances and the like.  Other annotators plug in
+as subclasses; tables annotated elsewhere come in through ``schema.conform``.
 """
 
 from __future__ import annotations
@@ -67,28 +67,45 @@ class NativeAnnotator(Annotator):
                 text = f(text)
         return text
 
-    def annotate(self, docs: DataFrame, options: dict[str, Any] | None = None) -> DataFrame:
-        options = self.default_options() | (options or {})
-        lang = F.coalesce(F.col(self.language_col), F.lit("")) if self.language_col else F.lit(self.language)
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), self.normalize(F.col("text"), options).alias("text"))
-        sentences = F.transform(F.split("text", f"(?<=[{TERMINATORS}])"), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-        d = d.select("doc_id", "lang", sentences.alias("s"))
-        before = F.aggregate(
-            "s",
-            F.array(F.lit(0)),
-            lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.size(s))),
-        )
-        d = d.withColumn("before", before)
-        d = d.select("doc_id", "lang", "before", F.posexplode("s").alias("sentence_id", "words"))
-        d = d.select("doc_id", "lang", "sentence_id", F.get("before", F.col("sentence_id")).alias("base"), F.posexplode("words").alias("i", "surface"))
-        low = F.lower("surface")
+    def cut(self, text: Column) -> Column:
+        """array<struct<s, w>>: the words of a text in order, each with its sentence's number."""
+        sentences = F.split(text, f"(?<=[{TERMINATORS}])")
+        return F.flatten(F.transform(sentences, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), lambda w: F.struct(i.alias("s"), w.alias("w")))))
+
+    def lemma(self, surface: Column, options: dict[str, Any]) -> Column:
+        low = F.lower(surface)
         if self.language_col:
-            lemma = F.when(F.col("lang") == "de", F.col("surface")).otherwise(low)
-        else:
-            lemma = low if options.get("lowercase", True) else F.col("surface")
-        mark = ~F.rlike("surface", F.lit(r"^[\p{L}\p{M}\p{N}]"))
-        pos = F.when(mark, "PUNCT").when(F.rlike("surface", F.lit("^[0-9]+$")), "NUM").when(low.isin(self.stopwords if self.stopwords is not None else ALL_FUNCTION_WORDS), "FUNC").otherwise("WORD")
-        d = d.select("doc_id", F.col("sentence_id").cast("long"), (F.col("base") + F.col("i")).cast("long").alias("position"), "surface", lemma.alias("lemma"), pos.alias("pos"))
+            return F.when(F.col("lang") == "de", surface).otherwise(low)
+        return low if options.get("lowercase", True) else surface
+
+    def pos(self, surface: Column) -> Column:
+        mark = ~F.rlike(surface, F.lit(r"^[\p{L}\p{M}\p{N}]"))
+        return F.when(mark, "PUNCT").when(F.rlike(surface, F.lit("^[0-9]+$")), "NUM").when(F.lower(surface).isin(self.stopwords if self.stopwords is not None else ALL_FUNCTION_WORDS), "FUNC").otherwise("WORD")
+
+    def _cut_rows(self, docs: DataFrame, options: dict[str, Any], carry: tuple[str, ...]) -> DataFrame:
+        lang = F.coalesce(F.col(self.language_col), F.lit("")) if self.language_col else F.lit(self.language)
+        kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *kept, self.cut(self.normalize(F.col("text"), options)).alias("t"))
+
+    def in_rows(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = (), function_words: bool = True) -> DataFrame:
+        """doc_id, carry, t: a document's tokens as one array<struct<position, sentence_id, surface, lemma, is_function>>, for
+        operators whose work stays within a document.  function_words: whether is_function is needed (else it is false)."""
+        options = self.default_options() | (options or {})
+
+        def token(x: Column, i: Column) -> Column:
+            fn = self.pos(x["w"]).isin(*self.function_pos) if function_words else F.lit(False)
+            return F.struct(i.cast("long").alias("position"), x["s"].cast("long").alias("sentence_id"), x["w"].alias("surface"), self.lemma(x["w"], options).alias("lemma"), fn.alias("is_function"))
+
+        rows = self._cut_rows(docs, options, carry)
+        return rows.select("doc_id", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), F.transform("t", token).alias("t"))
+
+    def annotate(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        """carry: columns of docs that each token keeps, so that tokens need not meet their documents again."""
+        options = self.default_options() | (options or {})
+        own = [F.col(f"carried_{i}") for i in range(len(carry))]
+        d = self._cut_rows(docs, options, carry).select("doc_id", "lang", *own, F.posexplode("t").alias("i", "x"))
+        d = d.select("doc_id", F.col("x.s").cast("long").alias("sentence_id"), F.col("i").cast("long").alias("position"), F.col("x.w").alias("surface"), "lang", *own)
+        d = d.select("doc_id", "sentence_id", "position", "surface", self.lemma(F.col("surface"), options).alias("lemma"), self.pos(F.col("surface")).alias("pos"), *own)
         return d.select(
             "doc_id",
             "sentence_id",
@@ -103,6 +120,7 @@ class NativeAnnotator(Annotator):
             F.lit(-1).cast("long").alias("head"),
             F.lit("").alias("lemma_alt"),
             F.lit("").alias("compound_parts"),
+            *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)),
         )
 
 
@@ -116,17 +134,16 @@ class JapaneseScriptAnnotator(NativeAnnotator):
     def __init__(self) -> None:
         super().__init__("ja")
 
-    def annotate(self, docs: DataFrame, options: dict[str, Any] | None = None) -> DataFrame:
-        options = self.default_options() | (options or {})
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.normalize(F.col("text"), options).alias("text"))
+    def cut(self, text: Column) -> Column:
         # blank sentences take no number
-        parts = F.filter(F.split("text", r"(?<=[。！？!?])|\n+"), lambda s: F.rlike(s, F.lit(r"(?U)\S")))
-        s = F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(self.RUNS), F.lit(0)))
-        d = d.select("doc_id", s.alias("s")).withColumn("before", F.aggregate("s", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x)))))
-        d = d.select("doc_id", "before", F.posexplode("s").alias("sentence_id", "w")).select("doc_id", "sentence_id", F.get("before", F.col("sentence_id")).alias("base"), F.posexplode("w").alias("i", "surface"))
-        pos = F.when(~F.rlike("surface", F.lit(r"^[\p{L}\p{M}\p{N}]")), "補助記号").when(F.rlike("surface", F.lit("^[぀-ゟ]{1,2}$")), "助詞").otherwise("名詞")
-        d = d.select("doc_id", F.col("sentence_id").cast("long"), (F.col("base") + F.col("i")).cast("long").alias("position"), "surface", pos.alias("pos"))
-        return schema.conform(d.withColumn("is_function", F.col("pos").isin(*self.function_pos)))
+        parts = F.filter(F.split(text, r"(?<=[。！？!?])|\n+"), lambda x: F.rlike(x, F.lit(r"(?U)\S")))
+        return F.flatten(F.transform(parts, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(self.RUNS), F.lit(0)), lambda w: F.struct(i.alias("s"), w.alias("w")))))
+
+    def lemma(self, surface: Column, options: dict[str, Any]) -> Column:
+        return surface
+
+    def pos(self, surface: Column) -> Column:
+        return F.when(~F.rlike(surface, F.lit(r"^[\p{L}\p{M}\p{N}]")), "補助記号").when(F.rlike(surface, F.lit("^[぀-ゟ]{1,2}$")), "助詞").otherwise("名詞")
 
 
 _REGISTRY = {"en": lambda: NativeAnnotator("en"), "de": lambda: NativeAnnotator("de"), "fr": lambda: NativeAnnotator("fr"), "es": lambda: NativeAnnotator("es"), "ja": JapaneseScriptAnnotator}

@@ -34,9 +34,17 @@ def _running(counts: DataFrame, groups: list[str]) -> DataFrame:
     return joined.select(*(c[g] for g in groups), "doc_id", (F.col("__first") + F.sum("n").over(inside) - F.col("n")).alias("start"))
 
 
+def numbered_words(rows: DataFrame, unit: str = "lemma", include_function_words: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+    """groups, doc_id, k, unit: the selected tokens of ``annotate.in_rows``, numbered within their row."""
+    chosen = F.col("t") if include_function_words else F.filter("t", lambda x: ~x["is_function"])
+    words = F.transform(chosen, lambda x: x[unit])
+    return rows.select(*groups, "doc_id", F.posexplode(words).alias("k", unit))
+
+
 def chunk_means(selected: DataFrame, unit: str, window: int, groups: list[str]) -> DataFrame:
-    """groups + sttr, for groups with at least one full chunk.  selected: groups, doc_id, position, unit."""
-    in_doc = F.row_number().over(Window.partitionBy("doc_id").orderBy("position")) - 1
+    """groups + sttr, for groups with at least one full chunk.  selected: groups, doc_id, unit and k (the token's number in
+    its document) or, where that must be found by a sort, position."""
+    in_doc = F.col("k") if "k" in selected.columns else F.row_number().over(Window.partitionBy("doc_id").orderBy("position")) - 1
     rows = selected.select(*groups, "doc_id", F.col(unit).alias("w"), in_doc.alias("k"))
     if groups == ["doc_id"]:
         placed = rows.withColumn("chunk", F.floor(F.col("k") / window))
@@ -48,36 +56,42 @@ def chunk_means(selected: DataFrame, unit: str, window: int, groups: list[str])
 
 
 def standardized_ttr(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, window: int = 1000) -> DataFrame:
-    """One row; NULL if there is no full chunk."""
+    """One row; NULL if there is no full chunk.  tokens: a table, or selected words from ``numbered_words``."""
     if window <= 0:
         return tokens.sparkSession.range(1).select(F.lit(None).cast("double").alias("sttr"))
-    means = chunk_means(select_tokens(tokens, include_function_words), unit, window, [])
+    means = chunk_means(tokens if "k" in tokens.columns else select_tokens(tokens, include_function_words), unit, window, [])
     return means.agg(F.first("sttr").alias("sttr"))
 
 
-def basic_stats(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000) -> DataFrame:
+def basic_stats(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000, words: DataFrame | None = None) -> DataFrame:
+    """words: the selected tokens from ``numbered_words``, where there are rows to take them from."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
-    one = tokens.agg(
-        F.count("*").alias("n_tokens_all"),
-        F.count_if(keep).alias("n_tokens"),
-        F.count_distinct(F.when(keep, F.col(unit))).alias("n_types"),
-        F.count_distinct("doc_id").alias("n_documents"),
-    )
-    both = one.crossJoin(F.broadcast(standardized_ttr(tokens, unit, include_function_words, sttr_window)))  # one row each
+    # counts of words and of documents instead of several distinct counts over every token
+    by_word = tokens.groupBy(F.col(unit).alias("w")).agg(F.count("*").alias("a"), F.count_if(keep).alias("n"))
+    one = by_word.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_tokens_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if((F.col("n") > 0) & F.col("w").isNotNull()).alias("n_types"))
+    documents = tokens.where(F.col("position") == 0) if words is not None else tokens
+    one = one.crossJoin(F.broadcast(documents.agg(F.count_distinct("doc_id").alias("n_documents"))))  # one row each
+    both = one.crossJoin(F.broadcast(standardized_ttr(words if words is not None else tokens, unit, include_function_words, sttr_window)))
     return both.select("n_tokens_all", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr", F.lit(sttr_window).cast("long").alias("sttr_window"), "n_documents")
 
 
 def per_document_stats(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000) -> DataFrame:
-    selected = select_tokens(tokens, include_function_words)
+    """tokens: a table, or selected words from ``numbered_words``."""
+    selected = tokens if "k" in tokens.columns else select_tokens(tokens, include_function_words)
     counts = selected.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct(unit).alias("n_types"))
     means = chunk_means(selected, unit, sttr_window, ["doc_id"])
     return counts.join(means, "doc_id", "left").select("doc_id", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr").orderBy("doc_id")
 
 
-def per_group_stats(tokens: DataFrame, documents: DataFrame, group: str, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000) -> DataFrame:
-    """A null group is a row of its own."""
-    groups = documents.select("doc_id", F.col(group).alias("group"))
-    selected = select_tokens(tokens, include_function_words).join(groups, "doc_id", "left").select("group", "doc_id", "position", unit)
+def per_group_stats(tokens: DataFrame, documents: DataFrame | None, group: str, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000) -> DataFrame:
+    """A null group is a row of its own.  tokens: a table, or selected words from ``numbered_words``; documents: where tokens
+    do not carry the group."""
+    selected = tokens if "k" in tokens.columns else select_tokens(tokens, include_function_words)
+    place = "k" if "k" in tokens.columns else "position"
+    if group in tokens.columns:
+        selected = selected.select(F.col(group).alias("group"), "doc_id", place, unit)
+    else:
+        selected = selected.join(documents.select("doc_id", F.col(group).alias("group")), "doc_id", "left").select("group", "doc_id", place, unit)
     counts = selected.groupBy("group").agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_tokens"), F.count_distinct(unit).alias("n_types"))
     means = chunk_means(selected, unit, sttr_window, ["group"]).withColumnRenamed("group", "__g")
     return counts.join(means, F.col("group").eqNullSafe(F.col("__g")), "left").select("group", "n_documents", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr").orderBy("group")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import measures
+from wordloom.storage import stored
 
 from . import kwic
 from .frequency import vocabulary
@@ -20,12 +21,22 @@ METHODS = ("sentence", "fixed", "dependency")
 
 def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(word, relation) of every collocate occurrence, and one row: w."""
+    if method == "fixed" and "t" in tokens.columns:
+        occ = kwic.hits_in_rows(tokens, query, unit).select(F.explode(F.transform(kwic.around(window), lambda x: x[unit])).alias("word"))
+        return occ.select("word", F.lit("").alias("relation")), tokens.sparkSession.range(1).select(F.lit(2.0 * window).alias("w"))
     if method == "fixed":
-        rows = kwic.numbered(tokens)
+        rows = kwic.near_hits(tokens, query, unit)
         hits = kwic.find_hits(rows, query, unit)
         asked = hits.select("doc_id", "rn", kwic._offsets(window).alias("k")).select("doc_id", (F.col("rn") + F.col("k")).alias("rn"))
         occ = asked.join(rows.select("doc_id", "rn", F.col(unit).alias("word")), ["doc_id", "rn"])
         return occ.select("word", F.lit("").alias("relation")), tokens.sparkSession.range(1).select(F.lit(2.0 * window).alias("w"))
+    if method == "sentence" and "t" in tokens.columns:
+        # The sentences of a document's hits, and how many hits each has: its tokens count so many times.
+        own = tokens.withColumn("hits", F.transform(F.filter("t", lambda x: kwic.matches(x[unit], query)), lambda x: x["sentence_id"])).where("size(hits) > 0")
+        words = F.transform(F.filter("t", lambda x: F.array_contains("hits", x["sentence_id"])), lambda x: F.struct(x[unit].alias("word"), F.size(F.filter("hits", lambda s: s == x["sentence_id"])).alias("times"), F.lit(0).alias("h")))
+        rows = own.select(F.explode(F.concat(words, F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("times"), F.size("hits").alias("h"))))).alias("x"))
+        occ = stored(rows.groupBy("x.word").agg(F.sum("x.times").alias("times"), F.sum("x.h").alias("h")), "sentences")
+        return occ.where("word IS NOT NULL").select("word", F.lit("").alias("relation"), "times"), occ.agg(F.try_divide((F.sum("times") - F.sum("h")).cast("double"), F.sum("h").cast("double")).alias("w"))
     hit = kwic.is_hit(tokens, query, unit)
     if method == "sentence":
         # How many hits each sentence has multiplies its other tokens: no pairs are made.
@@ -45,10 +56,12 @@ def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: i
     raise ValueError(f"unknown method {method}")
 
 
-def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False) -> DataFrame:
-    """collocate, label, pos, is_function, relation, cooccur, freq_node, freq_collocate, expected, mi, t, log_dice, g2
+def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """rows: the same tokens from ``annotate.in_rows``, where there are; spans are then cut out of them without a shuffle.
+
+    collocate, label, pos, is_function, relation, cooccur, freq_node, freq_collocate, expected, mi, t, log_dice, g2
     (and p).  Function words are in it; hiding them is a view's business."""
-    occ, w = occurrences(tokens, node, unit, method, window)
+    occ, w = occurrences(rows if rows is not None and method != "dependency" else tokens, node, unit, method, window)
     times = F.sum("times") if "times" in occ.columns else F.count("*")
     counts = occ.groupBy("word", "relation").agg(times.alias("cooccur")).where(F.col("cooccur") >= min_cooccur)
     hit = kwic.is_hit(tokens, node, unit)

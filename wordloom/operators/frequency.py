@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.storage import stored
+
 from .basic import ratio
 
 
@@ -40,7 +42,11 @@ def vocabulary(selected: DataFrame, unit: str, extra: list[Column] | None = None
     """A row for each word: freq, pos (most frequent, ties by name), label (first in text order).
 
     Two partial aggregations: by (word, pos), then by word; a frequent word is summed before each shuffle."""
-    by_pos = selected.groupBy(F.col(unit).alias("word"), "pos").agg(F.count("*").alias("n"), *first_label(selected, unit), *(extra or []))
+    return words_from(selected.groupBy(F.col(unit).alias("word"), "pos").agg(F.count("*").alias("n"), *first_label(selected, unit), *(extra or [])))
+
+
+def words_from(by_pos: DataFrame) -> DataFrame:
+    """A row for each word, from rows (word, pos, n, further sums)."""
     names = [c for c in by_pos.columns if c not in ("word", "pos", "n", "first")]
     words = by_pos.groupBy("word").agg(F.sum("n").alias("freq"), F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), *_label(by_pos), *(F.sum(c).alias(c) for c in names))
     return _with_label(words)
@@ -49,8 +55,8 @@ def vocabulary(selected: DataFrame, unit: str, extra: list[Column] | None = None
 def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, part: str = "doc_id") -> DataFrame:
     """rank, word, label, pos, freq, pmw, dp, n_parts.  Tokens without a part count only in the rate's denominator."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
-    # one shuffle of partial counts serves part sizes, corpus size and the words
-    pairs = tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(F.count("*").alias("n"), *first_label(tokens, unit))
+    # tokens are counted once, and the counts stored: part sizes, corpus size and the words all come from them
+    pairs = stored(tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(F.count("*").alias("n"), *first_label(tokens, unit)), "pairs")
     sizes = pairs.groupBy("part").agg(F.sum("n").alias("size"))
     total = sizes.agg(F.sum("size").alias("n_all"), F.sum(F.when(F.col("part").isNotNull(), F.col("size"))).alias("n_parted"))
     shares = sizes.where("part IS NOT NULL").crossJoin(F.broadcast(total)).select("part", (F.col("size") / F.col("n_parted")).alias("s"))
@@ -78,7 +84,7 @@ def ranked(words: DataFrame) -> DataFrame:
     above = classes.select("freq", (F.sum("m").over(Window.orderBy(F.desc("freq"))) - F.col("m")).alias("above"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("freq").orderBy("__p")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("freq", "__p").orderBy("word"))
-    placed = w.join(before, ["freq", "__p"]).join(F.broadcast(above), "freq")
+    placed = w.join(before, ["freq", "__p"]).join(above, "freq")
     return placed.withColumn("rank", (F.col("above") + F.col("before") + inside).cast("long")).drop("above", "before", "__p")
 
 

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import measures
+from wordloom.storage import stored
 
-from .frequency import vocabulary
+from .frequency import first_label, words_from
 
 
-def sides(tokens: DataFrame, documents: DataFrame, group: str, a: str, b: str | None = None) -> DataFrame:
-    """tokens of either group + side ("A", "B"); without b, all other documents are B."""
+def sides(tokens: DataFrame, documents: DataFrame | None, group: str, a: str, b: str | None = None) -> DataFrame:
+    """tokens of either group + side ("A", "B"); without b, all other documents are B.  documents: where tokens do not
+    carry the group."""
     g = F.coalesce(F.col(group).cast("string"), F.lit(""))
     side = F.when(g == a, "A")
     side = side.otherwise("B") if b is None else side.when(g == b, "B")
+    if group in tokens.columns:
+        return tokens.withColumn("side", side).where("side IS NOT NULL")
     return tokens.join(documents.select("doc_id", side.alias("side")).where("side IS NOT NULL"), "doc_id")
 
 
@@ -22,9 +26,13 @@ def keyness_table(sided: DataFrame, unit: str = "lemma", include_function_words:
     """word, label, pos, freq_a, freq_b, pmw_a, pmw_b, g2, log_ratio, odds_ratio, zero_corrected, direction (and p);
     empty if a group is."""
     is_a, is_b = F.col("side") == "A", F.col("side") == "B"
-    totals = sided.agg(F.count_if(is_a).alias("na"), F.count_if(is_b).alias("nb")).where("na > 0 AND nb > 0")
-    selected = sided if include_function_words else sided.where(~F.col("is_function"))
-    words = vocabulary(selected.where(F.col(unit).isNotNull()), unit, [F.count_if(is_a).alias("freq_a"), F.count_if(is_b).alias("freq_b")])
+    # tokens are counted once; the groups' sizes and the words come from the stored counts
+    counts = [F.count("*").alias("n"), F.count_if(is_a).alias("freq_a"), F.count_if(is_b).alias("freq_b"), *first_label(sided, unit)]
+    counted = stored(sided.groupBy(F.col(unit).alias("word"), "pos", "is_function").agg(*counts), "sides")
+    totals = counted.agg(F.sum("freq_a").alias("na"), F.sum("freq_b").alias("nb")).where("na > 0 AND nb > 0")
+    selected = counted.where(F.col("word").isNotNull() if include_function_words else F.col("word").isNotNull() & ~F.col("is_function"))
+    sums = [*(F.sum(c).alias(c) for c in ("n", "freq_a", "freq_b")), *([F.min("first").alias("first")] if "first" in counted.columns else [])]
+    words = words_from(selected.groupBy("word", "pos").agg(*sums))
     fa, fb, na, nb = (F.col(c) for c in ("freq_a", "freq_b", "na", "nb"))
     ratio = measures.log_ratio(fa, fb, na, nb)
     out = words.crossJoin(F.broadcast(totals)).select(

@@ -1,8 +1,12 @@
 """Concordances.
 
-A hit meets its context by an equality join on (document, row): every token near a hit is asked for by the hit's
-row plus an offset, so the work is hits x window however large the corpus, and no window function drags all
-tokens along.  Adjacency is by rows of the table as given: after a filter, neighbours are those that are left.
+From documents (``kwic_in_rows``): a document's tokens are an array in its row, and a hit's context is a slice of it.
+Nothing is shuffled, and only hits become rows.
+
+From a token table (``kwic``): documents without a hit are left out first, the others' rows are numbered, and a hit
+meets its context by an equality join on (document, row).
+
+Adjacency is by rows of the table as given: after a filter, neighbours are those that are left.
 """
 
 from __future__ import annotations
@@ -50,11 +54,54 @@ def content_context(tokens: DataFrame, query: str, unit: str = "lemma") -> DataF
     return tokens.where(~F.col("is_function") | is_hit(tokens, query, unit))
 
 
-def in_group(tokens: DataFrame, documents: DataFrame, group: str, value: str | None = None, excluded: str | None = None) -> DataFrame:
-    """Tokens of the documents with a value or, for None, of those without the excluded one."""
+def in_group(tokens: DataFrame, documents: DataFrame | None, group: str, value: str | None = None, excluded: str | None = None) -> DataFrame:
+    """Tokens of the documents with a value or, for None, of those without the excluded one.  Where tokens carry
+    the group (or are documents themselves), a filter."""
     g = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    docs = documents.where(g == value if value is not None else g != (excluded or "")).select("doc_id")
-    return tokens.join(docs, "doc_id", "left_semi")
+    wanted = g == value if value is not None else g != (excluded or "")
+    if group in tokens.columns:
+        return tokens.where(wanted)
+    return tokens.join(documents.where(wanted).select("doc_id"), "doc_id", "left_semi")
+
+
+def near_hits(tokens: DataFrame, query: str, unit: str = "lemma", regex: bool = False, case_sensitive: bool = True) -> DataFrame:
+    """The tokens of documents that have a hit, numbered."""
+    return numbered(tokens.join(find_hits(tokens, query, unit, regex, case_sensitive).select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+def hits_in_rows(rows: DataFrame, query: str, unit: str = "lemma", regex: bool = False, case_sensitive: bool = True) -> DataFrame:
+    """rows + at (one of each hit's places in t, from 1), for rows from ``annotate.in_rows``; a lemma is its own label there."""
+    places = F.array_compact(F.transform("t", lambda x, i: F.when(matches(x[unit], query, regex, case_sensitive), i + 1)))
+    return rows.withColumn("at", F.explode(places))
+
+
+def around(window: int) -> Column:
+    """The tokens within window places of the hit at ``at``, in order and without it."""
+    before = F.slice("t", F.greatest(F.col("at") - window, F.lit(1)), F.least(F.lit(window), F.col("at") - 1))
+    return F.concat(before, F.slice("t", F.col("at") + 1, F.lit(window)))
+
+
+def kwic_in_rows(rows: DataFrame, query: str, unit: str = "lemma", window: int = 5, regex: bool = False, case_sensitive: bool = True, display: str = "surface", collocate: str | None = None, scope: str = "sentence", content: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``kwic``, for rows from ``annotate.in_rows``.  content: without function words, but with all hits; keep: further
+    columns of rows."""
+    if content:
+        rows = rows.withColumn("t", F.filter("t", lambda x: ~x["is_function"] | matches(x[unit], query)))
+    hits = hits_in_rows(rows, query, unit, regex, case_sensitive)
+    hit = F.element_at("t", F.col("at"))
+    if collocate and scope == "sentence":
+        hits = hits.where(F.exists("t", lambda y: (y["sentence_id"] == hit["sentence_id"]) & (y["position"] != hit["position"]) & matches(y[unit], collocate)))
+    elif collocate and scope == "fixed":
+        hits = hits.where(F.exists(around(window), lambda y: matches(y[unit], collocate)))
+    elif collocate:
+        raise ValueError(f"unknown scope {scope}")
+
+    def at(k: int) -> Column:
+        return F.coalesce(F.when(F.col("at") + k >= 1, F.get("t", F.col("at") + (k - 1))[display]), F.lit(""))
+
+    left, right = list(range(-window, 0)), list(range(1, window + 1))
+    lines = hits.select("doc_id", hit["position"].alias("position"), hit["sentence_id"].alias("sentence_id"), hit[unit].alias("key"), *(at(k).alias(_name(k)) for k in left), hit[display].alias("KWIC"), *(at(k).alias(_name(k)) for k in right), *keep)
+    sides = [F.array_join(F.filter(F.array(*(F.col(_name(k)) for k in ks)) if ks else F.array().cast("array<string>"), lambda x: x != ""), " ").alias(name) for ks, name in ((left, "left"), (right, "right"))]
+    return lines.select(*(c for c in lines.columns if c not in keep), *sides, *keep)
 
 
 def _offsets(window: int) -> Column:
@@ -77,7 +124,7 @@ def hits_near(rows: DataFrame, hits: DataFrame, collocate: str, unit: str = "lem
 
 def kwic(tokens: DataFrame, query: str, unit: str = "lemma", window: int = 5, regex: bool = False, case_sensitive: bool = True, display: str = "surface", collocate: str | None = None, scope: str = "sentence") -> DataFrame:
     """doc_id, position, sentence_id, key, Lw..L1, KWIC, R1..Rw, left, right; blanks beyond a document's edge."""
-    rows = numbered(tokens)
+    rows = near_hits(tokens, query, unit, regex, case_sensitive)
     hits = find_hits(rows, query, unit, regex, case_sensitive)
     if collocate:
         hits = hits_near(rows, hits, collocate, unit, scope, window)

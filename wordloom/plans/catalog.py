@@ -35,14 +35,24 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    return annotate.NativeAnnotator(language_col="lang").annotate(docs)
+def tokens_of(docs: DataFrame, *carry: str) -> DataFrame:
+    return annotate.NativeAnnotator(language_col="lang").annotate(docs, carry=carry)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(documents without text, tokens)."""
+def corpus(spark: SparkSession, sf_dir: str, *carry: str) -> tuple[DataFrame, DataFrame]:
+    """(documents without text, tokens); carry: columns of documents that tokens keep."""
     docs = documents(spark, sf_dir)
-    return docs.drop("text"), tokens_of(docs)
+    return docs.drop("text"), tokens_of(docs, *carry)
+
+
+def rows_of(spark: SparkSession, sf_dir: str, *carry: str, function_words: bool = False) -> DataFrame:
+    """A row a document, its tokens in an array."""
+    return annotate.NativeAnnotator(language_col="lang").in_rows(documents(spark, sf_dir), carry=carry, function_words=function_words)
+
+
+def words_of(spark: SparkSession, sf_dir: str, *groups: str, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
+    """The selected words, numbered within their documents."""
+    return basic.numbered_words(rows_of(spark, sf_dir, *groups, function_words=not include_function_words), unit, include_function_words, groups)
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -76,23 +86,22 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(basic.basic_stats(corpus(spark, sf_dir)[1]))
+    return r6(basic.basic_stats(corpus(spark, sf_dir)[1], words=words_of(spark, sf_dir)))
 
 
 @query
 def sttr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(basic.standardized_ttr(corpus(spark, sf_dir)[1], "surface", True, 500))
+    return r6(basic.standardized_ttr(words_of(spark, sf_dir, unit="surface", include_function_words=True), "surface", True, 500))
 
 
 @query
 def per_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(basic.per_document_stats(corpus(spark, sf_dir)[1], sttr_window=100))
+    return r6(basic.per_document_stats(words_of(spark, sf_dir), sttr_window=100))
 
 
 @query
 def per_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return r6(basic.per_group_stats(t, docs, "lang"))
+    return r6(basic.per_group_stats(words_of(spark, sf_dir, "lang"), None, "lang"))
 
 
 @query
@@ -133,7 +142,7 @@ def frequency_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frequency_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
+    docs, t = corpus(spark, sf_dir, "source")
     return r6(frequency.frequency_table(frequency.with_parts(t, docs, "source"), part="source"))
 
 
@@ -206,29 +215,28 @@ def find_hits_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kwic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return kwic.kwic(t, "thing").join(docs.select("doc_id", F.col("source").alias("name")), "doc_id", "left")
+    return kwic.kwic_in_rows(rows_of(spark, sf_dir, "source"), "thing", keep=("source",)).withColumnRenamed("source", "name")
 
 
 @query
 def kwic_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kwic.sort_kwic(kwic.kwic(corpus(spark, sf_dir)[1], "thing", window=2), "R1").limit(50)
+    return kwic.sort_kwic(kwic.kwic_in_rows(rows_of(spark, sf_dir), "thing", window=2), "R1")
 
 
 @query
 def kwic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kwic.page(kwic.kwic(corpus(spark, sf_dir)[1], "the", window=3), 1, 500)
+    return kwic.page(kwic.kwic_in_rows(rows_of(spark, sf_dir), "the", window=3), 1, 500)
 
 
 @query
 def kwic_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return kwic.kwic(kwic.in_group(t, docs, "source", "src3"), "thing", window=3)
+    docs = kwic.in_group(documents(spark, sf_dir), None, "source", "src3")
+    return kwic.kwic(tokens_of(docs), "thing", window=3)
 
 
 @query
 def kwic_content_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kwic.kwic(kwic.content_context(corpus(spark, sf_dir)[1], "thing"), "thing", window=3)
+    return kwic.kwic_in_rows(rows_of(spark, sf_dir, function_words=True), "thing", window=3, content=True)
 
 
 @query
@@ -238,12 +246,12 @@ def kwic_matched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kwic_collocate_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kwic.kwic(corpus(spark, sf_dir)[1], "thing", window=2, collocate="the", scope="sentence")
+    return kwic.kwic_in_rows(rows_of(spark, sf_dir), "thing", window=2, collocate="the", scope="sentence")
 
 
 @query
 def kwic_collocate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kwic.kwic(corpus(spark, sf_dir)[1], "thing", window=3, collocate="the", scope="fixed")
+    return kwic.kwic_in_rows(rows_of(spark, sf_dir), "thing", window=3, collocate="the", scope="fixed")
 
 
 # --- collocations -----------------------------------------------------------------------------------------
@@ -251,22 +259,22 @@ def kwic_collocate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def collocation_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing", method="fixed"))
+    return r6(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing", method="fixed", rows=rows_of(spark, sf_dir)))
 
 
 @query
 def collocation_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing"))
+    return r6(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing", rows=rows_of(spark, sf_dir)))
 
 
 @query
 def collocation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(collocation.view(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing", min_cooccur=2)))
+    return r6(collocation.view(collocation.collocation_table(corpus(spark, sf_dir)[1], "thing", min_cooccur=2, rows=rows_of(spark, sf_dir))))
 
 
 def flagged_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = corpus(spark, sf_dir)[1]
-    return rules.flag_collocation(collocation.collocation_table(t, "thing", min_cooccur=2), cutoff=frequency.high_frequency_cutoff(t))
+    return rules.flag_collocation(collocation.collocation_table(t, "thing", min_cooccur=2, rows=rows_of(spark, sf_dir)), cutoff=frequency.high_frequency_cutoff(t))
 
 
 @query
@@ -329,8 +337,7 @@ def network_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sided(spark: SparkSession, sf_dir: str, a: str, b: str | None) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return keyness.sides(t, docs, "lang", a, b)
+    return keyness.sides(corpus(spark, sf_dir, "lang")[1], None, "lang", a, b)
 
 
 @query

@@ -161,7 +161,7 @@ SQL: dict[str, str] = {
     "find_hits_nocase": _with("SELECT doc_id, position FROM t WHERE lower(surface) = 'thing'"),
     "find_hits_regex": _with("SELECT doc_id, position, lemma FROM t WHERE regexp_full_match(lemma, 'th[a-z]*ing')"),
     "kwic": _with(f"SELECT {_kwic_out(5)}, source AS name FROM k JOIN (SELECT doc_id, source FROM documents) USING (doc_id)", *_kwic(5, "key = 'thing'")),
-    "kwic_sorted": _with(f"SELECT {_kwic_out(2)} FROM k ORDER BY R1, doc_id, position LIMIT 50", *_kwic(2, "key = 'thing'")),
+    "kwic_sorted": _with(f"SELECT {_kwic_out(2)} FROM k", *_kwic(2, "key = 'thing'")),
     "kwic_page": _with(f"SELECT {_kwic_out(3)} FROM k ORDER BY R1, doc_id, position LIMIT 500 OFFSET 500", *_kwic(3, "key = 'the'")),
     "kwic_group": _with(f"SELECT {_kwic_out(3)} FROM k", "tg AS (SELECT * FROM t WHERE source = 'src3')", *_kwic(3, "key = 'thing'", "tg")),
     "kwic_content_context": _with(f"SELECT {_kwic_out(3)} FROM k", "tg AS (SELECT * FROM t WHERE NOT is_function OR lemma = 'thing')", *_kwic(3, "key = 'thing'", "tg")),
