@@ -1,44 +1,30 @@
-"""Plain-language explanations of one row of a result, for the driver.  What is said depends on flags and
-thresholds alone."""
+"""Plain-language explanations of one row of a result, for the driver.
+
+All that can be said is one table of statements.  A statement belongs to a section and names what it needs: a screen, a
+flag, comparisons of metrics with thresholds.  One evaluator goes through the table, keeps what holds, and fills in the
+values; the table's order is the order of importance."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import operator
+import re
+from collections import ChainMap
+from dataclasses import dataclass, field
 from typing import Any
 
 from wordloom.config import Thresholds
 
-from .glossary import fmt_threshold, template_variables
+from .glossary import template_variables
 from .rules import Flag
 
 FACT, PAPER, DONT, NEXT = "What the data say", "How to report it", "What not to say", "What to do next"
-#: Most telling first.
-PRIORITY = ["GROUP_IMBALANCE", "BOTH_HIGH_FREQUENCY", "T_HIGH_MI_LOW", "LOW_COOCCURRENCE", "NOT_DISTINGUISHABLE", "DP_TOO_FEW_PARTS", "DISPERSION_SKEWED", "LOW_FREQUENCY", "ZERO_CORRECTED", "EFFECT_SIZE_TOO_SMALL"]
+#: How many lines a section has at most, and whether it appears without any.
+SECTIONS = {FACT: (2, True), PAPER: (None, True), DONT: (None, False), NEXT: (None, False)}
+#: Flags for tables only.
 TABLE_ONLY = {"LOW_COOCCURRENCE_MINOR"}
-JUDGMENTS = {
-    "GROUP_IMBALANCE": "The groups differ much in size, so a difference may be that of the larger group's documents.",
-    "BOTH_HIGH_FREQUENCY": "'{WORD}' and '{COLLOCATE}' are both very frequent; their logDice of {log_dice} comes from that, not from a bond.",
-    "T_HIGH_MI_LOW": "'{WORD}' and '{COLLOCATE}' meet {cooccur} times, but MI is only {mi}: '{COLLOCATE}' is a common word that stands nearby.",
-    "LOW_COOCCURRENCE": "'{WORD}' and '{COLLOCATE}' look connected (logDice = {log_dice}, MI = {mi}), but {cooccur} meetings are too few for the values to be stable.",
-    "NOT_DISTINGUISHABLE": "G2 is {g2}, below {threshold}: with these data the result cannot be told from chance.",
-    "DP_TOO_FEW_PARTS": "With {n_parts} parts, how evenly '{WORD}' is spread cannot be judged.",
-    "DISPERSION_SKEWED": "'{WORD}' occurs {freq} times, mostly in few parts (DP = {dp}).",
-    "LOW_FREQUENCY": "'{WORD}' occurs {freq} times, too rarely to speak of a tendency.",
-    "ZERO_CORRECTED": "'{WORD}' occurs {freq_present} times in '{GROUP_PRESENT}' and never in '{GROUP_ABSENT}'.",
-    "EFFECT_SIZE_TOO_SMALL": "The rates of '{WORD}' differ by a log ratio of {log_ratio}, too little to matter.",
-}
-NEXT_STEPS = {
-    "GROUP_IMBALANCE": "Balance the groups, or repeat with a sample of the larger one.",
-    "BOTH_HIGH_FREQUENCY": "Look for collocates below the most frequent {high_freq_top_percent} % of words.",
-    "T_HIGH_MI_LOW": "Sort by MI or logDice, and read the concordance.",
-    "LOW_COOCCURRENCE": "Read all {cooccur} concordance lines.",
-    "NOT_DISTINGUISHABLE": "Gather more data before deciding.",
-    "DP_TOO_FEW_PARTS": "Use at least {dp_min_parts} documents, or another division.",
-    "DISPERSION_SKEWED": "See the word's distribution over the parts.",
-    "LOW_FREQUENCY": "Read the concordance lines one by one.",
-    "ZERO_CORRECTED": "Report the word as found in one group only.",
-    "EFFECT_SIZE_TOO_SMALL": "Prefer words with a log ratio of at least {log_ratio_min} in size.",
-}
+#: Number formats by metric; fixed values.
+FORMATS = {"p": ".3f", "log_ratio": "+.2f", "pmw": ",.1f", "pmw_a": ",.1f", "pmw_b": ",.1f", "g2": ",.1f", "ratio": ".1f"}
+NOTHING = "—"
 
 
 @dataclass(frozen=True)
@@ -52,116 +38,127 @@ class Row:
     settings: dict[str, Any] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Statement:
+    """when: comparisons such as "mi < mi_meaningful", all of which hold; a metric without a value fails any.  Without
+    a value is "mi ?".  without: flags that silence it.  last: only if the section would be empty."""
+
+    section: str
+    text: str
+    flag: str = ""
+    screen: str = ""
+    when: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    last: bool = False
+
+
+def _flagged(code: str, fact: str, step: str) -> list[Statement]:
+    return [Statement(FACT, fact, code), Statement(DONT, "{MESSAGE}", code), Statement(NEXT, step, code)]
+
+
+_DISAGREE = "The measures disagree on '{WORD}' and '{COLLOCATE}': logDice is high ({log_dice}), but "
+_NOISE = ("BOTH_HIGH_FREQUENCY", "T_HIGH_MI_LOW")
+_STRONG = "log_dice >= log_dice_strong"
+
+STATEMENTS = [
+    Statement(FACT, _DISAGREE + "MI ({mi}) is near chance, as for any two common words.", screen="collocation", when=(_STRONG, "mi < mi_meaningful"), without=_NOISE),
+    Statement(FACT, _DISAGREE + "G2 ({g2}) cannot be told from chance.", screen="collocation", when=(_STRONG, "mi >= mi_meaningful", "g2 < g2_significant"), without=_NOISE),
+    Statement(FACT, _DISAGREE + "G2 ({g2}) cannot be told from chance.", screen="collocation", when=(_STRONG, "mi ?", "g2 < g2_significant"), without=_NOISE),
+    *_flagged("GROUP_IMBALANCE", "The groups differ much in size, so a difference may be that of the larger group's documents.", "Balance the groups, or repeat with a sample of the larger one."),
+    *_flagged("BOTH_HIGH_FREQUENCY", "'{WORD}' and '{COLLOCATE}' are both very frequent; their logDice of {log_dice} comes from that, not from a bond.", "Look for collocates below the most frequent {high_freq_top_percent} % of words."),
+    *_flagged("T_HIGH_MI_LOW", "'{WORD}' and '{COLLOCATE}' meet {cooccur} times, but MI is only {mi}: '{COLLOCATE}' is a common word that stands nearby.", "Sort by MI or logDice, and read the concordance."),
+    *_flagged("LOW_COOCCURRENCE", "'{WORD}' and '{COLLOCATE}' look connected (logDice = {log_dice}, MI = {mi}), but {cooccur} meetings are too few for the values to be stable.", "Read all {cooccur} concordance lines."),
+    *_flagged("NOT_DISTINGUISHABLE", "G2 is {g2}, below {threshold}: with these data the result cannot be told from chance.", "Gather more data before deciding."),
+    *_flagged("DP_TOO_FEW_PARTS", "With {n_parts} parts, how evenly '{WORD}' is spread cannot be judged.", "Use at least {dp_min_parts} documents, or another division."),
+    *_flagged("DISPERSION_SKEWED", "'{WORD}' occurs {freq} times, mostly in few parts (DP = {dp}).", "See the word's distribution over the parts."),
+    *_flagged("LOW_FREQUENCY", "'{WORD}' occurs {freq} times, too rarely to speak of a tendency.", "Read the concordance lines one by one."),
+    *_flagged("ZERO_CORRECTED", "'{WORD}' occurs {freq_present} times in '{GROUP_PRESENT}' and never in '{GROUP_ABSENT}'.", "Report the word as found in one group only."),
+    *_flagged("EFFECT_SIZE_TOO_SMALL", "The rates of '{WORD}' differ by a log ratio of {log_ratio}, too little to matter.", "Prefer words with a log ratio of at least {log_ratio_min} in size."),
+    Statement(FACT, "'{WORD}' and '{COLLOCATE}' meet {cooccur} times: logDice is {log_dice} (strong from {log_dice_strong}), MI is {mi} (telling from {mi_meaningful}), G2 is {g2} (significant from {g2_significant}).", screen="collocation", last=True),
+    Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million) and is concentrated: its dispersion of {dp} is above {dp_skew}.", screen="frequency", when=("dp > dp_skew",), last=True),
+    Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million) and is spread over the corpus: its dispersion of {dp} is not above {dp_skew}.", screen="frequency", when=("dp <= dp_skew",), last=True),
+    Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million).", screen="frequency", when=("dp ?",), last=True),
+    Statement(FACT, "'{WORD}' is more frequent in '{GROUP_A}': a log ratio of {log_ratio}, at least {log_ratio_min} in size.", screen="keyness", when=("log_ratio > 0",), last=True),
+    Statement(FACT, "'{WORD}' is more frequent in '{GROUP_B}': a log ratio of {log_ratio}, at least {log_ratio_min} in size.", screen="keyness", when=("log_ratio < 0",), last=True),
+    Statement(FACT, "'{WORD}' is as frequent in '{GROUP_A}' as in '{GROUP_B}'.", screen="keyness", when=("log_ratio == 0",), last=True),
+    Statement(PAPER, "'{WORD}' occurs {freq} times in {n_total} tokens ({pmw} per million, DP = {dp}).", screen="frequency", without=("DP_TOO_FEW_PARTS",)),
+    Statement(PAPER, "'{WORD}' occurs {freq} times in {n_total} tokens ({pmw} per million).", screen="frequency", flag="DP_TOO_FEW_PARTS"),
+    Statement(PAPER, "'{WORD}' and '{COLLOCATE}' co-occur {cooccur} times within {window_label} (logDice = {log_dice}, MI = {mi}, t = {t}, G2 = {g2}).", screen="collocation"),
+    Statement(PAPER, "'{WORD}' occurs {pmw_a} times per million in '{GROUP_A}' ({freq_a} of {n_a}) and {pmw_b} in '{GROUP_B}' ({freq_b} of {n_b}); log ratio {log_ratio}, G2 = {g2}, p {p}.", screen="keyness", without=("ZERO_CORRECTED",)),
+    Statement(PAPER, "'{WORD}' occurs {pmw_a} times per million in '{GROUP_A}' ({freq_a} of {n_a}) and {pmw_b} in '{GROUP_B}' ({freq_b} of {n_b}); log ratio {log_ratio} (one half added to both counts), G2 = {g2}, p {p}.", screen="keyness", flag="ZERO_CORRECTED"),
+]
+_COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq}
+
+
+def _missing(value: Any) -> bool:
+    return value is None or value != value
+
+
 def fmt(key: str, value: Any) -> str:
-    if value is None or value != value:
-        return "—"
-    if isinstance(value, bool):
-        return "yes" if value else "no"
-    if isinstance(value, int):
-        return f"{value:,}"
-    if isinstance(value, float):
-        if key == "p":
-            return "< 0.001" if value < 0.001 else f"{value:.3f}"
-        pattern = {"log_ratio": "+.2f", "pmw": ",.1f", "pmw_a": ",.1f", "pmw_b": ",.1f", "g2": ",.1f", "ratio": ".1f"}
-        return format(value, pattern.get(key, ".2f"))
-    return str(value)
-
-
-class _Open(dict):
-    def __missing__(self, key: str) -> str:
-        return "{" + key + "}"
-
-
-def render(template: str, row: Row, flag: Flag | None, th: Thresholds) -> str:
-    """Words come before a flag's details, those before metrics and those before thresholds; unknown names stay."""
-    values = template_variables(th) | {k: fmt(k, v) for k, v in row.metrics.items()}
-    values |= {k: fmt(k, v) for k, v in (flag.details if flag else {}).items()}
-    return template.format_map(_Open(values | row.words))
-
-
-def _reached(value: Any, limit: float) -> bool | None:
-    return None if value is None or value != value else value >= limit
-
-
-def disagreement(row: Row, th: Thresholds) -> str | None:
-    """logDice strong, MI or G2 not."""
-    if row.screen != "collocation" or not _reached(row.metrics.get("log_dice"), th.log_dice_strong):
-        return None
-    head = f"The measures disagree on '{row.words.get('WORD')}' and '{row.words.get('COLLOCATE')}': logDice is high ({fmt('log_dice', row.metrics['log_dice'])}), but "
-    if _reached(row.metrics.get("mi"), th.mi_meaningful) is False:
-        return head + f"MI ({fmt('mi', row.metrics['mi'])}) is near chance, as for any two common words."
-    if _reached(row.metrics.get("g2"), th.g2_significant) is False:
-        return head + f"G2 ({fmt('g2', row.metrics['g2'])}) cannot be told from chance."
-    return None
-
-
-def level(row: Row, th: Thresholds) -> str:
-    m, word = row.metrics, row.words.get("WORD")
-    if row.screen == "collocation":
-        limits = [("logDice", "log_dice", th.log_dice_strong), ("MI", "mi", th.mi_meaningful), ("G2", "g2", th.g2_significant)]
-        said = [f"{name} {fmt(k, m[k])} is {'at least' if ok else 'below'} {limit:g}" for name, k, limit in limits if (ok := _reached(m.get(k), limit)) is not None]
-        return f"'{word}' and '{row.words.get('COLLOCATE')}' meet {fmt('cooccur', m.get('cooccur'))} times" + (": " + ", ".join(said) if said else "") + "."
-    if row.screen == "frequency":
-        head = f"'{word}' occurs {fmt('freq', m.get('freq'))} times ({fmt('pmw', m.get('pmw'))} per million)"
-        dp = m.get("dp")
-        if dp is None or dp != dp:
-            return head + "."
-        return head + f"; its dispersion of {fmt('dp', dp)} is {'above' if dp > th.dp_skew else 'not above'} {th.dp_skew:g}, " + ("so it is concentrated." if dp > th.dp_skew else "so it is spread over the corpus.")
-    if row.screen == "keyness":
-        lr = m.get("log_ratio")
-        side = row.words.get("GROUP_A") if (lr or 0) > 0 else row.words.get("GROUP_B")
-        times = f" (about {2 ** abs(lr):.1f} times)" if lr is not None and lr == lr and 2 ** abs(lr) < 100 else ""
-        return f"'{word}' is more frequent in '{side}': a log ratio of {fmt('log_ratio', lr)}{times}, at least {fmt_threshold(th.log_ratio_min)} in size."
-    return ""
-
-
-def paper(row: Row, codes: set[str]) -> str:
-    m, w = row.metrics, row.words
-
-    def f(k: str) -> str:
-        return fmt(k, m.get(k))
-
-    if row.screen == "frequency":
-        dp = "" if "DP_TOO_FEW_PARTS" in codes else f", DP = {f('dp')}"
-        return f"'{w.get('WORD')}' occurs {f('freq')} times in {f('n_total')} tokens ({f('pmw')} per million{dp})."
-    if row.screen == "collocation":
-        return f"'{w.get('WORD')}' and '{w.get('COLLOCATE')}' co-occur {f('cooccur')} times within {row.settings.get('window_label', 'the span')} (logDice = {f('log_dice')}, MI = {f('mi')}, t = {f('t')}, G2 = {f('g2')})."
-    if row.screen == "keyness":
-        note = " (one half added to both counts)" if "ZERO_CORRECTED" in codes else ""
-        return f"'{w.get('WORD')}' occurs {f('pmw_a')} times per million in '{w.get('GROUP_A')}' ({f('freq_a')} of {f('n_a')}) and {f('pmw_b')} in '{w.get('GROUP_B')}' ({f('freq_b')} of {f('n_b')}); log ratio {f('log_ratio')}{note}, G2 = {f('g2')}, p {f('p')}."
-    return ""
-
-
-def _present(row: Row) -> Row:
-    """Names for the group that has the word and the one that lacks it."""
-    if row.screen != "keyness":
-        return row
-    a, b = row.metrics.get("freq_a") or 0, row.metrics.get("freq_b") or 0
-    if bool(a) == bool(b):
-        return row
-    have, lack = ("A", "B") if a else ("B", "A")
-    words = row.words | {"GROUP_PRESENT": row.words.get(f"GROUP_{have}", ""), "GROUP_ABSENT": row.words.get(f"GROUP_{lack}", "")}
-    return replace(row, words=words, metrics=row.metrics | {"freq_present": a or b})
+    """A value as text: by the metric's format if it is a fraction, whole numbers with thousands."""
+    if _missing(value):
+        return NOTHING
+    if not isinstance(value, float):
+        return {bool: lambda: ("no", "yes")[value], int: lambda: format(value, ",")}.get(type(value), lambda: str(value))()
+    return "< 0.001" if key == "p" and value < 0.001 else format(value, FORMATS.get(key, ".2f"))
+
+
+class Facts:
+    """What a row's statements can refer to."""
+
+    def __init__(self, row: Row, th: Thresholds):
+        self.row, self.limits = row, vars(th)
+        self.flags = {f.code: f for f in row.flags if f.code not in TABLE_ONLY}
+        shown = {k: fmt(k, v) for k, v in row.metrics.items()}
+        names = {"window_label": row.settings.get("window_label", "the span")} | row.words
+        counts = {g: row.metrics.get(f"freq_{g.lower()}") or 0 for g in "AB"}
+        there = [g for g, n in counts.items() if n]
+        if row.screen == "keyness" and len(there) == 1:
+            lacking = "B" if there == ["A"] else "A"
+            names |= {"GROUP_PRESENT": row.words.get(f"GROUP_{there[0]}", ""), "GROUP_ABSENT": row.words.get(f"GROUP_{lacking}", "")}
+            shown["freq_present"] = fmt("freq", counts[there[0]])
+        self.values = ChainMap(names, shown, template_variables(th))
+
+    def compare(self, condition: str) -> bool:
+        name, sign, *limit = condition.split()
+        value = self.row.metrics.get(name)
+        if sign == "?":
+            return _missing(value)
+        return not _missing(value) and _COMPARE[sign](value, self.limits[limit[0]] if limit[0] in self.limits else float(limit[0]))
+
+    def holds(self, s: Statement) -> bool:
+        return s.screen in ("", self.row.screen) and (not s.flag or s.flag in self.flags) and self.flags.keys().isdisjoint(s.without) and all(map(self.compare, s.when))
+
+    def say(self, s: Statement) -> str:
+        """Words come before a flag's details, those before metrics and those before thresholds; unknown names stay."""
+        flag = self.flags.get(s.flag)
+        own = {"MESSAGE": flag.message, **{k: fmt(k, v) for k, v in flag.details.items() if k not in self.values.maps[0]}} if flag else {}
+        return re.sub(r"\{(\w+)\}", lambda m: self.values.new_child(own).get(m[1], m[0]), s.text)
+
+
+def _unlisted(row: Row) -> list[Statement]:
+    """Messages of flags that the table does not know come last."""
+    known = {s.flag for s in STATEMENTS if s.section == DONT}
+    return [Statement(DONT, "{MESSAGE}", f.code) for f in row.flags if f.code not in known]
 
 
 def explain_sections(row: Row, th: Thresholds = Thresholds()) -> list[tuple[str, list[str]]]:
-    row = _present(row)
-    place = {code: i for i, code in enumerate(PRIORITY)}
-    flags = sorted((f for f in row.flags if f.code not in TABLE_ONLY), key=lambda f: place.get(f.code, len(place)))
-    codes = {f.code for f in flags}
-    facts = []
-    if not codes & {"BOTH_HIGH_FREQUENCY", "T_HIGH_MI_LOW"} and (said := disagreement(row, th)):
-        facts.append(said)
-    facts += [render(JUDGMENTS[f.code], row, f, th) for f in flags if f.code in JUDGMENTS]
-    sections = [
-        (FACT, list(dict.fromkeys(facts))[:2] or [s for s in [level(row, th)] if s]),
-        (PAPER, [paper(row, codes)]),
-        (DONT, list(dict.fromkeys(f.message for f in flags))),
-        (NEXT, list(dict.fromkeys(render(NEXT_STEPS[f.code], row, f, th) for f in flags if f.code in NEXT_STEPS))),
-    ]
-    return sections[:2] + [s for s in sections[2:] if s[1]]
+    facts = Facts(row, th)
+    true = [s for s in [*STATEMENTS, *_unlisted(row)] if facts.holds(s)]
+    out = []
+    for section, (most, always) in SECTIONS.items():
+        for last in (False, True):
+            lines = list(dict.fromkeys(facts.say(s) for s in true if s.section == section and s.last == last))[:most]
+            if lines or (last and always):
+                out.append((section, lines))
+                break
+    return out
 
 
 def explain(row: Row, th: Thresholds = Thresholds()) -> str:
-    blocks = [[head, *(lines if len(lines) == 1 else (f"- {x}" for x in lines))] for head, lines in explain_sections(row, th)]
-    return "\n\n".join("\n".join(b) for b in blocks)
+    """Sections as text; a section of several lines is a list."""
+    text = ""
+    for head, lines in explain_sections(row, th):
+        mark = "- " if len(lines) > 1 else ""
+        text += "".join([head, *(f"\n{mark}{line}" for line in lines), "\n\n"])
+    return text.rstrip("\n")

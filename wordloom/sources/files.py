@@ -5,6 +5,7 @@ have no built-in form, run in Arrow batches on the executors."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import zipfile
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from wordloom.functions import text as tx
+
 #: fixed values: tried in this order
 ENCODINGS = ["utf-8", "cp932", "euc_jp"]
 EXTENSIONS = (".txt", ".pdf")
@@ -22,7 +25,7 @@ _BOM = b"\xef\xbb\xbf"
 
 
 def decode_bytes(data: bytes) -> tuple[str, str]:
-    """(text, encoding).  A forced decoding says so."""
+    """(text, encoding).  A guessed or forced decoding says so."""
     if data.startswith(_BOM):
         return data[3:].decode("utf-8", "replace"), "utf-8-sig"
     for name in ENCODINGS:
@@ -30,9 +33,24 @@ def decode_bytes(data: bytes) -> tuple[str, str]:
             return data.decode(name), name
         except UnicodeDecodeError:
             continue
+    if guess := detected(data):
+        return data.decode(guess, "replace"), f"{guess} (detected)"
     return data.decode("utf-8", "replace"), "utf-8 (forced)"
 
 
+def detected(data: bytes) -> str | None:
+    """What chardet, an optional library, takes the encoding to be."""
+    try:
+        import chardet
+    except ImportError:
+        return None
+    guess = chardet.detect(data).get("encoding")
+    try:
+        return guess and codecs.lookup(guess) and guess
+    except LookupError:
+        return None
+
+
 def stem(name: str) -> str:
     base = name.replace("\\", "/").rsplit("/", 1)[-1]
     return base.rsplit(".", 1)[0] if "." in base else base
@@ -89,7 +107,8 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     found = raw.where(F.rlike(F.lower("path"), F.lit(r"\.(txt|pdf|zip)$"))).select("path", "content")
     docs = found.mapInPandas(_unpack_batches, "path string, entry long, name string, text string, encoding string")
-    return numbered(docs, "path", "entry").drop("path", "entry")
+    cleaned = docs.withColumn("text", F.when(F.startswith("encoding", F.lit("PDF")), tx.clean_pdf_text(F.col("text"))).otherwise(F.col("text")))
+    return numbered(cleaned, "path", "entry").drop("path", "entry")
 
 
 def read_samples(spark: SparkSession, folder: str) -> DataFrame:
