@@ -12,6 +12,7 @@ from wordloom import schema
 from wordloom.config import Settings
 from wordloom.functions import text as tx
 from wordloom.operators.annotate import Annotator, annotator
+from wordloom.storage import stored
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,10 @@ class Corpus:
     def group_columns(self) -> list[str]:
         return schema.group_columns(self.documents)
 
+    def stored(self) -> Corpus:
+        """The same, annotated once: what is asked of it from now on reads the stored tokens."""
+        return Corpus(self.documents, stored(self.tokens, "tokens"), self.language)
+
     def named(self, df: DataFrame) -> DataFrame:
         """df + name: the document's, or its number."""
         names = self.documents.select("doc_id", F.col("name").alias("__name")) if "name" in self.documents.columns else self.documents.select("doc_id", F.lit(None).cast("string").alias("__name"))

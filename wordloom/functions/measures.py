@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+from numpy.polynomial import chebyshev
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def _d(c: Column | float) -> Column:
@@ -72,8 +72,33 @@ def odds_ratio(fa: Column, fb: Column, na: Column, nb: Column) -> Column:
     return F.when(ok, F.try_divide(F.try_divide(fa, na - fa), F.try_divide(fb, nb - fb)))
 
 
-@F.pandas_udf(DoubleType())
-def p_value(g2: pd.Series) -> pd.Series:
-    """Upper tail of the chi-squared distribution with one degree of freedom.  Neither erf nor erfc is built in; it
-    runs on aggregated rows, in Arrow batches."""
-    return g2.map(lambda x: None if x is None or x != x else math.erfc(math.sqrt(max(x, 0.0) / 2)))
+def _tail_series(degree: int = 30) -> list[float]:
+    """Chebyshev coefficients, by u = 2t - 1 with t = 2 / (2 + z), of log(erfc(z) / t) + z^2, which is smooth and finite
+    for all z >= 0: interpolated here from the library's erfc and, where that underflows, the asymptotic series."""
+
+    def target(u: float) -> float:
+        t = (u + 1) / 2
+        z = 2 / t - 2
+        if z < 20:
+            return math.log(math.erfc(z) / t) + z * z
+        inverse = 1 / (2 * z * z)
+        return math.log((1 - inverse + 3 * inverse**2 - 15 * inverse**3 + 105 * inverse**4) / (z * math.sqrt(math.pi)) / t)
+
+    return [float(c) for c in chebyshev.chebinterpolate(np.vectorize(target), degree)]
+
+
+TAIL = _tail_series()
+
+
+def p_value(g2: Column | str) -> Column:
+    """Upper tail of the chi-squared distribution with one degree of freedom, erfc(sqrt(g2 / 2)).  Neither erf nor
+    erfc is built in: Clenshaw's recurrence over a fixed series, in the JVM.  NULL where g2 is NULL or not a number."""
+    x = F.col(g2) if isinstance(g2, str) else g2
+    z = F.sqrt(F.greatest(x, F.lit(0.0)) / 2)
+    t = F.lit(2.0) / (z + 2)
+    twice = 4 * t - 2
+    begin = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    terms = F.array(*(F.lit(c) for c in reversed(TAIL[1:])))
+    end = F.aggregate(terms, begin, lambda s, c: F.struct((twice * s["a"] - s["b"] + c).alias("a"), s["a"].alias("b")))
+    tail = t * F.exp(-z * z + TAIL[0] + (twice / 2) * end["a"] - end["b"])
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.lit(1.0), tail))

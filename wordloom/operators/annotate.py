@@ -18,6 +18,8 @@ from wordloom import schema
 from wordloom.config import DEFAULTS
 from wordloom.functions import text as tx
 
+from . import advice
+
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 TERMINATORS = ".!?。！？"
 #: Closed-class words by language: articles, pronouns, prepositions, conjunctions, auxiliaries, particles.
@@ -40,8 +42,14 @@ class Annotator(ABC):
     def default_options(self) -> dict[str, Any]:
         return dict(DEFAULTS["languages"].get(self.language, {}))
 
-    def language_warnings(self, options: dict[str, Any]) -> list[str]:
-        return []
+    def option_schema(self) -> list[advice.Option]:
+        return advice.option_schema(self.language)
+
+    def language_warnings(self, options: dict[str, Any] | None = None) -> list[str]:
+        return advice.language_warnings(self.language, options)
+
+    def data_warnings(self, docs: DataFrame, options: dict[str, Any] | None = None) -> list[dict[str, Any]]:
+        return advice.data_warnings(docs, self.language, options)
 
     def normalize(self, text: Column, options: dict[str, Any]) -> Column:
         return tx.unix_newlines(F.coalesce(text, F.lit("")))

@@ -3,6 +3,7 @@ words.  There are at most ``top_n`` words, so all pairs of them are bounded, and
 
 from __future__ import annotations
 
+import html
 import json
 
 import pandas as pd
@@ -22,7 +23,7 @@ def top_nodes(tokens: DataFrame, unit: str = "lemma", include_function_words: bo
 
 def pair_counts(tokens: DataFrame, nodes: DataFrame, unit: str = "lemma", method: str = "sentence", window: int = 5) -> tuple[DataFrame, DataFrame]:
     """(a, b, cooccur) with a < b, and (word, unit_freq)."""
-    names = F.broadcast(nodes.select("word"))  # top_n rows
+    names = nodes.select("word")
     own = tokens.select("doc_id", "sentence_id", "position", F.col(unit).alias("word")).join(names, "word", "left_semi")
     if method == "sentence":
         sets = own.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_set("word")).alias("ws"))  # at most top_n words each
@@ -42,7 +43,7 @@ def pair_counts(tokens: DataFrame, nodes: DataFrame, unit: str = "lemma", method
 def edges(tokens: DataFrame, nodes: DataFrame, unit: str = "lemma", method: str = "sentence", window: int = 5, min_log_dice: float = 7.0, min_cooccur: int = 2) -> DataFrame:
     """a, b, cooccur, log_dice."""
     pairs, freq = pair_counts(tokens, nodes, unit, method, window)
-    fa, fb = (F.broadcast(freq.select(F.col("word").alias(k), F.col("unit_freq").alias(f"u{k}"))) for k in "ab")
+    fa, fb = (freq.select(F.col("word").alias(k), F.col("unit_freq").alias(f"u{k}")) for k in "ab")
     scored = pairs.join(fa, "a").join(fb, "b").withColumn("log_dice", measures.log_dice(F.col("cooccur"), F.col("ua"), F.col("ub")))
     return scored.where((F.col("log_dice") >= min_log_dice) & (F.col("cooccur") >= min_cooccur)).select("a", "b", "cooccur", "log_dice")
 
@@ -106,3 +107,16 @@ def to_json(nodes: DataFrame, links: DataFrame) -> str:
     ns, ls = nodes.collect(), links.collect()
     most = max([r["freq"] for r in ns], default=1)
     return json.dumps({"nodes": [{"id": r["word"], "label": r["label"], "size": 10 + 30 * r["freq"] / most} for r in ns], "edges": [{"from": r["a"], "to": r["b"], "value": r["log_dice"], "cooccur": r["cooccur"]} for r in ls]}, ensure_ascii=False)
+
+
+_PAGE = """<!doctype html><meta charset="utf-8"><title>%s</title><svg id="s" viewBox="-520 -520 1040 1040" style="width:100%%;height:95vh"></svg><script>
+const g = %s, at = new Map(g.nodes.map((n, i) => [n.id, [400 * Math.cos(2 * Math.PI * i / g.nodes.length), 400 * Math.sin(2 * Math.PI * i / g.nodes.length)]]));
+const s = document.getElementById("s"), put = (kind, a, text) => { const e = document.createElementNS("http://www.w3.org/2000/svg", kind); for (const k in a) e.setAttribute(k, a[k]); if (text) e.textContent = text; s.append(e); };
+for (const e of g.edges) { const [a, b] = [at.get(e.from), at.get(e.to)]; put("line", {x1: a[0], y1: a[1], x2: b[0], y2: b[1], stroke: "#999", "stroke-width": e.value / 6}); }
+for (const n of g.nodes) { const p = at.get(n.id); put("circle", {cx: p[0], cy: p[1], r: n.size / 3, fill: "#48c"}); put("text", {x: p[0] * 1.08, y: p[1] * 1.08, "font-size": 14, "text-anchor": "middle"}, n.label); }
+</script>"""
+
+
+def to_html(nodes: DataFrame, links: DataFrame, title: str = "Network") -> str:
+    """One page that draws the network in a circle, without other files."""
+    return _PAGE % (html.escape(title), to_json(nodes, links).replace("</", "<\\/"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wordloom import schema
 from wordloom.functions import measures
 from wordloom.functions import text as tx
-from wordloom.operators import annotate, basic, collocation, frequency, keyness, kwic, network, rules
+from wordloom.operators import advice, annotate, basic, collocation, frequency, keyness, kwic, network, rules
 from wordloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,6 +373,10 @@ def keyness_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text functions and sources ---------------------------------------------------------------------------
 
 
+#: The invented texts have none of the spellings in question; these words are added to each.
+MIXED = " daß muß rauh dass muss rau Tip"
+
+
 @query
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tx.detect_language(F.col("text")).alias("language"))
@@ -380,24 +384,28 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orthography_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", tx.orthography_counts(F.concat("text", F.lit(" daß dass"))).alias("c"))
-    return d.select("doc_id", "c.old", "c.new", tx.is_mixed(F.col("c.old"), F.col("c.new"), 1).alias("mixed"))
+    d = documents(spark, sf_dir).select("doc_id", tx.orthography_counts(F.concat("text", F.lit(MIXED))).alias("c"))
+    return d.select("doc_id", "c.old", "c.new", tx.is_mixed(F.col("c.old"), F.col("c.new")).alias("mixed"))
+
+
+@query
+def mixed_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.mixed_spelling(documents(spark, sf_dir).select(F.concat("text", F.lit(MIXED)).alias("text")))
 
 
 @query
 def normalize_1996(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens_of(documents(spark, sf_dir).where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" Daß rauh Photo"))))
-    return t.select(tx.normalize_1996_word(F.col("surface")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_1996(F.concat("text", F.lit(" Daß, rauh! Photo"))).alias("text"))
 
 
 @query
 def normalize_ss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("lang = 'de'").select("doc_id", tx.normalize_ss(F.col("text")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_ss(F.col("text")).alias("text"))
 
 
 @query
 def normalize_umlaut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("lang = 'de'").select("doc_id", tx.normalize_umlaut(F.col("text")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_umlaut(F.col("text")).alias("text"))
 
 
 @query

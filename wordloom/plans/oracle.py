@@ -3,9 +3,100 @@ plans: dense instead of sparse dispersion, one global numbering instead of runni
 
 from __future__ import annotations
 
-from wordloom.functions.text import ENGLISH_HINTS, GERMAN_HINTS, reform_pairs
-from wordloom.operators.annotate import ALL_FUNCTION_WORDS
-from wordloom.operators.rules import TEXTS
+# --- fixed values, written once more so that a mistake in the engine's own shows -----------------------------
+ENGLISH_HINTS = "the and of to is in that it with for".split()
+GERMAN_HINTS = "der die und das ist nicht ein eine mit sich den zu".split()
+ALL_FUNCTION_WORDS = sorted(
+    {
+        *"a an the this that these those i you he she it we they me him her us them my your his its our their of in on at by to for from with and or but not no as if is are was were be been has have had do does did will would can could which who".split(),
+        *"der die das den dem des ein eine einen einem einer eines ich du er sie es wir ihr und oder aber nicht kein in im an am auf aus bei mit nach von vom zu zum zur für ist sind war sein hat haben wird werden als wie dass sich".split(),
+        *"le la les un une des du de d l et ou mais ne pas je tu il elle nous vous ils elles ce cette ces dans en sur pour par avec qui que à au aux est sont a se son sa ses".split(),
+        *"el la los las un una unos unas de del al y o pero no yo tú él ella nosotros ellos ellas en con por para que se su sus es son ha lo le les como".split(),
+    }
+)
+#: Old spelling, new spelling.
+SPELLINGS = """
+daß dass
+muß muss
+mußte musste
+mußten mussten
+müßte müsste
+müßten müssten
+gemußt gemusst
+läßt lässt
+laßt lasst
+gewußt gewusst
+wußte wusste
+wußten wussten
+bißchen bisschen
+Kuß Kuss
+Faß Fass
+Fluß Fluss
+Nuß Nuss
+Schluß Schluss
+Anschluß Anschluss
+Abschluß Abschluss
+Prozeß Prozess
+Streß Stress
+Paß Pass
+Reisepaß Reisepass
+Haß Hass
+Schuß Schuss
+Genuß Genuss
+Einfluß Einfluss
+Kongreß Kongress
+Kompromiß Kompromiss
+Mißverständnis Missverständnis
+mißverstehen missverstehen
+Erlaß Erlass
+naß nass
+Riß Riss
+Biß Biss
+Schiffahrt Schifffahrt
+Brennessel Brennnessel
+rauh rau
+Rauheit Rauheit
+Känguruh Känguru
+Zierrat Zierrat
+numerieren nummerieren
+plazieren platzieren
+Stengel Stängel
+Stukkateur Stuckateur
+Tip Tipp
+Stop Stopp
+Photo Foto
+Photographie Fotografie
+Delphin Delfin
+Alptraum Albtraum
+Quentchen Quäntchen
+selbständig selbstständig
+Rolladen Rollladen
+"""
+MARKS = {
+    "CORPUS_TOO_SMALL": "small corpus",
+    "DISPERSION_SKEWED": "skewed",
+    "DP_TOO_FEW_PARTS": "few parts",
+    "LOW_FREQUENCY": "rare",
+    "GROUP_IMBALANCE": "imbalance",
+    "LOW_COOCCURRENCE": "few, looks strong",
+    "LOW_COOCCURRENCE_MINOR": "few",
+    "BOTH_HIGH_FREQUENCY": "both frequent",
+    "NOT_DISTINGUISHABLE": "undecided",
+    "T_HIGH_MI_LOW": "common neighbour",
+    "ZERO_CORRECTED": "absent in one",
+    "EFFECT_SIZE_TOO_SMALL": "small effect",
+}
+
+
+def reform_pairs() -> dict[str, str]:
+    found = {}
+    for line in SPELLINGS.strip().split("\n"):
+        old, new = line.split()
+        if old != new:
+            found[old] = new
+            if old[0].islower():
+                found[old.capitalize()] = new.capitalize()
+    return found
 
 
 def _list(words: list[str]) -> str:
@@ -25,7 +116,7 @@ def _tokens(source: str) -> str:
         FROM (SELECT doc_id, coalesce(lang, '') AS lang, source, regexp_extract_all(coalesce(text, ''), '{_PATTERN}') AS l FROM {source})))"""
 
 
-_T = f"tk AS {_tokens('documents')},\nt AS (SELECT *, pos IN ('PUNCT', 'FUNC') AS is_function, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn FROM tk)"
+_T = f"tk AS {_tokens('documents')},\nt AS MATERIALIZED (SELECT *, pos IN ('PUNCT', 'FUNC') AS is_function, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn FROM tk)"
 
 
 def _with(body: str, *more: str) -> str:
@@ -52,7 +143,8 @@ def _frequency(unit: str = "lemma", where: str = "NOT is_function", part: str =
 
 
 _FREQ_OUT = f"SELECT rank, word, label, pos, freq, {_r('pmw', 'pmw')}, {_r('dp', 'dp')}, n_parts FROM freq"
-_FLAG_FREQ = "CASE WHEN dp > 0.5 AND freq >= 10 THEN 'DISPERSION_SKEWED' END, CASE WHEN freq < 5 THEN 'LOW_FREQUENCY' END"
+_FLAGS_FREQ = ["CASE WHEN dp > 0.5 AND freq >= 10 THEN 'DISPERSION_SKEWED' END", "CASE WHEN freq < 5 THEN 'LOW_FREQUENCY' END"]
+_FLAG_FREQ = ", ".join(_FLAGS_FREQ)
 
 
 def _sttr(unit: str, where: str, window: int, group: str | None = None) -> str:
@@ -127,8 +219,25 @@ def _keyness(a: str, b: str | None) -> list[str]:
 
 
 _KEY_OUT = "SELECT word, label, pos, freq_a, freq_b, " + ", ".join(_r(c, c) for c in ("pmw_a", "pmw_b", "g2", "log_ratio", "odds_ratio")) + ", zero_corrected, direction FROM key"
-_MARKS = " ".join(f"WHEN '{code}' THEN '{mark}'" for code, (_, _, mark) in TEXTS.items())
-_NFL = "list_filter([{}], lambda x: x IS NOT NULL)"
+_MARKS = " ".join(f"WHEN '{code}' THEN '{mark}'" for code, mark in MARKS.items())
+#: erfc(z): its power series up to 3, its asymptotic series beyond.
+_ERFC = "CASE WHEN z < 3 THEN 1 - 2 / sqrt(pi()) * list_sum([pow(-1, n) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)) FOR n IN range(0, 70)]) ELSE exp(-z * z) / (z * sqrt(pi())) * (1 - 1 / (2 * z * z) + 3 / pow(2 * z * z, 2) - 15 / pow(2 * z * z, 3) + 105 / pow(2 * z * z, 4) - 945 / pow(2 * z * z, 5)) END"
+#: Distances and numbers of shortest paths between all nodes of the edge list, then the share of paths through each.
+_PATHS = [
+    "dg AS (SELECT word, count(*) AS degree FROM (SELECT a AS word FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1)",
+    "adj AS MATERIALIZED (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed)",
+    "reach(s, v, d) AS (SELECT DISTINCT u, u, 0 FROM adj UNION SELECT reach.s, adj.v, reach.d + 1 FROM reach JOIN adj ON adj.u = reach.v WHERE reach.d < 8)",
+    "dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM reach GROUP BY 1, 2)",
+    "sig(s, v, d, p) AS (SELECT DISTINCT u, u, 0, 1::DOUBLE FROM adj UNION ALL SELECT sig.s, adj.v, sig.d + 1, sum(sig.p) FROM sig JOIN adj ON adj.u = sig.v JOIN dist ON dist.s = sig.s AND dist.v = adj.v AND dist.d = sig.d + 1 GROUP BY 1, 2, 3)",
+    "paths AS MATERIALIZED (SELECT * FROM sig)",
+    "bt AS (SELECT x.v AS word, sum(x.p * y.p / z.p) AS b FROM paths x JOIN paths y ON y.s = x.v JOIN paths z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1)",
+    "sz AS (SELECT count(*)::DOUBLE AS n FROM dg)",
+]
+
+_SPELLED = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text || ' daß muß rauh dass muss rau Tip', '[A-Za-zÄÖÜäöüß]+') AS ws FROM documents),
+c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ({_list(sorted(reform_pairs()))})))::BIGINT AS old, len(list_filter(ws, lambda x: x IN ({_list(sorted(set(reform_pairs().values())))})))::BIGINT AS "new" FROM w)
+"""
 
 SQL: dict[str, str] = {
     "tokens": _with("SELECT doc_id, sentence_id, position, surface, lemma, pos, is_function FROM t"),
@@ -146,9 +255,9 @@ SQL: dict[str, str] = {
     "frequency_surface": _with(_FREQ_OUT, *_frequency("surface", "TRUE")),
     "frequency_by_group": _with(_FREQ_OUT, *_frequency(part="source")),
     "frequency_filtered": _with(_FREQ_OUT + " WHERE freq >= 10 AND pos = 'WORD' AND contains(word, 'th')", *_frequency()),
-    "flag_frequency": _with(f"SELECT word, freq, array_to_string({_NFL.format(_FLAG_FREQ)}, ',') AS flags FROM freq", *_frequency()),
+    "flag_frequency": _with(f"SELECT word, freq, concat_ws(',', {_FLAG_FREQ}) AS flags FROM freq", *_frequency()),
     "skewed_words": _with(f"SELECT rank, word, freq, {_r('dp', 'dp')} FROM freq WHERE dp > 0.5 AND freq >= 10 ORDER BY rank LIMIT 10", *_frequency()),
-    "flag_labels": _with(f"SELECT word, array_to_string(list_transform({_NFL.format(_FLAG_FREQ)}, lambda x: CASE x {_MARKS} END), '; ') AS marks FROM freq", *_frequency()),
+    "flag_labels": _with(f"SELECT word, concat_ws('; ', {', '.join(f'CASE ({flag}) {_MARKS} END' for flag in _FLAGS_FREQ)}) AS marks FROM freq", *_frequency()),
     "word_distribution": _with(f"SELECT doc_id AS part, count(*) AS part_tokens, count(*) FILTER (lemma = 'thing') AS freq, {_r('''count(*) FILTER (lemma = 'thing')::DOUBLE / count(*) * 1e6''', 'pmw_in_part')}, {_r('''coalesce(count(*) FILTER (lemma = 'thing')::DOUBLE / nullif(sum(count(*) FILTER (lemma = 'thing')) OVER (), 0), 0)''', 'share')} FROM t GROUP BY doc_id"),
     "zipf": _with("SELECT rank, freq, word FROM freq", *_frequency()),
     "duplicate_labels": _with("SELECT coalesce(sum(n), 0)::BIGINT AS n_rows FROM (SELECT lower(word) AS l, count(*) AS n FROM wf GROUP BY 1 HAVING count(*) > 1)", *_frequency()),
@@ -166,7 +275,7 @@ SQL: dict[str, str] = {
     "kwic_group": _with(f"SELECT {_kwic_out(3)} FROM k", "tg AS (SELECT * FROM t WHERE source = 'src3')", *_kwic(3, "key = 'thing'", "tg")),
     "kwic_content_context": _with(f"SELECT {_kwic_out(3)} FROM k", "tg AS (SELECT * FROM t WHERE NOT is_function OR lemma = 'thing')", *_kwic(3, "key = 'thing'", "tg")),
     "kwic_matched_keys": _with("SELECT surface AS key, count(*) AS count FROM t WHERE lower(surface) = 'thing' GROUP BY 1"),
-    "kwic_collocate_sentence": _with(f"SELECT {_kwic_out(2)} FROM k", *_kwic(2, "key = 'thing'", extra="(doc_id, sentence_id) IN (SELECT (doc_id, sentence_id) FROM t WHERE lemma = 'the')")),
+    "kwic_collocate_sentence": _with(f"SELECT {_kwic_out(2)} FROM k", *_kwic(2, "key = 'thing'", name="k0"), "the AS (SELECT DISTINCT doc_id, sentence_id FROM t WHERE lemma = 'the')", "k AS (SELECT k0.* FROM k0 JOIN the USING (doc_id, sentence_id))"),
     "kwic_collocate_window": _with(f"SELECT {_kwic_out(3)} FROM k", *_kwic(3, "key = 'thing'", extra="'the' IN (" + ", ".join(f"lower({c}{k})" for c in "LR" for k in (1, 2, 3)) + ")")),
     "collocation_fixed": _with(_COL_OUT, *_FIXED),
     "collocation_sentence": _with(_COL_OUT, *_SENTENCE),
@@ -179,6 +288,11 @@ SQL: dict[str, str] = {
     "network_pairs_fixed": _with("SELECT least(x.lemma, y.lemma) AS a, greatest(x.lemma, y.lemma) AS b, count(*) AS cooccur FROM nt x JOIN nt y ON x.doc_id = y.doc_id AND y.position > x.position AND y.position <= x.position + 5 AND x.lemma <> y.lemma GROUP BY 1, 2", _NODES, "nt AS (SELECT doc_id, position, lemma FROM t WHERE lemma IN (SELECT word FROM nodes))"),
     "network_edges": _with(f"SELECT a, b, cooccur, {_r('log_dice', 'log_dice')} FROM ed", _NODES, _SETS, _PAIRS, _UF, _EDGES),
     "network_degree": _with(f"SELECT word, word AS label, freq, degree, {_r('degree::DOUBLE / nullif((SELECT count(*) FROM dg) - 1, 0)', 'degree_centrality')} FROM dg JOIN nodes USING (word)", _NODES, _SETS, _PAIRS, _UF, _EDGES, "dg AS (SELECT word, count(*) AS degree FROM (SELECT a AS word FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1)"),
+    "network_betweenness": _with(
+        f"SELECT word, word AS label, freq, degree, {_r('coalesce(degree / nullif(n - 1, 0), 0)', 'degree_centrality')}, {_r('coalesce(b / nullif((n - 1) * (n - 2), 0), 0)', 'betweenness')} FROM dg JOIN nodes USING (word) LEFT JOIN bt USING (word), sz",
+        _NODES, _SETS, _PAIRS, _UF, _EDGES, *_PATHS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "keyness_p_values": _with(f"SELECT word, {_r('g2', 'g2')}, {_r(_ERFC, 'p')} FROM (SELECT word, g2, sqrt(greatest(g2, 0) / 2) AS z FROM key)", *_keyness("en", None)),
     "keyness_table": _with(_KEY_OUT, *_keyness("fr", "es")),
     "keyness_vs_rest": _with(_KEY_OUT, *_keyness("en", None)),
     "keyness_view": _with(_KEY_OUT + " WHERE freq_a + freq_b >= 5 AND key.g2 >= 6.63 AND key.log_ratio > 0", *_keyness("en", None)),
@@ -189,15 +303,13 @@ WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 20000) AS h FROM documen
 w AS (SELECT doc_id, h, regexp_extract_all(lower(h), '[a-zäöüß]+') AS ws FROM d)
 SELECT doc_id, CASE WHEN trim(h, ' ' || chr(9) || chr(10) || chr(13)) = '' OR len(regexp_extract_all(h, '[぀-ヿ一-鿿]')) > 0.05 * greatest(length(h), 1) OR len(ws) = 0 THEN 'ja'
   WHEN len(list_filter(ws, lambda x: x IN ({_list(GERMAN_HINTS)}))) > len(list_filter(ws, lambda x: x IN ({_list(ENGLISH_HINTS)}))) THEN 'de' ELSE 'en' END AS language FROM w""",
-    "orthography_mix": f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text || ' daß dass', '[A-Za-zÄÖÜäöüß]+') AS ws FROM documents),
-c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ({_list(sorted(reform_pairs()))})))::BIGINT AS old, len(list_filter(ws, lambda x: x IN ({_list(sorted(set(reform_pairs().values())))})))::BIGINT AS "new" FROM w)
-SELECT *, old >= 1 AND "new" >= 1 AS mixed FROM c""",
+    "orthography_mix": _SPELLED + """SELECT *, old >= 3 AND "new" >= 3 AS mixed FROM c""",
+    "mixed_spelling": _SPELLED + """SELECT sum(old)::BIGINT AS old, sum("new")::BIGINT AS "new", sum(old) >= 3 AND sum("new") >= 3 AS mixed FROM c""",
     "normalize_1996": f"""
-SELECT CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sorted(reform_pairs().items()))} ELSE w END AS word, count(*) AS n
-FROM (SELECT unnest(regexp_extract_all(text || ' Daß rauh Photo', '{_PATTERN}')) AS w FROM documents WHERE lang = 'de') GROUP BY 1""",
-    "normalize_ss": "SELECT doc_id, replace(replace(text, 'ß', 'ss'), 'ẞ', 'SS') AS text FROM documents WHERE lang = 'de'",
-    "normalize_umlaut": "SELECT doc_id, replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS text FROM documents WHERE lang = 'de'",
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text || ' Daß, rauh! Photo', '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'),
+  lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sorted(reform_pairs().items()))} ELSE w END), '') AS text FROM documents""",
+    "normalize_ss": "SELECT doc_id, replace(replace(text, 'ß', 'ss'), 'ẞ', 'SS') AS text FROM documents",
+    "normalize_umlaut": "SELECT doc_id, replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS text FROM documents",
     "guess_text_column": "SELECT c AS \"column\" FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS c, unnest([avg(length(doc_id::VARCHAR)), avg(length(text)), avg(length(lang)), avg(length(source)), avg(length(n_chars::VARCHAR))]) AS m FROM documents) ORDER BY m DESC LIMIT 1",
     "guess_group_columns": "SELECT c AS \"column\", n AS n_unique FROM (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars']) AS c, unnest([count(DISTINCT doc_id), count(DISTINCT lang), count(DISTINCT source), count(DISTINCT n_chars)]) AS n, count(*) AS r FROM documents) WHERE n > 1 AND n <= 50 AND n < r",
     "documents_from_table": "SELECT doc_id, 'row ' || (doc_id + 1) AS name, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')",

@@ -18,9 +18,12 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def csv_bytes(table: DataFrame) -> bytes:
-    """A small result in one piece, for a download."""
-    return table.toPandas().to_csv(index=False).encode("utf-8-sig")
+def csv_bytes(table: DataFrame, most: int = 1_000_000) -> bytes:
+    """A small result in one piece, for a download.  More rows than ``most`` are refused: ``write_csv`` takes any number."""
+    found = table.limit(most + 1).toPandas()
+    if len(found) > most:
+        raise ValueError(f"over {most:,} rows; use write_csv")
+    return found.to_csv(index=False).encode("utf-8-sig")
 
 
 def write_tokens(tokens: DataFrame, table: str, buckets: int = 64) -> None:
