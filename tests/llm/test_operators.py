@@ -719,3 +719,62 @@ def test_toxicity_scores_by_brute_force(spark):
         n = len(toxicity.words_for_screening(t.lower()).split())
         x = [1, math.log1p(insults), math.log1p(threats), 100 * insults / (100 + n), *p.values()]
         assert got[i] == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, model.weights)))), abs=1e-9)
+
+
+def test_lm_score_by_brute_force(spark):
+    """Token by token, from the model's tables and the definition; and the words of a history sum to one."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("ba", "ko", "tri", "no", "za") for b in ("ma", "lu", "ter", "x", "en", "os")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = maxent.train(df.where("doc_id < 50"))
+    assert np.abs(model.nodes.weights).max() > 0
+    counts = {r["k"]: r["n"] for r in model.counts.collect()}
+
+    def chance(word, bucket, history):
+        """log10 of P(word | history); history: (word, class) pairs, the last one first."""
+        cls = int(model.bucket_class[bucket])
+        w = [h for h, _ in history] + [7] * 4
+        c = [k for _, k in history] + [maxent.CLASSES] * 4
+        u = 1 << 64
+        keys = [w[0] * 3 % u, (w[1] * 5 + 1) % u, (w[0] * 31 % u) ^ (w[1] * 17 % u), (c[0] * 64 + c[1]) * 64 + c[2] + (1 << 40), c[1] * 64 + c[3] + (1 << 41)]
+        mix = int(maxent._MIX)
+        rows = [((k ^ k >> 29) * mix % u) >> 64 - 15 for k in keys]
+        z = sum(model.weights[r].astype(float) for r in rows) + model.weights[-1]
+        log = z[cls] - math.log(np.exp(z).sum())
+        leaf = word % 32
+        if cls != maxent.END_CLASS:
+            for d in range(5):
+                node, side = (1 << d) - 1 + (leaf >> 5 - d), leaf >> 4 - d & 1
+                left, right = (sum(model.mass[cls][i] for i in range(32) if i >> 5 - d == leaf >> 5 - d and (i >> 4 - d & 1) == s) for s in (0, 1))
+                x = math.log(right / left)
+                for k in keys[:3]:
+                    own = ((k ^ k >> 29) * mix % u) ^ ((cls * 64 + node + 1) * 0xD6E8FEB86659FD93 % u)
+                    x += float(model.nodes.weights[(own * mix % u) >> 64 - 18])
+                log += -math.log1p(math.exp(-x if side else x))
+        signed = word - u if word >> 63 else word
+        return log / math.log(10) + math.log10((counts.get(signed, 0) + 0.1) / model.mass[cls][leaf])
+
+    got = {r["doc_id"]: r["score"] for r in maxent.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        hashes, buckets, _ = maxent.read([(t or "").encode()])
+        history, total = [], 0.0
+        for h, b in zip(hashes.tolist(), buckets.tolist(), strict=True):
+            total += chance(h % (1 << 64), b, history)
+            history.insert(0, (h % (1 << 64), int(model.bucket_class[b])))
+        assert got[i] == pytest.approx(total, abs=1e-3)
+    # all words, and in every leaf of every class one never seen
+    known, place, _ = maxent.read([" ".join(vocabulary).encode()])
+    seen = {h % (1 << 64): b for h, b in zip(known.tolist(), place.tolist(), strict=True)}
+    history = [(w, int(model.bucket_class[b])) for w, b in list(seen.items())[:4]]
+    whole = sum(10 ** chance(w, b, history) for w, b in seen.items() if (w - (1 << 64) if w >> 63 else w) in counts)
+    bucket_of = {int(c): b for b, c in enumerate(model.bucket_class)}
+    taken = set(seen)
+    for c in range(maxent.CLASSES - 1):
+        for leaf in range(32):
+            if c in bucket_of:
+                unknown = next(x for x in range(leaf, 1 << 40, 32) if x not in taken)
+                whole += 10 ** chance(unknown, bucket_of[c], history)
+    # the end of a text also keeps a place for a word never seen, and classes without a bucket have no words
+    empty = [c for c in range(maxent.CLASSES) if c not in bucket_of]
+    assert not empty and whole == pytest.approx(1, abs=0.01)

@@ -1,9 +1,11 @@
 """LM scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class).  The class softmax has a weight for each class and
-hashed feature of the history: the word before, the two before, the one before the last (a skip), the last
-three words' classes, and two classes that skip one.  Within a class, words go by their smoothed
-counts, with one place kept for a word never seen; all of it sums to one.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf).  The class softmax has a weight for each
+class and hashed feature of the history: the word before, the two before, the one before the last (a skip), the last
+three words' classes, and two classes that skip one.  A class is a binary tree of ``LEVELS`` levels by its words' hashes:
+at each node a softmax of two, with hashed weights for the three word features, takes the smoothed counts of both sides for a start
+and learns from there.  Within a leaf, words go by their smoothed counts, with one place kept for a word
+never seen; all of it sums to one.
 
 1. Counts.  A pass over the training rows counts words (64-bit hashes) and which word endings stand next to
    each other.  Endings fall into ``BUCKETS`` buckets, and buckets with like neighbours become one of ``CLASSES`` classes
@@ -11,8 +13,8 @@ counts, with one place kept for a word never seen; all of it sums to one.
 2. Weights.  In every round each task starts from the current weights, makes AdaGrad updates over its share of the
    training tokens (every position of every text is a target in one of the rounds), and sends what became of the rows
    it touched; the mean over tasks that touched a row is its new weight.  Sums are made in two steps, blocks
-   of rows at a time: weights are ``ROWS`` x ``CLASSES`` numbers whatever the input.
-3. Scores.  A pass over all documents sums, in batches of numpy arrays, the class softmax and the logarithms
+   of rows at a time: weights are ``ROWS`` x ``CLASSES`` and ``NODES`` numbers whatever the input.
+3. Scores.  A pass over all documents sums, in batches of numpy arrays, both softmaxes and the logarithms
    of frequent words' counts.  A word is frequent if it makes up 1/FREQUENT of all tokens, so at most
    FREQUENT words are broadcast; the rest leave the task as (document, word, times) and meet their counts in a join.
 
@@ -34,8 +36,13 @@ from . import wordhash
 from .common import NARROW, few_files, map_arrow, table, written
 
 BUCKETS, CLASSES, ROWS, FREQUENT, ALPHA = 1024, 24, 1 << 15, 1_000_000, 0.1
+LEVELS, NODES = 5, 1 << 18
+#: Updates of nodes: the step, and what stands for earlier gradients at first; a node's start is the counts, so it moves slowly.
+NODE_STEP, NODE_POWER = 0.1, 50.0
 ROUNDS, STEP, BATCH, BLOCK = 2, 0.3, 4096, 64
 END_CLASS = CLASSES - 1
+#: Node weights are sent in blocks of so many, numbered from NODE_BLOCK on.
+NODE_BLOCK, NODE_SIZE = 1 << 20, 4096
 #: The end of a text is no word: its own hash and, for want of an ending, bucket.
 END_HASH, END_BUCKET = -1, BUCKETS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -158,8 +165,62 @@ def softmax(weights: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return z, e, e @ np.ones(e.shape[1], dtype=e.dtype)
 
 
-def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
-    """One task's updates: (block of weight rows, the sums of touched rows, how many tasks touched them)."""
+def leaves_of(word: np.ndarray) -> np.ndarray:
+    """Of each word the leaf of its class: the last bits of its hash."""
+    return word & ((1 << LEVELS) - 1)
+
+
+class Nodes:
+    """The trees of the classes: ``base`` (class, node) from counts, and hashed weights."""
+
+    def __init__(self, mass: np.ndarray, weights: np.ndarray | None = None):
+        """mass: (classes, leaves)."""
+        self.weights = np.zeros(NODES, dtype=np.float32) if weights is None else weights
+        sides = [mass.reshape(len(mass), 1 << d, 2, -1).sum(3) for d in range(LEVELS)]
+        self.base = np.concatenate([np.log(s[:, :, 1] / s[:, :, 0]) for s in sides], axis=1).astype(np.float32)
+
+    @staticmethod
+    def keys(word: np.ndarray, begins: np.ndarray, picked: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """(tokens, 3): the word before, the one before that, and both."""
+        place = places(begins, len(word))
+        word = word.view(np.uint64)
+        w1, w2 = (_back(word, begins, place, k, 7)[picked] for k in (1, 2))
+        keys = np.stack((w1 * np.uint64(3), w2 * np.uint64(5) + np.uint64(1), (w1 * np.uint64(31)) ^ (w2 * np.uint64(17))), axis=1)
+        return (keys ^ (keys >> np.uint64(29))) * _MIX
+
+    def read(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, features, levels): where the weights stand; (tokens, levels): the side taken, and the sums of weights."""
+        depth = np.arange(LEVELS)
+        node = (1 << depth) - 1 + (leaf[:, None] >> (LEVELS - depth))
+        side = (leaf[:, None] >> (LEVELS - 1 - depth)) & 1
+        own = (cls[:, None] * 64 + node + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        at = (((keys[:, :, None] ^ own[:, None, :]) * _MIX) >> np.uint64(64 - NODES.bit_length() + 1)).astype(np.int64)
+        return at, side, self.base[cls[:, None], node] + self.weights[at].sum(1)
+
+    def logs(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each token the logarithm of its leaf's probability; the end of a text has its class to itself."""
+        _, side, z = self.read(keys, cls, leaf)
+        return np.where(cls == END_CLASS, 0.0, -np.logaddexp(0, np.where(side == 1, -z, z)).sum(1, dtype=np.float64))
+
+
+def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int = ROUNDS, nodes: Nodes | None = None) -> Iterator[pa.RecordBatch]:
+    """One task's updates: (block of weight rows, the sums of touched rows, how many tasks touched them); so for nodes."""
+    own = None if nodes is None else nodes.weights.copy()
+    own_power, own_touched = (None, None) if nodes is None else (np.full(NODES, NODE_POWER, dtype=np.float32), np.zeros(NODES, dtype=np.float32))
+
+    def learn_nodes(keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
+        at, side, z = Nodes.read(learned, keys, cls, leaf)
+        grad = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - side
+        where = at.ravel()
+        sums = np.bincount(where, np.broadcast_to(grad[:, None, :], at.shape).ravel(), NODES).astype(np.float32)
+        hit = np.flatnonzero(sums)
+        own_power[hit] += sums[hit] ** 2
+        own[hit] -= NODE_STEP * sums[hit] / np.sqrt(own_power[hit])
+        own_touched[hit] = 1
+
+    if nodes is not None:
+        learned = object.__new__(Nodes)
+        learned.weights, learned.base = own, nodes.base
     w = weights.copy()
     power = np.full(len(w), 1e-2, dtype=np.float32)  # AdaGrad's, one for a row
     touched = np.zeros(len(w), dtype=np.float32)
@@ -189,10 +250,19 @@ def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
             for j in range(fb.shape[1]):
                 update(fb[:, j], grad)
             step(np.array([len(w) - 1]), grad.sum(0, keepdims=True))
+        if nodes is not None:
+            words = picked[y != END_CLASS]
+            keys, leaf, cls = Nodes.keys(hashes, begins, words), leaves_of(hashes[words]), classes[words]
+            for at in range(0, len(words), BATCH):
+                learn_nodes(keys[at : at + BATCH], cls[at : at + BATCH], leaf[at : at + BATCH])
     sums = w * touched[:, None]
     n = -(-len(w) // BLOCK)
     starts = [i * BLOCK for i in range(n) if touched[i * BLOCK : (i + 1) * BLOCK].any()]
-    yield pa.record_batch([pa.array([s // BLOCK for s in starts], pa.int32()), pa.array([sums[s : s + BLOCK].tobytes() for s in starts], pa.binary()), pa.array([touched[s : s + BLOCK].tobytes() for s in starts], pa.binary())], names=["block", "sums", "tasks"])
+    rows = [(s // BLOCK, sums[s : s + BLOCK], touched[s : s + BLOCK]) for s in starts]
+    if nodes is not None:
+        parts = [(NODE_BLOCK + i, slice(i * NODE_SIZE, (i + 1) * NODE_SIZE)) for i in range(NODES // NODE_SIZE)]
+        rows += [(k, own[part] * own_touched[part], own_touched[part]) for k, part in parts if own_touched[part].any()]
+    yield pa.record_batch([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, _, x in rows], pa.binary())], names=["block", "sums", "tasks"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,28 +276,36 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x, _ in held.values()], pa.binary()), pa.array([y.tobytes() for _, y in held.values()], pa.binary())], names=["block", "sums", "tasks"])
 
 
-def _round(rows: DataFrame, weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+def _round(rows: DataFrame, weights: np.ndarray, bucket_class: np.ndarray, nodes: Nodes, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """New weights of classes and of nodes."""
     shape = "block int, sums binary, tasks binary"
-    shared = rows.sparkSession.sparkContext.broadcast((weights, bucket_class))
-    sent = map_arrow(rows, lambda it: _train(it, *shared.value, turn, rounds), shape)
+    shared = rows.sparkSession.sparkContext.broadcast((weights, bucket_class, nodes))
+    sent = map_arrow(rows, lambda it: _train(it, *shared.value[:2], turn, rounds, shared.value[2]), shape)
     # first among neighbouring tasks, then for each block
     some = map_arrow(sent.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("part", F.pmod("block", F.lit(8))).select("block", "sums", "tasks"), _add_up, shape)
     whole = map_arrow(some.repartition("block"), _add_up, shape)
-    new = weights.copy()
-    for r in whole.toLocalIterator():  # ROWS / BLOCK + 1 rows
+    new, new_nodes = weights.copy(), nodes.weights.copy()
+    for r in whole.toLocalIterator():  # ROWS / BLOCK + 1 rows, and NODES / NODE_SIZE
+        if r["block"] >= NODE_BLOCK:
+            at = slice((r["block"] - NODE_BLOCK) * NODE_SIZE, (r["block"] - NODE_BLOCK + 1) * NODE_SIZE)
+            sums, tasks = (np.frombuffer(r[c], dtype=np.float32) for c in ("sums", "tasks"))
+            new_nodes[at] = np.where(tasks > 0, sums / np.maximum(tasks, 1), new_nodes[at])
+            continue
         at = r["block"] * BLOCK
         sums, tasks = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, CLASSES), np.frombuffer(r["tasks"], dtype=np.float32)
         new[at : at + len(sums)] = np.where(tasks[:, None] > 0, sums / np.maximum(tasks, 1)[:, None], new[at : at + len(sums)])
     shared.unpersist()
-    return new
+    return new, new_nodes
 
 
 # --- scores -----------------------------------------------------------------------------------------------
 
 
 class Model:
-    def __init__(self, counts: DataFrame, n: int, v: int, bucket_class: np.ndarray, class_n: np.ndarray, class_v: np.ndarray, weights: np.ndarray):
-        self.counts, self.n, self.v, self.bucket_class, self.class_n, self.class_v, self.weights = counts, n, v, bucket_class, class_n, class_v, weights
+    """mass: (classes, leaves), the smoothed count of all words of a leaf and of one never seen."""
+
+    def __init__(self, counts: DataFrame, n: int, v: int, bucket_class: np.ndarray, mass: np.ndarray, weights: np.ndarray, nodes: Nodes):
+        self.counts, self.n, self.v, self.bucket_class, self.mass, self.weights, self.nodes = counts, n, v, bucket_class, mass, weights, nodes
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
@@ -235,23 +313,27 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     rows = docs.select(F.col(text).cast("binary"))
     seen = written(map_arrow(rows, _count, "kind tinyint, k bigint, bucket int, n bigint").groupBy("kind", "k", "bucket").agg(F.sum("n").alias("n")), "counts", regroup=False)
     counts = seen.where("kind = 0").select("k", "bucket", "n")
-    by = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a bucket
-    bucket_n, bucket_v = np.zeros(BUCKETS + 1, dtype=np.int64), np.zeros(BUCKETS + 1, dtype=np.int64)
+    by = counts.groupBy("bucket", F.col("k").bitwiseAND((1 << LEVELS) - 1).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a bucket and leaf
+    leaf_n, leaf_v = np.zeros((BUCKETS + 1, 1 << LEVELS), dtype=np.int64), np.zeros((BUCKETS + 1, 1 << LEVELS), dtype=np.int64)
     for r in by:
-        bucket_n[r["bucket"]], bucket_v[r["bucket"]] = r["n"], r["v"]
+        leaf_n[r["bucket"], r["leaf"]], leaf_v[r["bucket"], r["leaf"]] = r["n"], r["v"]
+    bucket_n = leaf_n.sum(1)
     pairs = np.zeros(BUCKETS * BUCKETS)
     adjacent = seen.where("kind = 1").select("k", "n").toArrow()  # BUCKETS squared rows at most
     pairs[np.asarray(adjacent["k"])] = np.asarray(adjacent["n"])
     bucket_class = np.append(classes_of(pairs.reshape(BUCKETS, BUCKETS), bucket_n[:BUCKETS].astype(float)), END_CLASS)
     class_n = np.bincount(bucket_class, bucket_n, CLASSES)
+    mass = np.full((CLASSES, 1 << LEVELS), ALPHA)
+    np.add.at(mass, bucket_class, leaf_n + ALPHA * leaf_v)
     weights = np.zeros((ROWS + 1, CLASSES), dtype=np.float32)
     weights[-1] = np.log((class_n + 1) / (class_n.sum() + CLASSES))
+    nodes = Nodes(mass)
     for turn in range(rounds):
-        weights = _round(rows, weights, bucket_class, turn, rounds)
-    return Model(counts, int(bucket_n.sum()), int(bucket_v.sum()), bucket_class, class_n, np.bincount(bucket_class, bucket_v, CLASSES), weights)
+        weights, nodes.weights = _round(rows, weights, bucket_class, nodes, turn, rounds)
+    return Model(counts, int(bucket_n.sum()), int(leaf_v.sum()), bucket_class, mass, weights, nodes)
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], log_n: float, log_class: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], log_n: float, log_mass: np.ndarray, nodes: Nodes) -> Iterator[pa.RecordBatch]:
     """A row for each document (sums without its rarer words) and one for each rarer word of it."""
     counts = wordhash.Table(len(frequent[0]) + 1)
     counts.put(*frequent)
@@ -265,13 +347,15 @@ def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
         hashes, buckets, begins = read(b.column(2).to_pylist())
         classes = bucket_class[buckets]
         f = features(hashes, classes, begins)
-        logs = np.concatenate([class_logs(f[i : i + 8192], classes[i : i + 8192]) for i in range(0, len(f), 8192)]) / np.log(10)
+        leaf, keys = leaves_of(hashes), Nodes.keys(hashes, begins)
+        parts = [slice(i, i + 8192) for i in range(0, len(f), 8192)]
+        logs = np.concatenate([class_logs(f[p], classes[p]) + nodes.logs(keys[p], classes[p], leaf[p]) for p in parts]) / np.log(10)
         c = counts.get(hashes)
         common = c >= 0
         word = np.where(common, np.log10(np.maximum(c, 0) + ALPHA), 0.0)
         n = np.diff(np.append(begins, len(hashes)))
         base = np.add.reduceat(word, begins) - n * log_n
-        score = np.add.reduceat(word + logs - log_class[classes], begins)
+        score = np.add.reduceat(word + logs - log_mass[classes, leaf], begins)
         row = b.column(0)
         size = b.num_rows
         none = pa.nulls(size, pa.int64())
@@ -295,8 +379,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     k, n = np.asarray(often["k"].combine_chunks()), np.asarray(often["n"].combine_chunks())
     order = np.argsort(k)
     log_n = float(np.log10(model.n + ALPHA * (model.v + 1)))
-    log_class = np.log10(model.class_n + ALPHA * (model.class_v + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bucket_class, (k[order], n[order]), log_n, log_class))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bucket_class, (k[order], n[order]), log_n, np.log10(model.mass), model.nodes))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).cast("binary"))
     made = written(map_arrow(rows, lambda it: _score(it, *shared.value), f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, k bigint, times bigint"), "scores", regroup=False)
