@@ -54,12 +54,13 @@ def brute_likeness(a, b):
 
 def brute_anchors(spark, text):
     """Closed syncmers by the definition: the smallest inner substring is the first or the last one."""
-    pieces = re.findall(r"\S{1,4}", text)
+    pieces = re.findall(syncmers.PIECE, text)
     hashes = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "i int, p string").selectExpr("i", "xxhash64(p) h").orderBy("i").collect()
     pairs = [(x["h"], y["h"]) for x, y in zip(hashes, hashes[1:], strict=False)]
     inner = [r["g"] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a long, b long").selectExpr("i", "xxhash64(a, b) g").orderBy("i").collect()]
-    closed = [(i, inner[i], inner[i + 2]) for i in range(len(inner) - 2) if min(inner[i : i + 3]) in (inner[i], inner[i + 2])]
-    return {(r["i"], r["v"] & 0xFFFFFFFF) for r in spark.createDataFrame(closed, "i int, a long, c long").selectExpr("i", "hash(a, c) v").collect()}
+    wide = syncmers.K - syncmers.S
+    closed = [(i, inner[i], inner[i + 2], inner[i + wide]) for i in range(len(inner) - wide) if min(inner[i : i + wide + 1]) in (inner[i], inner[i + wide])]
+    return {(r["i"], r["v"] & 0xFFFFFFFF) for r in spark.createDataFrame(closed, "i int, a long, b long, c long").selectExpr("i", "hash(a, b, c) v").collect()}
 
 
 def test_anchors_are_closed_syncmers(spark):

@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, by built-in functions alone.
 
-A text is cut at white space into pieces of up to four characters.  A k-mer is ``K`` consecutive pieces, an
+A text is cut at white space into pieces of up to eight characters.  A k-mer is ``K`` consecutive pieces, an
 inner substring ``S`` of them.  A k-mer is an *anchor* (a closed syncmer) if the smallest hash among its inner
 substrings is its first or last one.  That depends on the k-mer alone, so a passage has the same anchors
 wherever it stands: between two texts, equal anchors at one displacement are a positional match
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import few_files, table
 
-#: The window arithmetic of ``kmers`` is written for these two.
-K, S = 4, 2
-PIECE = r"\S{1,4}"
+#: The window arithmetic of ``kmers`` is written for these two: every other k-mer is an anchor.
+K, S = 5, 2
+PIECE = r"\S{1,8}"
 #: Anchors at one displacement that make a positional match.
 TOGETHER = 3
 #: Buckets of the order by id: about BUCKET_ROWS rows each.  Bounds are a literal of the plan, looked up in two steps of STEP,
@@ -42,38 +42,46 @@ def _tail(a: Column, start: int) -> Column:
     return F.slice(a, F.lit(start), F.size(a))
 
 
-def kmers(text: Column) -> Column:
-    """array<struct<a, b, c>>: the hashes of its three inner substrings, in order of position."""
+def _with_next(a: Column, use: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), _tail(a, 2), use)
+
+
+def inner_substrings(text: Column) -> Column:
+    """array<long>: hashes of all stretches of S pieces (of the only piece, if there is one), in order of position."""
     pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
-    inner = let(pieces, lambda h: F.when(F.size(h) >= 2, F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), _tail(h, 2), lambda a, b: F.xxhash64(a, b))).otherwise(h))
+    return let(pieces, lambda h: F.when(F.size(h) >= S, _with_next(h, lambda a, b: F.xxhash64(a, b))).otherwise(h))
 
-    def three(g: Column) -> Column:
-        two = F.zip_with(g, F.when(F.size(g) >= 2, _tail(g, 2)).otherwise(F.slice(g, F.lit(1), F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.zip_with(two, F.when(F.size(g) >= 3, _tail(g, 3)).otherwise(F.slice(g, F.lit(1), F.lit(0))), lambda x, c: F.struct(x["a"].alias("a"), x["b"].alias("b"), c.alias("c")))
 
-    return let(inner, three)
+def kmers(inner: Column) -> Column:
+    """array<struct<a, b, c, m>>: of each k-mer its first inner substring, the middle and the last one (which make it up),
+    and the smallest of those between first and last."""
+    smaller = lambda a: _with_next(a, lambda x, y: F.least(x, y))
+    n = F.greatest(F.size(inner) - (K - S), F.lit(0))
+    part = lambda a, start, name: F.slice(a, F.lit(start), n).alias(name)
+    return let(smaller(inner), lambda m: F.arrays_zip(part(inner, 1, "a"), part(inner, 3, "b"), part(inner, 4, "c"), part(m, 2, "m")))
 
 
 def _closed(x: Column) -> Column:
-    return x["c"].isNotNull() & ((x["a"] <= x["b"]) | (x["c"] <= x["b"]))
+    return F.least(x["a"], x["c"]) <= x["m"]
 
 
 def _anchor(x: Column) -> Column:
-    # inner substrings 0 and 2 lie side by side and make up the k-mer
-    return F.hash(x["a"], x["c"])
+    return F.hash(x["a"], x["b"], x["c"])
 
 
 def positioned(text: Column) -> Column:
     """array<long>: all anchors in order of position; the position is in the high 32 bits, the anchor in the low ones."""
+
     def packed(anchor: Column, pos: Column) -> Column:
         return F.shiftleft(pos.cast("long"), 32).bitwiseOR(anchor.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    def own(k: Column) -> Column:
+    def own(inner: Column) -> Column:
         # too short a text, or one whose every k-mer is smallest in its middle: the first k-mer stands for it
-        found = F.filter(F.transform(k, lambda x, i: F.when(_closed(x), packed(_anchor(x), i))), lambda v: v.isNotNull())
-        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.transform(F.slice(k, F.lit(1), F.lit(1)), lambda x: packed(F.hash(x["a"], x["b"], x["c"]), F.lit(0)))))
+        found = F.array_compact(F.transform(kmers(inner), lambda x, i: F.when(_closed(x), packed(_anchor(x), i))))
+        first = F.when(F.size(inner) > 0, F.array(packed(F.hash(F.slice(inner, 1, K - S + 1)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(first))
 
-    return let(kmers(F.coalesce(text, F.lit(""))), own)
+    return let(inner_substrings(F.coalesce(text, F.lit(""))), own)
 
 
 def as_text(found: Column) -> Column:
@@ -85,28 +93,26 @@ def _by_anchor(found: Column, side: int) -> Column:
     return F.transform(found, lambda v: F.shiftleft(v, 32).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 32), 1)).bitwiseOR(F.lit(side).cast("long")))
 
 
-def _with_next(a: Column, use: Callable[[Column, Column], Column]) -> Column:
-    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), _tail(a, 2), use)
-
-
 def matched(a: Column, b: Column) -> Column:
     """How many anchors of two fingerprints stand at a displacement that at least ``TOGETHER`` of them share (or all, where
     there are fewer): of an anchor that occurs several times, neighbours in position meet.
 
     Both sides are sorted by anchor and position at once, and displacements of neighbours once more: n log n."""
-    low = F.lit(0xFFFFFFFF).cast("long")
+    one, low = F.lit(1).cast("long"), F.lit(0xFFFFFFFF).cast("long")
 
     def met(x: Column, y: Column) -> Column:
-        place = F.shiftrightunsigned(y.bitwiseAND(low), 1) - F.shiftrightunsigned(x.bitwiseAND(low), 1)
-        same = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseXOR(y).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return F.when(same, F.when(x.bitwiseAND(F.lit(1).cast("long")) == 0, place).otherwise(-place))
+        # one anchor, two sides: the difference is odd, and with its sign twice the displacement and one
+        apart = y.bitwiseAND(low) - x.bitwiseAND(low)
+        return F.when((apart.bitwiseAND(one) == 1) & (F.shiftright(x, 32) == F.shiftright(y, 32)), F.when(x.bitwiseAND(one) == 0, apart).otherwise(-apart))
 
     moves = let(F.sort_array(F.concat(_by_anchor(a, 0), _by_anchor(b, 1))), lambda s: F.sort_array(F.array_compact(_with_next(s, met))))
     least = F.least(F.lit(TOGETHER), F.size(a), F.size(b))
 
     def runs(d: Column) -> Column:
-        edges = F.concat(F.array(F.lit(0)), F.array_compact(_with_next(F.transform(d, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x, y: F.when(x["v"] != y["v"], y["i"]))), F.array(F.size(d)))
-        return let(edges, lambda e: F.aggregate(_with_next(e, lambda x, y: y - x), F.lit(0), lambda n, r: n + F.when(r >= least, r).otherwise(0)))
+        placed = F.transform(d, lambda v, i: F.shiftleft(v, 28) + i)
+        ends = let(placed, lambda p: F.array_compact(_with_next(p, lambda x, y: F.when(F.shiftright(x, 28) != F.shiftright(y, 28), y.bitwiseAND(F.lit((1 << 28) - 1).cast("long"))))))
+        edges = F.concat(F.array(F.lit(0).cast("long")), ends, F.array(F.size(d).cast("long")))
+        return let(edges, lambda e: F.aggregate(_with_next(e, lambda x, y: y - x), F.lit(0).cast("long"), lambda n, r: n + F.when(r >= least, r).otherwise(0)))
 
     return let(moves, runs)
 
@@ -119,7 +125,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, pos (of the k-mer's first piece), anchor: all closed syncmers."""
-    k = docs.select(F.col(key).alias("key"), F.posexplode(kmers(F.coalesce(F.col(text), F.lit("")))).alias("pos", "k"))
+    k = docs.select(F.col(key).alias("key"), F.posexplode(let(inner_substrings(F.coalesce(F.col(text), F.lit(""))), kmers)).alias("pos", "k"))
     return k.where(_closed(F.col("k"))).select(F.col("key").alias(key), "pos", _anchor(F.col("k")).alias("anchor"))
 
 
