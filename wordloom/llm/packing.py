@@ -209,7 +209,7 @@ def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.R
         yield pa.record_batch([*b.columns[:5], pa.array(row[:, 3] + nth // copies), pa.array(row[:, 4] + nth % copies * length)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack_pieces(pieces: DataFrame, size: int = SIZE, rank_group: int = 20_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int = SIZE, rank_group: int = 256) -> DataFrame:
     """pieces (as pieces_of makes them, without ids) + sequence_id, offset."""
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = written(pieces.select(*cols), "pieces")
