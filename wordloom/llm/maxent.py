@@ -38,7 +38,7 @@ from .common import NARROW, few_files, map_arrow, table, written
 BUCKETS, CLASSES, ROWS, FREQUENT, ALPHA = 1024, 24, 1 << 15, 1_000_000, 0.1
 LEVELS, NODES = 5, 1 << 18
 #: Updates of nodes: the step, and what stands for earlier gradients at first; a node's start is the counts, so it moves slowly.
-NODE_STEP, NODE_POWER = 0.1, 50.0
+NODE_STEP, NODE_POWER, NODE_BATCH = 0.1, 50.0, 8192
 ROUNDS, STEP, BATCH, BLOCK = 2, 0.3, 4096, 64
 END_CLASS = CLASSES - 1
 #: Node weights are sent in blocks of so many, numbered from NODE_BLOCK on.
@@ -170,37 +170,45 @@ def leaves_of(word: np.ndarray) -> np.ndarray:
     return word & ((1 << LEVELS) - 1)
 
 
+_LEAF, _DEPTH = np.arange(1 << LEVELS)[:, None], np.arange(LEVELS)
+#: By leaf and level: the node above (numbered from the root's 0), and the side that leads to the leaf.
+_NODE, _SIDE = (1 << _DEPTH) - 1 + (_LEAF >> (LEVELS - _DEPTH)), (_LEAF >> (LEVELS - 1 - _DEPTH)) & 1
+#: By class and leaf, in one row: what tells a class's nodes from all others.
+_OWN = ((np.arange(CLASSES)[:, None, None] * 64 + _NODE + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(-1, LEVELS)
+
+
 class Nodes:
-    """The trees of the classes: ``base`` (class, node) from counts, and hashed weights."""
+    """The trees of the classes: ``base`` (class and leaf, level) from counts, and hashed weights."""
 
-    def __init__(self, mass: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, mass: np.ndarray):
         """mass: (classes, leaves)."""
-        self.weights = np.zeros(NODES, dtype=np.float32) if weights is None else weights
+        self.weights = np.zeros(NODES, dtype=np.float32)
         sides = [mass.reshape(len(mass), 1 << d, 2, -1).sum(3) for d in range(LEVELS)]
-        self.base = np.concatenate([np.log(s[:, :, 1] / s[:, :, 0]) for s in sides], axis=1).astype(np.float32)
+        nodes = np.concatenate([np.log(s[:, :, 1] / s[:, :, 0]) for s in sides], axis=1).astype(np.float32)
+        self.base = nodes[:, _NODE].reshape(-1, LEVELS)
 
     @staticmethod
     def keys(word: np.ndarray, begins: np.ndarray, picked: slice | np.ndarray = slice(None)) -> np.ndarray:
-        """(tokens, 3): the word before, the one before that, and both."""
+        """(3, tokens): the word before, the one before that, and both."""
         place = places(begins, len(word))
         word = word.view(np.uint64)
         w1, w2 = (_back(word, begins, place, k, 7)[picked] for k in (1, 2))
-        keys = np.stack((w1 * np.uint64(3), w2 * np.uint64(5) + np.uint64(1), (w1 * np.uint64(31)) ^ (w2 * np.uint64(17))), axis=1)
+        keys = np.stack((w1 * np.uint64(3), w2 * np.uint64(5) + np.uint64(1), (w1 * np.uint64(31)) ^ (w2 * np.uint64(17))))
         return (keys ^ (keys >> np.uint64(29))) * _MIX
 
-    def read(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, features, levels): where the weights stand; (tokens, levels): the side taken, and the sums of weights."""
-        depth = np.arange(LEVELS)
-        node = (1 << depth) - 1 + (leaf[:, None] >> (LEVELS - depth))
-        side = (leaf[:, None] >> (LEVELS - 1 - depth)) & 1
-        own = (cls[:, None] * 64 + node + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        at = (((keys[:, :, None] ^ own[:, None, :]) * _MIX) >> np.uint64(64 - NODES.bit_length() + 1)).astype(np.int64)
-        return at, side, self.base[cls[:, None], node] + self.weights[at].sum(1)
+    def read(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, tokens, levels): where the weights stand; (tokens, levels): the side taken, and the sums of weights."""
+        w = self.weights if weights is None else weights
+        own = cls * (1 << LEVELS) + leaf
+        at = (((keys[:, :, None] ^ _OWN[own]) * _MIX) >> np.uint64(64 - NODES.bit_length() + 1)).view(np.int64)
+        return at, _SIDE[leaf], self.base[own] + w[at[0]] + w[at[1]] + w[at[2]]
 
     def logs(self, keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each token the logarithm of its leaf's probability; the end of a text has its class to itself."""
         _, side, z = self.read(keys, cls, leaf)
-        return np.where(cls == END_CLASS, 0.0, -np.logaddexp(0, np.where(side == 1, -z, z)).sum(1, dtype=np.float64))
+        away = np.where(side == 1, -z, z)
+        # log(1 + e^x), without overflow
+        return np.where(cls == END_CLASS, 0.0, -(np.maximum(away, 0) + np.log1p(np.exp(-np.abs(away)))) @ np.ones(LEVELS))
 
 
 def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class: np.ndarray, turn: int, rounds: int = ROUNDS, nodes: Nodes | None = None) -> Iterator[pa.RecordBatch]:
@@ -209,18 +217,14 @@ def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
     own_power, own_touched = (None, None) if nodes is None else (np.full(NODES, NODE_POWER, dtype=np.float32), np.zeros(NODES, dtype=np.float32))
 
     def learn_nodes(keys: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> None:
-        at, side, z = Nodes.read(learned, keys, cls, leaf)
+        at, side, z = nodes.read(keys, cls, leaf, own)
         grad = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - side
-        where = at.ravel()
-        sums = np.bincount(where, np.broadcast_to(grad[:, None, :], at.shape).ravel(), NODES).astype(np.float32)
+        sums = np.bincount(at.ravel(), np.tile(grad.ravel(), len(at)), NODES).astype(np.float32)
         hit = np.flatnonzero(sums)
         own_power[hit] += sums[hit] ** 2
         own[hit] -= NODE_STEP * sums[hit] / np.sqrt(own_power[hit])
         own_touched[hit] = 1
 
-    if nodes is not None:
-        learned = object.__new__(Nodes)
-        learned.weights, learned.base = own, nodes.base
     w = weights.copy()
     power = np.full(len(w), 1e-2, dtype=np.float32)  # AdaGrad's, one for a row
     touched = np.zeros(len(w), dtype=np.float32)
@@ -253,8 +257,9 @@ def _train(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
         if nodes is not None:
             words = picked[y != END_CLASS]
             keys, leaf, cls = Nodes.keys(hashes, begins, words), leaves_of(hashes[words]), classes[words]
-            for at in range(0, len(words), BATCH):
-                learn_nodes(keys[at : at + BATCH], cls[at : at + BATCH], leaf[at : at + BATCH])
+            for at in range(0, len(words), NODE_BATCH):
+                part = slice(at, at + NODE_BATCH)
+                learn_nodes(keys[:, part], cls[part], leaf[part])
     sums = w * touched[:, None]
     n = -(-len(w) // BLOCK)
     starts = [i * BLOCK for i in range(n) if touched[i * BLOCK : (i + 1) * BLOCK].any()]
@@ -349,7 +354,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bucket_class:
         f = features(hashes, classes, begins)
         leaf, keys = leaves_of(hashes), Nodes.keys(hashes, begins)
         parts = [slice(i, i + 8192) for i in range(0, len(f), 8192)]
-        logs = np.concatenate([class_logs(f[p], classes[p]) + nodes.logs(keys[p], classes[p], leaf[p]) for p in parts]) / np.log(10)
+        logs = np.concatenate([class_logs(f[p], classes[p]) + nodes.logs(keys[:, p], classes[p], leaf[p]) for p in parts]) / np.log(10)
         c = counts.get(hashes)
         common = c >= 0
         word = np.where(common, np.log10(np.maximum(c, 0) + ALPHA), 0.0)
