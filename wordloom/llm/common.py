@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.storage import shared_dir
+
 #: ASCII letters only: the contracts lower-case A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What written tables are called.
@@ -25,20 +25,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-@functools.lru_cache(maxsize=1)
-def _one_machine_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="wordloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or else the warehouse; only where all of
-    Spark is one process, as in tests, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and spark.sparkContext.master.split("[")[0] == "local":
-        found = _one_machine_dir(spark.sparkContext.applicationId)
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python a few megabytes at a time: a batch is copied on both sides, for every task.  These two
     settings of the session are lowered, never raised, and stay so, since plans read them when they run."""
