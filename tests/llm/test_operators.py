@@ -650,6 +650,19 @@ def test_delimiters_in_texts_are_escaped(spark):
     assert out["formatted"].count("<turn>") == 1 and out["escaped_turns"] == 1 and out["round_trip"]
 
 
+def test_spans_of_a_long_conversation(spark):
+    """Texts that end at, begin at and lie across the edges of chunks, of one and of several bytes a code point."""
+    chunk = 1 << chat.CHUNK
+    texts = ["", "é" * (chunk - 12), "x" * chunk, "", "😀" * (3 * chunk), "</turn>", *("ä😀</turn>"[: i % 11] for i in range(300))]
+    df = spark.createDataFrame([(1, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df)
+    row = out.first()
+    at = [(row["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]], s["role"]) for s in row["spans"]]
+    assert len(at) == len(texts) and row["round_trip"] and [r for _, r in at] == ["assistant" if i % 3 else "user" for i in range(len(texts))]
+    assert all(a == (t if "turn>" not in t else t.replace("</turn>", "<\\/turn>")) for (a, _), t in zip(at, texts, strict=True))
+    assert chat.read_back(out).first()["loss_texts"] == [t for i, t in enumerate(texts) if i % 3]
+
+
 def test_rules_in_many_blocks(spark):
     pages = spark.createDataFrame([(1, "http://a.h7.org/x/y"), (2, "http://h30.org/"), (3, "http://none.net/ads/x.gif"), (4, None)], "page_id long, url string")
     rules = [urlfilter.site("block", f"h{i}.org", "/") for i in range(40)] + [urlfilter.site("allow", "h7.org", "/x/"), urlfilter.glob("block", "*.net/ads/*", "ads")]

@@ -22,12 +22,14 @@ memory as every formatted training example must; nothing else gathers rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 OPEN, CLOSE = "<turn>", "</turn>"
+#: Texts are read at places of a conversation by chunks of 2^CHUNK code points.
+CHUNK = 12
 
 
 def escape(text: Column) -> Column:
@@ -78,51 +80,58 @@ def recovered(formatted: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text → + rendered, escaped."""
+    """conv_id, turn, role, text → + rendered, what it shows as shown_role and shown, escaped."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("plain", render(F.col("role"), F.col("text"))).withColumn("plain_ok", _same(parse(F.col("plain")), F.col("role"), F.col("text")))
-    t = t.withColumn("rendered", F.when(F.col("plain_ok"), F.col("plain")).otherwise(render(escape_role(F.col("role")), escape(F.col("text")))))
-    return t.select("conv_id", "turn", "role", "text", "rendered", (~F.col("plain_ok")).alias("escaped"))
+    t = t.withColumn("escaped", ~_same(parse(render(F.col("role"), F.col("text"))), F.col("role"), F.col("text")))
+    t = t.withColumn("shown_role", F.when(F.col("escaped"), escape_role(F.col("role"))).otherwise(F.col("role")))
+    t = t.withColumn("shown", F.when(F.col("escaped"), escape(F.col("text"))).otherwise(F.col("text")))
+    return t.withColumn("rendered", render(F.col("shown_role"), F.col("shown")))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, spans (start and length in code points, and role, of each turn's content),
-    escaped_turns, round_trip."""
-    t = format_turns(turns)
-    at = F.struct("turn", "role", "text", "rendered", "escaped")
-    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(at)).alias("t"))
+    escaped_turns, round_trip.
+
+    Where a turn begins is a running sum over the rows of its conversation, in the same shuffle and order as the
+    output, so the work on a conversation grows with its length."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    t = format_turns(turns).withColumn("begin", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
+    start = F.col("begin") + F.length("shown_role") + len(OPEN) + 2
+    span = F.struct(start.alias("start"), F.length("shown").cast("long").alias("length"), F.col("shown_role").alias("role"))
+    # turns that are equal are told apart by where they begin
+    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "begin", "rendered", "escaped", span.alias("span")))).alias("t"))
     g = g.select(
         "conv_id",
         F.array_join(F.col("t.rendered"), "").alias("formatted"),
+        F.col("t.span").alias("spans"),
         F.size(F.filter("t", lambda x: x["escaped"])).cast("long").alias("escaped_turns"),
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
-    ).withColumn("round_trip", F.coalesce(recovered(F.col("formatted")) == F.col("source"), F.lit(False)))
-    begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,role:string>>").alias("spans"))
-    return g.withColumn("turns", parse(F.col("formatted"))).select(
-        "conv_id",
-        "formatted",
-        F.aggregate(
-            "turns",
-            begin,
-            lambda a, x: F.struct(
-                (a["at"] + len(OPEN) + F.length(x["role"]) + 1 + F.length(x["content"]) + len(CLOSE)).alias("at"),
-                F.concat(a["spans"], F.array(F.struct((a["at"] + len(OPEN) + F.length(x["role"]) + 1).alias("start"), F.length(x["content"]).cast("long").alias("length"), x["role"].alias("role")))).alias("spans"),
-            ),
-            lambda a: a["spans"],
-        ).alias("spans"),
-        "escaped_turns",
-        "round_trip",
     )
+    return g.withColumn("round_trip", F.coalesce(recovered(F.col("formatted")) == F.col("source"), F.lit(False))).drop("source")
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """array<string>: what stands in text at each span.  A place in a text is found by walking there from its start, so
+    the text is parted once and each span walks no further than a chunk."""
+
+    def one(chunks: Column, s: Column) -> Column:
+        first = F.shiftright(s["start"] - 1, CHUNK)
+        past = F.shiftright(s["start"] + s["length"] - 1 + (1 << CHUNK) - 1, CHUNK)
+        near = F.array_join(F.slice(chunks, (first + 1).cast("int"), F.greatest(past - first, F.lit(0)).cast("int")), "")
+        return F.substr(near, (s["start"] - F.shiftleft(first, CHUNK)).cast("int"), s["length"].cast("int"))
+
+    parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % (1 << CHUNK)), F.lit(0))
+    return let(parts, lambda chunks: F.transform(spans, lambda s: one(chunks, s)))
 
 
 def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, turns (role and text recovered from the output), loss_texts (under the mask, unescaped)."""
-    masked = F.transform(F.filter("spans", lambda s: unescape_role(s["role"]) == trained_role), lambda s: unescape(F.substr(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))))
+    masked = cut(F.col("formatted"), F.filter("spans", lambda s: unescape_role(s["role"]) == trained_role))
     return formatted.select(
         "conv_id",
         "formatted",
         recovered(F.col("formatted")).alias("turns"),
-        masked.alias("loss_texts"),
+        F.transform(masked, unescape).alias("loss_texts"),
     )
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_files, table
+from .common import few_files, let, table
 
 #: The window arithmetic of ``kmers`` is written for these two: every other k-mer is an anchor.
 K, S = 5, 2
@@ -33,11 +33,6 @@ TOGETHER = 3
 STEP, BUCKET_ROWS = 512, 2000
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate value once, whatever use does with it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _tail(a: Column, start: int) -> Column:
     return F.slice(a, F.lit(start), F.size(a))
 
