@@ -4,6 +4,7 @@ import os
 from collections import Counter
 
 import duckdb
+import pandas as pd
 
 from wordloom import schema
 
@@ -26,11 +27,11 @@ def connect(sf):
 
 
 def norm(v):
-    if hasattr(v, "item"):
+    if v is not pd.NA and hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
         return None if v != v else round(v, 6)
-    return None if v is None or v != v else v
+    return None if v is None or v is pd.NA or v != v else v
 
 
 def same(pdf, sql_pdf):
