@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wordloom import schema
 from wordloom.config import Settings
 from wordloom.functions import text as tx
+from wordloom.operators import passes
 from wordloom.operators.annotate import Annotator, annotator
 from wordloom.storage import stored
 
@@ -34,14 +35,15 @@ class Corpus:
         return df.join(names, "doc_id", "left").withColumn("name", F.coalesce("__name", F.col("doc_id").cast("string"))).drop("__name")
 
 
-def build(docs: DataFrame, settings: Settings | None = None, by: Annotator | None = None) -> Corpus:
-    """docs: doc_id, text and any further columns, which become groups."""
+def build(docs: DataFrame, settings: Settings | None = None, by: Annotator | None = None, lemmas: DataFrame | None = None) -> Corpus:
+    """docs: doc_id, text and any further columns, which become groups.  lemmas (surface, lemma): what the second lemmatiser
+    learns from, where an option asks for it; else it learns from the vocabulary."""
     settings = settings or Settings()
     by = by or annotator(settings.language)
     cleaned = docs.withColumn("text", tx.apply_cleaning(F.coalesce("text", F.lit("")), bool(settings.cleaning.get("aozora"))))
     documents = cleaned.withColumn("n_chars", F.length("text").cast("long")).drop("text")
     options: dict[str, Any] = by.default_options() | settings.language_options
-    return Corpus(documents, by.annotate(cleaned, options), settings.language)
+    return Corpus(documents, passes.apply(by.annotate(cleaned, options), settings.language, options, lemmas), settings.language)
 
 
 def detect_corpus_language(docs: DataFrame, sample: int = 50, chars: int = 5000) -> DataFrame:

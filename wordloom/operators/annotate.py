@@ -95,6 +95,11 @@ class NativeAnnotator(Annotator):
         kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *kept, self.cut(self.normalize(F.col("text"), options)).alias("t"))
 
+    def token_counts(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, carry, n_tokens: a document's tokens, counted in its row."""
+        rows = self._cut_rows(docs, self.default_options() | (options or {}), carry)
+        return rows.select("doc_id", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), F.size("t").cast("long").alias("n_tokens"))
+
     def in_rows(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = (), function_words: bool = True) -> DataFrame:
         """doc_id, carry, t: a document's tokens as one array<struct<position, sentence_id, surface, lemma, is_function>>, for
         operators whose work stays within a document.  function_words: whether is_function is needed (else it is false)."""
@@ -124,7 +129,7 @@ class NativeAnnotator(Annotator):
             "pos",
             F.lit("").alias("pos_detail"),
             F.col("pos").isin(*self.function_pos).alias("is_function"),
-            F.lit("").alias("dep"),
+            F.lit("").alias("dep", metadata={"unknown": True}),
             F.lit(-1).cast("long").alias("head"),
             F.lit("").alias("lemma_alt"),
             F.lit("").alias("compound_parts"),

@@ -104,21 +104,32 @@ def pos_composition(tokens: DataFrame, include_function_words: bool = True) -> D
 
 
 def corpus_summary(tokens: DataFrame, documents: DataFrame, language: str, unit: str = "lemma") -> DataFrame:
-    content = ~F.col("is_function")
-    one = tokens.agg(F.count("*").alias("n_tokens"), F.count_distinct(unit).alias("n_types"), F.count_if(content).alias("n_tokens_content"), F.count_distinct(F.when(content, F.col(unit))).alias("n_types_content"))
+    # counts by word, summed before the shuffle, instead of distinct counts over every token
+    words = tokens.groupBy(F.col(unit).alias("w")).agg(F.count("*").alias("n"), F.count_if(~F.col("is_function")).alias("c"))
+    known = F.col("w").isNotNull()
+    one = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if(known).alias("n_types"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_tokens_content"), F.count_if(known & (F.col("c") > 0)).alias("n_types_content"))
     return documents.agg(F.count("*").alias("n_documents")).crossJoin(F.broadcast(one)).withColumn("language", F.lit(language))
 
 
-def tokens_per_document(tokens: DataFrame, documents: DataFrame) -> DataFrame:
-    counts = tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
-    return documents.join(counts, "doc_id")
+def document_sizes(tokens: DataFrame) -> DataFrame:
+    """doc_id, n_tokens."""
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
 
-def group_sizes(tokens: DataFrame, documents: DataFrame, group: str) -> DataFrame:
-    """Documents and tokens by group, null groups left out."""
-    counts = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    docs = documents.select("doc_id", F.col(group).alias("group")).where("group IS NOT NULL")
-    out = docs.join(counts, "doc_id", "left").groupBy("group").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+def tokens_per_document(sizes: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Documents with at least one token.  sizes: tokens, or documents with n_tokens (``annotate.token_counts``)."""
+    if "n_tokens" not in sizes.columns:
+        sizes = document_sizes(sizes)
+    return (sizes if documents is None else documents.join(sizes, "doc_id")).where("n_tokens > 0")
+
+
+def group_sizes(tokens: DataFrame, documents: DataFrame | None, group: str) -> DataFrame:
+    """Documents and tokens by group, null groups left out.  tokens: a table, or documents with n_tokens and the group."""
+    if "n_tokens" in tokens.columns:
+        docs = tokens.select(F.col(group).alias("group"), F.col("n_tokens").alias("n"))
+    else:
+        docs = documents.select("doc_id", F.col(group).alias("group")).join(document_sizes(tokens).withColumnRenamed("n_tokens", "n"), "doc_id", "left")
+    out = docs.where("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
     return out.orderBy(F.desc("n_documents"), "group")
 
 

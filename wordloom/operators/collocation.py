@@ -5,7 +5,7 @@ edges).  A word is never its own collocate.  All counts are aggregates joined in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import measures
@@ -22,7 +22,8 @@ METHODS = ("sentence", "fixed", "dependency")
 def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(word, relation) of every collocate occurrence, and one row: w."""
     if method == "fixed" and "t" in tokens.columns:
-        occ = kwic.hits_in_rows(tokens, query, unit).select(F.explode(F.transform(kwic.around(window), lambda x: x[unit])).alias("word"))
+        beside = F.flatten(F.array_compact(F.transform("t", lambda x, i: F.when(kwic.matches(x[unit], query), F.transform(kwic.around(F.col("t"), i, window), lambda y: y[unit])))))
+        occ = tokens.select(F.explode(beside).alias("word"))
         return occ.select("word", F.lit("").alias("relation")), tokens.sparkSession.range(1).select(F.lit(2.0 * window).alias("w"))
     if method == "fixed":
         rows = kwic.near_hits(tokens, query, unit)
@@ -31,10 +32,14 @@ def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: i
         occ = asked.join(rows.select("doc_id", "rn", F.col(unit).alias("word")), ["doc_id", "rn"])
         return occ.select("word", F.lit("").alias("relation")), tokens.sparkSession.range(1).select(F.lit(2.0 * window).alias("w"))
     if method == "sentence" and "t" in tokens.columns:
-        # The sentences of a document's hits, and how many hits each has: its tokens count so many times.
-        own = tokens.withColumn("hits", F.transform(F.filter("t", lambda x: kwic.matches(x[unit], query)), lambda x: x["sentence_id"])).where("size(hits) > 0")
-        words = F.transform(F.filter("t", lambda x: F.array_contains("hits", x["sentence_id"])), lambda x: F.struct(x[unit].alias("word"), F.size(F.filter("hits", lambda s: s == x["sentence_id"])).alias("times"), F.lit(0).alias("h")))
-        rows = own.select(F.explode(F.concat(words, F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("times"), F.size("hits").alias("h"))))).alias("x"))
+        # A sentence's hits are counted, and each of its tokens counts so many times; one further row has the hits.
+        def counted(x: Column) -> Column:
+            hits = F.size(F.filter(x, lambda y: kwic.matches(y[unit], query)))
+            own = lambda h: F.concat(F.transform(x, lambda y: F.struct(y[unit].alias("word"), h.alias("times"), F.lit(0).alias("h"))), F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("times"), h.alias("h"))))
+            return kwic.let(hits, lambda h: F.when(h > 0, own(h)))
+
+        asked = tokens.where(F.exists("t", lambda x: kwic.matches(x[unit], query)))
+        rows = asked.select(F.explode(F.flatten(F.array_compact(F.transform(kwic.sentences(F.col("t")), lambda s: counted(s["x"]))))).alias("x"))
         occ = stored(rows.groupBy("x.word").agg(F.sum("x.times").alias("times"), F.sum("x.h").alias("h")), "sentences")
         return occ.where("word IS NOT NULL").select("word", F.lit("").alias("relation"), "times"), occ.agg(F.try_divide((F.sum("times") - F.sum("h")).cast("double"), F.sum("h").cast("double")).alias("w"))
     hit = kwic.is_hit(tokens, query, unit)
@@ -56,16 +61,21 @@ def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: i
     raise ValueError(f"unknown method {method}")
 
 
-def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False, rows: DataFrame | None = None) -> DataFrame:
+def counted_words(tokens: DataFrame, node: str, unit: str = "lemma") -> DataFrame:
+    """A row for each word: freq, pos, label, fn (a function word), n_hit (occurrences that are hits of node)."""
+    return vocabulary(tokens, unit, [F.max(F.col("is_function").cast("int")).alias("fn"), F.count_if(kwic.is_hit(tokens, node, unit)).alias("n_hit")])
+
+
+def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False, rows: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """rows: the same tokens from ``annotate.in_rows``, where there are; spans are then cut out of them without a shuffle.
+    words: their counts from ``counted_words``, where they are at hand.
 
     collocate, label, pos, is_function, relation, cooccur, freq_node, freq_collocate, expected, mi, t, log_dice, g2
     (and p).  Function words are in it; hiding them is a view's business."""
     occ, w = occurrences(rows if rows is not None and method != "dependency" else tokens, node, unit, method, window)
     times = F.sum("times") if "times" in occ.columns else F.count("*")
     counts = occ.groupBy("word", "relation").agg(times.alias("cooccur")).where(F.col("cooccur") >= min_cooccur)
-    hit = kwic.is_hit(tokens, node, unit)
-    vocab = vocabulary(tokens, unit, [F.max(F.col("is_function").cast("int")).alias("fn"), F.count_if(hit).alias("n_hit")])
+    vocab = words if words is not None else counted_words(tokens, node, unit)
     totals = vocab.agg(F.sum("freq").alias("n"), F.sum("n_hit").alias("freq_node"))  # no further pass over tokens
     scalars = totals.crossJoin(F.broadcast(w))
     known = vocab.where("n_hit = 0").select("word", "label", "pos", (F.col("fn") > 0).alias("is_function"), F.col("freq").alias("freq_collocate"))

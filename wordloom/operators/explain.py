@@ -6,6 +6,7 @@ values; the table's order is the order of importance."""
 
 from __future__ import annotations
 
+import itertools
 import operator
 import re
 from collections import ChainMap
@@ -60,6 +61,20 @@ _DISAGREE = "The measures disagree on '{WORD}' and '{COLLOCATE}': logDice is hig
 _NOISE = ("BOTH_HIGH_FREQUENCY", "T_HIGH_MI_LOW")
 _STRONG = "log_dice >= log_dice_strong"
 
+#: What each measure says about a pair, against its limit; a measure without a value is left out.
+_MEASURES = [
+    [(f"{name} >= {limit}", f"{label} is {{{name}}}, {above} ({{{limit}}})"), (f"{name} < {limit}", f"{label} is {{{name}}}, {below} ({{{limit}}})"), (f"{name} ?", "")]
+    for name, limit, label, above, below in (
+        ("log_dice", "log_dice_strong", "logDice", "above the mark of a strong bond", "below the mark of a strong bond"),
+        ("mi", "mi_meaningful", "MI", "above what chance explains", "below what chance explains"),
+        ("g2", "g2_significant", "G2", "above the limit of significance", "below the limit of significance"),
+    )
+]
+_LEVELS = [
+    Statement(FACT, "'{WORD}' and '{COLLOCATE}' meet {cooccur} times" + "".join(f"{sign} {text}" for sign, text in zip(":;;", filter(None, (text for _, text in case)), strict=False)) + ".", screen="collocation", when=tuple(when for when, _ in case), last=True)
+    for case in itertools.product(*_MEASURES)
+]
+
 STATEMENTS = [
     Statement(FACT, _DISAGREE + "MI ({mi}) is near chance, as for any two common words.", screen="collocation", when=(_STRONG, "mi < mi_meaningful"), without=_NOISE),
     Statement(FACT, _DISAGREE + "G2 ({g2}) cannot be told from chance.", screen="collocation", when=(_STRONG, "mi >= mi_meaningful", "g2 < g2_significant"), without=_NOISE),
@@ -74,7 +89,7 @@ STATEMENTS = [
     *_flagged("LOW_FREQUENCY", "'{WORD}' occurs {freq} times, too rarely to speak of a tendency.", "Read the concordance lines one by one."),
     *_flagged("ZERO_CORRECTED", "'{WORD}' occurs {freq_present} times in '{GROUP_PRESENT}' and never in '{GROUP_ABSENT}'.", "Report the word as found in one group only."),
     *_flagged("EFFECT_SIZE_TOO_SMALL", "The rates of '{WORD}' differ by a log ratio of {log_ratio}, too little to matter.", "Prefer words with a log ratio of at least {log_ratio_min} in size."),
-    Statement(FACT, "'{WORD}' and '{COLLOCATE}' meet {cooccur} times: logDice is {log_dice} (strong from {log_dice_strong}), MI is {mi} (telling from {mi_meaningful}), G2 is {g2} (significant from {g2_significant}).", screen="collocation", last=True),
+    *_LEVELS,
     Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million) and is concentrated: its dispersion of {dp} is above {dp_skew}.", screen="frequency", when=("dp > dp_skew",), last=True),
     Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million) and is spread over the corpus: its dispersion of {dp} is not above {dp_skew}.", screen="frequency", when=("dp <= dp_skew",), last=True),
     Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million).", screen="frequency", when=("dp ?",), last=True),

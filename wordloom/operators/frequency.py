@@ -136,8 +136,9 @@ def duplicate_labels(frequencies: DataFrame) -> DataFrame:
 def high_frequency_cutoff(tokens: DataFrame, unit: str = "lemma", top_ratio: float = 0.01) -> DataFrame:
     """cutoff: the frequency of the k-th most frequent word, k = max(1, ceil(types * top_ratio)); 2^31 without words.
 
-    Taken from the histogram of frequencies, not from a sorted vocabulary."""
-    freqs = tokens.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("freq")).groupBy("freq").agg(F.count("*").alias("types"))
+    Taken from the histogram of frequencies, not from a sorted vocabulary.  tokens: a table, or words with their freq."""
+    words = tokens.where("word IS NOT NULL") if "freq" in tokens.columns else tokens.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("freq"))
+    freqs = words.groupBy("freq").agg(F.count("*").alias("types"))
     whole = freqs.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("types") * F.lit(top_ratio))).alias("k"))
     upto = freqs.withColumn("upto", F.sum("types").over(Window.orderBy(F.desc("freq"))))  # a row a frequency value
     return upto.crossJoin(F.broadcast(whole)).where(F.col("upto") >= F.col("k")).agg(F.coalesce(F.max("freq"), F.lit(2**31)).alias("cutoff"))

@@ -3,7 +3,7 @@ of which there are few, and meet the tokens once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOUNS = ("NOUN", "PROPN")
@@ -11,6 +11,10 @@ CONTENT = (*NOUNS, "VERB", "ADJ", "ADV")
 MODES = ("own", "other", "both")
 #: Sounds between the parts of a compound.
 LINKS = ("", "s", "es", "n", "en", "er")
+#: Prefixes that can stand apart from their verb (fixed values).
+PREFIXES = ("ab", "an", "auf", "aus", "bei", "ein", "fort", "her", "hin", "los", "mit", "nach", "nieder", "vor", "weg", "weiter", "zu", "zurück", "zusammen")
+#: Lengths of the character sequences by which compounds are scored.
+GRAMS = (3, 4)
 
 
 def _capital(word: Column) -> Column:
@@ -71,3 +75,84 @@ def split_compounds(tokens: DataFrame, lowercase: bool = False, **options: objec
     parts = F.lower("__parts") if lowercase else F.col("__parts")
     both = tokens.join(types, "surface", "left")
     return both.select(*((F.when(F.col("pos").isin(*NOUNS), F.coalesce(parts, "compound_parts")).otherwise(F.col(c)) if c == "compound_parts" else F.col(c)).alias(c) for c in tokens.columns))
+
+
+def _grams(words: DataFrame, word: str) -> DataFrame:
+    """words + k, start, gram: every sequence of GRAMS characters."""
+
+    def of(k: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.length(word) - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), i.alias("start"), F.substr(word, i, F.lit(k)).alias("gram")))
+        return F.when(F.length(word) >= k, at)
+
+    return words.withColumn("x", F.explode(F.flatten(F.array_compact(F.array(*map(of, GRAMS)))))).select(*words.columns, "x.*")
+
+
+def gram_shares(words: DataFrame) -> DataFrame:
+    """gram, begins, ends, inside: of its occurrences in words (word), the shares at a word's beginning, end and within it."""
+    at_begin, at_end = F.col("start") == 1, F.col("start") + F.col("k") == F.length("word") + 1
+    counts = _grams(words.select("word"), "word").groupBy("gram").agg(F.count("*").alias("n"), F.count_if(at_begin).alias("b"), F.count_if(at_end).alias("e"), F.count_if(~at_begin & ~at_end).alias("i"))
+    return counts.select("gram", *((F.col(c) / F.col("n")).alias(name) for c, name in (("b", "begins"), ("e", "ends"), ("i", "inside"))))
+
+
+def scored_compounds(types: DataFrame, min_score: float = 0.5, min_part: int = 3, pos: tuple[str, ...] = NOUNS) -> DataFrame:
+    """surface, pos, parts, score, for nouns of types (surface, pos) whose best cut has at least min_score.
+
+    A cut is as good as what stands before it (without a linking sound) likes to end words, what stands behind it likes to begin them, and
+    what lies across it is not used to lie within words: the best of GRAMS for the first two, the least for the third.  Of equal cuts the one with
+    the shorter linking sound counts, then the earlier.  Words with a capital are nouns where the annotator has no parts of speech."""
+    letters = types.where(~F.rlike("surface", F.lit(r"[^\p{L}]")) & F.col("pos").isin(*CONTENT, "WORD")).select("surface", "pos", F.lower("surface").alias("word"))
+    shares = gram_shares(letters.where(F.length("word") >= min_part).select("word").distinct())
+    nouns = letters.where((F.col("pos").isin(*pos) | ((F.col("pos") == "WORD") & _starts(F.col("surface"), "Lu"))) & (F.length("word") >= 2 * min_part))
+    found = _grams(nouns.select("word").distinct(), "word").join(shares, "gram")
+    short, long = GRAMS
+    own = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "start", "begins", "ends", "inside"))).alias("g"))
+    own = own.withColumn("size", F.length("word"))
+
+    def gram(k: int, start: Column, what: str) -> Column:
+        """The share of the gram of k characters that starts there (from 1); null beyond the word."""
+        skip = F.lit(0) if k == short else F.col("size") - (short - 1)
+        return F.when((start >= 1) & (start + k <= F.col("size") + 1), F.get("g", (skip + start - 1).cast("int"))[what])
+
+    def cut(c: Column, link: str) -> Column:
+        """c: characters before the cut, linking sound included."""
+        end = c - len(link)
+        before = F.greatest(*(gram(k, end - (k - 1), "ends") for k in GRAMS))
+        behind = F.greatest(*(gram(k, c + 1, "begins") for k in GRAMS))
+        across = F.least(*(gram(k, c - k // 2 + 1, "inside") for k in GRAMS))
+        fits = (end >= min_part) & (F.substr("word", end + 1, F.lit(len(link))) == link)
+        return F.when(fits, F.struct((-(before + behind - across)).alias("s"), F.lit(len(link)).alias("link"), c.alias("at")))
+
+    cuts = F.transform(F.sequence(F.lit(min_part), F.col("size") - min_part), lambda c: F.array(*(cut(c, x) for x in LINKS)))
+    best = own.select("word", F.array_min(F.array_compact(F.flatten(cuts))).alias("b")).where(-F.col("b.s") >= min_score)
+    left, right = F.expr("substr(word, 1, b.at - b.link)"), F.expr("substr(word, b.at + 1)")
+    parts = best.select("word", F.concat(_capital(left), F.lit("+"), _capital(right)).alias("parts"), (-F.col("b.s")).alias("score"))
+    return nouns.join(parts, "word").select("surface", "pos", "parts", "score")
+
+
+def partners(types: DataFrame, min_stem: int = 3) -> DataFrame:
+    """surface, pos, __prefixes: for verbs (or any word, where the annotator has no parts of speech) the prefixes with which they are
+    another word of types."""
+    words = types.where(F.col("pos").isin("VERB", "WORD"))
+    known = words.select(F.lower("surface").alias("w")).distinct()
+    rests = known.select("w", F.explode(F.array(*map(F.lit, PREFIXES))).alias("p")).where(F.startswith("w", F.col("p")))
+    rests = rests.select(F.expr("substr(w, length(p) + 1)").alias("rest"), "p").where(F.length("rest") >= min_stem)
+    sets = rests.groupBy("rest").agg(F.sort_array(F.collect_set("p")).alias("__prefixes"))  # at most as many as PREFIXES
+    return words.join(sets, F.lower("surface") == F.col("rest")).select("surface", "pos", "__prefixes")
+
+
+def join_separated(tokens: DataFrame) -> DataFrame:
+    """tokens (with __prefixes) with verbs and prefixes put together where no parser marks them: a prefix that closes a clause belongs to
+    the clause's first word that is a word with it.  The prefix gets dep "svp", the verb's position as head and becomes a particle; the
+    verb's lemma begins with it.  Clauses lie between marks; windows over them need no second shuffle."""
+    mark = F.col("pos") == "PUNCT"
+    text = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clause = Window.partitionBy("doc_id", "__clause")
+    t = tokens.withColumn("__clause", F.count_if(mark).over(text))
+    t = t.withColumn("__last", F.max(F.when(~mark, F.struct("position", F.lower("surface").alias("p")))).over(clause))
+    closes = F.col("__last.p").isin(*PREFIXES)
+    t = t.withColumn("__verb", F.min(F.when(closes & (F.col("position") < F.col("__last.position")) & F.array_contains("__prefixes", F.col("__last.p")), F.col("position"))).over(clause))
+    svp = F.coalesce(F.col("__verb").isNotNull() & (F.col("position") == F.col("__last.position")), F.lit(False))
+    prefix = F.when(F.col("position") == F.col("__verb"), F.col("__last.p")).otherwise("")
+    new = {"dep": F.when(svp, "svp").otherwise(F.col("dep")), "head": F.when(svp, F.col("__verb")).otherwise(F.col("head")), "pos": F.when(svp, "PART").otherwise(F.col("pos"))}
+    new |= {"is_function": F.col("is_function") | svp, "lemma": F.concat(prefix, "lemma"), "lemma_label": F.concat(prefix, "lemma_label")}
+    return t.select(*(new.get(c, F.col(c)).alias(c) for c in tokens.columns))

@@ -12,6 +12,7 @@ Adjacency is by rows of the table as given: after a filter, neighbours are those
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,39 +70,68 @@ def near_hits(tokens: DataFrame, query: str, unit: str = "lemma", regex: bool =
     return numbered(tokens.join(find_hits(tokens, query, unit, regex, case_sensitive).select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
-def hits_in_rows(rows: DataFrame, query: str, unit: str = "lemma", regex: bool = False, case_sensitive: bool = True) -> DataFrame:
-    """rows + at (one of each hit's places in t, from 1), for rows from ``annotate.in_rows``; a lemma is its own label there."""
-    places = F.array_compact(F.transform("t", lambda x, i: F.when(matches(x[unit], query, regex, case_sensitive), i + 1)))
-    return rows.withColumn("at", F.explode(places))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once for a row, however often use (or a function within it) asks for it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def around(window: int) -> Column:
-    """The tokens within window places of the hit at ``at``, in order and without it."""
-    before = F.slice("t", F.greatest(F.col("at") - window, F.lit(1)), F.least(F.lit(window), F.col("at") - 1))
-    return F.concat(before, F.slice("t", F.col("at") + 1, F.lit(window)))
+def around(t: Column, i: Column, window: int) -> Column:
+    """The tokens within window places of place i (from 0), in order and without it."""
+    before = F.slice(t, F.greatest(i - window, F.lit(0)) + 1, F.least(F.lit(window), i))
+    return F.concat(before, F.slice(t, i + 2, F.lit(window)))
+
+
+def sentences(t: Column) -> Column:
+    """array<struct<at, x>>: the tokens of each sentence that has some, and the place (from 0) of its first.  One pass
+    over the document finds where sentences begin, and each token is copied once."""
+    begins = F.array_compact(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1)["sentence_id"] != x["sentence_id"]), i)))
+    return let(begins, lambda b: F.transform(b, lambda a, j: F.struct(a.alias("at"), F.slice(t, a + 1, F.coalesce(F.get(b, j + 1), F.size(t)) - a).alias("x"))))
+
+
+def _line(t: Column, x: Column, i: Column, unit: str, window: int, display: str) -> Column:
+    """The concordance line of token x at place i (from 0) of t."""
+    beside = {k: F.coalesce(F.get(t, i + k)[display], F.lit("")) for k in range(-window, window + 1) if k}
+    left, right = ([c.alias(_name(k)) for k, c in beside.items() if (k < 0) == before] for before in (True, False))
+    return F.struct(x["position"].alias("position"), x["sentence_id"].alias("sentence_id"), x[unit].alias("key"), *left, x[display].alias("KWIC"), *right)
+
+
+def _as_rows(rows: DataFrame, lines: Column, window: int, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each line of a document, with its sides as text."""
+    found = rows.select("doc_id", *keep, F.explode(lines).alias("x")).select("doc_id", "x.*", *keep)
+    names = {"left": range(-window, 0), "right": range(1, window + 1)}
+    sides = [F.array_join(F.filter(F.array(*(F.col(_name(k)) for k in ks)) if ks else F.array().cast("array<string>"), lambda x: x != ""), " ").alias(name) for name, ks in names.items()]
+    return found.select(*(c for c in found.columns if c not in keep), *sides, *keep)
+
+
+def lines_at(rows: DataFrame, places: str, unit: str = "lemma", window: int = 5, display: str = "surface", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The concordance of the tokens at the places (from 0) that a column of rows lists."""
+    return _as_rows(rows, F.transform(places, lambda i: _line(F.col("t"), F.get("t", i.cast("int")), i.cast("int"), unit, window, display)), window, keep)
 
 
 def kwic_in_rows(rows: DataFrame, query: str, unit: str = "lemma", window: int = 5, regex: bool = False, case_sensitive: bool = True, display: str = "surface", collocate: str | None = None, scope: str = "sentence", content: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """As ``kwic``, for rows from ``annotate.in_rows``.  content: without function words, but with all hits; keep: further
-    columns of rows."""
-    if content:
-        rows = rows.withColumn("t", F.filter("t", lambda x: ~x["is_function"] | matches(x[unit], query)))
-    hits = hits_in_rows(rows, query, unit, regex, case_sensitive)
-    hit = F.element_at("t", F.col("at"))
-    if collocate and scope == "sentence":
-        hits = hits.where(F.exists("t", lambda y: (y["sentence_id"] == hit["sentence_id"]) & (y["position"] != hit["position"]) & matches(y[unit], collocate)))
-    elif collocate and scope == "fixed":
-        hits = hits.where(F.exists(around(window), lambda y: matches(y[unit], collocate)))
-    elif collocate:
+    columns of rows.  The work of a document is in proportion to its tokens: hits are lines before they become rows."""
+    if collocate and scope not in ("sentence", "fixed"):
         raise ValueError(f"unknown scope {scope}")
 
-    def at(k: int) -> Column:
-        return F.coalesce(F.when(F.col("at") + k >= 1, F.get("t", F.col("at") + (k - 1))[display]), F.lit(""))
+    def hit(x: Column) -> Column:
+        return matches(x[unit], query, regex, case_sensitive)
+
+    def other(x: Column) -> Column:
+        return matches(x[unit], collocate or "")
+
+    def line(t: Column, x: Column, i: Column) -> Column:
+        return _line(t, x, i, unit, window, display)
+
+    def found(t: Column) -> Column:
+        if collocate and scope == "sentence":
+            return F.flatten(F.transform(sentences(t), lambda s: let(F.size(F.filter(s["x"], other)), lambda n: F.array_compact(F.transform(s["x"], lambda x, i: F.when(hit(x) & (n > F.coalesce(other(x), F.lit(False)).cast("int")), line(t, x, s["at"] + i)))))))
+        if collocate:
+            return F.array_compact(F.transform(t, lambda x, i: F.when(hit(x), F.when(F.exists(around(t, i, window), other), line(t, x, i)))))
+        return F.array_compact(F.transform(t, lambda x, i: F.when(hit(x), line(t, x, i))))
 
-    left, right = list(range(-window, 0)), list(range(1, window + 1))
-    lines = hits.select("doc_id", hit["position"].alias("position"), hit["sentence_id"].alias("sentence_id"), hit[unit].alias("key"), *(at(k).alias(_name(k)) for k in left), hit[display].alias("KWIC"), *(at(k).alias(_name(k)) for k in right), *keep)
-    sides = [F.array_join(F.filter(F.array(*(F.col(_name(k)) for k in ks)) if ks else F.array().cast("array<string>"), lambda x: x != ""), " ").alias(name) for ks, name in ((left, "left"), (right, "right"))]
-    return lines.select(*(c for c in lines.columns if c not in keep), *sides, *keep)
+    shown = F.filter("t", lambda x: ~x["is_function"] | matches(x[unit], query)) if content else F.col("t")
+    return _as_rows(rows, let(shown, found), window, keep)
 
 
 def _offsets(window: int) -> Column:

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom import schema
+from wordloom import corpus as corpora
+from wordloom.config import Settings
 from wordloom.functions import measures
 from wordloom.functions import text as tx
-from wordloom.operators import advice, annotate, basic, collocation, frequency, keyness, kwic, network, rules
+from wordloom.operators import advice, annotate, basic, collocation, correspondence, frequency, index, keyness, kwic, lattice, network, rules, trends
 from wordloom.sources import tables
+from wordloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +52,17 @@ def rows_of(spark: SparkSession, sf_dir: str, *carry: str, function_words: bool
     return annotate.NativeAnnotator(language_col="lang").in_rows(documents(spark, sf_dir), carry=carry, function_words=function_words)
 
 
+def sizes_of(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+    """Documents with their number of tokens, counted in their rows."""
+    return annotate.NativeAnnotator(language_col="lang").token_counts(documents(spark, sf_dir), carry=carry)
+
+
+def as_german(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    """The tokens of all documents, taken as one German corpus with these options."""
+    chosen = {"separable_verbs": False} | options
+    return corpora.build(documents(spark, sf_dir), Settings(language="de", language_options=chosen)).tokens
+
+
 def words_of(spark: SparkSession, sf_dir: str, *groups: str, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
     """The selected words, numbered within their documents."""
     return basic.numbered_words(rows_of(spark, sf_dir, *groups, function_words=not include_function_words), unit, include_function_words, groups)
@@ -74,8 +87,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tokens_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return basic.tokens_per_document(t, docs.select("doc_id", "lang", "source"))
+    return basic.tokens_per_document(sizes_of(spark, sf_dir, "lang", "source"))
 
 
 @query
@@ -111,14 +123,12 @@ def pos_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return basic.group_sizes(t, docs, "source")
+    return basic.group_sizes(sizes_of(spark, sf_dir, "source"), None, "source")
 
 
 @query
 def flag_group_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, t = corpus(spark, sf_dir)
-    return r6(rules.flag_group_imbalance(basic.group_sizes(t, docs, "lang")))
+    return r6(rules.flag_group_imbalance(basic.group_sizes(sizes_of(spark, sf_dir, "lang"), None, "lang")))
 
 
 @query
@@ -254,6 +264,22 @@ def kwic_collocate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kwic.kwic_in_rows(rows_of(spark, sf_dir), "thing", window=3, collocate="the", scope="fixed")
 
 
+@query
+def kwic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As kwic, by a stored index: postings of one bucket, documents of the blocks with hits."""
+    return index.build(rows_of(spark, sf_dir, "source"), keep=("source",)).kwic("thing", keep=("source",))
+
+
+@query
+def kwic_index_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build(rows_of(spark, sf_dir)).kwic("th[a-z]*ing", window=2, regex=True)
+
+
+@query
+def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build(rows_of(spark, sf_dir)).vocabulary.drop("bucket")
+
+
 # --- collocations -----------------------------------------------------------------------------------------
 
 
@@ -274,7 +300,8 @@ def collocation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = corpus(spark, sf_dir)[1]
-    return rules.flag_collocation(collocation.collocation_table(t, "thing", min_cooccur=2, rows=rows_of(spark, sf_dir)), cutoff=frequency.high_frequency_cutoff(t))
+    words = stored(collocation.counted_words(t, "thing"), "words")  # counts, totals and the cutoff all come from it
+    return rules.flag_collocation(collocation.collocation_table(t, "thing", min_cooccur=2, rows=rows_of(spark, sf_dir), words=words), cutoff=frequency.high_frequency_cutoff(words))
 
 
 @query
@@ -370,6 +397,18 @@ def keyness_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(keyness.keyness_table(sided(spark, sf_dir, "en", None), with_p=True).select("word", "g2", "p"))
 
 
+@query
+def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words over the sources, in the order of their names."""
+    return r6(trends.trend_table(corpus(spark, sf_dir, "source")[1], "source", min_freq=10))
+
+
+@query
+def correspondence_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and words on two axes."""
+    return r6(correspondence.analyse(corpus(spark, sf_dir, "lang")[1], "lang")[0])
+
+
 # --- text functions and sources ---------------------------------------------------------------------------
 
 
@@ -425,52 +464,72 @@ def documents_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def looks_like_aozora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "吾輩《わがはい》は猫である"), (2, "plain text"), (3, "［＃改ページ］"), (4, "本文\n底本：「猫」")]
-    return spark.createDataFrame(rows, "id long, text string").select("id", tx.looks_like_aozora(F.col("text")).alias("found"))
+    """The texts as they are, and each with one of the marks that give such a text away."""
+    text = F.coalesce("text", F.lit(""))
+    marked = {"plain": text, "ruby": F.concat(text, F.lit("吾輩《わがはい》")), "note": F.concat(F.lit("［＃改ページ］"), text), "colophon": F.concat(text, F.lit("\n底本：「猫」"))}
+    return documents(spark, sf_dir).select("doc_id", *(tx.looks_like_aozora(c).alias(name) for name, c in marked.items()))
 
 
 @query
 def g2_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([(10, 20, 30, 40), (10, 10, 10, 10), (3, 2, 17, 78), (0, 0, 0, 0), (0, 5, 7, 9)], "a long, b long, c long, d long")
+    """For each source: do its English documents have 1000 characters more often than its others?"""
+    english, long = F.coalesce(F.col("lang") == "en", F.lit(False)), F.coalesce(F.col("n_chars") >= 1000, F.lit(False))
+    cells = documents(spark, sf_dir).groupBy("source").agg(F.count_if(english & long).alias("a"), F.count_if(english & ~long).alias("b"), F.count_if(~english & long).alias("c"), F.count_if(~english & ~long).alias("d"))
     return r6(cells.withColumn("g2", measures.g2_2x2(*map(F.col, "abcd"))))
 
 
-# --- annotated fixtures -----------------------------------------------------------------------------------
+# --- options: all documents as one German corpus ----------------------------------------------------------
 
 
 @query
-def frequency_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, 0, "Autobahnraststätte", "Autobahn+Raststätte"), (0, 1, "Haus", ""), (0, 2, "Autobahn", ""), (1, 0, "Haustür", "Haus+Tür")]
-    t = schema.conform(spark.createDataFrame(rows, "doc_id long, position long, surface string, compound_parts string"))
-    return frequency.frequency_table(frequency.expand_compounds(t)).select("rank", "word", "freq", "n_parts")
+def lemma_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.lemma_comparison(as_german(spark, sf_dir, lemma_mode="both"))
+
+
+@query
+def frequency_other_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(frequency.frequency_table(as_german(spark, sf_dir, lemma_mode="other")))
+
+
+@query
+def frequency_lowercase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(frequency.frequency_table(as_german(spark, sf_dir, lemma_mode="other", lowercase=True)))
 
 
-DEPENDENCY = [
-    (0, 0, 0, "She", "she", "nsubj", 1),
-    (0, 0, 1, "reads", "read", "ROOT", -1),
-    (0, 0, 2, "books", "book", "obj", 1),
-    (0, 0, 3, ".", ".", "punct", 1),
-    (0, 1, 4, "She", "she", "nsubj", 5),
-    (0, 1, 5, "writes", "write", "ROOT", -1),
-    (0, 1, 6, "books", "book", "obj", 5),
-]
+@query
+def separable_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbs that have a prefix further on, and the prefixes."""
+    t = as_german(spark, sf_dir, separable_verbs=True)
+    return t.where("dep = 'svp' OR lemma <> surface").select("doc_id", "position", "surface", "lemma", "pos", "is_function", "dep", "head")
 
 
 @query
 def collocation_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = schema.conform(spark.createDataFrame(DEPENDENCY, "doc_id long, sentence_id long, position long, surface string, lemma string, dep string, head long"))
-    return r6(collocation.collocation_table(t, "book", method="dependency").select("collocate", "relation", "cooccur", "freq_node", "freq_collocate", "expected", "mi", "log_dice"))
+    """The verbs that a prefix belongs to."""
+    t = as_german(spark, sf_dir, separable_verbs=True)
+    return r6(collocation.collocation_table(t, "an", method="dependency").select("collocate", "relation", "cooccur", "freq_node", "freq_collocate", "expected", "mi", "log_dice"))
 
 
 @query
-def lemma_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, 0, "rief", "rufen", "rief"), (0, 1, "rief", "rufen", "rief"), (0, 2, "Haus", "Haus", "Haus"), (0, 3, "ging", "gehen", "")]
-    t = schema.conform(spark.createDataFrame(rows, "doc_id long, position long, surface string, lemma string, lemma_alt string"))
-    return annotate.lemma_comparison(t)
+def compound_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.compounds(as_german(spark, sf_dir, compound_split=True))
 
 
 @query
-def separable_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, 0, "Ich", "ich", "PRON", True, "sb", 1), (0, 1, "rufe", "rufen", "VERB", False, "ROOT", -1), (0, 2, "dich", "du", "PRON", True, "oa", 1), (0, 3, "an", "an", "ADP", True, "svp", 1)]
-    t = schema.conform(spark.createDataFrame(rows, "doc_id long, position long, surface string, lemma string, pos string, is_function boolean, dep string, head long"))
-    return annotate.join_separable_verbs(t).select("position", "surface", "lemma", "pos", "is_function")
+def frequency_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = as_german(spark, sf_dir, compound_split=True)
+    return frequency.frequency_table(frequency.expand_compounds(t)).select("rank", "word", "freq", "n_parts")
+
+
+@query
+def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts with their blanks taken out, cut into words again by what the documents' words cost.  The lexicon has
+    the words with at least a millionth of all tokens: at most a million."""
+    t = corpus(spark, sf_dir)[1].where("pos <> 'PUNCT'")
+    counts = stored(t.groupBy("surface", "pos").agg(F.count("*").alias("n")), "counts")
+    words = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).where("n * 1000000 >= total")
+    lexicon = words.select("surface", "pos", F.round(-100 * F.log(F.col("n") / F.col("total"))).cast("int").alias("cost"))
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.monotonically_increasing_id().alias("doc_id"), "item_id", F.regexp_replace("text", r"(?U)\s+", "").alias("text"))
+    texts = stored(texts, "unspaced")
+    cut = lattice.LatticeAnnotator(lexicon, language="xx", function_pos=(lattice.SYMBOL, "FUNC")).annotate(spread(texts))
+    return cut.join(texts.select("doc_id", "item_id"), "doc_id").select("item_id", "sentence_id", "position", "surface", "pos", "is_function")

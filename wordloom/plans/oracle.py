@@ -234,6 +234,43 @@ _PATHS = [
     "sz AS (SELECT count(*)::DOUBLE AS n FROM dg)",
 ]
 
+_ENDINGS, _BASES, _LINKS = ("e", "em", "en", "er", "es", "n", "s", "st", "t", "te", "ten"), ("", "e", "en"), ("", "s", "es", "n", "en", "er")
+_PREFIXES = ("ab", "an", "auf", "aus", "bei", "ein", "fort", "her", "hin", "los", "mit", "nach", "nieder", "vor", "weg", "weiter", "zu", "zurück", "zusammen")
+#: alts (surface, alt): by the most frequent edit under a word's longest known ending.
+_OTHER_LEMMA = [
+    "gw AS MATERIALIZED (SELECT surface AS word, count(*) AS n FROM t WHERE pos = 'WORD' GROUP BY 1)",
+    f"asked AS (SELECT word, n, substr(word, 1, length(word) - length(e)) || b AS base FROM gw, (SELECT unnest([{_list(list(_ENDINGS))}]) AS e), (SELECT unnest([{_list(list(_BASES))}]) AS b) WHERE ends_with(word, e) AND length(word) - length(e) >= 3)",
+    "bases AS (SELECT * FROM (SELECT asked.word, asked.base, row_number() OVER (PARTITION BY asked.word ORDER BY x.n DESC, asked.base) AS k FROM asked JOIN gw x ON x.word = asked.base WHERE asked.base <> asked.word AND x.n > asked.n) WHERE k = 1)",
+    "pairs AS (SELECT gw.word AS surface, coalesce(base, gw.word) AS lemma FROM gw LEFT JOIN bases ON bases.word = gw.word)",
+    "eds AS (SELECT surface, lemma, list_min(list_filter(range(0, 6), lambda k: k <= length(surface) AND starts_with(lemma, substr(surface, 1, length(surface) - k)))) AS cut FROM pairs)",
+    "ends AS (SELECT surface, cut, substr(lemma, length(surface) - cut + 1) AS put, unnest(range(cut, least(5, length(surface)) + 1)) AS k FROM eds WHERE cut IS NOT NULL)",
+    'eruls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY support DESC, cut, put) AS r FROM (SELECT "right"(surface, k) AS ending, cut, put, count(*) AS support FROM ends GROUP BY 1, 2, 3) WHERE support >= 2) WHERE r = 1)',
+    'alts AS MATERIALIZED (SELECT surface, substr(surface, 1, length(surface) - cut) || put AS alt FROM (SELECT p.surface, cut, put, row_number() OVER (PARTITION BY p.surface ORDER BY p.k DESC) AS r FROM (SELECT word AS surface, unnest(range(0, least(5, length(word)) + 1)) AS k FROM gw) p JOIN eruls ON ending = "right"(p.surface, p.k)) WHERE r = 1)',
+]
+#: sep: the tokens with verbs and closing prefixes put together.
+_SEPARATED = [
+    "cl AS MATERIALIZED (SELECT *, count(*) FILTER (pos = 'PUNCT') OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS clause FROM t)",
+    "la AS (SELECT doc_id, clause, max(position) AS last, arg_max(lower(surface), position) AS p FROM cl WHERE pos <> 'PUNCT' GROUP BY 1, 2)",
+    f"pf AS (SELECT DISTINCT substr(w, length(p) + 1) AS rest, p FROM (SELECT DISTINCT lower(surface) AS w FROM t WHERE pos = 'WORD'), (SELECT unnest([{_list(list(_PREFIXES))}]) AS p) WHERE starts_with(w, p) AND length(w) - length(p) >= 3)",
+    "vb AS MATERIALIZED (SELECT cl.doc_id, la.last, la.p, min(cl.position) AS verb FROM cl JOIN la ON la.doc_id = cl.doc_id AND la.clause = cl.clause AND cl.position < la.last JOIN pf ON pf.p = la.p AND pf.rest = lower(cl.surface) WHERE cl.pos = 'WORD' GROUP BY 1, 2, 3)",
+    "sep AS MATERIALIZED (SELECT t.doc_id, t.position, surface, coalesce(v.p, '') || surface AS lemma, CASE WHEN l.verb IS NOT NULL THEN 'PART' ELSE pos END AS pos, is_function OR l.verb IS NOT NULL AS is_function, CASE WHEN l.verb IS NOT NULL THEN 'svp' ELSE '' END AS dep, coalesce(l.verb, -1) AS head"
+    " FROM t LEFT JOIN vb v ON v.doc_id = t.doc_id AND v.verb = t.position LEFT JOIN vb l ON l.doc_id = t.doc_id AND l.last = t.position)",
+]
+#: cp (surface, parts): the best cut of capitalised words, from shares of three and four characters.
+_COMPOUNDS = [
+    r"lw AS MATERIALIZED (SELECT DISTINCT surface, lower(surface) AS word FROM t WHERE pos = 'WORD' AND NOT regexp_matches(surface, '[^\p{L}]'))",
+    "gm AS MATERIALIZED (SELECT word, k, i AS start, substr(word, i, k) AS gram FROM (SELECT word, k, unnest(range(1, length(word) - k + 2)) AS i FROM (SELECT DISTINCT word FROM lw WHERE length(word) >= 3), (VALUES (3), (4)) v(k)))",
+    "sh AS MATERIALIZED (SELECT gram, count(*) FILTER (start = 1)::DOUBLE / count(*) AS b, count(*) FILTER (start + k = length(word) + 1)::DOUBLE / count(*) AS e, count(*) FILTER (start <> 1 AND start + k <> length(word) + 1)::DOUBLE / count(*) AS i FROM gm GROUP BY 1)",
+    r"nn AS MATERIALIZED (SELECT * FROM lw WHERE regexp_matches(surface, '^\p{Lu}') AND length(word) >= 6)",
+    "gs AS MATERIALIZED (SELECT word, k, start, b, e, i FROM gm JOIN sh USING (gram) WHERE word IN (SELECT word FROM nn))",
+    "g1 AS (SELECT word, start + k - 1 AS at, max(e) AS e FROM gs GROUP BY 1, 2)",
+    "g2 AS (SELECT word, start - 1 AS at, max(b) AS b FROM gs GROUP BY 1, 2)",
+    "g3 AS (SELECT word, start - 1 + k // 2 AS at, min(i) AS i FROM gs GROUP BY 1, 2)",
+    f"ct AS (SELECT word, c, l FROM (SELECT word, unnest(range(3, length(word) - 2)) AS c FROM (SELECT DISTINCT word FROM nn)), (SELECT unnest([{_list(list(_LINKS))}]) AS l) WHERE c - length(l) >= 3 AND substr(word, c - length(l) + 1, length(l)) = l)",
+    "bc AS (SELECT * FROM (SELECT ct.*, e + b - i AS s, row_number() OVER (PARTITION BY ct.word ORDER BY e + b - i DESC, length(l), c) AS r FROM ct JOIN g1 ON g1.word = ct.word AND g1.at = c - length(l) JOIN g2 ON g2.word = ct.word AND g2.at = c JOIN g3 ON g3.word = ct.word AND g3.at = c) WHERE r = 1 AND s >= 0.5)",
+    "cp AS MATERIALIZED (SELECT surface, upper(substr(word, 1, 1)) || substr(word, 2, c - length(l) - 1) || '+' || upper(substr(word, c + 1, 1)) || substr(word, c + 2) AS parts FROM nn JOIN bc USING (word))",
+]
+
 _SPELLED = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text || ' daß muß rauh dass muss rau Tip', '[A-Za-zÄÖÜäöüß]+') AS ws FROM documents),
 c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ({_list(sorted(reform_pairs()))})))::BIGINT AS old, len(list_filter(ws, lambda x: x IN ({_list(sorted(set(reform_pairs().values())))})))::BIGINT AS "new" FROM w)
@@ -298,6 +335,16 @@ SQL: dict[str, str] = {
     "keyness_view": _with(_KEY_OUT + " WHERE freq_a + freq_b >= 5 AND key.g2 >= 6.63 AND key.log_ratio > 0", *_keyness("en", None)),
     "keyness_hidden_count": _with("SELECT count(*) AS n_hidden FROM key WHERE freq_a + freq_b >= 5 AND g2 < 6.63", *_keyness("en", None)),
     "flag_keyness": _with("SELECT word, array_to_string(list_filter([CASE WHEN g2 < 6.63 THEN 'NOT_DISTINGUISHABLE' END, CASE WHEN abs(log_ratio) < 1 THEN 'EFFECT_SIZE_TOO_SMALL' END, CASE WHEN zero_corrected THEN 'ZERO_CORRECTED' END], lambda x: x IS NOT NULL), ',') AS flags FROM key", *_keyness("en", None)),
+    "trend": _with(
+        f"SELECT word, freq::BIGINT AS freq, s::BIGINT AS s, {_r('z', 'z')}, {_r('CASE WHEN TRUE THEN ' + _ERFC + ' END', 'p')}, {_r('slope', 'slope')} FROM (SELECT *, abs(zz) / sqrt(2) AS z, zz FROM tz) q".replace("round(z, 6) + 0.0 AS z", "round(zz, 6) + 0.0 AS z"),
+        "ps AS (SELECT source AS g, count(*)::DOUBLE AS size, row_number() OVER (ORDER BY source) - 1 AS i FROM t WHERE source IS NOT NULL GROUP BY 1)",
+        "pw AS (SELECT lemma AS word, source AS g, count(*) AS n FROM t WHERE source IS NOT NULL AND NOT is_function GROUP BY 1, 2)",
+        "pk AS MATERIALIZED (SELECT word, sum(n) AS freq FROM pw GROUP BY 1 HAVING sum(n) >= 10)",
+        "px AS MATERIALIZED (SELECT pk.word, i, coalesce(n, 0) / size * 1e6 AS x FROM pk CROSS JOIN ps LEFT JOIN pw ON pw.word = pk.word AND pw.g = ps.g)",
+        "pp AS (SELECT a.word, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM px a JOIN px b ON a.word = b.word AND a.i < b.i GROUP BY 1)",
+        "pt AS (SELECT word, sum((m - 1) * (2 * m + 5) * m) AS ties FROM (SELECT word, x, count(*) AS m FROM px GROUP BY 1, 2) GROUP BY 1)",
+        "tz AS (SELECT pk.word, freq, s, slope, CASE WHEN k * (k - 1) * (2 * k + 5) - ties > 0 THEN (s - sign(s)) / sqrt((k * (k - 1) * (2 * k + 5) - ties) / 18.0) ELSE 0 END AS zz FROM pk JOIN pp USING (word) JOIN pt USING (word), (SELECT count(*) AS k FROM ps))",
+    ),
     "detect_language": f"""
 WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 20000) AS h FROM documents),
 w AS (SELECT doc_id, h, regexp_extract_all(lower(h), '[a-zäöüß]+') AS ws FROM d)
@@ -313,20 +360,27 @@ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text || ' Daß,
     "guess_text_column": "SELECT c AS \"column\" FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS c, unnest([avg(length(doc_id::VARCHAR)), avg(length(text)), avg(length(lang)), avg(length(source)), avg(length(n_chars::VARCHAR))]) AS m FROM documents) ORDER BY m DESC LIMIT 1",
     "guess_group_columns": "SELECT c AS \"column\", n AS n_unique FROM (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars']) AS c, unnest([count(DISTINCT doc_id), count(DISTINCT lang), count(DISTINCT source), count(DISTINCT n_chars)]) AS n, count(*) AS r FROM documents) WHERE n > 1 AND n <= 50 AND n < r",
     "documents_from_table": "SELECT doc_id, 'row ' || (doc_id + 1) AS name, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')",
-    "looks_like_aozora": "SELECT * FROM (VALUES (1::BIGINT, TRUE), (2, FALSE), (3, TRUE), (4, TRUE)) v(id, found)",
+    "looks_like_aozora": "SELECT doc_id, " + ", ".join(f"contains(substr({x}, 1, 5000), '《') AND contains(substr({x}, 1, 5000), '》') OR contains(substr({x}, 1, 5000), '［＃') OR contains(\"right\"({x}, 3000), '底本：') AS {name}" for name, x in (("plain", "t"), ("ruby", "(t || '吾輩《わがはい》')"), ("note", "('［＃改ページ］' || t)"), ("colophon", "(t || chr(10) || '底本：「猫」')"))) + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "kwic_index": _with(f"SELECT {_kwic_out(5)}, source FROM k JOIN (SELECT doc_id, source FROM documents) USING (doc_id)", *_kwic(5, "key = 'thing'")),
+    "kwic_index_regex": _with(f"SELECT {_kwic_out(2)} FROM k", *_kwic(2, "regexp_full_match(key, 'th[a-z]*ing')")),
+    "index_vocabulary": _with("SELECT lemma AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY 1"),
     "g2_2x2": f"""
-WITH c AS (SELECT a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM (VALUES (10, 20, 30, 40), (10, 10, 10, 10), (3, 2, 17, 78), (0, 0, 0, 0), (0, 5, 7, 9)) v(a, b, c, d)),
+WITH c AS (SELECT source, count(*) FILTER (e AND g) AS a, count(*) FILTER (e AND NOT g) AS b, count(*) FILTER (NOT e AND g) AS c, count(*) FILTER (NOT e AND NOT g) AS d FROM (SELECT source, coalesce(lang = 'en', FALSE) AS e, coalesce(n_chars >= 1000, FALSE) AS g FROM documents) GROUP BY 1),
 l AS (SELECT *, unnest([a, b, c, d])::DOUBLE AS o, unnest([(a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)])::DOUBLE / nullif(a + b + c + d, 0) AS e FROM c)
-SELECT a, b, c, d, {_r("CASE WHEN a + b + c + d > 0 THEN 2 * sum(CASE WHEN o > 0 AND e > 0 THEN o * ln(o / e) ELSE 0 END) END", "g2")} FROM l GROUP BY a, b, c, d""",
-    "frequency_compounds": "SELECT row_number() OVER (ORDER BY f DESC, word) AS rank, word, f AS freq, p AS n_parts FROM (SELECT word, count(*) AS f, count(DISTINCT doc) AS p FROM (SELECT doc, unnest(string_split(CASE WHEN parts = '' THEN surface ELSE parts END, '+')) AS word FROM (VALUES (0, 'Autobahnraststätte', 'Autobahn+Raststätte'), (0, 'Haus', ''), (0, 'Autobahn', ''), (1, 'Haustür', 'Haus+Tür')) v(doc, surface, parts)) GROUP BY 1)",
-    "collocation_dependency": f"""
-WITH x AS (SELECT * FROM (VALUES (0, 'she', 'nsubj', 1), (1, 'read', 'ROOT', -1), (2, 'book', 'obj', 1), (3, '.', 'punct', 1), (4, 'she', 'nsubj', 5), (5, 'write', 'ROOT', -1), (6, 'book', 'obj', 5)) v(p, w, dep, head)),
-h AS (SELECT * FROM x WHERE w = 'book'),
-o AS (SELECT x.w, x.dep AS relation FROM h JOIN x ON x.head = h.p UNION ALL SELECT x.w, '→' || h.dep FROM h JOIN x ON x.p = h.head),
-n AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS n, (SELECT count(*) FROM h)::DOUBLE AS fn, (SELECT count(*) FROM o)::DOUBLE / (SELECT count(*) FROM h) AS w),
-c AS (SELECT o.w AS collocate, relation, count(*)::DOUBLE AS k FROM o GROUP BY 1, 2),
-f AS (SELECT w AS collocate, count(*)::DOUBLE AS fc FROM x GROUP BY 1)
-SELECT collocate, relation, k::BIGINT AS cooccur, fn::BIGINT AS freq_node, fc::BIGINT AS freq_collocate, {_r("fn * fc * w / n", "expected")}, {_r("log2(k / (fn * fc * w / n))", "mi")}, {_r("14 + log2(2 * k / (fn + fc))", "log_dice")} FROM c JOIN f USING (collocate), n WHERE collocate <> 'book'""",
-    "lemma_comparison": "SELECT surface, lemma, alt AS lemma_alt, count(*) AS count FROM (VALUES ('rief', 'rufen', 'rief'), ('rief', 'rufen', 'rief'), ('Haus', 'Haus', 'Haus'), ('ging', 'gehen', '')) v(surface, lemma, alt) WHERE alt <> '' AND alt <> lemma GROUP BY ALL",
-    "separable_verbs": "SELECT * FROM (VALUES (0::BIGINT, 'Ich', 'ich', 'PRON', TRUE), (1, 'rufe', 'anrufen', 'VERB', FALSE), (2, 'dich', 'du', 'PRON', TRUE), (3, 'an', 'an', 'PART', TRUE)) v(position, surface, lemma, pos, is_function)",
+SELECT source, a, b, c, d, {_r("CASE WHEN a + b + c + d > 0 THEN 2 * sum(CASE WHEN o > 0 AND e > 0 THEN o * ln(o / e) ELSE 0 END) END", "g2")} FROM l GROUP BY source, a, b, c, d""",
+    "lemma_comparison": _with("SELECT surface, surface AS lemma, alt AS lemma_alt, n AS count FROM alts JOIN gw ON gw.word = alts.surface WHERE alt <> '' AND alt <> surface", *_OTHER_LEMMA),
+    "frequency_other_lemma": _with(_FREQ_OUT, *_OTHER_LEMMA, "o AS (SELECT t.* REPLACE (coalesce(alt, t.surface) AS lemma) FROM t LEFT JOIN alts ON alts.surface = t.surface AND t.pos = 'WORD')", *_frequency(source="o")),
+    "frequency_lowercase": _with(_FREQ_OUT, *_OTHER_LEMMA, "o AS (SELECT t.* REPLACE (lower(coalesce(alt, t.surface)) AS lemma) FROM t LEFT JOIN alts ON alts.surface = t.surface AND t.pos = 'WORD')", *_frequency(source="o")),
+    "separable_verbs": _with("SELECT * FROM sep WHERE dep = 'svp' OR lemma <> surface", *_SEPARATED),
+    "collocation_dependency": _with(
+        f"SELECT collocate, relation, k::BIGINT AS cooccur, fn::BIGINT AS freq_node, fc::BIGINT AS freq_collocate, {_r('fn * fc * w / n', 'expected')}, {_r('log2(k / (fn * fc * w / n))', 'mi')}, {_r('14 + log2(2 * k / (fn + fc))', 'log_dice')} FROM dc JOIN df USING (collocate), dn WHERE collocate <> 'an'",
+        *_SEPARATED,
+        "dh AS (SELECT * FROM sep WHERE lemma = 'an')",
+        "dr AS (SELECT x.lemma AS collocate, x.dep AS relation FROM dh JOIN sep x ON x.doc_id = dh.doc_id AND x.head = dh.position UNION ALL SELECT x.lemma, '→' || dh.dep FROM dh JOIN sep x ON x.doc_id = dh.doc_id AND x.position = dh.head)",
+        "dn AS (SELECT (SELECT count(*) FROM sep)::DOUBLE AS n, (SELECT count(*) FROM dh)::DOUBLE AS fn, (SELECT count(*) FROM dr)::DOUBLE / (SELECT count(*) FROM dh) AS w)",
+        "dc AS (SELECT collocate, relation, count(*)::DOUBLE AS k FROM dr GROUP BY 1, 2)",
+        "df AS (SELECT lemma AS collocate, count(*)::DOUBLE AS fc FROM sep GROUP BY 1)",
+    ),
+    "compound_list": _with("SELECT surface, parts AS compound_parts, count(*) AS count FROM t JOIN cp USING (surface) GROUP BY 1, 2", *_COMPOUNDS),
+    "frequency_compounds": _with("SELECT rank, word, freq, n_parts FROM freq", *_COMPOUNDS, "o AS (SELECT doc_id, pos, is_function, unnest(CASE WHEN parts IS NULL THEN [surface] ELSE string_split(parts, '+') END) AS lemma FROM t LEFT JOIN cp USING (surface))", *_frequency(source="o")),
 }

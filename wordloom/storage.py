@@ -23,11 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once: written, read back, and removed with the driver's process."""
+#: What stored tables are called.
+MARK = "wordloom-table-"
+
+
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df, computed once: written, read back, and removed with the driver's process or, before that, by ``discard``.
+    by: a column of few values, each of which gets a folder that a reader can leave out."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom-table-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{MARK}{label}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f[: f.index("/", f.index(MARK))] for f in df.inputFiles() if MARK in f}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
