@@ -221,7 +221,7 @@ def child(bits: np.ndarray, labels: np.ndarray, node: int, label: int) -> int |
 class Trie:
     """The tables of a trie: ``members`` (a row for each conversation and turn), ``upper`` nodes, and all others with their shard and level."""
 
-    def __init__(self, rows: DataFrame, heavy: int = 10_000, shard_nodes: int = 20_000):
+    def __init__(self, rows: DataFrame, heavy: int = 256, shard_nodes: int = 20_000):
         spark = rows.sparkSession
         self.members = written(rows, "prefixes", regroup=False)
         total = self.members.where("depth = 0").count()
