@@ -35,7 +35,8 @@ def test_fingerprint_has_all_anchors(spark, tmp_path):
 
 
 def brute_likeness(a, b):
-    """Dice of the anchors at displacements that at least three share; of an anchor's places neighbours meet."""
+    """Dice of the anchors at displacements that at least three share; of an anchor's places neighbours meet, and no anchor
+    counts more often than it has partners."""
     if not a and not b:
         return 1.0
     places = defaultdict(list)
@@ -49,7 +50,8 @@ def brute_likeness(a, b):
             if x != y:
                 moves[q - p if x == 0 else p - q] += 1
     least = min(3, len(a), len(b))
-    return min(1.0, 2 * sum(n for n in moves.values() if n >= least) / (len(a) + len(b)))
+    partners = sum((Counter(x for _, x in a) & Counter(x for _, x in b)).values())
+    return 2 * min(partners, sum(n for n in moves.values() if n >= least)) / (len(a) + len(b))
 
 
 def brute_anchors(spark, text):
@@ -92,3 +94,26 @@ def test_buckets_in_two_steps(spark, monkeypatch):
     df = spark.range(1000)
     got = df.select("id", syncmers._bucket(df.id, bounds).alias("b")).collect()
     assert all(r["b"] == sum(x < r["id"] for x in bounds) for r in got)
+
+
+def test_likeness_of_repetitive_and_unspaced_texts(spark):
+    """The true overlap is known by construction: a repeated passage counts as often as both texts have it."""
+    phrase, other = words(12), words(60)  # other: long beside a k-mer, whose ends meet what stands beside it
+    lines = [words(9) for _ in range(5)]
+    chinese = "".join(chr(0x4E00 + RNG.randrange(3000)) for _ in range(600))
+    rest = "".join(chr(0x4E00 + RNG.randrange(3000)) for _ in range(300))
+    mixed = [x for _ in range(40) for x in (words(9), RNG.choice(lines))]
+    cases = [
+        (" ".join([phrase] * 40), " ".join([phrase] * 20) + " " + words(240), 0.5),
+        (" ".join([phrase] * 40), " ".join([phrase] * 41), 80 / 81),
+        (" ".join([phrase] * 40), " ".join([phrase] * 10), 0.4),
+        (" ".join([words(60), other] * 8), " ".join([other] * 16), 0.5),
+        ("\n".join(mixed), "\n".join(mixed[:40]) + "\n" + "\n".join(words(9) for _ in range(40)), 0.5),
+        (chinese, "x" + chinese, 1.0),
+        (chinese, chinese[:300] + "，" + chinese[300:], 1.0),
+        (chinese, chinese[:300] + rest, 0.5),
+        (chinese, rest + rest[::-1], 0.0),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i long, a string, b string")
+    got = {r["i"]: r["x"] for r in df.select("i", syncmers.likeness(syncmers.positioned(df.a), syncmers.positioned(df.b)).alias("x")).collect()}
+    assert {i: (x, cases[i][2]) for i, x in got.items() if abs(x - cases[i][2]) > 0.1} == {}

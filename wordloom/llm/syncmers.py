@@ -1,11 +1,13 @@
 """Document fingerprints from closed syncmers, by built-in functions alone.
 
-A text is cut at white space into pieces of up to eight characters.  A k-mer is ``K`` consecutive pieces, an
+A text is cut at white space into pieces of up to eight characters; in a long stretch without white space (a text in Chinese,
+say) every character is a piece, so that pieces do not hang on where the stretch begins.  A k-mer is ``K`` consecutive pieces, an
 inner substring ``S`` of them.  A k-mer is an *anchor* (a closed syncmer) if the smallest hash among its inner
 substrings is its first or last one.  That depends on the k-mer alone, so a passage has the same anchors
 wherever it stands: between two texts, equal anchors at one displacement are a positional match
 (``positional_matches``).  A document's fingerprint is all its anchors with their positions.  The likeness of two
-fingerprints is the share of their anchors that match in position: that stand at a displacement which several share (Dice).
+fingerprints is the share of their anchors that match in position: that stand at a displacement which several share (Dice),
+where an anchor that occurs several times counts no more often than the text that has it less often.
 A passage that moved as a whole still matches, and anchors that are equal by chance do not.
 
 Defined results: null and empty texts have the fingerprint "" (likeness 1 to each other, 0 to all else); a
@@ -25,7 +27,9 @@ from .common import few_files, let, table
 
 #: The window arithmetic of ``kmers`` is written for these two: every other k-mer is an anchor.
 K, S = 5, 2
-PIECE = r"\S{1,8}"
+#: Characters with so many more before or behind them without a blank are pieces of their own.
+STRETCH = 32
+PIECE = rf"\S(?=\S{{{STRETCH}}})|(?<=\S{{{STRETCH}}})\S|\S{{1,8}}"
 #: Anchors at one displacement that make a positional match.
 TOGETHER = 3
 #: Buckets of the order by id: about BUCKET_ROWS rows each.  Bounds are a literal of the plan, looked up in two steps of STEP,
@@ -88,9 +92,23 @@ def _by_anchor(found: Column, side: int) -> Column:
     return F.transform(found, lambda v: F.shiftleft(v, 32).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 32), 1)).bitwiseOR(F.lit(side).cast("long")))
 
 
+def _in_both(s: Column, size: Column) -> Column:
+    """Of the sorted anchors of two sides, those that have a partner: the sum of each anchor's smaller number of occurrences."""
+    one = F.lit(1).cast("long")
+    begin = F.struct(F.lit(1 << 40).alias("k"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("alone"))
+
+    def step(x: Column, v: Column) -> Column:
+        key, side = F.shiftright(v, 32), 1 - 2 * v.bitwiseAND(one)
+        same = x["k"] == key
+        return F.struct(key.alias("k"), F.when(same, x["d"] + side).otherwise(side).alias("d"), F.when(same, x["alone"]).otherwise(x["alone"] + F.abs(x["d"])).alias("alone"))
+
+    return F.aggregate(s, begin, step, lambda x: F.shiftright(size - x["alone"] - F.abs(x["d"]), 1))
+
+
 def matched(a: Column, b: Column) -> Column:
     """How many anchors of two fingerprints stand at a displacement that at least ``TOGETHER`` of them share (or all, where
-    there are fewer): of an anchor that occurs several times, neighbours in position meet.
+    there are fewer): of an anchor that occurs several times, neighbours in position meet.  A place can have two neighbours, so
+    no more count than have partners of their own.
 
     Both sides are sorted by anchor and position at once, and displacements of neighbours once more: n log n."""
     one, low = F.lit(1).cast("long"), F.lit(0xFFFFFFFF).cast("long")
@@ -100,7 +118,6 @@ def matched(a: Column, b: Column) -> Column:
         apart = y.bitwiseAND(low) - x.bitwiseAND(low)
         return F.when((apart.bitwiseAND(one) == 1) & (F.shiftright(x, 32) == F.shiftright(y, 32)), F.when(x.bitwiseAND(one) == 0, apart).otherwise(-apart))
 
-    moves = let(F.sort_array(F.concat(_by_anchor(a, 0), _by_anchor(b, 1))), lambda s: F.sort_array(F.array_compact(_with_next(s, met))))
     least = F.least(F.lit(TOGETHER), F.size(a), F.size(b))
 
     def runs(d: Column) -> Column:
@@ -109,13 +126,14 @@ def matched(a: Column, b: Column) -> Column:
         edges = F.concat(F.array(F.lit(0).cast("long")), ends, F.array(F.size(d).cast("long")))
         return let(edges, lambda e: F.aggregate(_with_next(e, lambda x, y: y - x), F.lit(0).cast("long"), lambda n, r: n + F.when(r >= least, r).otherwise(0)))
 
-    return let(moves, runs)
+    sides = F.sort_array(F.concat(_by_anchor(a, 0), _by_anchor(b, 1)))
+    return let(sides, lambda s: F.least(let(F.sort_array(F.array_compact(_with_next(s, met))), runs), _in_both(s, (F.size(a) + F.size(b)).cast("long"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Dice of the anchors of two fingerprints that match in position."""
     sizes = F.size(a) + F.size(b)
-    return F.when(sizes == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * matched(a, b).cast("double") / sizes))
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(2 * matched(a, b).cast("double") / sizes)
 
 
 def anchors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
