@@ -399,8 +399,7 @@ def test_urls(spark, tmp_path):
 def test_rule_index():
     index = urlfilter.build_index(urlfilter.RULES, {"example": 1000, "org": 10, "es": 5})
     assert [r.name for r in index["es"]] == ["example.org/es/"] and sum(map(len, index.values())) == len(urlfilter.RULES)
-    with pytest.raises(ValueError):
-        urlfilter.build_index([urlfilter.Rule("block", ".*", ())], {})
+    assert urlfilter.build_index([urlfilter.Rule("block", ".*", ())], {}) == {"": [urlfilter.Rule("block", ".*", ())]}
 
 
 # --- 8 ----------------------------------------------------------------------------------------------------
@@ -663,14 +662,28 @@ def test_spans_of_a_long_conversation(spark):
     assert chat.read_back(out).first()["loss_texts"] == [t for i, t in enumerate(texts) if i % 3]
 
 
-def test_rules_in_many_blocks(spark):
-    pages = spark.createDataFrame([(1, "http://a.h7.org/x/y"), (2, "http://h30.org/"), (3, "http://none.net/ads/x.gif"), (4, None)], "page_id long, url string")
-    rules = [urlfilter.site("block", f"h{i}.org", "/") for i in range(40)] + [urlfilter.site("allow", "h7.org", "/x/"), urlfilter.glob("block", "*.net/ads/*", "ads")]
-    want = {1: ("h7.org/x/", "allow"), 2: ("h30.org/", "block"), 3: ("ads", "block"), 4: (None, "allow")}
-    for block in (3, 1000):
-        got = urlfilter.filter_urls(pages, rules, block=block)
-        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()} == want
-    assert {r["verdict"] for r in urlfilter.filter_urls(pages, []).collect()} == {"allow"}
+def test_rules_as_literal_and_as_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.h7.org/x/y"), (2, "http://h30.org/"), (3, "http://none.net/ads/x.gif"), (4, None), (5, "http://none.net/any"), *((6, "http://h7.org/z"),) * 9], "page_id long, url string")
+    rules = [urlfilter.site("block", f"h{i}.org", "/") for i in range(40)] + [urlfilter.site("allow", "h7.org", "/x/"), urlfilter.glob("block", "*.net/ads/*", "ads"), urlfilter.Rule("block", "^none.*any$", ())]
+    want = Counter([(1, "h7.org/x/", "allow"), (2, "h30.org/", "block"), (3, "ads", "block"), (4, None, "allow"), (5, None, "block")] + [(6, "h7.org/", "block")] * 9)
+    for literal in (1000, 0):
+        got = urlfilter.filter_urls(pages, rules, literal=literal).collect()
+        assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in got) == want
+        assert max(r["candidates"] for r in got) <= 3
+    assert {r["verdict"] for r in urlfilter.filter_urls(pages, []).collect()} == {"allow"} == {r["verdict"] for r in urlfilter.filter_urls(pages, [], literal=-1).collect()}
+    assert urlfilter.filter_urls(pages.limit(0), rules, literal=0).count() == 0
+
+
+def test_many_rules(spark, sf):
+    """100,000 rules over every page: the verdicts are those of the few rules that can fit."""
+    import time
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    many = [urlfilter.site("block", f"site{i}.example{i % 77}.net", f"/p{i % 13}/") for i in range(100_000)]
+    begin = time.perf_counter()
+    got = urlfilter.filter_urls(pages, [*many, *urlfilter.RULES]).select("page_id", "rule", "verdict").collect()
+    assert time.perf_counter() - begin < 90
+    assert Counter(map(tuple, got)) == Counter(map(tuple, urlfilter.filter_urls(pages).select("page_id", "rule", "verdict").collect()))
 
 
 def test_hot_keys_join(spark):
