@@ -43,7 +43,7 @@ def build(docs: DataFrame, settings: Settings | None = None, by: Annotator | Non
     cleaned = docs.withColumn("text", tx.apply_cleaning(F.coalesce("text", F.lit("")), bool(settings.cleaning.get("aozora"))))
     documents = cleaned.withColumn("n_chars", F.length("text").cast("long")).drop("text")
     options: dict[str, Any] = by.default_options() | settings.language_options
-    return Corpus(documents, passes.apply(by.annotate(cleaned, options), settings.language, options, lemmas), settings.language)
+    return Corpus(documents, passes.annotate(by, cleaned, settings.language, options, lemmas), settings.language)
 
 
 def detect_corpus_language(docs: DataFrame, sample: int = 50, chars: int = 5000) -> DataFrame:

@@ -3,9 +3,13 @@ of which there are few, and meet the tokens once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kwic
+
 NOUNS = ("NOUN", "PROPN")
 CONTENT = (*NOUNS, "VERB", "ADJ", "ADV")
 MODES = ("own", "other", "both")
@@ -129,30 +133,34 @@ def scored_compounds(types: DataFrame, min_score: float = 0.5, min_part: int = 3
     return nouns.join(parts, "word").select("surface", "pos", "parts", "score")
 
 
-def partners(types: DataFrame, min_stem: int = 3) -> DataFrame:
-    """surface, pos, __prefixes: for verbs (or any word, where the annotator has no parts of speech) the prefixes with which they are
-    another word of types."""
-    words = types.where(F.col("pos").isin("VERB", "WORD"))
-    known = words.select(F.lower("surface").alias("w")).distinct()
-    rests = known.select("w", F.explode(F.array(*map(F.lit, PREFIXES))).alias("p")).where(F.startswith("w", F.col("p")))
-    rests = rests.select(F.expr("substr(w, length(p) + 1)").alias("rest"), "p").where(F.length("rest") >= min_stem)
-    sets = rests.groupBy("rest").agg(F.sort_array(F.collect_set("p")).alias("__prefixes"))  # at most as many as PREFIXES
-    return words.join(sets, F.lower("surface") == F.col("rest")).select("surface", "pos", "__prefixes")
-
-
-def join_separated(tokens: DataFrame) -> DataFrame:
-    """tokens (with __prefixes) with verbs and prefixes put together where no parser marks them: a prefix that closes a clause belongs to
-    the clause's first word that is a word with it.  The prefix gets dep "svp", the verb's position as head and becomes a particle; the
-    verb's lemma begins with it.  Clauses lie between marks; windows over them need no second shuffle."""
-    mark = F.col("pos") == "PUNCT"
-    text = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clause = Window.partitionBy("doc_id", "__clause")
-    t = tokens.withColumn("__clause", F.count_if(mark).over(text))
-    t = t.withColumn("__last", F.max(F.when(~mark, F.struct("position", F.lower("surface").alias("p")))).over(clause))
-    closes = F.col("__last.p").isin(*PREFIXES)
-    t = t.withColumn("__verb", F.min(F.when(closes & (F.col("position") < F.col("__last.position")) & F.array_contains("__prefixes", F.col("__last.p")), F.col("position"))).over(clause))
-    svp = F.coalesce(F.col("__verb").isNotNull() & (F.col("position") == F.col("__last.position")), F.lit(False))
-    prefix = F.when(F.col("position") == F.col("__verb"), F.col("__last.p")).otherwise("")
-    new = {"dep": F.when(svp, "svp").otherwise(F.col("dep")), "head": F.when(svp, F.col("__verb")).otherwise(F.col("head")), "pos": F.when(svp, "PART").otherwise(F.col("pos"))}
+def clauses(t: Column) -> Column:
+    """array<array<token>>: the stretches between marks of a document's tokens, and each mark by itself."""
+    mark = lambda x: ~F.rlike(x["surface"], F.lit(r"^[\p{L}\p{M}\p{N}]"))
+    begins = F.array_compact(F.transform(t, lambda x, i: F.when((i == 0) | mark(x) | mark(F.get(t, i - 1)), i)))
+    return kwic.let(begins, lambda b: F.transform(b, lambda a, j: F.slice(t, a + 1, F.coalesce(F.get(b, j + 1), F.size(t)) - a)))
+
+
+def separated(rows: DataFrame, words: DataFrame, is_verb: Callable[[Column], Column], min_stem: int = 3) -> DataFrame:
+    """doc_id, marks: array<struct<position, prefix, head>>, for the documents (``annotate.in_rows``) that have verbs and prefixes to
+    be put together where no parser says so: a prefix that closes a clause belongs to the clause's first word that is another of the
+    words (word) with it.  head: the verb's position at the prefix, null at the verb.  Only clauses that a prefix closes become rows."""
+    last = lambda x: F.element_at(x, -1)
+    closed = F.filter(clauses(F.col("t")), lambda x: (F.size(x) > 1) & F.lower(last(x)["surface"]).isin(*PREFIXES))
+    asked = rows.select("doc_id", F.explode(closed).alias("x"))
+    asked = asked.select("doc_id", last(F.col("x"))["position"].alias("at"), F.lower(last(F.col("x"))["surface"]).alias("prefix"), F.explode(F.slice("x", F.lit(1), F.size("x") - 1)).alias("w"))
+    asked = asked.select("doc_id", "at", "prefix", "w.position", "w.surface").where(is_verb(F.col("surface")) & (F.length("surface") >= min_stem))
+    known = words.select(F.lower("word").alias("joined")).distinct()
+    met = asked.withColumn("joined", F.concat("prefix", F.lower("surface"))).join(known, "joined", "left_semi")
+    pairs = met.groupBy("doc_id", "at", "prefix").agg(F.min("position").alias("verb"))
+    none = F.lit(None).cast("long")
+    two = F.array(F.struct(F.col("verb").alias("position"), "prefix", none.alias("head")), F.struct(F.col("at").alias("position"), F.lit("").alias("prefix"), F.col("verb").alias("head")))
+    return pairs.select("doc_id", F.explode(two).alias("m")).groupBy("doc_id").agg(F.collect_list("m").alias("marks"))  # no more than the document has tokens
+
+
+def join_separated(tokens: DataFrame, marks: str) -> DataFrame:
+    """tokens that carry their document's marks: the verb's lemma begins with its prefix, and the prefix becomes a particle of the verb."""
+    t = tokens.withColumn("__m", F.get(F.filter(marks, lambda m: m["position"] == F.col("position")), F.lit(0)))
+    svp, prefix = F.col("__m.head").isNotNull(), F.coalesce("__m.prefix", F.lit(""))
+    new = {"dep": F.when(svp, "svp").otherwise(F.col("dep")), "head": F.coalesce("__m.head", "head"), "pos": F.when(svp, "PART").otherwise(F.col("pos"))}
     new |= {"is_function": F.col("is_function") | svp, "lemma": F.concat(prefix, "lemma"), "lemma_label": F.concat(prefix, "lemma_label")}
     return t.select(*(new.get(c, F.col(c)).alias(c) for c in tokens.columns))

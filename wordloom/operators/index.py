@@ -1,86 +1,129 @@
 """A stored positional index, for concordances that read only what they show.
 
-Three tables lie in the folder that driver and executors share: the vocabulary (word, n, n_docs, bucket); postings, in
-folders by a hash of the word, a row for a word's places in a document as a first place and the gaps after it, at
-most CHUNK to a row; and the documents' tokens in their rows, in folders by a hash of the document.  A search runs its expression on the
-vocabulary alone, reads the postings of the buckets that its words are in, and the documents of the blocks that have hits:
-the folders of all others are pruned from the scan.
+Two tables lie in the folder that driver and executors share, both written without a shuffle.  Documents stay as texts, in
+folders by block (the task that wrote them).  Postings are in folders by a hash of the word: a row has the words of a bucket
+in one segment of a block (an Arrow batch of documents), and for each of them its places in the segment's running text, as
+gaps.  A search reads the folder of its word's bucket (an expression those of all buckets, but no text), finds rows and places,
+and reads and cuts the documents of blocks that have hits: all other folders are pruned from the scan.
 
-Defined results: as ``kwic`` on the same tokens; documents without an id are not indexed; a word that occurs nowhere gives no rows.
+Defined results: as ``kwic.kwic_in_rows`` on the same documents, whose ids may be null or repeat; a word that occurs nowhere gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.storage import discard, stored
 
 from . import kwic
-
-#: Files in a bucket's folder.
-SPLITS = 4
-#: Places in a row of postings; undoing the gaps takes that many steps a place at most.
-CHUNK = 32
-
-
-def _gaps(places: Column) -> Column:
-    """array<struct<first, gaps>> of sorted places, CHUNK each."""
-    begins = F.sequence(F.lit(0), F.size(places) - 1, F.lit(CHUNK))
-    return F.transform(begins, lambda b: kwic.let(F.slice(places, b + 1, F.lit(CHUNK)), lambda p: F.struct(p[0].alias("first"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: (x - F.get(p, i)).cast("int")).alias("gaps"))))
-
-
-def _places(first: Column, gaps: Column) -> Column:
-    return F.concat(F.array(first), F.transform(gaps, lambda _, i: first + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x)))
+from .annotate import NativeAnnotator
+
+BUCKETS = 16
+_POSTINGS = {"bucket": "int", "block": "int", "segment": "bigint", "words": "array<string>", "counts": "array<int>", "n_docs": "array<int>", "gaps": "array<int>", "rows": "array<bigint>", "starts": "array<int>"}
+
+
+def _segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(block, row, words) to rows of _POSTINGS."""
+    for no, whole in enumerate(batches):
+        segment = (TaskContext.get().partitionId() << 24) + no
+        blocks = np.asarray(whole.column(0))
+        for block in np.unique(blocks).tolist():
+            b = whole.filter(pa.array(blocks == block))
+            words = b.column(2).flatten().dictionary_encode()
+            code, n = np.asarray(words.indices), len(words.dictionary)
+            if not n:
+                continue
+            lengths = np.array([len(x) for x in b.column(2)], dtype=np.int32)
+            starts = np.cumsum(lengths, dtype=np.int32) - lengths
+            place = np.argsort(code, kind="stable").astype(np.int32)
+            counts = np.bincount(code, minlength=n).astype(np.int32)
+            first = np.zeros(len(place), dtype=bool)
+            first[np.cumsum(counts) - counts] = True
+            doc = np.searchsorted(starts, place, side="right")
+            new = first.copy()
+            new[1:] |= doc[1:] != doc[:-1]
+            owner = code[place]
+            n_docs = np.bincount(owner, weights=new, minlength=n).astype(np.int32)
+            gaps = np.where(first, place, np.diff(place, prepend=np.int32(0)))
+            names = words.dictionary.to_pylist()
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], dtype=np.int32)
+            own = {"rows": b.column(1).to_pylist(), "starts": starts.tolist(), "block": block, "segment": segment}
+            found = []
+            for k in np.unique(bucket).tolist():
+                at = np.flatnonzero(bucket == k)
+                found.append(own | {"bucket": k, "words": [names[i] for i in at], "counts": counts[at], "n_docs": n_docs[at], "gaps": gaps[bucket[owner] == k]})
+            yield pa.RecordBatch.from_pylist(found, schema=_schema())
+
+
+def _schema() -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(c, kinds[k]) for c, k in _POSTINGS.items()])
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, words, meant, counts, gaps, rows, starts) to (block, row, place, key) of the words that are meant."""
+    for b in batches:
+        for block, words, meant, counts, gaps, rows, starts in zip(*(b.column(i) for i in range(7)), strict=True):
+            meant, counts, gaps, rows, starts = (x.values.to_numpy(zero_copy_only=False) for x in (meant, counts, gaps, rows, starts))
+            end = np.cumsum(counts)
+            places, keys = [], []
+            for i in np.flatnonzero(meant).tolist():
+                places.append(np.cumsum(gaps[end[i] - counts[i] : end[i]]))
+                keys += [words[i].as_py()] * int(counts[i])
+            place = np.concatenate(places)
+            doc = np.searchsorted(starts, place, side="right") - 1
+            # documents without tokens begin where the next one does
+            yield pa.record_batch([pa.array(np.full(len(place), block.as_py(), dtype=np.int32)), pa.array(rows[doc]), pa.array((place - starts[doc]).astype(np.int32)), pa.array(keys, pa.string())], names=["block", "row", "place", "key"])
 
 
 @dataclass(frozen=True)
 class Index:
-    vocabulary: DataFrame
-    postings: DataFrame
     documents: DataFrame
+    postings: DataFrame
+    by: NativeAnnotator
     unit: str
+    buckets: int
+    keep: tuple[str, ...]
 
-    def words(self, query: str, regex: bool = False, case_sensitive: bool = True) -> DataFrame:
-        """The vocabulary's words that a query means."""
-        return self.vocabulary.where(F.coalesce(kwic.matches(F.col("word"), query, regex, case_sensitive), F.lit(False)))
+    def vocabulary(self) -> DataFrame:
+        """word, n, n_docs."""
+        words = self.postings.select(F.explode(F.arrays_zip("words", "counts", "n_docs")).alias("x"))
+        return words.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"), F.sum("x.n_docs").alias("n_docs"))
 
     def hits(self, query: str, regex: bool = False, case_sensitive: bool = True) -> DataFrame:
-        """doc_id, block, place (of the token in its document, from 0), key."""
-        words = self.words(query, regex, case_sensitive)
-        buckets = [r["bucket"] for r in words.select("bucket").distinct().collect()]  # at most as many as there are folders
-        read = self.postings.where(F.col("bucket").isin(buckets))
-        met = read.join(words.select("word"), "word", "left_semi") if regex or not case_sensitive else read.where(F.col("word") == query)
-        return met.select("doc_id", "block", F.explode(_places(F.col("first"), F.col("gaps"))).alias("place"), F.col("word").alias("key"))
-
-    def kwic(self, query: str, window: int = 5, regex: bool = False, case_sensitive: bool = True, display: str = "surface", keep: tuple[str, ...] = ()) -> DataFrame:
+        """block, row, place (of the token in its document, from 0), key."""
+        read = self.postings
+        if not regex and case_sensitive:
+            read = read.where(F.col("bucket") == zlib.crc32(query.encode()) % self.buckets)
+        meant = F.transform("words", lambda w: F.coalesce(kwic.matches(w, query, regex, case_sensitive), F.lit(False)))
+        rows = read.withColumn("meant", meant).where(F.exists("meant", lambda x: x)).select("block", "words", "meant", "counts", "gaps", "rows", "starts")
+        return rows.mapInArrow(_found, "block int, row bigint, place int, key string")
+
+    def kwic(self, query: str, window: int = 5, regex: bool = False, case_sensitive: bool = True, display: str = "surface") -> DataFrame:
         """As ``kwic.kwic_in_rows``, from the documents that have hits."""
-        hits = stored(self.hits(query, regex, case_sensitive).select("doc_id", "block", "place"), "hits")
-        blocks = [r["block"] for r in hits.select("block").distinct().collect()]  # at most as many as there are folders
-        asked = hits.groupBy("block", "doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))  # no more than the document has tokens
-        docs = self.documents.where(F.col("block").isin(blocks)).join(asked, ["block", "doc_id"])
-        return kwic.lines_at(docs, "places", self.unit, window, display, keep)
+        asked = stored(self.hits(query, regex, case_sensitive).groupBy("block", "row").agg(F.sort_array(F.collect_list("place")).alias("places")), "hits")  # no more than a document has tokens
+        blocks = [r["block"] for r in asked.select("block").distinct().collect()]  # at most as many as tasks wrote documents
+        docs = self.documents.where(F.col("block").isin(blocks)).join(asked, ["block", "row"])
+        return kwic.lines_at(self.by.in_rows(docs, carry=(*self.keep, "places")), "places", self.unit, window, display, self.keep)
 
     def discard(self) -> None:
-        discard(self.vocabulary, self.postings, self.documents)
-
-
-def build(rows: DataFrame, unit: str = "lemma", keep: tuple[str, ...] = (), buckets: int | None = None, blocks: int | None = None) -> Index:
-    """rows: from ``annotate.in_rows``; keep: further columns of them that concordances show.  buckets, blocks: folders of
-    postings and of documents; as many as a shuffle has partitions, where nothing is said."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, blocks = buckets or parts, blocks or parts
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    own = rows.where("doc_id IS NOT NULL").select("doc_id", block.alias("block"), *keep, "t")
-    documents = stored(own.repartition(blocks, "block"), "documents", by="block")
-    places = documents.select("doc_id", "block", F.posexplode(F.transform("t", lambda x: x[unit])).alias("place", "word")).where("word IS NOT NULL")
-    # a document's tokens stand in one task, so a word's places in it come together before they are dealt out
-    lists = places.groupBy("word", "doc_id", "block").agg(F.sort_array(F.collect_list(F.col("place").cast("long"))).alias("p"))
-    chunks = lists.select("word", "doc_id", "block", F.explode(_gaps(F.col("p"))).alias("x")).select("word", "doc_id", "block", "x.first", "x.gaps")
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-    # a bucket can have a word that all documents have: it is split by documents into several files
-    postings = stored(chunks.withColumn("bucket", bucket).repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS))), "postings", by="bucket")
-    counts = postings.groupBy("word", "bucket").agg(F.sum(F.size("gaps") + 1).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-    return Index(stored(counts, "vocabulary"), postings, documents, unit)
+        discard(self.documents, self.postings)
+
+
+def build(docs: DataFrame, by: NativeAnnotator, unit: str = "lemma", keep: tuple[str, ...] = (), buckets: int = BUCKETS) -> Index:
+    """docs: doc_id, text, the annotator's language column and keep, columns that concordances show."""
+    named = dict.fromkeys(("doc_id", *([by.language_col] if by.language_col else []), *keep))
+    own = docs.select(*named, "text", F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("block"))
+    documents = stored(own, "documents", by="block")
+    tokens = by.in_rows(documents, carry=("block", "row"), function_words=False)
+    words = tokens.select("block", "row", F.transform("t", lambda x: x[unit]).alias("words"))
+    postings = stored(words.mapInArrow(lambda it: _segments(it, buckets), ", ".join(f"{c} {k}" for c, k in _POSTINGS.items())), "postings", by="bucket")
+    return Index(documents, postings, by, unit, buckets, keep)

@@ -1,9 +1,9 @@
 """What a language's options change about tokens, as passes over word types.
 
-An option's work depends on a word's form and part of speech alone: a second lemma, the parts of a compound, the
-prefixes that make another verb of a verb.  So tokens are counted by type once, every option adds a column to the few
-types, and the types that change anything meet the tokens in one join.  Only the joining of a verb with its prefix looks
-at a token's neighbours: a running count of marks numbers the clauses, and a window over a clause finds the pair.
+An option's work depends on a word's form and part of speech alone: a second lemma, or the parts of a compound.  So tokens are
+counted by type once, every option adds a column to the few types, and the types that change anything meet the tokens in one
+join.  Only the joining of a verb with its prefix looks at a token's neighbours; it is found within a document's row, and the
+document carries what was found to its tokens.  So tokens of frequent types, which are nearly all, are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from wordloom.storage import stored
 
 from . import german, lemmas
-from .annotate import join_separable_verbs
+from .annotate import Annotator, NativeAnnotator, join_separable_verbs
 
-#: Types that are sent to the executors whole; beyond, only those with a thousandth of the tokens are, at most a thousand.
+#: Rows that are sent to the executors whole.
 MOST_SENT = 200_000
+#: Beyond, types with one of so many tokens are sent, at most so many; the rest, with few tokens, is shuffled.
+SHARE = 1_000_000
 
 
 def planned(language: str, options: dict[str, Any]) -> list[str]:
@@ -30,47 +32,49 @@ def planned(language: str, options: dict[str, Any]) -> list[str]:
     return [name for name, on in asked.items() if on]
 
 
-def _meet(tokens: DataFrame, types: DataFrame, columns: list[str]) -> DataFrame:
-    """tokens + columns of types (surface, pos, n), by a left join in which no key is large."""
+def _meet(tokens: DataFrame, types: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
+    """tokens + columns of changed, a part of types (surface, pos, n), by a left join in which no key is large."""
     on = ["surface", "pos"]
-    side = types.select(*on, *columns)
-    if types.count() <= MOST_SENT:
+    side = changed.select(*on, *columns)
+    if changed.count() <= MOST_SENT:
         return tokens.join(F.broadcast(side), on, "left")
     total = types.agg(F.sum("n")).first()[0]
-    hot = F.col("n") * 1000 > total
-    often = F.broadcast(types.where(hot).select(*on, *columns))
+    hot = F.col("n") * SHARE > total
+    often = F.broadcast(stored(types.where(hot).select(*on).join(side, on, "left"), "often"))
     rest = tokens.join(F.broadcast(types.where(hot).select(*on)), on, "left_anti")
-    return tokens.join(often, on).unionByName(rest.join(types.where(~hot).select(*on, *columns), on, "left"))
+    return tokens.join(often, on).unionByName(rest.join(changed.where(~hot).select(*on, *columns), on, "left"))
 
 
-def apply(tokens: DataFrame, language: str, options: dict[str, Any], pairs: DataFrame | None = None) -> DataFrame:
-    """tokens with what options ask for.  pairs (surface, lemma): what the second lemmatiser learns from, instead of the vocabulary."""
-    todo = planned(language, options)
+def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, Any], pairs: DataFrame | None = None) -> DataFrame:
+    """The tokens of docs with what options ask for.  pairs (surface, lemma): what the second lemmatiser learns from, instead of
+    the vocabulary."""
+    tokens, todo = by.annotate(docs, options), planned(language, options)
     if not todo:
         return tokens
     mode, lower = options.get("lemma_mode", "own"), bool(options.get("lowercase"))
     if mode not in german.MODES:
         raise ValueError(f"unknown mode {mode}")
     low = F.lower if lower else lambda c: c
+    names = tokens.columns
     types = stored(tokens.groupBy("surface", "pos").agg(F.count("*").alias("n")), "types")
     words = types.where(F.col("pos").isin(*german.CONTENT, "WORD")).groupBy(F.col("surface").alias("word")).agg(F.sum("n").alias("n"))
-    found, columns = types, []
+    own_verbs = "separable_verbs" in todo and isinstance(by, NativeAnnotator)
+    if own_verbs:
+        found = stored(german.separated(by.in_rows(docs, options, function_words=False), words, lambda c: by.pos(c) == "WORD"), "separated").withColumnRenamed("marks", "__marks")
+        side = F.broadcast(found) if found.count() <= MOST_SENT else found
+        tokens = by.annotate(docs.join(side, "doc_id", "left"), options, carry=("__marks",))
+    changes, columns = types, []
     if "lemma_mode" in todo:
-        other = lemmas.lemmatiser(words, pairs).select("surface", F.col("lemma").alias("__other"))
-        found = found.join(other, "surface", "left")
+        other = lemmas.lemmatiser(words, pairs).where("lemma <> surface").select("surface", F.col("lemma").alias("__other"))
+        changes = changes.join(other, "surface", "left")
         columns.append("__other")
     if "compound_split" in todo:
         parts = german.scored_compounds(types).select("surface", "pos", F.col("parts").alias("__parts"))
-        found = found.join(parts, ["surface", "pos"], "left")
+        changes = changes.join(parts, ["surface", "pos"], "left")
         columns.append("__parts")
-    if "separable_verbs" in todo and tokens.schema["dep"].metadata.get("unknown"):
-        partners = german.partners(types).select("surface", "pos", "__prefixes")
-        found = found.join(partners, ["surface", "pos"], "left")
-        columns.append("__prefixes")
-    names = tokens.columns
     if columns:
-        changed = stored(found.where(F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull()), "changes")
-        tokens = _meet(tokens, changed, columns)
+        changed = stored(changes.where(F.coalesce(*columns).isNotNull()), "changes")
+        tokens = _meet(tokens, types, changed, columns)
     new: dict[str, Any] = {}
     if mode == "other":
         mark = F.col("pos").isin("PUNCT", "NUM")
@@ -80,11 +84,9 @@ def apply(tokens: DataFrame, language: str, options: dict[str, Any], pairs: Data
         new["lemma_alt"] = F.when(F.col("pos").isin(*german.CONTENT, "WORD"), low(F.coalesce("__other", "surface"))).otherwise(F.lit(""))
     if "__parts" in columns:
         new["compound_parts"] = F.coalesce(low(F.col("__parts")), "compound_parts")
-    kept = [c for c in columns if c == "__prefixes"]
-    tokens = tokens.select(*(new.get(c, F.col(c)).alias(c) for c in names), *kept)
+    tokens = tokens.select(*(new.get(c, F.col(c)).alias(c) for c in names), *(["__marks"] if own_verbs else []))
     if mode == "other" and not lower:
         tokens = german.recapitalise_nouns(tokens)
-    if kept:
-        return german.join_separated(tokens).select(*names)
+    if own_verbs:
+        return german.join_separated(tokens, "__marks").select(*names)
     return join_separable_verbs(tokens) if "separable_verbs" in todo else tokens
-

@@ -264,20 +264,24 @@ def kwic_collocate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kwic.kwic_in_rows(rows_of(spark, sf_dir), "thing", window=3, collocate="the", scope="fixed")
 
 
+def index_of(spark: SparkSession, sf_dir: str, *keep: str) -> index.Index:
+    return index.build(documents(spark, sf_dir), annotate.NativeAnnotator(language_col="lang"), keep=keep)
+
+
 @query
 def kwic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As kwic, by a stored index: postings of one bucket, documents of the blocks with hits."""
-    return index.build(rows_of(spark, sf_dir, "source"), keep=("source",)).kwic("thing", keep=("source",))
+    return index_of(spark, sf_dir, "source").kwic("thing")
 
 
 @query
 def kwic_index_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build(rows_of(spark, sf_dir)).kwic("th[a-z]*ing", window=2, regex=True)
+    return index_of(spark, sf_dir).kwic("th[a-z]*ing", window=2, regex=True)
 
 
 @query
 def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build(rows_of(spark, sf_dir)).vocabulary.drop("bucket")
+    return index_of(spark, sf_dir).vocabulary()
 
 
 # --- collocations -----------------------------------------------------------------------------------------
