@@ -5,7 +5,6 @@ have no built-in form, run in Arrow batches on the executors."""
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import zipfile
@@ -14,10 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from wordloom.functions import text as tx
 
+from .encodings import detect
+from .records import parse, read_delimited
+
 #: fixed values: tried in this order
 ENCODINGS = ["utf-8", "cp932", "euc_jp"]
 EXTENSIONS = (".txt", ".pdf")
@@ -33,24 +34,11 @@ def decode_bytes(data: bytes) -> tuple[str, str]:
             return data.decode(name), name
         except UnicodeDecodeError:
             continue
-    if guess := detected(data):
+    if guess := detect(data):
         return data.decode(guess, "replace"), f"{guess} (detected)"
     return data.decode("utf-8", "replace"), "utf-8 (forced)"
 
 
-def detected(data: bytes) -> str | None:
-    """What chardet, an optional library, takes the encoding to be."""
-    try:
-        import chardet
-    except ImportError:
-        return None
-    guess = chardet.detect(data).get("encoding")
-    try:
-        return guess and codecs.lookup(guess) and guess
-    except LookupError:
-        return None
-
-
 def stem(name: str) -> str:
     base = name.replace("\\", "/").rsplit("/", 1)[-1]
     return base.rsplit(".", 1)[0] if "." in base else base
@@ -130,22 +118,23 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, sepa
     if path.lower().endswith((".xlsx", ".xlsm", ".xls")):
         return spark.createDataFrame(pd.read_excel(path, dtype=str).astype(object).where(lambda d: d.notna(), None))
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("h")).first()
-    text, found = decode_bytes(bytes(head["h"]) if head else b"")
-    encoding = encoding or ("utf-8" if found.startswith("utf-8") else found)
+    start = bytes(head["h"]) if head else b""
+    text, found = decode_bytes(start[: start.rfind(b"\n") + 1] or start if len(start) == 65536 else start)  # no character is cut in two
+    encoding = encoding or ("utf-8" if found.startswith("utf-8") else found.split(" ")[0])
     separator = separator or ("\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(text.splitlines()[:20])))
-    if encoding.lower() in ("utf-8", "utf-16", "us-ascii", "iso-8859-1"):
+    if encoding.lower().startswith(("utf-16", "utf-32")):  # in which a line end is no octet of its own: a file is one task
         return spark.read.csv(path, header=True, inferSchema=False, sep=separator, multiLine=True, encoding=encoding, escape='"')
-    # Spark's reader takes no other encodings: each file is parsed by the task that reads it.
-    options = {"sep": separator, "dtype": str, "keep_default_na": False, "na_values": [""], "encoding": encoding}
-    columns = next(csv.reader(io.StringIO(text), delimiter=separator), [])
+    columns = parse(_header(text).encode(encoding, "replace"), encoding, separator)
+    return read_delimited(spark, path, [c if c is not None else f"_c{i}" for i, c in enumerate(columns)], encoding, separator)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
-                yield pd.read_csv(io.BytesIO(data), **options).astype(object).where(lambda d: d.notna(), None)
 
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
+def _header(text: str) -> str:
+    """The first record: up to the first line end outside quotation marks."""
+    lines = text.lstrip("\r\n").split("\n")
+    for i in range(len(lines)):
+        if "\n".join(lines[: i + 1]).count('"') % 2 == 0:
+            return "\n".join(lines[: i + 1])
+    return text
 
 
 def read_frequency_list(spark: SparkSession, path: str) -> DataFrame:
