@@ -27,20 +27,20 @@ class Option:
 
 _OPTIONS: dict[str, list[tuple[str, str, tuple[str, ...], str]]] = {
     "ja": [
-        ("lemma_unit", "What counts as one word", ("lemma", "orth_base"), "orth_base keeps different spellings of one word apart."),
-        ("nfkc", "Make full-width letters and digits half-width", (), "Leave off to study the difference."),
+        ("lemma_unit", "What a word is counted under", ("lemma", "orth_base"), "lemma: its dictionary entry; orth_base: its base form in the spelling of the text."),
+        ("nfkc", "Fold character widths", (), "Width then makes no difference to a letter, digit or mark."),
     ],
     "en": [
-        ("lowercase", "Ignore case", (), "Leave off to keep names apart from common words."),
+        ("lowercase", "Fold case", (), "Capitals then make no difference."),
     ],
     "de": [
-        ("lemma_mode", "Lemmatiser", ("own", "other", "both"), "both counts by the first and lists where the second differs."),
-        ("separable_verbs", "Put separated verbs together", (), "rufe ... an counts as anrufen."),
-        ("compound_split", "Split compounds", (), "The parts appear in a table of their own."),
-        ("lowercase", "Ignore case", (), "Merges nouns with verbs that are spelled alike."),
-        ("norm_1996", "Use the spelling of after 1996", (), "Needed where texts from before and after are compared."),
-        ("norm_ss", "Write ss for ß", (), "For Swiss texts among others."),
-        ("norm_umlaut", "Write ae, oe, ue for umlauts", (), "For texts typed without umlauts."),
+        ("lemma_mode", "Lemmas", ("own", "other", "both"), "own: the annotator's; other: learned from word endings; both: counted by the first, with the second beside it."),
+        ("separable_verbs", "Join verbs with their prefixes", (), "A prefix that closes a clause goes to the verb it makes another word of."),
+        ("compound_split", "Find the parts of compounds", (), "A compound keeps its own count; its parts can be counted beside it."),
+        ("lowercase", "Fold case", (), "Nouns then lose what sets them apart from verbs and adjectives of the same letters."),
+        ("norm_1996", "Modern spelling", (), "Words that the reform of 1996 changed are counted under one spelling."),
+        ("norm_ss", "ss for ß", (), "One spelling for texts with and without ß."),
+        ("norm_umlaut", "ae, oe, ue for ä, ö, ü", (), "One spelling for texts with and without umlauts."),
     ],
 }
 
@@ -53,17 +53,17 @@ def option_schema(language: str) -> list[Option]:
 
 #: (language, option, value for which it holds or None, warning).
 _WARNINGS: list[tuple[str, str, Any, str]] = [
-    ("ja", "", None, "Words are short units: compounds and compound verbs are counted by their parts. Say so when reporting."),
-    ("ja", "lemma_unit", "lemma", "Different spellings of a word are counted together; choose orth_base to study spelling."),
-    ("ja", "lemma_unit", "lemma", "Homographs of different meaning are different words, though they may look alike in a table; show the keys to tell them apart."),
-    ("en", "", None, "Parts of speech are universal tags; name the annotator and its version when reporting."),
-    ("en", "lowercase", True, "Case is ignored: Apple and apple are one word."),
-    ("de", "", None, "Parts of speech are universal tags; name the annotator and the lemmatiser when reporting."),
-    ("de", "lowercase", True, "Case is ignored: Essen (a meal) and essen (to eat) are one word. Check that this is meant."),
-    ("de", "separable_verbs", False, "Separated verbs are not put together: rufe ... an counts as rufen and an, and anrufen does not occur."),
-    ("de", "compound_split", False, "Compounds count as one word each, so many words occur once; split them if collocations and key words say too little."),
-    ("de", "compound_split", True, "Compounds are split by guesses from the corpus's own words; check the list of parts."),
-    ("de", "lemma_mode", "both", "Two lemmatisers are compared: counts follow the first, and a table lists where the second differs."),
+    ("ja", "", None, "What counts as a word is what the lexicon lists, so longer expressions fall into several words. Name the lexicon in a report."),
+    ("ja", "lemma_unit", "lemma", "Spellings of one entry are added up; orth_base keeps them apart."),
+    ("ja", "lemma_unit", "lemma", "Entries can share a label; where a table shows a label twice, its keys differ."),
+    ("en", "", None, "Classes of words are the annotator's own; name it, with its version, in a report."),
+    ("en", "lowercase", True, "Names and common words of the same letters are one word."),
+    ("de", "", None, "Classes and lemmas are the annotator's own; name it, with the way lemmas are made, in a report."),
+    ("de", "lowercase", True, "Nouns, verbs and adjectives of the same letters are one word. Make sure that this is wanted."),
+    ("de", "separable_verbs", False, "A verb and a prefix that stands apart are two words, so the verb that they make is undercounted."),
+    ("de", "compound_split", False, "A compound is one word. Many will occur once only, which leaves little for collocations and key words."),
+    ("de", "compound_split", True, "Where compounds are cut is estimated from the corpus; go through the list of parts."),
+    ("de", "lemma_mode", "both", "Counts follow the annotator's lemmas; a table lists the words whose learned lemma is another."),
 ]
 
 
@@ -91,5 +91,5 @@ def data_warnings(docs: DataFrame, language: str, options: dict[str, Any] | None
     r = mixed_spelling(docs, text).first()
     if not r["mixed"]:
         return []
-    message = f"The texts mix the spellings of before 1996 ({r['old']:,} words such as daß) and after ({r['new']:,} such as dass). A change of spelling would look like a change of use; unify them unless spelling is what you study."
+    message = f"Words that the reform of 1996 changed stand in their old spelling {r['old']:,} times and in the new one {r['new']:,} times. Counted apart, each looks rarer than it is; norm_1996 counts them together."
     return [{"message": message, "suggest_option": "norm_1996", "suggest_value": True}]

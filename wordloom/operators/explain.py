@@ -80,14 +80,14 @@ STATEMENTS = [
     Statement(FACT, _DISAGREE + "G2 ({g2}) cannot be told from chance.", screen="collocation", when=(_STRONG, "mi >= mi_meaningful", "g2 < g2_significant"), without=_NOISE),
     Statement(FACT, _DISAGREE + "G2 ({g2}) cannot be told from chance.", screen="collocation", when=(_STRONG, "mi ?", "g2 < g2_significant"), without=_NOISE),
     *_flagged("GROUP_IMBALANCE", "The groups differ much in size, so a difference may be that of the larger group's documents.", "Balance the groups, or repeat with a sample of the larger one."),
-    *_flagged("BOTH_HIGH_FREQUENCY", "'{WORD}' and '{COLLOCATE}' are both very frequent; their logDice of {log_dice} comes from that, not from a bond.", "Look for collocates below the most frequent {high_freq_top_percent} % of words."),
-    *_flagged("T_HIGH_MI_LOW", "'{WORD}' and '{COLLOCATE}' meet {cooccur} times, but MI is only {mi}: '{COLLOCATE}' is a common word that stands nearby.", "Sort by MI or logDice, and read the concordance."),
-    *_flagged("LOW_COOCCURRENCE", "'{WORD}' and '{COLLOCATE}' look connected (logDice = {log_dice}, MI = {mi}), but {cooccur} meetings are too few for the values to be stable.", "Read all {cooccur} concordance lines."),
+    *_flagged("BOTH_HIGH_FREQUENCY", "'{WORD}' and '{COLLOCATE}' are both very frequent, which alone accounts for a logDice of {log_dice}.", "Look for collocates below the most frequent {high_freq_top_percent} % of words."),
+    *_flagged("T_HIGH_MI_LOW", "'{COLLOCATE}' is near '{WORD}' {cooccur} times and near most other words too (MI = {mi}).", "Rank the collocates by a measure of exclusiveness instead."),
+    *_flagged("LOW_COOCCURRENCE", "logDice = {log_dice} and MI = {mi} for '{WORD}' and '{COLLOCATE}' rest on {cooccur} occurrences.", "There are few enough lines to read each: {cooccur}."),
     *_flagged("NOT_DISTINGUISHABLE", "G2 is {g2}, below {threshold}: with these data the result cannot be told from chance.", "Gather more data before deciding."),
     *_flagged("DP_TOO_FEW_PARTS", "With {n_parts} parts, how evenly '{WORD}' is spread cannot be judged.", "Use at least {dp_min_parts} documents, or another division."),
     *_flagged("DISPERSION_SKEWED", "'{WORD}' occurs {freq} times, mostly in few parts (DP = {dp}).", "See the word's distribution over the parts."),
     *_flagged("LOW_FREQUENCY", "'{WORD}' occurs {freq} times, too rarely to speak of a tendency.", "Read the concordance lines one by one."),
-    *_flagged("ZERO_CORRECTED", "'{WORD}' occurs {freq_present} times in '{GROUP_PRESENT}' and never in '{GROUP_ABSENT}'.", "Report the word as found in one group only."),
+    *_flagged("ZERO_CORRECTED", "'{WORD}' occurs {freq_present} times in '{GROUP_PRESENT}' and never in '{GROUP_ABSENT}'.", "Say in which group it occurs, and how often; no ratio is needed."),
     *_flagged("EFFECT_SIZE_TOO_SMALL", "The rates of '{WORD}' differ by a log ratio of {log_ratio}, too little to matter.", "Prefer words with a log ratio of at least {log_ratio_min} in size."),
     *_LEVELS,
     Statement(FACT, "'{WORD}' occurs {freq} times ({pmw} per million) and is concentrated: its dispersion of {dp} is above {dp_skew}.", screen="frequency", when=("dp > dp_skew",), last=True),
@@ -96,11 +96,11 @@ STATEMENTS = [
     Statement(FACT, "'{WORD}' is more frequent in '{GROUP_A}': a log ratio of {log_ratio}, at least {log_ratio_min} in size.", screen="keyness", when=("log_ratio > 0",), last=True),
     Statement(FACT, "'{WORD}' is more frequent in '{GROUP_B}': a log ratio of {log_ratio}, at least {log_ratio_min} in size.", screen="keyness", when=("log_ratio < 0",), last=True),
     Statement(FACT, "'{WORD}' is as frequent in '{GROUP_A}' as in '{GROUP_B}'.", screen="keyness", when=("log_ratio == 0",), last=True),
-    Statement(PAPER, "'{WORD}' occurs {freq} times in {n_total} tokens ({pmw} per million, DP = {dp}).", screen="frequency", without=("DP_TOO_FEW_PARTS",)),
-    Statement(PAPER, "'{WORD}' occurs {freq} times in {n_total} tokens ({pmw} per million).", screen="frequency", flag="DP_TOO_FEW_PARTS"),
-    Statement(PAPER, "'{WORD}' and '{COLLOCATE}' co-occur {cooccur} times within {window_label} (logDice = {log_dice}, MI = {mi}, t = {t}, G2 = {g2}).", screen="collocation"),
-    Statement(PAPER, "'{WORD}' occurs {pmw_a} times per million in '{GROUP_A}' ({freq_a} of {n_a}) and {pmw_b} in '{GROUP_B}' ({freq_b} of {n_b}); log ratio {log_ratio}, G2 = {g2}, p {p}.", screen="keyness", without=("ZERO_CORRECTED",)),
-    Statement(PAPER, "'{WORD}' occurs {pmw_a} times per million in '{GROUP_A}' ({freq_a} of {n_a}) and {pmw_b} in '{GROUP_B}' ({freq_b} of {n_b}); log ratio {log_ratio} (one half added to both counts), G2 = {g2}, p {p}.", screen="keyness", flag="ZERO_CORRECTED"),
+    Statement(PAPER, "Frequency of '{WORD}': {freq} in a corpus of {n_total} tokens, or {pmw} per million; deviation of proportions {dp}.", screen="frequency", without=("DP_TOO_FEW_PARTS",)),
+    Statement(PAPER, "Frequency of '{WORD}': {freq} in a corpus of {n_total} tokens, or {pmw} per million.", screen="frequency", flag="DP_TOO_FEW_PARTS"),
+    Statement(PAPER, "Collocate '{COLLOCATE}' of '{WORD}', span {window_label}: {cooccur} occurrences; logDice {log_dice}, MI {mi}, t {t}, G2 {g2}.", screen="collocation"),
+    Statement(PAPER, "Rates of '{WORD}' per million: '{GROUP_A}' {pmw_a} ({freq_a} in {n_a} tokens), '{GROUP_B}' {pmw_b} ({freq_b} in {n_b}). Log ratio {log_ratio}; G2 {g2}; p {p}.", screen="keyness", without=("ZERO_CORRECTED",)),
+    Statement(PAPER, "Rates of '{WORD}' per million: '{GROUP_A}' {pmw_a} ({freq_a} in {n_a} tokens), '{GROUP_B}' {pmw_b} ({freq_b} in {n_b}). Log ratio {log_ratio}, with half a count added on both sides; G2 {g2}; p {p}.", screen="keyness", flag="ZERO_CORRECTED"),
 ]
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq}
 

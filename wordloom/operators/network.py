@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,42 +57,65 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("word", "label", "freq", "degree", F.coalesce(F.try_divide(F.col("degree").cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0)).alias("degree_centrality")).orderBy(F.desc("degree_centrality"), "word")
 
 
-def shares_of_paths(pairs: list[tuple[str, str]]) -> dict[str, float]:
-    """Betweenness of an unweighted graph (Brandes 2001), as a share of the pairs without the node."""
+#: Links that are sent to the executors whole.
+MOST_LINKS = 500_000
+
+
+def neighbours(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     near: dict[str, list[str]] = {}
     for a, b in sorted(pairs):
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
-    score = dict.fromkeys(near, 0.0)
-    for source in near:
-        order, before = [source], {v: [] for v in near}
-        paths, depth = dict.fromkeys(near, 0), {source: 0}
-        paths[source] = 1
-        for v in order:
-            for u in near[v]:
-                if u not in depth:
-                    depth[u] = depth[v] + 1
-                    order.append(u)
-                if depth[u] == depth[v] + 1:
-                    paths[u] += paths[v]
-                    before[u].append(v)
-        carried = dict.fromkeys(near, 0.0)
-        for u in reversed(order):
-            for v in before[u]:
-                carried[v] += paths[v] / paths[u] * (1 + carried[u])
-            if u != source:
-                score[u] += carried[u]
-    n = len(near)
-    return {v: s / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, s in score.items()}
+    return near
+
+
+def paths_through(near: dict[str, list[str]], source: str) -> dict[str, float]:
+    """How much of the shortest paths from source to all others leads through each node (Brandes 2001)."""
+    order, before = [source], {v: [] for v in near}
+    paths, depth = dict.fromkeys(near, 0), {source: 0}
+    paths[source] = 1
+    for v in order:
+        for u in near[v]:
+            if u not in depth:
+                depth[u] = depth[v] + 1
+                order.append(u)
+            if depth[u] == depth[v] + 1:
+                paths[u] += paths[v]
+                before[u].append(v)
+    carried = dict.fromkeys(near, 0.0)
+    for u in reversed(order):
+        for v in before[u]:
+            carried[v] += paths[v] / paths[u] * (1 + carried[u])
+    return {u: x for u, x in carried.items() if u != source and x}
+
+
+def shares_of_paths(pairs: list[tuple[str, str]], sources: list[str] | None = None) -> dict[str, float]:
+    """Betweenness, as a share of the pairs without the node; of the paths from some nodes only, where sources are named."""
+    near = neighbours(pairs)
+    score, n = dict.fromkeys(near, 0.0), len(near)
+    for source in near if sources is None else sources:
+        for v, x in paths_through(near, source).items():
+            score[v] += x
+    return {v: s / max(1, (n - 1) * (n - 2)) for v, s in score.items()}
 
 
 def betweenness(links: DataFrame) -> DataFrame:
-    """word, betweenness; the graph has at most top_n nodes, so one group holds it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(shares_of_paths(list(zip(pdf["a"], pdf["b"], strict=True))).items()), columns=["word", "betweenness"])
-
-    return links.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "word string, betweenness double")
+    """word, betweenness of an unweighted graph.
+
+    The links go to every task, at most MOST_LINKS; the nodes are dealt out, and each is the source of one search."""
+    spark = links.sparkSession
+    pairs = [(r["a"], r["b"]) for r in links.select("a", "b").limit(MOST_LINKS + 1).collect()]
+    if len(pairs) > MOST_LINKS:
+        raise ValueError(f"more than {MOST_LINKS} links")
+    sent = spark.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [x for pdf in batches for x in pdf["word"]]
+        yield pd.DataFrame([x for x in shares_of_paths(sent.value, own).items() if own], columns=["word", "x"]).astype({"x": float})
+
+    sources = links.select(F.col("a").alias("word")).unionByName(links.select(F.col("b").alias("word"))).distinct()
+    parts = sources.repartition(spark.sparkContext.defaultParallelism, "word").mapInPandas(run, "word string, x double")
+    return parts.groupBy("word").agg(F.sum("x").alias("betweenness"))
 
 
 def build(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, top_n: int = 60, method: str = "sentence", window: int = 5, min_log_dice: float = 7.0, min_cooccur: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -19,12 +19,12 @@ TEXTS: dict[str, tuple[str, str, str]] = {
     "DP_TOO_FEW_PARTS": ("info", "With {n_parts} parts (fewer than {threshold}) dispersion says little.", "few parts"),
     "LOW_FREQUENCY": ("info", "'{word}' occurs {freq} times; below {threshold}, claim nothing about it.", "rare"),
     "GROUP_IMBALANCE": ("warning", "Group '{group_a}' has {size_a:,} documents and '{group_b}' {size_b:,}, {ratio:.1f} times as many; the larger may dominate.", "imbalance"),
-    "LOW_COOCCURRENCE": ("warning", "They meet only {cooccur} times (fewer than {threshold}); the measures look strong but are unstable at that count. {mi_note}", "few, looks strong"),
+    "LOW_COOCCURRENCE": ("warning", "Only {cooccur} times together, under the minimum of {threshold}: one meeting more or less would move every measure. {mi_note}", "few, looks strong"),
     "LOW_COOCCURRENCE_MINOR": ("info", "They meet only {cooccur} times.", "few"),
-    "BOTH_HIGH_FREQUENCY": ("warning", "Both words are among the most frequent {top_percent:g} % ({freq_node:,} and {freq_collocate:,} times); meeting often is no special bond.", "both frequent"),
+    "BOTH_HIGH_FREQUENCY": ("warning", "Each of the two is in the top {top_percent:g} % of the vocabulary ({freq_node:,} and {freq_collocate:,} occurrences); such words share contexts as a rule.", "both frequent"),
     "NOT_DISTINGUISHABLE": ("warning", "G2 = {g2:.1f} is below {threshold}: the data cannot tell this from chance, which does not mean that there is nothing.", "undecided"),
-    "T_HIGH_MI_LOW": ("warning", "t is high ({t:.1f}) and MI low ({mi:.1f}): a common word that happens to stand nearby.", "common neighbour"),
-    "ZERO_CORRECTED": ("info", "'{word}' is absent from one group; the log ratio adds one half to both counts and there is no odds ratio.", "absent in one"),
+    "T_HIGH_MI_LOW": ("warning", "t = {t:.1f} with MI = {mi:.1f}: the pair is counted often, but neither word prefers the other.", "common neighbour"),
+    "ZERO_CORRECTED": ("info", "One group lacks '{word}'. Half a count is given to both sides so that there is a log ratio; an odds ratio is left open.", "absent in one"),
     "EFFECT_SIZE_TOO_SMALL": ("warning", "The log ratio of '{word}', {log_ratio:+.2f}, is within {threshold} of none: too small a difference to report, whatever its p.", "small effect"),
 }
 

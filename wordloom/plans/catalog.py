@@ -413,6 +413,20 @@ def correspondence_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(correspondence.analyse(corpus(spark, sf_dir, "lang")[1], "lang")[0])
 
 
+@query
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several results from one stored corpus, whose texts are annotated once: its size, its 100 most frequent words, the
+    50 strongest collocates of "thing" and the concordance's length."""
+    c = corpora.build(documents(spark, sf_dir), Settings(language="en")).stored()
+    size = basic.corpus_summary(c.tokens, c.documents, c.language)
+    names = ["n_documents", "n_tokens", "n_types", "n_tokens_content", "n_types_content"]
+    found = size.select(F.lit("size").alias("part"), F.explode(F.array(*(F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in names))).alias("x")).select("part", "x.*")
+    words = frequency.frequency_table(c.tokens).where("rank <= 100").select(F.lit("frequency").alias("part"), F.col("word").alias("item"), F.col("freq").alias("value"))
+    near = collocation.view(collocation.collocation_table(c.tokens, "thing", min_cooccur=2), max_rows=50).select(F.lit("collocation").alias("part"), F.col("collocate").alias("item"), F.col("cooccur").alias("value"))
+    lines = kwic.kwic(c.tokens, "thing").agg(F.count("*").alias("value")).select(F.lit("concordance").alias("part"), F.lit("thing").alias("item"), "value")
+    return found.unionByName(words).unionByName(near).unionByName(lines)
+
+
 # --- text functions and sources ---------------------------------------------------------------------------
 
 

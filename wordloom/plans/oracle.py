@@ -368,6 +368,13 @@ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text || ' Daß,
 WITH c AS (SELECT source, count(*) FILTER (e AND g) AS a, count(*) FILTER (e AND NOT g) AS b, count(*) FILTER (NOT e AND g) AS c, count(*) FILTER (NOT e AND NOT g) AS d FROM (SELECT source, coalesce(lang = 'en', FALSE) AS e, coalesce(n_chars >= 1000, FALSE) AS g FROM documents) GROUP BY 1),
 l AS (SELECT *, unnest([a, b, c, d])::DOUBLE AS o, unnest([(a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)])::DOUBLE / nullif(a + b + c + d, 0) AS e FROM c)
 SELECT source, a, b, c, d, {_r("CASE WHEN a + b + c + d > 0 THEN 2 * sum(CASE WHEN o > 0 AND e > 0 THEN o * ln(o / e) ELSE 0 END) END", "g2")} FROM l GROUP BY source, a, b, c, d""",
+    "corpus_report": _with(
+        "SELECT 'size' AS part, unnest(['n_documents', 'n_tokens', 'n_types', 'n_tokens_content', 'n_types_content']) AS item, unnest([(SELECT count(*) FROM documents), count(*), count(DISTINCT lemma), count(*) FILTER (NOT is_function), count(DISTINCT lemma) FILTER (NOT is_function)]) AS value FROM t"
+        " UNION ALL SELECT 'frequency', word, freq FROM freq WHERE rank <= 100"
+        " UNION ALL SELECT 'collocation', collocate, cooccur FROM (SELECT * FROM col WHERE cooccur >= 2 AND NOT is_function ORDER BY log_dice DESC, cooccur DESC, collocate LIMIT 50)"
+        " UNION ALL SELECT 'concordance', 'thing', count(*) FROM h",
+        *_frequency(), *_SENTENCE,
+    ).replace("t AS MATERIALIZED (SELECT *,", "t AS MATERIALIZED (SELECT * REPLACE (lower(surface) AS lemma),", 1),
     "lemma_comparison": _with("SELECT surface, surface AS lemma, alt AS lemma_alt, n AS count FROM alts JOIN gw ON gw.word = alts.surface WHERE alt <> '' AND alt <> surface", *_OTHER_LEMMA),
     "frequency_other_lemma": _with(_FREQ_OUT, *_OTHER_LEMMA, "o AS (SELECT t.* REPLACE (coalesce(alt, t.surface) AS lemma) FROM t LEFT JOIN alts ON alts.surface = t.surface AND t.pos = 'WORD')", *_frequency(source="o")),
     "frequency_lowercase": _with(_FREQ_OUT, *_OTHER_LEMMA, "o AS (SELECT t.* REPLACE (lower(coalesce(alt, t.surface)) AS lemma) FROM t LEFT JOIN alts ON alts.surface = t.surface AND t.pos = 'WORD')", *_frequency(source="o")),

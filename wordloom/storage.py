@@ -15,12 +15,16 @@ def _one_machine_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or else the warehouse; only where all of Spark is one process, as in tests, a
-    temporary folder."""
+    """spark.checkpoint.dir, or else the warehouse, if one was named (its default is a folder of the driver's machine); only
+    where all of Spark is one process, as in tests, a temporary folder in their place."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found and spark.sparkContext.master.split("[")[0] == "local":
         found = _one_machine_dir(spark.sparkContext.applicationId)
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not found and spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        found = spark.conf.get("spark.sql.warehouse.dir")
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found.rstrip("/")
 
 
 #: What stored tables are called.
