@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-from numpy.polynomial import chebyshev
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,33 +70,33 @@ def odds_ratio(fa: Column, fb: Column, na: Column, nb: Column) -> Column:
     return F.when(ok, F.try_divide(F.try_divide(fa, na - fa), F.try_divide(fb, nb - fb)))
 
 
-def _tail_series(degree: int = 30) -> list[float]:
-    """Chebyshev coefficients, by u = 2t - 1 with t = 2 / (2 + z), of log(erfc(z) / t) + z^2, which is smooth and finite
-    for all z >= 0: interpolated here from the library's erfc and, where that underflows, the asymptotic series."""
+# --- fixed values: rational approximations of the error function in three ranges (Cody 1969), numerator and denominator
+_NEAR = ((1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_FAR = ((1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4), (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3))
 
-    def target(u: float) -> float:
-        t = (u + 1) / 2
-        z = 2 / t - 2
-        if z < 20:
-            return math.log(math.erfc(z) / t) + z * z
-        inverse = 1 / (2 * z * z)
-        return math.log((1 - inverse + 3 * inverse**2 - 15 * inverse**3 + 105 * inverse**4) / (z * math.sqrt(math.pi)) / t)
 
-    return [float(c) for c in chebyshev.chebinterpolate(np.vectorize(target), degree)]
+def _polynomial(x: Column, terms: tuple[float, ...]) -> Column:
+    out = F.lit(terms[0])
+    for c in terms[1:]:
+        out = out * x + c
+    return out
 
 
-TAIL = _tail_series()
+def _quotient(x: Column, pair: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+    return _polynomial(x, pair[0]) / _polynomial(x, pair[1])
 
 
 def p_value(g2: Column | str) -> Column:
     """Upper tail of the chi-squared distribution with one degree of freedom, erfc(sqrt(g2 / 2)).  Neither erf nor
-    erfc is built in: Clenshaw's recurrence over a fixed series, in the JVM.  NULL where g2 is NULL or not a number."""
+    erfc is built in; quotients of polynomials are compiled with the rest of the plan.  NULL where g2 is NULL or not a number."""
     x = F.col(g2) if isinstance(g2, str) else g2
-    z = F.sqrt(F.greatest(x, F.lit(0.0)) / 2)
-    t = F.lit(2.0) / (z + 2)
-    twice = 4 * t - 2
-    begin = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    terms = F.array(*(F.lit(c) for c in reversed(TAIL[1:])))
-    end = F.aggregate(terms, begin, lambda s, c: F.struct((twice * s["a"] - s["b"] + c).alias("a"), s["a"].alias("b")))
-    tail = t * F.exp(-z * z + TAIL[0] + (twice / 2) * end["a"] - end["b"])
-    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.lit(1.0), tail))
+    half = F.greatest(x, F.lit(0.0)) / 2
+    z = F.sqrt(half)
+    far = F.lit(1.0) / F.greatest(half, F.lit(1.0))
+    tail = F.exp(-half) * F.when(z <= 4, _quotient(z, _MIDDLE)).otherwise((1 / math.sqrt(math.pi) - far * _quotient(far, _FAR)) / F.greatest(z, F.lit(1.0)))
+    p = F.when(z <= 0.46875, 1 - z * _quotient(half, _NEAR)).otherwise(tail)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.lit(1.0), p))
