@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import NARROW, discard, few_files, if_small, map_arrow, written
+from .common import NARROW, discard, few_files, if_small, join_hot, map_arrow, written
 from .graph import components
 from .wordhash import Batch
 
@@ -276,8 +276,9 @@ def _tree_pairs(filed: DataFrame, large: DataFrame, chosen: Settings, similarity
     return map_arrow(laid, lambda it: _search_trees(it, chosen, similarity), "a bigint, b bigint, d bigint").select("a", "b").distinct()
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, similarity: float, shingle: int, text: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.  Sets are made of the texts that occur in a pair."""
+def _checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.  Sets are made of the texts that occur in a pair, each taken from one
+    of its documents: copies, which may be a third of all rows, share a text but not a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -289,7 +290,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, similarity: f
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(bodies.join(needed, "node", "left_semi"), "wanted")
-    texts = docs.select(F.xxhash64(text).alias("body"), F.col(text).cast("binary").alias("text")).join(if_small(wanted), "body").groupBy("node").agg(F.first("text").alias("text"))
+    own = docs.select(F.xxhash64(text).alias("__body"), F.col(key).alias("__key"), F.col(text).cast("binary").alias("text"))
+    texts = own.join(if_small(wanted), (F.col("__body") == F.col("body")) & F.col("__key").eqNullSafe(F.col("key"))).groupBy("node").agg(F.first("text").alias("text"))
     sets = written(map_arrow(texts.select("node", "text"), run, "node bigint, items array<bigint>"), "sets", regroup=False)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
@@ -301,23 +303,27 @@ def _checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, similarity: f
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """key, body, label (the same for all rows that links of at least this similarity connect)."""
     rows = written(_sketched(docs, shingle, text, key), "sketched")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("fp").alias("fp"), F.min("body").alias("body")), "nodes")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("body", "key")).alias("one"), F.count("*").alias("copies")), "nodes")
     chosen = settings(nodes.count(), similarity)
-    bodies = nodes.select("body", "node")
+    bodies = nodes.select("node", "one.body", "one.key")
     filed = written(_filed(nodes.withColumn("label", F.col("node")), chosen), "filed", regroup=False)
     large = written(_large(filed, shard), "large")
     pairs = written(_root_pairs(filed, large, chosen, similarity), "pairs")
-    links = _checked(pairs, docs, bodies, similarity, shingle, text)
+    links = _checked(pairs, docs, bodies, similarity, shingle, text, key)
     discard(filed, pairs)
     found = components(links)
     labelled = nodes.join(found.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     filed = written(_filed(labelled, chosen), "filed", regroup=False)
     pairs = written(_tree_pairs(filed, large, chosen, similarity, shard), "pairs")
-    links = links.unionByName(_checked(pairs, docs, bodies, similarity, shingle, text))
+    links = links.unionByName(_checked(pairs, docs, bodies, similarity, shingle, text, key))
     discard(filed, pairs, large, found)
     found = components(links)
-    named = rows.select("key", "body", "node").join(found.withColumnRenamed("v", "node"), "node", "left")
-    return few_files(named.select(F.col("key").alias(key), "body", F.coalesce("label", "node").alias("label")), rows.count(), NARROW)
+    # copies share a node: what many rows have is broadcast, not met by a shuffle
+    labels = written(nodes.select("node", "copies").join(found.withColumnRenamed("v", "node"), "node", "left").select("node", "copies", F.coalesce("label", "node").alias("label")), "named")
+    total = rows.count()
+    named = join_hot(rows.where("n > 0").select("key", "body", "node"), labels, "node", "copies", total).select("key", "body", "label")
+    empty = rows.where("n = 0").select("key", "body", F.col("node").alias("label"))
+    return few_files(named.unionByName(empty).select(F.col("key").alias(key), "body", "label"), total, NARROW)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
