@@ -36,36 +36,39 @@ def _segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         segment = (TaskContext.get().partitionId() << 24) + no
         blocks = np.asarray(whole.column(0))
         for block in np.unique(blocks).tolist():
-            b = whole.filter(pa.array(blocks == block))
+            b = whole if (blocks == block).all() else whole.filter(pa.array(blocks == block))
             words = b.column(2).flatten().dictionary_encode()
             code, n = np.asarray(words.indices), len(words.dictionary)
             if not n:
                 continue
-            lengths = np.array([len(x) for x in b.column(2)], dtype=np.int32)
+            lengths = np.asarray(b.column(2).value_lengths())
             starts = np.cumsum(lengths, dtype=np.int32) - lengths
-            place = np.argsort(code, kind="stable").astype(np.int32)
-            counts = np.bincount(code, minlength=n).astype(np.int32)
+            # the words of a bucket one after the other, and each word's places in order
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()], dtype=np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(n, dtype=np.int64)
+            rank[order] = np.arange(n)
+            place = np.argsort(rank[code], kind="stable").astype(np.int32)
+            counts = np.bincount(rank[code], minlength=n).astype(np.int32)
             first = np.zeros(len(place), dtype=bool)
             first[np.cumsum(counts) - counts] = True
             doc = np.searchsorted(starts, place, side="right")
             new = first.copy()
             new[1:] |= doc[1:] != doc[:-1]
-            owner = code[place]
-            n_docs = np.bincount(owner, weights=new, minlength=n).astype(np.int32)
-            gaps = np.where(first, place, np.diff(place, prepend=np.int32(0)))
-            names = words.dictionary.to_pylist()
-            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], dtype=np.int32)
-            own = {"rows": b.column(1).to_pylist(), "starts": starts.tolist(), "block": block, "segment": segment}
-            found = []
-            for k in np.unique(bucket).tolist():
-                at = np.flatnonzero(bucket == k)
-                found.append(own | {"bucket": k, "words": [names[i] for i in at], "counts": counts[at], "n_docs": n_docs[at], "gaps": gaps[bucket[owner] == k]})
-            yield pa.RecordBatch.from_pylist(found, schema=_schema())
-
-
-def _schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
-    return pa.schema([(c, kinds[k]) for c, k in _POSTINGS.items()])
+            n_docs = np.add.reduceat(new, np.cumsum(counts) - counts, dtype=np.int32)
+            gaps = np.where(first, place, np.diff(place, prepend=np.int32(0))).astype(np.int32)
+            found, size = np.unique(bucket, return_counts=True)
+            k = len(found)
+            cut = np.concatenate(([0], np.cumsum(size)))  # words by bucket
+            edges = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[cut]  # places by bucket
+
+            def lists(values: pa.Array, at: np.ndarray) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+            every = np.arange(k + 1) * b.num_rows
+            rows = lists(pa.array(np.tile(np.asarray(b.column(1)), k)), every)
+            columns = [pa.array(found), pa.array(np.full(k, block, dtype=np.int32)), pa.array(np.full(k, segment)), lists(words.dictionary.take(pa.array(order)), cut), lists(pa.array(counts), cut), lists(pa.array(n_docs), cut), lists(pa.array(gaps), edges), rows, lists(pa.array(np.tile(starts, k)), every)]
+            yield pa.record_batch(columns, names=list(_POSTINGS))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
