@@ -15,8 +15,8 @@ Modes: ``"all"`` drops every line whose key is in at least ``min_docs`` document
 but the first occurrence (in order of document and position) of such a line.
 
 Defined results: a null or empty text is one empty line; documents are told apart by id and text: rows
-with the same id count as one document, and equal rows get equal bitmaps; null ids are one id; an empty
-table gives no rows; other columns are ignored or, in ``drop_lines``, kept.
+with the same id count as one document, and equal rows get equal bitmaps; null ids are one id, others are whole numbers
+(text that is none is an error); an empty table gives no rows; other columns are ignored or, in ``drop_lines``, kept.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ counted, not kept.  The plan has at most two patterns for each length and under
 (distinct lengths that sum to ``size``), so what is sent to the executors is bounded by ``size``.
 
 Defined results: a null or empty text is one piece of the closing id; repeated rows are packed once each;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; ids are whole numbers or null (text that is none is an error); other columns are ignored.
 """
 
 from __future__ import annotations

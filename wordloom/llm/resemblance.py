@@ -15,7 +15,8 @@
 6. Every candidate pair is checked exactly, and the components are made final.
 
 Defined results: null and empty texts have the empty set and are copies of each other only; a text of fewer words
-than a shingle is one shingle; words are compared with ASCII letters lower-cased; equal rows count as copies; an empty table gives no rows.
+than a shingle is one shingle; words are compared with ASCII letters lower-cased; equal rows count as copies; null ids are kept
+like others; which row of a group stays follows ``simhash.keep_one``, whose ties the text's hash decides; an empty table gives no rows.
 """
 
 from __future__ import annotations
