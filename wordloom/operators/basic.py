@@ -66,11 +66,11 @@ def standardized_ttr(tokens: DataFrame, unit: str = "lemma", include_function_wo
 def basic_stats(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000, words: DataFrame | None = None) -> DataFrame:
     """words: the selected tokens from ``numbered_words``, where there are rows to take them from."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
-    # counts of words and of documents instead of several distinct counts over every token
-    by_word = tokens.groupBy(F.col(unit).alias("w")).agg(F.count("*").alias("a"), F.count_if(keep).alias("n"))
-    one = by_word.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_tokens_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if((F.col("n") > 0) & F.col("w").isNotNull()).alias("n_types"))
-    documents = tokens.where(F.col("position") == 0) if words is not None else tokens
-    one = one.crossJoin(F.broadcast(documents.agg(F.count_distinct("doc_id").alias("n_documents"))))  # one row each
+    # counts by word instead of distinct counts over every token; from rows, every document with tokens has one at place 0
+    by_word = tokens.groupBy(F.col(unit).alias("w")).agg(F.count("*").alias("a"), F.count_if(keep).alias("n"), F.count_if(F.col("position") == 0).alias("begins"))
+    one = by_word.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_tokens_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if((F.col("n") > 0) & F.col("w").isNotNull()).alias("n_types"), F.coalesce(F.sum("begins"), F.lit(0)).alias("n_documents"))
+    if words is None:
+        one = one.drop("n_documents").crossJoin(F.broadcast(tokens.agg(F.count_distinct("doc_id").alias("n_documents"))))  # one row each
     both = one.crossJoin(F.broadcast(standardized_ttr(words if words is not None else tokens, unit, include_function_words, sttr_window)))
     return both.select("n_tokens_all", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr", F.lit(sttr_window).cast("long").alias("sttr_window"), "n_documents")
 
