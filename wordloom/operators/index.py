@@ -27,6 +27,8 @@ from . import kwic
 from .annotate import NativeAnnotator
 
 BUCKETS = 16
+#: Places that are sent to the executors whole.
+MOST_SENT = 500_000
 _POSTINGS = {"bucket": "int", "block": "int", "segment": "bigint", "words": "array<string>", "counts": "array<int>", "n_docs": "array<int>", "gaps": "array<int>", "rows": "array<bigint>", "starts": "array<int>"}
 
 
@@ -114,7 +116,9 @@ class Index:
         """As ``kwic.kwic_in_rows``, from the documents that have hits."""
         asked = stored(self.hits(query, regex, case_sensitive).groupBy("block", "row").agg(F.sort_array(F.collect_list("place")).alias("places")), "hits")  # no more than a document has tokens
         blocks = [r["block"] for r in asked.select("block").distinct().collect()]  # at most as many as tasks wrote documents
-        docs = self.documents.where(F.col("block").isin(blocks)).join(asked, ["block", "row"])
+        # few places go to the texts; many would be too large to send, and meet them by a shuffle
+        few = (asked.agg(F.sum(F.size("places"))).first()[0] or 0) <= MOST_SENT
+        docs = self.documents.where(F.col("block").isin(blocks)).join(F.broadcast(asked) if few else asked, ["block", "row"])
         return kwic.lines_at(self.by.in_rows(docs, carry=(*self.keep, "places")), "places", self.unit, window, display, self.keep)
 
     def discard(self) -> None:
