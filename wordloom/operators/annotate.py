@@ -80,6 +80,12 @@ class NativeAnnotator(Annotator):
         sentences = F.split(text, f"(?<=[{TERMINATORS}])")
         return F.flatten(F.transform(sentences, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), lambda w: F.struct(i.alias("s"), w.alias("w")))))
 
+    def words(self, text: Column) -> Column:
+        """array<string>: the words of ``cut``.  No token holds a terminator and another sign, so sentences need not be cut for them."""
+        if type(self).cut is NativeAnnotator.cut:
+            return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        return F.transform(self.cut(text), lambda x: x["w"])
+
     def lemma(self, surface: Column, options: dict[str, Any]) -> Column:
         low = F.lower(surface)
         if self.language_col:
@@ -95,10 +101,37 @@ class NativeAnnotator(Annotator):
         kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *kept, self.cut(self.normalize(F.col("text"), options)).alias("t"))
 
+    def word_rows(self, docs: DataFrame, unit: str = "lemma", options: dict[str, Any] | None = None, carry: tuple[str, ...] = (), function_words: bool = True) -> DataFrame:
+        """doc_id, carry, words: a document's words (surfaces or lemmas) in order as an array<string>, for what needs no sentences."""
+        options = self.default_options() | (options or {})
+        lang = F.coalesce(F.col(self.language_col), F.lit("")) if self.language_col else F.lit(self.language)
+        kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *kept, self.words(self.normalize(F.col("text"), options)).alias("words"))
+        words = F.col("words") if function_words else F.filter("words", lambda w: ~self.is_function(w))
+        if unit == "lemma":
+            words = F.transform(words, lambda w: self.lemma(w, options))
+        return rows.select("doc_id", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), words.alias("words"))
+
+    def types(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        """carry, surface, lemma, lemma_label, pos, is_function, n: tokens counted by type.  Lemma and part of speech depend on a
+        word's form (and language) alone, so they are found once a type and not once a token."""
+        options = self.default_options() | (options or {})
+        lang = F.coalesce(F.col(self.language_col) == "de", F.lit(False)) if self.language_col else F.lit(False)
+        kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+        names = [f"carried_{i}" for i in range(len(carry))]
+        tokens = docs.select(lang.alias("de"), *kept, F.explode(self.words(self.normalize(F.col("text"), options))).alias("surface"))
+        found = tokens.groupBy("de", *names, "surface").agg(F.count("*").alias("n")).withColumn("lang", F.when(F.col("de"), "de").otherwise(""))
+        found = found.select(*names, "surface", "n", self.lemma(F.col("surface"), options).alias("lemma"), self.pos(F.col("surface")).alias("pos"))
+        label = F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})
+        return found.select(*(F.col(c).alias(name) for c, name in zip(names, carry)), "surface", "lemma", label, "pos", F.col("pos").isin(*self.function_pos).alias("is_function"), "n")
+
+    def is_function(self, word: Column) -> Column:
+        return self.pos(word).isin(*self.function_pos)
+
     def token_counts(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, carry, n_tokens: a document's tokens, counted in its row."""
-        rows = self._cut_rows(docs, self.default_options() | (options or {}), carry)
-        return rows.select("doc_id", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), F.size("t").cast("long").alias("n_tokens"))
+        rows = self.word_rows(docs, "surface", options, carry)
+        return rows.select("doc_id", *carry, F.size("words").cast("long").alias("n_tokens"))
 
     def in_rows(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = (), function_words: bool = True) -> DataFrame:
         """doc_id, carry, t: a document's tokens as one array<struct<position, sentence_id, surface, lemma, is_function>>, for

@@ -2,7 +2,7 @@
 
 Rates and part sizes are over all tokens, whatever is selected.  Dispersion is half the sum, over the parts, of
 |share of the word - share of the corpus|; the parts that a word lacks contribute exactly their corpus share, so only
-the (word, part) pairs that occur are needed: 1/2 (sum |v - s| + 1 - sum s) over those.
+the (word, part) pairs that occur are needed: 1/2 (sum |v - s| + 1 - sum s) over those, where sum v is 1.
 """
 
 from __future__ import annotations
@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 
 from wordloom.storage import stored
 
+from .annotate import Annotator
 from .basic import ratio
-
-
-def dispersion(abs_sum: Column, share_sum: Column) -> Column:
-    """From the sums over the parts that have the word."""
-    return 0.5 * (abs_sum + 1 - share_sum)
+from .kwic import let
 
 
 def first_label(tokens: DataFrame, unit: str) -> list[Column]:
@@ -38,11 +35,17 @@ def _with_label(words: DataFrame) -> DataFrame:
     return words.withColumn("label", F.coalesce("label", "word") if "label" in words.columns else F.col("word"))
 
 
+def counted(tokens: DataFrame) -> Column:
+    """How many tokens the rows of a group are: tables counted by type (``annotate.types``) have their number in n."""
+    return F.sum("n") if "n" in tokens.columns else F.count("*")
+
+
 def vocabulary(selected: DataFrame, unit: str, extra: list[Column] | None = None) -> DataFrame:
     """A row for each word: freq, pos (most frequent, ties by name), label (first in text order).
 
-    Two partial aggregations: by (word, pos), then by word; a frequent word is summed before each shuffle."""
-    return words_from(selected.groupBy(F.col(unit).alias("word"), "pos").agg(F.count("*").alias("n"), *first_label(selected, unit), *(extra or [])))
+    Two partial aggregations: by (word, pos), then by word; a frequent word is summed before each shuffle.
+    selected: a table, or tokens counted by type."""
+    return words_from(selected.groupBy(F.col(unit).alias("word"), "pos").agg(counted(selected).alias("n"), *first_label(selected, unit), *(extra or [])))
 
 
 def words_from(by_pos: DataFrame) -> DataFrame:
@@ -52,25 +55,80 @@ def words_from(by_pos: DataFrame) -> DataFrame:
     return _with_label(words)
 
 
+#: Words that are sent to the executors whole.
+MOST_SENT = 200_000
+
+
+def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n_parted: int) -> DataFrame:
+    """The table from stored words (word, label, pos, freq, share, n_parts) and pairs (word, f, size).
+
+    Half the sum of |f/F - s| over the parts is 1 - share, if no part has less of the word than the corpus, else more by s - f/F for each that has.
+    Only a word with over N / size occurrences can lack in a part of that size, and of those there are no more than a part has
+    tokens: they meet the pairs by broadcast, but for what only parts of over MOST_SENT tokens can lack."""
+    often = words.where(F.col("freq") * F.lit(largest) > F.lit(n_parted)).select("word", "freq")
+    lacking = F.col("f") * F.lit(n_parted) < F.col("freq") * F.col("size")
+    sent = F.col("freq") * MOST_SENT >= F.lit(n_parted)
+    met = pairs.join(F.broadcast(often.where(sent)), "word")
+    if largest > MOST_SENT:
+        met = met.unionByName(pairs.where(F.col("size") > MOST_SENT).join(often.where(~sent), "word"))
+    less = met.where(lacking).groupBy("word").agg(F.sum(F.col("size") / F.lit(float(n_parted)) - F.col("f") / F.col("freq")).alias("less"))
+    out = ranked(words).join(less, "word", "left").crossJoin(F.broadcast(total))
+    dp = 1 - F.col("share") / F.lit(float(n_parted)) + F.coalesce("less", F.lit(0.0))
+    return out.select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dp.alias("dp"), "n_parts").orderBy("rank")
+
+
+def _sums(sizes: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row n_all; the largest part; the tokens of all parts."""
+    own = F.when(F.col("part").isNotNull(), F.col("size"))
+    r = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n_all"), F.coalesce(F.max(own), F.lit(0)).alias("largest"), F.coalesce(F.sum(own), F.lit(0)).alias("n")).first()
+    return sizes.sparkSession.range(1).select(F.lit(r["n_all"]).alias("n_all")), r["largest"], r["n"]
+
+
 def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, part: str = "doc_id") -> DataFrame:
-    """rank, word, label, pos, freq, pmw, dp, n_parts.  Tokens without a part count only in the rate's denominator."""
+    """rank, word, label, pos, freq, pmw, dp, n_parts.  Tokens without a part count only in the rate's denominator.
+
+    tokens: a table, or tokens counted by type and part."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
     # tokens are counted once, and the counts stored: part sizes, corpus size and the words all come from them
-    pairs = stored(tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(F.count("*").alias("n"), *first_label(tokens, unit)), "pairs")
-    sizes = pairs.groupBy("part").agg(F.sum("n").alias("size"))
-    total = sizes.agg(F.sum("size").alias("n_all"), F.sum(F.when(F.col("part").isNotNull(), F.col("size"))).alias("n_parted"))
-    shares = sizes.where("part IS NOT NULL").crossJoin(F.broadcast(total)).select("part", (F.col("size") / F.col("n_parted")).alias("s"))
+    pairs = stored(tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(counted(tokens).alias("n"), *first_label(tokens, unit)), "pairs")
+    sizes = stored(pairs.groupBy("part").agg(F.sum("n").alias("size")), "sizes")
+    total, largest, n_parted = _sums(sizes)
     kept = pairs.where("keep AND part IS NOT NULL AND word IS NOT NULL")
-    by_part = kept.groupBy("word", "part").agg(F.sum("n").alias("f"))
-    # totals come by a join, which can split a word that all parts have; a window could not
-    freqs = kept.groupBy("word").agg(F.sum("n").alias("freq"))
-    spread = by_part.join(freqs, "word").join(shares, "part")
-    spread = spread.groupBy("word").agg(F.max("freq").alias("freq"), F.sum(F.abs(F.col("f") / F.col("freq") - F.col("s"))).alias("d"), F.sum("s").alias("c"), F.count("*").alias("n_parts"))
     by_pos = kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), *([F.min("first").alias("first")] if "first" in kept.columns else []))
-    names = _with_label(by_pos.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("pos"), *_label(by_pos)))
-    out = spread.join(names, "word").join(ranked(freqs).select("word", "rank"), "word").crossJoin(F.broadcast(total))
-    out = out.select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dispersion(F.col("d"), F.col("c")).alias("dp"), "n_parts")
-    return out.orderBy("rank")
+    names = words_from(by_pos).select("word", "pos", "label")
+    sized = kept.groupBy("word", "part").agg(F.sum("n").alias("f")).join(sizes, "part").select("word", "f", "size")
+    words = sized.groupBy("word").agg(F.sum("f").alias("freq"), F.sum("size").alias("share"), F.count("*").alias("n_parts")).join(names, "word")
+    return _table(stored(words, "words"), sized, total, largest, n_parted)
+
+
+def runs(words: Column) -> Column:
+    """array<struct<word, n>>: an array's words, counted."""
+
+    def of(a: Column) -> Column:
+        begins = F.array_compact(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)))
+        return let(begins, lambda b: F.transform(b, lambda at, j: F.struct(F.get(a, at).alias("word"), (F.coalesce(F.get(b, j + 1), F.size(a)) - at).cast("long").alias("n"))))
+
+    return let(F.sort_array(words), of)
+
+
+def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False) -> DataFrame:
+    """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
+    shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case."""
+    found = stored(rows.select(F.col("doc_id").alias("part"), F.size("words").cast("long").alias("size"), runs(F.col("words")).alias("counts")), "counts")
+    sizes = found.select("part", "size")
+    repeated = stored(sizes.where("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("k"), F.sum("size").alias("__size")).where("k > 1").drop("k"), "repeated")
+    pairs = found.where("part IS NOT NULL").select("part", "size", F.explode("counts").alias("c")).select("part", "size", "c.word", F.col("c.n").alias("f"))
+    if n := repeated.count():  # rows of one document
+        known = F.broadcast(repeated) if n <= MOST_SENT else repeated
+        again = pairs.join(known, "part").groupBy("part", "word").agg(F.max("__size").alias("size"), F.sum("f").alias("f"))
+        pairs = pairs.join(known, "part", "left_anti").unionByName(again.select("part", "size", "word", "f"))
+        sizes = sizes.groupBy("part").agg(F.sum("size").alias("size"))
+    total, largest, n_parted = _sums(sizes)
+    words = pairs.groupBy("word").agg(F.sum("f").alias("freq"), F.sum("size").alias("share"), F.count("*").alias("n_parts"))
+    words = words.select("word", F.col("word").alias("label"), by.pos(F.col("word")).alias("pos"), "freq", "share", "n_parts")
+    if not include_function_words:
+        words = words.where(~F.col("pos").isin(*by.function_pos))
+    return _table(stored(words, "words"), pairs.drop("part"), total, largest, n_parted)
 
 
 def ranked(words: DataFrame) -> DataFrame:
@@ -105,7 +163,7 @@ def expand_compounds(tokens: DataFrame) -> DataFrame:
 
 
 def compounds(tokens: DataFrame) -> DataFrame:
-    return tokens.where("compound_parts <> ''").groupBy("surface", "compound_parts").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "surface")
+    return tokens.where("compound_parts <> ''").groupBy("surface", "compound_parts").agg(counted(tokens).alias("count")).orderBy(F.desc("count"), "surface")
 
 
 def word_distribution(tokens: DataFrame, word: str, unit: str = "lemma", part: str = "doc_id") -> DataFrame:
@@ -137,7 +195,7 @@ def high_frequency_cutoff(tokens: DataFrame, unit: str = "lemma", top_ratio: flo
     """cutoff: the frequency of the k-th most frequent word, k = max(1, ceil(types * top_ratio)); 2^31 without words.
 
     Taken from the histogram of frequencies, not from a sorted vocabulary.  tokens: a table, or words with their freq."""
-    words = tokens.where("word IS NOT NULL") if "freq" in tokens.columns else tokens.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("freq"))
+    words = tokens.where("word IS NOT NULL") if "freq" in tokens.columns else tokens.where(F.col(unit).isNotNull()).groupBy(unit).agg(counted(tokens).alias("freq"))
     freqs = words.groupBy("freq").agg(F.count("*").alias("types"))
     whole = freqs.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("types") * F.lit(top_ratio))).alias("k"))
     upto = freqs.withColumn("upto", F.sum("types").over(Window.orderBy(F.desc("freq"))))  # a row a frequency value
