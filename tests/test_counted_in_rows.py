@@ -4,7 +4,7 @@ import pytest
 from helpers import same
 from pyspark.sql import functions as F
 
-from wordloom.operators import annotate, frequency
+from wordloom.operators import annotate, basic, frequency
 
 TEXTS = [(1, "en", "The cat. the CAT, a dog! 12 Σίσυφος ΣΑΣ"), (2, "de", "Der Hund. der hund, Das Das 7"), (2, "fr", "le chat le chien. Der der"), (None, "en", "lost lost words the"), (3, "en", ""), (4, "en", None), (5, None, "The the cat … dog cat cat"), (6, "en", "x " * 400)]
 
@@ -48,3 +48,15 @@ def test_types(docs, by):
     tokens, types = by.annotate(docs), by.types(docs)
     names = ["surface", "lemma", "pos", "is_function"]
     same(types.groupBy(*names).agg(F.sum("n").alias("n")).toPandas(), tokens.groupBy(*names).agg(F.count("*").alias("n")).toPandas())
+
+
+@pytest.mark.parametrize("window", [2, 3, 7])
+def test_statistics(docs, by, window):
+    """By document, with repeated ids; by group, whose chunks cross documents and lie within one."""
+    tokens, content = by.annotate(docs, carry=("lang",)), by.word_rows(docs, carry=("lang",), function_words=False)
+    words = content.select("lang", "doc_id", F.posexplode("words").alias("k", "lemma"))
+    same(r9(basic.document_stats_in_rows(content, window)), r9(basic.per_document_stats(words, sttr_window=window)))
+    same(r9(basic.group_stats_in_rows(content, "lang", window)), r9(basic.per_group_stats(words, None, "lang", sttr_window=window)))
+    once = F.col("doc_id") != 2
+    same(r9(basic.document_stats_in_rows(content.where(once), window)), r9(basic.per_document_stats(tokens.where(once), sttr_window=window)))
+    same(r9(basic.group_stats_in_rows(content.where(once), "lang", window)), r9(basic.per_group_stats(tokens.where(once), None, "lang", sttr_window=window)))

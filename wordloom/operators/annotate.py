@@ -8,6 +8,7 @@ as subclasses; tables annotated elsewhere come in through ``schema.conform``.
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from typing import Any
 
@@ -126,7 +127,12 @@ class NativeAnnotator(Annotator):
         return found.select(*(F.col(c).alias(name) for c, name in zip(names, carry)), "surface", "lemma", label, "pos", F.col("pos").isin(*self.function_pos).alias("is_function"), "n")
 
     def is_function(self, word: Column) -> Column:
-        return self.pos(word).isin(*self.function_pos)
+        """pos in function_pos, for words of ``cut``.  A mark is one character, and numbers are no function words: so most words are only looked up."""
+        own = type(self)
+        if own.cut is not NativeAnnotator.cut or own.pos is not NativeAnnotator.pos or self.function_pos != ("PUNCT", "FUNC"):
+            return self.pos(word).isin(*self.function_pos)
+        listed = [w for w in (self.stopwords if self.stopwords is not None else ALL_FUNCTION_WORDS) if not re.fullmatch("[0-9]+", w)]
+        return F.lower(word).isin(listed) | ((F.length(word) == 1) & ~F.rlike(word, F.lit(r"^[\p{L}\p{M}\p{N}]")))
 
     def token_counts(self, docs: DataFrame, options: dict[str, Any] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, carry, n_tokens: a document's tokens, counted in its row."""
@@ -139,7 +145,7 @@ class NativeAnnotator(Annotator):
         options = self.default_options() | (options or {})
 
         def token(x: Column, i: Column) -> Column:
-            fn = self.pos(x["w"]).isin(*self.function_pos) if function_words else F.lit(False)
+            fn = self.is_function(x["w"]) if function_words else F.lit(False)
             return F.struct(i.cast("long").alias("position"), x["s"].cast("long").alias("sentence_id"), x["w"].alias("surface"), self.lemma(x["w"], options).alias("lemma"), fn.alias("is_function"))
 
         rows = self._cut_rows(docs, options, carry)

@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.storage import stored
+
+from .kwic import let
+
+#: Rows that are sent to the executors whole.
+MOST_SENT = 200_000
 #: Documents in a block of the two-step running sum.
 BLOCK = 4096
 
@@ -75,6 +81,76 @@ def basic_stats(tokens: DataFrame, unit: str = "lemma", include_function_words:
     return both.select("n_tokens_all", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr", F.lit(sttr_window).cast("long").alias("sttr_window"), "n_documents")
 
 
+def _types_in(words: Column) -> Column:
+    return F.size(F.array_distinct(words)).cast("long")
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """doc_id of several rows, and null: documents that no row has whole, or that have no id to be met by."""
+    return rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 OR doc_id IS NULL").select("doc_id")
+
+
+def document_stats_in_rows(rows: DataFrame, sttr_window: int = 1000) -> DataFrame:
+    """``per_document_stats`` of the selected words in ``annotate.word_rows``, found in a document's row.  Rows that repeat an id are
+    one document and meet by a shuffle."""
+
+    def sttr(w: Column) -> Column:
+        full = F.floor(F.size(w) / sttr_window).cast("int")
+        types = F.transform(F.sequence(F.lit(0), full - 1), lambda c: _types_in(F.slice(w, c * sttr_window + 1, sttr_window)))
+        return F.when(full > 0, F.aggregate(types, F.lit(0).cast("long"), lambda s, x: s + x) / full / sttr_window)
+
+    def stats(w: Column) -> Column:
+        chunks = sttr(w) if sttr_window > 0 else F.lit(None).cast("double")
+        return F.struct(F.size(w).cast("long").alias("n_tokens"), _types_in(w).alias("n_types"), chunks.alias("sttr"))
+
+    def own(chosen: DataFrame) -> DataFrame:
+        found = chosen.select("doc_id", let(F.col("words"), stats).alias("x")).select("doc_id", "x.*").where("n_tokens > 0")
+        return found.select("doc_id", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr")
+
+    again = stored(repeated_ids(rows), "repeated")
+    found = own(rows)
+    if n := again.count():
+        known = again.select(F.col("doc_id").alias("__doc"))
+        known = F.broadcast(known) if n <= MOST_SENT else known
+        on = rows["doc_id"].eqNullSafe(known["__doc"])
+        several = rows.join(known, on, "left_semi").select("doc_id", F.posexplode("words").alias("k", "lemma"))
+        found = own(rows.join(known, on, "left_anti")).unionByName(per_document_stats(several, "lemma", True, sttr_window))
+    return stored(found, "statistics").orderBy("doc_id")  # a sort asks for its rows twice
+
+
+def group_stats_in_rows(rows: DataFrame, group: str, sttr_window: int = 1000) -> DataFrame:
+    """``per_group_stats`` of the selected words in ``annotate.word_rows``, which carry the group.  Types are summed before they are shuffled; of a
+    chunk each document sends the distinct words of its piece, and of a whole one their number."""
+    rows = stored(rows.select(F.col(group).alias("group"), "doc_id", "words").where(F.size("words") > 0), "words")
+    if repeated_ids(rows.select("doc_id")).limit(1).count():
+        return per_group_stats(rows.select("group", "doc_id", F.posexplode("words").alias("k", "lemma")), None, "group", "lemma", True, sttr_window)
+    sizes = rows.select("group", "doc_id", F.size("words").cast("long").alias("n"))
+    counts = sizes.groupBy("group").agg(F.count("doc_id").alias("n_documents"), F.sum("n").alias("n_tokens"))
+    words = rows.select("group", F.explode(F.array_distinct("words")).alias("w")).groupBy("group", "w").agg(F.count("*").alias("k"))
+    counts = counts.join(words.groupBy("group").agg(F.count("*").alias("n_types")).withColumnRenamed("group", "__t"), F.col("group").eqNullSafe(F.col("__t")))
+    starts = stored(_running(sizes, ["group"]).select(F.col("doc_id").alias("__doc"), "start"), "starts")
+    side = F.broadcast(starts) if starts.count() <= MOST_SENT else starts
+    placed = rows.join(side, F.col("doc_id").eqNullSafe(F.col("__doc")))
+
+    def pieces(w: Column) -> Column:
+        def piece(c: Column) -> Column:
+            begin = F.greatest(c * sttr_window - F.col("start"), F.lit(0)).cast("int")
+            end = F.least((c + 1) * sttr_window - F.col("start"), F.size(w)).cast("int")
+            own = F.array_distinct(F.slice(w, begin + 1, end - begin))
+            whole = end - begin == sttr_window
+            return F.struct(c.alias("chunk"), (end - begin).alias("n"), F.when(whole, F.size(own)).alias("t"), F.when(~whole, own).alias("w"))
+
+        first, last = F.floor(F.col("start") / sttr_window), F.floor((F.col("start") + F.size(w) - 1) / sttr_window)
+        return F.transform(F.sequence(first, last), piece)
+
+    cut = placed.select("group", F.explode(let(F.col("words"), pieces)).alias("p")).select("group", "p.*")
+    chunks = cut.groupBy("group", "chunk").agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.collect_list("w").alias("w")).where(F.col("n") == sttr_window)
+    chunks = chunks.select("group", F.coalesce("t", _types_in(F.flatten("w"))).alias("t"))
+    means = chunks.groupBy("group").agg((F.sum("t") / F.count("*") / sttr_window).alias("sttr")).withColumnRenamed("group", "__g")
+    joined = counts.join(means, F.col("group").eqNullSafe(F.col("__g")), "left")
+    return joined.select("group", "n_documents", "n_tokens", "n_types", ratio(F.col("n_types"), F.col("n_tokens")).alias("ttr"), "sttr").orderBy("group")
+
+
 def per_document_stats(tokens: DataFrame, unit: str = "lemma", include_function_words: bool = False, sttr_window: int = 1000) -> DataFrame:
     """tokens: a table, or selected words from ``numbered_words``."""
     selected = tokens if "k" in tokens.columns else select_tokens(tokens, include_function_words)
