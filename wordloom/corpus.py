@@ -35,14 +35,25 @@ class Corpus:
         return df.join(names, "doc_id", "left").withColumn("name", F.coalesce("__name", F.col("doc_id").cast("string"))).drop("__name")
 
 
+def prepared(docs: DataFrame, settings: Settings, by: Annotator | None = None) -> tuple[DataFrame, Annotator, dict[str, Any]]:
+    """(cleaned texts, annotator, its options)."""
+    by = by or annotator(settings.language)
+    cleaned = docs.withColumn("text", tx.apply_cleaning(F.coalesce("text", F.lit("")), bool(settings.cleaning.get("aozora"))))
+    return cleaned, by, by.default_options() | settings.language_options
+
+
+def counted(docs: DataFrame, settings: Settings, what: str, by: Annotator | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """A corpus's tokens counted by "type", or by "document" and type: see ``passes.annotate``."""
+    cleaned, by, options = prepared(docs, settings, by)
+    return passes.annotate(by, cleaned, settings.language, options, lemmas, what)
+
+
 def build(docs: DataFrame, settings: Settings | None = None, by: Annotator | None = None, lemmas: DataFrame | None = None) -> Corpus:
     """docs: doc_id, text and any further columns, which become groups.  lemmas (surface, lemma): what the second lemmatiser
     learns from, where an option asks for it; else it learns from the vocabulary."""
     settings = settings or Settings()
-    by = by or annotator(settings.language)
-    cleaned = docs.withColumn("text", tx.apply_cleaning(F.coalesce("text", F.lit("")), bool(settings.cleaning.get("aozora"))))
+    cleaned, by, options = prepared(docs, settings, by)
     documents = cleaned.withColumn("n_chars", F.length("text").cast("long")).drop("text")
-    options: dict[str, Any] = by.default_options() | settings.language_options
     return Corpus(documents, passes.annotate(by, cleaned, settings.language, options, lemmas), settings.language)
 
 

@@ -20,6 +20,7 @@ from wordloom.config import DEFAULTS
 from wordloom.functions import text as tx
 
 from . import advice
+from .kwic import let
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 TERMINATORS = ".!?。！？"
@@ -33,6 +34,16 @@ FUNCTION_WORDS = {
 ALL_FUNCTION_WORDS = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
 
 
+def runs(words: Column) -> Column:
+    """array<struct<word, n>>: an array's words, counted."""
+
+    def of(a: Column) -> Column:
+        begins = F.array_compact(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)))
+        return let(begins, lambda b: F.transform(b, lambda at, j: F.struct(F.get(a, at).alias("word"), (F.coalesce(F.get(b, j + 1), F.size(a)) - at).cast("long").alias("n"))))
+
+    return let(F.sort_array(words), of)
+
+
 class Annotator(ABC):
     """annotate(): documents (doc_id, text, ...) to a table of schema.TOKENS."""
 
@@ -126,6 +137,23 @@ class NativeAnnotator(Annotator):
         label = F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})
         return found.select(*(F.col(c).alias(name) for c, name in zip(names, carry)), "surface", "lemma", label, "pos", F.col("pos").isin(*self.function_pos).alias("is_function"), "n")
 
+    def counted(self, docs: DataFrame, options: dict[str, Any] | None = None) -> DataFrame:
+        """doc_id, surface, lemma, lemma_label, pos, is_function, compound_parts, n: tokens counted by document and type, in a document's row."""
+        options = self.default_options() | (options or {})
+        lang = F.coalesce(F.col(self.language_col), F.lit("")) if self.language_col else F.lit(self.language)
+        words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.explode(runs(self.words(self.normalize(F.col("text"), options)))).alias("x"))
+        words = words.select("doc_id", F.col("x.word").alias("surface"), self.lemma(F.col("x.word"), options).alias("lemma"), self.pos(F.col("x.word")).alias("pos"), F.col("x.n").alias("n"))
+        label = F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})
+        return words.select("doc_id", "surface", "lemma", label, "pos", F.col("pos").isin(*self.function_pos).alias("is_function"), F.lit("").alias("compound_parts"), "n")
+
+    def possible(self, docs: DataFrame, word: str, options: dict[str, Any] | None = None) -> DataFrame:
+        """The documents that can have a word: a cheap look at texts, before they are cut.  Not for other than ASCII letters,
+        whose small forms can depend on their neighbours; then all."""
+        if not re.fullmatch("[A-Za-z]+", word) or type(self).lemma is not NativeAnnotator.lemma:
+            return docs
+        text = self.normalize(F.col("text"), self.default_options() | (options or {}))
+        return docs.where(F.contains(F.lower(text), F.lit(word.lower())))
+
     def is_function(self, word: Column) -> Column:
         """pos in function_pos, for words of ``cut``.  A mark is one character, and numbers are no function words: so most words are only looked up."""
         own = type(self)

@@ -181,7 +181,8 @@ def pos_composition(tokens: DataFrame, include_function_words: bool = True) -> D
 
 def corpus_summary(tokens: DataFrame, documents: DataFrame, language: str, unit: str = "lemma") -> DataFrame:
     # counts by word, summed before the shuffle, instead of distinct counts over every token
-    words = tokens.groupBy(F.col(unit).alias("w")).agg(F.count("*").alias("n"), F.count_if(~F.col("is_function")).alias("c"))
+    each = F.col("n") if "n" in tokens.columns else F.lit(1).cast("long")  # tokens: a table, or tokens counted by type
+    words = tokens.groupBy(F.col(unit).alias("w")).agg(F.sum(each).alias("n"), F.sum(F.when(~F.col("is_function"), each).otherwise(0)).alias("c"))
     known = F.col("w").isNotNull()
     one = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if(known).alias("n_types"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_tokens_content"), F.count_if(known & (F.col("c") > 0)).alias("n_types_content"))
     return documents.agg(F.count("*").alias("n_documents")).crossJoin(F.broadcast(one)).withColumn("language", F.lit(language))

@@ -62,12 +62,13 @@ def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: i
 
 
 def counted_words(tokens: DataFrame, node: str, unit: str = "lemma") -> DataFrame:
-    """A row for each word: freq, pos, label, fn (a function word), n_hit (occurrences that are hits of node)."""
-    return vocabulary(tokens, unit, [F.max(F.col("is_function").cast("int")).alias("fn"), F.count_if(kwic.is_hit(tokens, node, unit)).alias("n_hit")])
+    """tokens: a table, or tokens counted by type.  A row for each word: freq, pos, label, fn (a function word), n_hit (occurrences that are hits of node)."""
+    return vocabulary(tokens, unit, [F.max(F.col("is_function").cast("int")).alias("fn"), F.coalesce(F.sum(F.when(kwic.is_hit(tokens, node, unit), F.col("n") if "n" in tokens.columns else 1)), F.lit(0)).alias("n_hit")])
 
 
 def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False, rows: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
-    """rows: the same tokens from ``annotate.in_rows``, where there are; spans are then cut out of them without a shuffle.
+    """rows: the same tokens from ``annotate.in_rows``, where there are; spans are then cut out of them without a shuffle, and documents without
+    hits can be left out of them and tokens be counted by type (``annotate.types``).
     words: their counts from ``counted_words``, where they are at hand.
 
     collocate, label, pos, is_function, relation, cooccur, freq_node, freq_collocate, expected, mi, t, log_dice, g2

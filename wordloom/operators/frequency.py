@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from wordloom.storage import stored
 
-from .annotate import Annotator
+from .annotate import Annotator, runs
 from .basic import ratio
-from .kwic import let
 
 
 def first_label(tokens: DataFrame, unit: str) -> list[Column]:
@@ -101,16 +100,6 @@ def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_wor
     return _table(stored(words, "words"), sized, total, largest, n_parted)
 
 
-def runs(words: Column) -> Column:
-    """array<struct<word, n>>: an array's words, counted."""
-
-    def of(a: Column) -> Column:
-        begins = F.array_compact(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)))
-        return let(begins, lambda b: F.transform(b, lambda at, j: F.struct(F.get(a, at).alias("word"), (F.coalesce(F.get(b, j + 1), F.size(a)) - at).cast("long").alias("n"))))
-
-    return let(F.sort_array(words), of)
-
-
 def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False) -> DataFrame:
     """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
     shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case."""
@@ -159,7 +148,10 @@ def expand_compounds(tokens: DataFrame) -> DataFrame:
     part = F.explode(F.when(F.col("compound_parts") == "", F.array(F.lit(None).cast("string"))).otherwise(F.split("compound_parts", r"\+")))
     t = tokens.withColumn("__part", part)
     new = {c: F.coalesce("__part", c) for c in ("surface", "lemma", "lemma_label")} | {"compound_parts": F.lit("")}
-    return t.select(*(new.get(c, F.col(c)).alias(c) for c in tokens.columns))
+    out = t.select(*(new.get(c, F.col(c)).alias(c) for c in tokens.columns))
+    if tokens.schema["lemma_label"].metadata.get("same_as") != "lemma":
+        return out
+    return out.withColumn("lemma_label", F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"}))
 
 
 def compounds(tokens: DataFrame) -> DataFrame:

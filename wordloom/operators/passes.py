@@ -48,10 +48,14 @@ def _meet(tokens: DataFrame, types: DataFrame, changed: DataFrame, columns: list
     return tokens.join(often, on).unionByName(rest.join(changed.where(~hot).select(*on, *columns), on, "left"))
 
 
-def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, Any], pairs: DataFrame | None = None) -> DataFrame:
+def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, Any], pairs: DataFrame | None = None, counted: str | None = None) -> DataFrame:
     """The tokens of docs with what options ask for.  pairs (surface, lemma): what the second lemmatiser learns from, instead of
-    the vocabulary."""
-    tokens, todo = by.annotate(docs, options), planned(language, options)
+    the vocabulary.  counted: "type" or "document", for the native annotator's tokens counted by type, or by document and type
+    (without separable verbs, which are found by place)."""
+    todo, native = planned(language, options), isinstance(by, NativeAnnotator)
+    if counted and (not native or "separable_verbs" in todo):
+        raise ValueError("only types are counted")
+    tokens = by.annotate(docs, options) if not counted else stored(by.types(docs, options), "by-type") if counted == "type" else by.counted(docs, options)
     if not todo:
         return tokens
     mode, lower = options.get("lemma_mode", "own"), bool(options.get("lowercase"))
@@ -59,9 +63,11 @@ def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, A
         raise ValueError(f"unknown mode {mode}")
     low = F.lower if lower else lambda c: c
     names = tokens.columns
-    types = stored(tokens.groupBy("surface", "pos").agg(F.count("*").alias("n")), "types")
+    same = tokens.schema["lemma_label"].metadata.get("same_as") == "lemma"
+    by_type = tokens if counted == "type" or not native else by.types(docs, options)
+    types = stored(by_type.groupBy("surface", "pos").agg((F.sum("n") if native else F.count("*")).alias("n")), "types")
     words = types.where(F.col("pos").isin(*german.CONTENT, "WORD")).groupBy(F.col("surface").alias("word")).agg(F.sum("n").alias("n"))
-    own_verbs = "separable_verbs" in todo and isinstance(by, NativeAnnotator)
+    own_verbs = "separable_verbs" in todo and native
     if own_verbs:
         found = stored(german.separated(by.in_rows(docs, options, function_words=False), words, lambda c: by.pos(c) == "WORD"), "separated").withColumnRenamed("marks", "__marks")
         side = F.broadcast(found) if found.count() <= MOST_SENT else found
@@ -85,11 +91,17 @@ def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, A
         new |= {c: F.when(mark, F.col(c)).otherwise(second) for c in ("lemma", "lemma_label")}
     if mode == "both":
         new["lemma_alt"] = F.when(F.col("pos").isin(*german.CONTENT, "WORD"), low(F.coalesce("__other", "surface"))).otherwise(F.lit(""))
-    if "__parts" in columns:
+    if "__parts" in columns and counted == "type":
+        names = [*names, "compound_parts"]
+        new["compound_parts"] = F.coalesce(low(F.col("__parts")), F.lit(""))
+    elif "__parts" in columns:
         new["compound_parts"] = F.coalesce(low(F.col("__parts")), "compound_parts")
     tokens = tokens.select(*(new.get(c, F.col(c)).alias(c) for c in names), *(["__marks"] if own_verbs else []))
     if mode == "other" and not lower:
         tokens = german.recapitalise_nouns(tokens)
     if own_verbs:
-        return german.join_separated(tokens, "__marks").select(*names)
-    return join_separable_verbs(tokens) if "separable_verbs" in todo else tokens
+        tokens = german.join_separated(tokens, "__marks").select(*names)
+    elif "separable_verbs" in todo:
+        tokens = join_separable_verbs(tokens)
+    # what passes do to a lemma they do to its label
+    return tokens.withColumn("lemma_label", F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})) if same else tokens

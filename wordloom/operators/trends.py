@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import measures
+from wordloom.storage import stored
+
+from .frequency import counted
 
 MOST_GROUPS = 500
 
@@ -30,11 +33,13 @@ def _sum(values: Column, kind: str = "double") -> Column:
 
 
 def trend_table(tokens: DataFrame, group: str, unit: str = "lemma", include_function_words: bool = False, min_freq: int = 5) -> DataFrame:
-    """word, freq, s, z, p, slope (per million and group), for words with at least min_freq occurrences.
+    """word, freq, s, z, p, slope (per million and group), for words with at least min_freq occurrences.  tokens: a table, or tokens counted by type and group.
 
     s counts pairs of groups that rise less those that fall; its variance allows for ties; z is corrected for continuity."""
+    each = F.col("n") if "n" in tokens.columns else F.lit(1).cast("long")
     parted = tokens.where(F.col(group).isNotNull())
-    counts = parted.groupBy(F.col(unit).alias("word"), F.col(group).alias("group")).agg(F.count("*").alias("size"), (F.count("*") if include_function_words else F.count_if(~F.col("is_function"))).alias("n"))
+    counts = parted.groupBy(F.col(unit).alias("word"), F.col(group).alias("group")).agg(counted(tokens).alias("size"), F.sum(F.when(F.lit(include_function_words) | ~F.col("is_function"), each).otherwise(0)).alias("n"))
+    counts = stored(counts, "trend")  # the groups and the words come from it
     groups = group_values(counts.groupBy("group").agg(F.sum("size").alias("size")))
     k = len(groups)
     if k < 2:
