@@ -60,3 +60,12 @@ def test_statistics(docs, by, window):
     once = F.col("doc_id") != 2
     same(r9(basic.document_stats_in_rows(content.where(once), window)), r9(basic.per_document_stats(tokens.where(once), sttr_window=window)))
     same(r9(basic.group_stats_in_rows(content.where(once), "lang", window)), r9(basic.per_group_stats(tokens.where(once), None, "lang", sttr_window=window)))
+
+
+def test_counted_by_document(docs, by):
+    """The counted table gives what tokens give; so do words of two parts of speech."""
+    same(r9(frequency.frequency_table(by.counted(docs))), r9(frequency.frequency_table(by.annotate(docs))))
+    two = lambda t: t.withColumn("pos", F.when(F.col("surface") == "The", "X").otherwise(F.col("pos"))).withColumn("is_function", F.lit(False))
+    want = r9(frequency.frequency_table(by.annotate(docs), include_function_words=True).drop("pos"))
+    same(r9(frequency.frequency_table(two(by.counted(docs)), include_function_words=True).drop("pos")), want)
+    same(r9(frequency.frequency_table(two(by.annotate(docs)), include_function_words=True).drop("pos")), want)

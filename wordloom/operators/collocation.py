@@ -76,7 +76,7 @@ def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method:
     occ, w = occurrences(rows if rows is not None and method != "dependency" else tokens, node, unit, method, window)
     times = F.sum("times") if "times" in occ.columns else F.count("*")
     counts = occ.groupBy("word", "relation").agg(times.alias("cooccur")).where(F.col("cooccur") >= min_cooccur)
-    vocab = words if words is not None else counted_words(tokens, node, unit)
+    vocab = words if words is not None else stored(counted_words(tokens, node, unit), "words")
     totals = vocab.agg(F.sum("freq").alias("n"), F.sum("n_hit").alias("freq_node"))  # no further pass over tokens
     scalars = totals.crossJoin(F.broadcast(w))
     known = vocab.where("n_hit = 0").select("word", "label", "pos", (F.col("fn") > 0).alias("is_function"), F.col("freq").alias("freq_collocate"))

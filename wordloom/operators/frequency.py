@@ -89,17 +89,36 @@ def frequency_table(tokens: DataFrame, unit: str = "lemma", include_function_wor
     tokens: a table, or tokens counted by type and part."""
     keep = F.lit(True) if include_function_words else ~F.col("is_function")
     # tokens are counted once, and the counts stored: part sizes, corpus size and the words all come from them
-    pairs = stored(tokens.groupBy(F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")).agg(counted(tokens).alias("n"), *first_label(tokens, unit)), "pairs")
-    sizes = stored(pairs.groupBy("part").agg(F.sum("n").alias("size")), "sizes")
+    keys = [F.col(part).alias("part"), F.col(unit).alias("word"), "pos", keep.alias("keep")]
+    if "n" in tokens.columns and part == "doc_id":  # counted in documents' rows already: one shuffle, by document, does for all
+        pairs = tokens.select(*keys, "n").repartition("part").groupBy("part", "word", "pos", "keep").agg(F.sum("n").alias("n"))
+        pairs = stored(pairs.withColumn("size", F.sum("n").over(Window.partitionBy("part"))), "pairs")
+        sizes = pairs.groupBy("part").agg(F.first("size").alias("size"))
+    else:
+        pairs = stored(tokens.groupBy(*keys).agg(counted(tokens).alias("n"), *first_label(tokens, unit)), "pairs")
+        sizes = stored(pairs.groupBy("part").agg(F.sum("n").alias("size")), "sizes")
     total, largest, n_parted = _sums(sizes)
     kept = pairs.where("keep AND part IS NOT NULL AND word IS NOT NULL")
-    by_pos = kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), *([F.min("first").alias("first")] if "first" in kept.columns else []))
+    by_pos = stored(kept.groupBy("word", "pos").agg(F.sum("n").alias("n"), *([F.min("first").alias("first")] if "first" in kept.columns else [])), "by-pos")
     names = words_from(by_pos).select("word", "pos", "label")
-    sized = kept.groupBy("word", "part").agg(F.sum("n").alias("f")).join(sizes, "part").select("word", "f", "size")
+    if "size" not in kept.columns:
+        kept = kept.join(F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes, "part")
+    sized = _over_pos(kept.select("part", "word", F.col("n").alias("f"), "size"), by_pos)
     words = sized.groupBy("word").agg(F.sum("f").alias("freq"), F.sum("size").alias("share"), F.count("*").alias("n_parts")).join(names, "word")
     return _table(stored(words, "words"), sized, total, largest, n_parted)
 
 
+def _over_pos(pairs: DataFrame, by_pos: DataFrame) -> DataFrame:
+    """word, f, size: pairs (part, word, f, size), where only words of several parts of speech have to be summed."""
+    several = stored(by_pos.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word"), "several")
+    n = several.count()
+    if not n:
+        return pairs.drop("part")
+    known = F.broadcast(several) if n <= MOST_SENT else several
+    summed = pairs.join(known, "word", "left_semi").groupBy("word", "part").agg(F.sum("f").alias("f"), F.max("size").alias("size"))
+    return pairs.join(known, "word", "left_anti").select("word", "f", "size").unionByName(summed.select("word", "f", "size"))
+
+
 def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False) -> DataFrame:
     """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
     shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case."""
