@@ -4,7 +4,7 @@ import pytest
 from helpers import same
 from pyspark.sql import functions as F
 
-from wordloom.operators import annotate, basic, frequency
+from wordloom.operators import annotate, basic, collocation, frequency
 
 TEXTS = [(1, "en", "The cat. the CAT, a dog! 12 Σίσυφος ΣΑΣ"), (2, "de", "Der Hund. der hund, Das Das 7"), (2, "fr", "le chat le chien. Der der"), (None, "en", "lost lost words the"), (3, "en", ""), (4, "en", None), (5, None, "The the cat … dog cat cat"), (6, "en", "x " * 400)]
 
@@ -69,3 +69,14 @@ def test_counted_by_document(docs, by):
     want = r9(frequency.frequency_table(by.annotate(docs), include_function_words=True).drop("pos"))
     same(r9(frequency.frequency_table(two(by.counted(docs)), include_function_words=True).drop("pos")), want)
     same(r9(frequency.frequency_table(two(by.annotate(docs)), include_function_words=True).drop("pos")), want)
+
+
+def test_sentences_with_a_word(spark, by):
+    """Neighbours in sentences that can have the word are those in whole texts, with marks in a row and without a last mark."""
+    texts = ["The dog sat. A Cat, a dog! No. Concatenate it?! cat... cat cat. Dog", "cat dog\r\nbird", None, "", "dog. bird", "A. cat", "cat.dog.cat"]
+    docs = spark.createDataFrame([(i, "de" if i == 5 else "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    for word in ("cat", "dog", "…"):
+        want = collocation.collocation_table(by.annotate(docs), word)
+        same(r9(collocation.collocation_table(by.types(docs), word, rows=by.sentences_with(docs, word))), r9(want))
+        fixed = collocation.collocation_table(by.annotate(docs), word, method="fixed", window=2)
+        same(r9(collocation.collocation_table(by.types(docs), word, method="fixed", window=2, rows=by.in_rows(by.possible(docs, word)))), r9(fixed))

@@ -154,6 +154,18 @@ class NativeAnnotator(Annotator):
         text = self.normalize(F.col("text"), self.default_options() | (options or {}))
         return docs.where(F.contains(F.lower(text), F.lit(word.lower())))
 
+    def sentences_with(self, docs: DataFrame, word: str, options: dict[str, Any] | None = None) -> DataFrame:
+        """As ``in_rows`` for what stays within a sentence, of the sentences that can have a word alone (see ``possible``); sentence_id and
+        position tell them and their tokens apart, no more."""
+        docs = self.possible(docs, word, options)
+        if not re.fullmatch("[A-Za-z]+", word) or type(self).lemma is not NativeAnnotator.lemma or type(self).cut is not NativeAnnotator.cut:
+            return self.in_rows(docs, options, function_words=False)
+        options = self.default_options() | (options or {})
+        sentences = F.split(self.normalize(F.col("text"), options), f"(?<=[{TERMINATORS}])")
+        chosen = F.array_join(F.transform(F.filter(sentences, lambda x: F.contains(F.lower(x), F.lit(word.lower()))), lambda x: F.concat(x, F.lit(" "))), "")
+        # a sentence without a terminator is the text's last, so those that are left are cut at the same places again
+        return self.in_rows(docs.withColumn("text", chosen), {o: False for o in ("nfkc", "norm_1996", "norm_ss", "norm_umlaut")} | {"lowercase": options.get("lowercase", True)}, function_words=False)
+
     def is_function(self, word: Column) -> Column:
         """pos in function_pos, for words of ``cut``.  A mark is one character, and numbers are no function words: so most words are only looked up."""
         own = type(self)
