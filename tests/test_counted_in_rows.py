@@ -4,6 +4,8 @@ import pytest
 from helpers import same
 from pyspark.sql import functions as F
 
+from wordloom import corpus
+from wordloom.config import Settings
 from wordloom.operators import annotate, basic, collocation, frequency
 
 TEXTS = [(1, "en", "The cat. the CAT, a dog! 12 Σίσυφος ΣΑΣ"), (2, "de", "Der Hund. der hund, Das Das 7"), (2, "fr", "le chat le chien. Der der"), (None, "en", "lost lost words the"), (3, "en", ""), (4, "en", None), (5, None, "The the cat … dog cat cat"), (6, "en", "x " * 400)]
@@ -80,3 +82,21 @@ def test_sentences_with_a_word(spark, by):
         same(r9(collocation.collocation_table(by.types(docs), word, rows=by.sentences_with(docs, word))), r9(want))
         fixed = collocation.collocation_table(by.annotate(docs), word, method="fixed", window=2)
         same(r9(collocation.collocation_table(by.types(docs), word, method="fixed", window=2, rows=by.in_rows(by.possible(docs, word)))), r9(fixed))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_dependencies_of_separated_verbs(spark, repeated):
+    """Collocations of prefixes and verbs, from tokens counted by type and the joined ones alone, are those of the token table."""
+    texts = ["Ich rufe dich heute an. Wir anrufe anRufen zurückkommen mitgehen", "RUFE rufe ihn AN, an! komme zuruecK komme ZURÜCK; kommen zurück\n", "gehen mit ; mit. gehen\tder\nMIT", "", None, "rufe an kommen ZURÜCK", "rufe zıirück, gehen mit́, x an", "kommen 12 zurück – kommen an"]
+    docs = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)] + ([(0, "rufe ihn doch an. gehen mit")] if repeated else []), "doc_id long, text string")
+    settings = Settings(language="de", language_options={"separable_verbs": True})
+    tokens = corpus.build(docs, settings).tokens
+    counted, linked = corpus.separated(docs, settings)
+    assert ("n" in counted.columns) != repeated
+    assert tokens.where("dep = 'svp'").count() == linked.where("dep = 'svp'").count() > 4
+    for word in ("an", "anrufe", "ZURÜCK", "none"):
+        got = collocation.collocation_table(counted, word, method="dependency", rows=linked)
+        same(r9(got), r9(collocation.collocation_table(tokens, word, method="dependency")))
+    keys = ["surface", "lemma", "pos", "is_function"]
+    n = F.sum("n") if "n" in counted.columns else F.count("*")
+    same(counted.groupBy(*keys).agg(n.alias("n")).toPandas(), tokens.groupBy(*keys).agg(F.count("*").alias("n")).toPandas())

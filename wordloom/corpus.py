@@ -48,6 +48,12 @@ def counted(docs: DataFrame, settings: Settings, what: str, by: Annotator | None
     return passes.annotate(by, cleaned, settings.language, options, lemmas, what)
 
 
+def separated(docs: DataFrame, settings: Settings, by: Annotator | None = None) -> tuple[DataFrame, DataFrame]:
+    """A corpus's tokens with separable verbs, counted by type, and those that a dependency joins: see ``passes.separated``."""
+    cleaned, by, options = prepared(docs, settings, by)
+    return passes.separated(by, cleaned, settings.language, options)
+
+
 def build(docs: DataFrame, settings: Settings | None = None, by: Annotator | None = None, lemmas: DataFrame | None = None) -> Corpus:
     """docs: doc_id, text and any further columns, which become groups.  lemmas (surface, lemma): what the second lemmatiser
     learns from, where an option asks for it; else it learns from the vocabulary."""

@@ -23,6 +23,8 @@ from . import advice
 from .kwic import let
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
+#: The tokens that are no words: one sign each.
+MARK = r"[^\s\p{L}\p{M}\p{N}]"
 TERMINATORS = ".!?。！？"
 #: Closed-class words by language: articles, pronouns, prepositions, conjunctions, auxiliaries, particles.
 FUNCTION_WORDS = {

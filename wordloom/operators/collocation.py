@@ -20,7 +20,7 @@ METHODS = ("sentence", "fixed", "dependency")
 
 
 def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(word, relation) of every collocate occurrence, and one row: w."""
+    """(word, relation) of every collocate occurrence, and one row: w (for dependencies o, the occurrences, which are to be divided by the hits)."""
     if method == "fixed" and "t" in tokens.columns:
         beside = F.flatten(F.array_compact(F.transform("t", lambda x, i: F.when(kwic.matches(x[unit], query), F.transform(kwic.around(F.col("t"), i, window), lambda y: y[unit])))))
         occ = tokens.select(F.explode(beside).alias("word"))
@@ -55,9 +55,8 @@ def occurrences(tokens: DataFrame, query: str, unit: str, method: str, window: i
         down = hits.select("doc_id", "position").join(child, ["doc_id", "position"]).select("word", "relation")
         parent = tokens.select("doc_id", F.col("position").alias("head"), F.col(unit).alias("word"))
         up = hits.where("head >= 0").select("doc_id", "head", F.concat(F.lit("→"), "dep").alias("relation")).join(parent, ["doc_id", "head"]).select("word", "relation")
-        occ = down.unionByName(up)
-        w = hits.agg(F.count("*").alias("h")).crossJoin(F.broadcast(occ.agg(F.count("*").alias("o")))).select(F.try_divide(F.col("o").cast("double"), F.col("h").cast("double")).alias("w"))
-        return occ, w
+        occ = stored(down.unionByName(up), "dependencies")
+        return occ, occ.agg(F.count("*").alias("o"))
     raise ValueError(f"unknown method {method}")
 
 
@@ -68,17 +67,19 @@ def counted_words(tokens: DataFrame, node: str, unit: str = "lemma") -> DataFram
 
 def collocation_table(tokens: DataFrame, node: str, unit: str = "lemma", method: str = "sentence", window: int = 5, min_cooccur: int = 1, with_p: bool = False, rows: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """rows: the same tokens from ``annotate.in_rows``, where there are; spans are then cut out of them without a shuffle, and documents without
-    hits can be left out of them and tokens be counted by type (``annotate.types``).
+    hits can be left out of them and tokens be counted by type (``annotate.types``).  For dependencies: the tokens that one joins (``passes.separated``).
     words: their counts from ``counted_words``, where they are at hand.
 
     collocate, label, pos, is_function, relation, cooccur, freq_node, freq_collocate, expected, mi, t, log_dice, g2
     (and p).  Function words are in it; hiding them is a view's business."""
-    occ, w = occurrences(rows if rows is not None and method != "dependency" else tokens, node, unit, method, window)
+    occ, w = occurrences(rows if rows is not None else tokens, node, unit, method, window)
     times = F.sum("times") if "times" in occ.columns else F.count("*")
     counts = occ.groupBy("word", "relation").agg(times.alias("cooccur")).where(F.col("cooccur") >= min_cooccur)
     vocab = words if words is not None else stored(counted_words(tokens, node, unit), "words")
     totals = vocab.agg(F.sum("freq").alias("n"), F.sum("n_hit").alias("freq_node"))  # no further pass over tokens
     scalars = totals.crossJoin(F.broadcast(w))
+    if "o" in w.columns:
+        scalars = scalars.select("n", "freq_node", F.try_divide(F.col("o").cast("double"), F.col("freq_node").cast("double")).alias("w"))
     known = vocab.where("n_hit = 0").select("word", "label", "pos", (F.col("fn") > 0).alias("is_function"), F.col("freq").alias("freq_collocate"))
     joined = counts.join(known, "word").crossJoin(F.broadcast(scalars))
     m = measures.association(F.col("cooccur"), F.col("freq_node"), F.col("freq_collocate"), F.col("n"), F.col("w"))

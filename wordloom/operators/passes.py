@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from wordloom.storage import stored
 
 from . import german, lemmas
-from .annotate import Annotator, NativeAnnotator, join_separable_verbs
+from .annotate import MARK, TOKEN, Annotator, NativeAnnotator, join_separable_verbs
+from .basic import repeated_ids
 
 #: Rows that are sent to the executors whole.
 MOST_SENT = 200_000
@@ -105,3 +106,34 @@ def annotate(by: Annotator, docs: DataFrame, language: str, options: dict[str, A
         tokens = join_separable_verbs(tokens)
     # what passes do to a lemma they do to its label
     return tokens.withColumn("lemma_label", F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})) if same else tokens
+
+
+def separated(by: Annotator, docs: DataFrame, language: str, options: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
+    """What ``annotate`` with separable verbs alone gives, without a row for each token: its tokens counted by type, and those that a dependency joins (doc_id,
+    position, lemma, lemma_label, dep, head; positions tell a document's tokens apart, no more).  Where tokens have other dependencies, or
+    documents share an id, the tokens themselves, twice."""
+    native = isinstance(by, NativeAnnotator) and (type(by).cut, type(by).words, type(by).normalize) == (NativeAnnotator.cut, NativeAnnotator.words, NativeAnnotator.normalize)
+    if not native or planned(language, options) != ["separable_verbs"] or repeated_ids(docs.where("doc_id IS NOT NULL")).limit(1).count():
+        tokens = annotate(by, docs, language, options)
+        return tokens, tokens
+    types = stored(by.types(docs, options), "types")
+    words = types.where(F.col("pos").isin(*german.CONTENT, "WORD")).select(F.col("surface").alias("word"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by.normalize(F.col("text"), options).alias("text"))
+    pairs = german.separated_pairs(german.closed_clauses(texts, TOKEN, MARK), words, lambda c: by.pos(c) == "WORD")
+    verb, particle = by.lemma(F.col("surface"), options), by.lemma(F.col("particle"), options)
+    pairs = stored(pairs.select("*", verb.alias("verb_lemma"), particle.alias("particle_lemma"), by.pos(F.col("particle")).alias("particle_pos")), "separated")
+    joined = F.concat("prefix", "verb_lemma")
+    # a pair takes its tokens from their types and adds them to others
+    def token(surface: str, lemma: Any, pos: Any, function: Any, n: int) -> Any:
+        return F.struct(F.col(surface).alias("surface"), lemma.alias("lemma"), pos.alias("pos"), function.alias("is_function"), F.lit(n).cast("long").alias("n"))
+
+    word, no = F.lit("WORD"), F.lit("WORD").isin(*by.function_pos)
+    own = F.col("particle_pos").isin(*by.function_pos)
+    moved = F.array(token("surface", F.col("verb_lemma"), word, no, -1), token("surface", joined, word, no, 1), token("particle", F.col("particle_lemma"), F.col("particle_pos"), own, -1), token("particle", F.col("particle_lemma"), F.lit("PART"), F.lit(True), 1))
+    keys = ["surface", "lemma", "pos", "is_function"]
+    moved = pairs.select(F.explode(moved).alias("x")).select("x.*").groupBy(*keys).agg(F.sum("n").alias("n"))
+    changed = types.select(*keys, "n").unionByName(moved).groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+    none, label = F.lit(-1).cast("long"), F.col("lemma").alias("lemma_label", metadata={"same_as": "lemma"})
+    two = F.array(F.struct(F.col("verb").alias("position"), joined.alias("lemma"), F.lit("").alias("dep"), none.alias("head")), F.struct(F.col("at").alias("position"), F.col("particle_lemma").alias("lemma"), F.lit("svp").alias("dep"), F.col("verb").alias("head")))
+    linked = pairs.select("doc_id", F.explode(two).alias("x")).select("doc_id", "x.*")
+    return changed.select("surface", "lemma", label, "pos", "is_function", "n"), linked.select("doc_id", "position", "lemma", label, "dep", "head")
