@@ -100,3 +100,11 @@ def test_dependencies_of_separated_verbs(spark, repeated):
     keys = ["surface", "lemma", "pos", "is_function"]
     n = F.sum("n") if "n" in counted.columns else F.count("*")
     same(counted.groupBy(*keys).agg(n.alias("n")).toPandas(), tokens.groupBy(*keys).agg(F.count("*").alias("n")).toPandas())
+
+
+def test_words_alone(docs, by):
+    """The words and shared labels of the table, without its parts."""
+    table, words = frequency.table_of_rows(by.word_rows(docs), by), frequency.words_alone(by.types(docs.where("doc_id IS NOT NULL")))
+    same(words.toPandas(), table.select("word", "label", "freq").toPandas())
+    low = [frequency.duplicate_labels(t.withColumn("label", F.lower("word"))).first()["n_rows"] for t in (words, table)]
+    assert low[0] == low[1] > 0

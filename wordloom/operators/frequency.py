@@ -139,6 +139,15 @@ def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool =
     return _table(stored(words, "words"), pairs.drop("part"), total, largest, n_parted)
 
 
+def words_alone(types: DataFrame, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
+    """word, label, freq of the table's words, for what needs no parts: no document's words are counted apart.
+
+    types: tokens counted by type, of documents with an id, whose labels are the words themselves (``annotate.types``)."""
+    chosen = types if include_function_words else types.where(~F.col("is_function"))
+    words = chosen.where(F.col(unit).isNotNull()).groupBy(F.col(unit).alias("word")).agg(F.sum("n").alias("freq"))
+    return words.select("word", F.col("word").alias("label"), "freq")
+
+
 def ranked(words: DataFrame) -> DataFrame:
     """words (word, freq, ...) + rank: 1 to n by (freq descending, word), no ties.
 
@@ -197,7 +206,7 @@ def filtered(frequencies: DataFrame, min_freq: int = 1, pos: str | None = None,
 
 
 def duplicate_labels(frequencies: DataFrame) -> DataFrame:
-    """How many rows share their label with another."""
+    """How many rows share their label with another.  frequencies: the table, or its words alone."""
     same = frequencies.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
     return same.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
