@@ -103,8 +103,9 @@ def test_dependencies_of_separated_verbs(spark, repeated):
 
 
 def test_words_alone(docs, by):
-    """The words and shared labels of the table, without its parts."""
+    """The words, ranks and shared labels of the table, without its parts."""
     table, words = frequency.table_of_rows(by.word_rows(docs), by), frequency.words_alone(by.types(docs.where("doc_id IS NOT NULL")))
     same(words.toPandas(), table.select("word", "label", "freq").toPandas())
+    assert frequency.zipf(words).collect() == frequency.zipf(table).collect()
     low = [frequency.duplicate_labels(t.withColumn("label", F.lower("word"))).first()["n_rows"] for t in (words, table)]
     assert low[0] == low[1] > 0

@@ -195,6 +195,9 @@ def word_distribution(tokens: DataFrame, word: str, unit: str = "lemma", part: s
 
 
 def zipf(frequencies: DataFrame) -> DataFrame:
+    """frequencies: the table, or its words alone, which are stored and ranked."""
+    if "rank" not in frequencies.columns:
+        frequencies = ranked(stored(frequencies, "words")).orderBy("rank")
     return frequencies.select("rank", "freq", "word")
 
 
