@@ -109,3 +109,10 @@ def test_words_alone(docs, by):
     assert frequency.zipf(words).collect() == frequency.zipf(table).collect()
     low = [frequency.duplicate_labels(t.withColumn("label", F.lower("word"))).first()["n_rows"] for t in (words, table)]
     assert low[0] == low[1] > 0
+
+
+def test_chosen_words(docs, by):
+    """Only the chosen words meet the parts, with the ranks and dispersion that they have among all."""
+    rows = by.word_rows(docs)
+    for args in ((2, "WORD", "t"), (3, None, ""), (1, "NUM", "")):
+        same(r9(frequency.table_of_rows(rows, by, chosen=frequency.shown(*args))), r9(frequency.filtered(frequency.table_of_rows(rows, by), *args)))

@@ -58,20 +58,21 @@ def words_from(by_pos: DataFrame) -> DataFrame:
 MOST_SENT = 200_000
 
 
-def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n_parted: int) -> DataFrame:
-    """The table from stored words (word, label, pos, freq, share, n_parts) and pairs (word, f, size).
+def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n_parted: int, chosen: Column | None = None) -> DataFrame:
+    """The table from stored words (word, label, pos, freq, share, n_parts) and pairs (word, f, size).  chosen: which words it has (the others are ranked, no more).
 
     Half the sum of |f/F - s| over the parts is 1 - share, if no part has less of the word than the corpus, else more by s - f/F for each that has.
     Only a word with over N / size occurrences can lack in a part of that size, and of those there are no more than a part has
     tokens: they meet the pairs by broadcast, but for what only parts of over MOST_SENT tokens can lack."""
-    often = words.where(F.col("freq") * F.lit(largest) > F.lit(n_parted)).select("word", "freq")
+    chosen = F.lit(True) if chosen is None else chosen
+    often = words.where(chosen & (F.col("freq") * F.lit(largest) > F.lit(n_parted))).select("word", "freq")
     lacking = F.col("f") * F.lit(n_parted) < F.col("freq") * F.col("size")
     sent = F.col("freq") * MOST_SENT >= F.lit(n_parted)
     met = pairs.join(F.broadcast(often.where(sent)), "word")
     if largest > MOST_SENT:
         met = met.unionByName(pairs.where(F.col("size") > MOST_SENT).join(often.where(~sent), "word"))
     less = met.where(lacking).groupBy("word").agg(F.sum(F.col("size") / F.lit(float(n_parted)) - F.col("f") / F.col("freq")).alias("less"))
-    out = ranked(words).join(less, "word", "left").crossJoin(F.broadcast(total))
+    out = ranked(words).where(chosen).join(less, "word", "left").crossJoin(F.broadcast(total))
     dp = 1 - F.col("share") / F.lit(float(n_parted)) + F.coalesce("less", F.lit(0.0))
     return out.select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dp.alias("dp"), "n_parts").orderBy("rank")
 
@@ -119,9 +120,10 @@ def _over_pos(pairs: DataFrame, by_pos: DataFrame) -> DataFrame:
     return pairs.join(known, "word", "left_anti").select("word", "f", "size").unionByName(summed.select("word", "f", "size"))
 
 
-def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False) -> DataFrame:
+def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False, chosen: Column | None = None) -> DataFrame:
     """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
-    shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case."""
+    shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case.  chosen: which words the table has, by
+    word, label, pos and freq; dispersion is found for those."""
     found = stored(rows.select(F.col("doc_id").alias("part"), F.size("words").cast("long").alias("size"), runs(F.col("words")).alias("counts")), "counts")
     sizes = found.select("part", "size")
     repeated = stored(sizes.where("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("k"), F.sum("size").alias("__size")).where("k > 1").drop("k"), "repeated")
@@ -136,7 +138,7 @@ def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool =
     words = words.select("word", F.col("word").alias("label"), by.pos(F.col("word")).alias("pos"), "freq", "share", "n_parts")
     if not include_function_words:
         words = words.where(~F.col("pos").isin(*by.function_pos))
-    return _table(stored(words, "words"), pairs.drop("part"), total, largest, n_parted)
+    return _table(stored(words, "words"), pairs.drop("part"), total, largest, n_parted, chosen)
 
 
 def words_alone(types: DataFrame, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
@@ -201,11 +203,16 @@ def zipf(frequencies: DataFrame) -> DataFrame:
     return frequencies.select("rank", "freq", "word")
 
 
-def filtered(frequencies: DataFrame, min_freq: int = 1, pos: str | None = None, contains: str = "") -> DataFrame:
-    out = frequencies.where(F.col("freq") >= min_freq)
+def shown(min_freq: int = 1, pos: str | None = None, contains: str = "") -> Column:
+    """Which words ``filtered`` leaves."""
+    out = F.col("freq") >= min_freq
     if pos is not None:
-        out = out.where(F.col("pos") == pos)
-    return out.where(F.contains("label", F.lit(contains)) | F.contains("word", F.lit(contains))) if contains else out
+        out &= F.col("pos") == pos
+    return out & (F.contains("label", F.lit(contains)) | F.contains("word", F.lit(contains))) if contains else out
+
+
+def filtered(frequencies: DataFrame, min_freq: int = 1, pos: str | None = None, contains: str = "") -> DataFrame:
+    return frequencies.where(shown(min_freq, pos, contains))
 
 
 def duplicate_labels(frequencies: DataFrame) -> DataFrame:
