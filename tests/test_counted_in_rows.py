@@ -116,3 +116,16 @@ def test_chosen_words(docs, by):
     rows = by.word_rows(docs)
     for args in ((2, "WORD", "t"), (3, None, ""), (1, "NUM", "")):
         same(r9(frequency.table_of_rows(rows, by, chosen=frequency.shown(*args))), r9(frequency.filtered(frequency.table_of_rows(rows, by), *args)))
+
+
+def test_vocabulary_meets_dispersion_where_it_is(spark, docs, by, monkeypatch):
+    """Words are stored and shuffled without a label that is the word again, and are not shuffled to meet the few that a part lacks."""
+    columns, keep = {}, frequency.stored
+    monkeypatch.setattr(frequency, "stored", lambda df, label, *a: columns.setdefault(label, df.columns) and keep(df, label, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frequency.table_of_rows(by.word_rows(docs), by)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "label" not in columns["words"]
+    assert [x for x in plan.splitlines() if "LeftOuter" in x and "Broadcast" in x] and not [x for x in plan.splitlines() if "LeftOuter" in x and "Broadcast" not in x]

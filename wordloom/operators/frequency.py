@@ -58,13 +58,12 @@ def words_from(by_pos: DataFrame) -> DataFrame:
 MOST_SENT = 200_000
 
 
-def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n_parted: int, chosen: Column | None = None) -> DataFrame:
-    """The table from stored words (word, label, pos, freq, share, n_parts) and pairs (word, f, size).  chosen: which words it has (the others are ranked, no more).
+def _less(words: DataFrame, pairs: DataFrame, largest: int, n_parted: int, chosen: Column) -> DataFrame:
+    """word, less: what dispersion adds for the parts that have less of a chosen word than the corpus; no row for words that no part lacks.
 
     Half the sum of |f/F - s| over the parts is 1 - share, if no part has less of the word than the corpus, else more by s - f/F for each that has.
     Only a word with over N / size occurrences can lack in a part of that size, and of those there are no more than a part has
     tokens: they meet the pairs by broadcast, but for what only parts of over MOST_SENT tokens can lack."""
-    chosen = F.lit(True) if chosen is None else chosen
     often = words.where(chosen & (F.col("freq") * F.lit(largest) > F.lit(n_parted))).select("word", "freq")
     lacking = F.col("f") * F.lit(n_parted) < F.col("freq") * F.col("size")
     sent = F.col("freq") * MOST_SENT >= F.lit(n_parted)
@@ -72,9 +71,21 @@ def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n
     if largest > MOST_SENT:
         met = met.unionByName(pairs.where(F.col("size") > MOST_SENT).join(often.where(~sent), "word"))
     less = met.where(lacking).groupBy("word").agg(F.sum(F.col("size") / F.lit(float(n_parted)) - F.col("f") / F.col("freq")).alias("less"))
-    out = ranked(words).where(chosen).join(less, "word", "left").crossJoin(F.broadcast(total))
-    dp = 1 - F.col("share") / F.lit(float(n_parted)) + F.coalesce("less", F.lit(0.0))
-    return out.select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), dp.alias("dp"), "n_parts").orderBy("rank")
+    return less if largest > MOST_SENT else F.broadcast(less)
+
+
+def _dp(n_parted: int) -> Column:
+    return 1 - F.col("share") / F.lit(float(n_parted)) + F.coalesce("less", F.lit(0.0))
+
+
+def _table(words: DataFrame, pairs: DataFrame, total: DataFrame, largest: int, n_parted: int, chosen: Column | None = None) -> DataFrame:
+    """The table from stored words (word, label, pos, freq, share, n_parts) and pairs (word, f, size); without a label, the word is its own and no
+    shuffle has it twice.  chosen: which words the table has (the others are ranked, no more)."""
+    chosen = F.lit(True) if chosen is None else chosen
+    less = _less(_with_label(words), pairs, largest, n_parted, chosen)
+    out = _with_label(ranked(words)).where(chosen)
+    out = (out if "label" in words.columns else out.drop("label")).join(less, "word", "left").crossJoin(F.broadcast(total)).orderBy("rank")
+    return _with_label(out).select("rank", "word", "label", "pos", "freq", (F.col("freq") / F.col("n_all") * 1e6).alias("pmw"), _dp(n_parted).alias("dp"), "n_parts")
 
 
 def _sums(sizes: DataFrame) -> tuple[DataFrame, int, int]:
@@ -120,10 +131,8 @@ def _over_pos(pairs: DataFrame, by_pos: DataFrame) -> DataFrame:
     return pairs.join(known, "word", "left_anti").select("word", "f", "size").unionByName(summed.select("word", "f", "size"))
 
 
-def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False, chosen: Column | None = None) -> DataFrame:
-    """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
-    shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case.  chosen: which words the table has, by
-    word, label, pos and freq; dispersion is found for those."""
+def _words_of(rows: DataFrame, by: Annotator, include_function_words: bool) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """Stored words (word, pos, freq, share, n_parts), pairs (word, f, size) and what ``_sums`` gives, of ``annotate.word_rows``."""
     found = stored(rows.select(F.col("doc_id").alias("part"), F.size("words").cast("long").alias("size"), runs(F.col("words")).alias("counts")), "counts")
     sizes = found.select("part", "size")
     repeated = stored(sizes.where("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("k"), F.sum("size").alias("__size")).where("k > 1").drop("k"), "repeated")
@@ -133,12 +142,18 @@ def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool =
         again = pairs.join(known, "part").groupBy("part", "word").agg(F.max("__size").alias("size"), F.sum("f").alias("f"))
         pairs = pairs.join(known, "part", "left_anti").unionByName(again.select("part", "size", "word", "f"))
         sizes = sizes.groupBy("part").agg(F.sum("size").alias("size"))
-    total, largest, n_parted = _sums(sizes)
     words = pairs.groupBy("word").agg(F.sum("f").alias("freq"), F.sum("size").alias("share"), F.count("*").alias("n_parts"))
-    words = words.select("word", F.col("word").alias("label"), by.pos(F.col("word")).alias("pos"), "freq", "share", "n_parts")
+    words = words.select("word", by.pos(F.col("word")).alias("pos"), "freq", "share", "n_parts")
     if not include_function_words:
         words = words.where(~F.col("pos").isin(*by.function_pos))
-    return _table(stored(words, "words"), pairs.drop("part"), total, largest, n_parted, chosen)
+    return stored(words, "words"), pairs.drop("part"), *_sums(sizes)
+
+
+def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False, chosen: Column | None = None) -> DataFrame:
+    """``frequency_table`` by document of ``annotate.word_rows``: a document's words are counted in its row, and only words, summed, are
+    shuffled.  by: the annotator, whose parts of speech are those of a word, whatever its case.  chosen: which words the table has, by
+    word, label, pos and freq; dispersion is found for those."""
+    return _table(*_words_of(rows, by, include_function_words), chosen)
 
 
 def words_alone(types: DataFrame, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
