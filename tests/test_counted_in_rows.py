@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordloom import corpus
 from wordloom.config import Settings
 from wordloom.operators import annotate, basic, collocation, frequency
+from wordloom.plans import catalog
 
 TEXTS = [(1, "en", "The cat. the CAT, a dog! 12 Σίσυφος ΣΑΣ"), (2, "de", "Der Hund. der hund, Das Das 7"), (2, "fr", "le chat le chien. Der der"), (None, "en", "lost lost words the"), (3, "en", ""), (4, "en", None), (5, None, "The the cat … dog cat cat"), (6, "en", "x " * 400)]
 
@@ -129,3 +130,15 @@ def test_vocabulary_meets_dispersion_where_it_is(spark, docs, by, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "label" not in columns["words"]
     assert [x for x in plan.splitlines() if "LeftOuter" in x and "Broadcast" in x] and not [x for x in plan.splitlines() if "LeftOuter" in x and "Broadcast" not in x]
+
+
+def test_dispersion_without_ranks(spark, docs, by, sf):
+    """What rules read of the table, without ranks: dispersion of judged words alone; the queries of flags sort no vocabulary."""
+    rows = by.word_rows(docs)
+    table = frequency.table_of_rows(rows, by).select("word", "pos", "freq", "dp", "n_parts")
+    same(r9(frequency.dispersion_of_rows(rows, by)), r9(table))
+    judged = F.col("freq") >= 3
+    same(r9(frequency.dispersion_of_rows(rows, by, judged=judged)), r9(table.withColumn("dp", F.when(judged, F.col("dp")))))
+    for query in (catalog.flag_frequency, catalog.flag_labels):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort " not in plan

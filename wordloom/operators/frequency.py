@@ -156,6 +156,15 @@ def table_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool =
     return _table(*_words_of(rows, by, include_function_words), chosen)
 
 
+def dispersion_of_rows(rows: DataFrame, by: Annotator, include_function_words: bool = False, judged: Column | None = None) -> DataFrame:
+    """word, pos, freq, dp, n_parts of ``table_of_rows``, for what needs neither rank nor order: once summed, words are not shuffled again.
+    judged: of which words dispersion is found, by word, label, pos and freq; it is null for the others."""
+    words, pairs, _, largest, n_parted = _words_of(rows, by, include_function_words)
+    judged = F.lit(True) if judged is None else judged
+    out = words.join(_less(_with_label(words), pairs, largest, n_parted, judged), "word", "left")
+    return _with_label(out).select("word", "pos", "freq", F.when(judged, _dp(n_parted)).alias("dp"), "n_parts")
+
+
 def words_alone(types: DataFrame, unit: str = "lemma", include_function_words: bool = False) -> DataFrame:
     """word, label, freq of the table's words, for what needs no parts: no document's words are counted apart.
 
