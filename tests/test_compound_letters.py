@@ -31,3 +31,9 @@ def test_compound_list(spark, letters):
     found = by_both(spark, letters, "compound_list")
     parts = dict(zip(found["surface"], found["compound_parts"]))
     assert (parts["Mitenßßtz"], parts["ΜΙΤΕΝΟΔΟΣ"], parts["AİTENTAL"]) == ("Miten+ẞßtz", "Μιτεν+Οδοσ", "Aiten+Tal")
+
+
+def test_frequency_compounds(spark, letters):
+    found = by_both(spark, letters, "frequency_compounds")
+    count = dict(zip(found["word"], found["freq"]))
+    assert (count["ẞßtz"], count["SSßtz"]) == (2, 2)  # not one word with 4
